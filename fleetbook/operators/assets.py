@@ -50,13 +50,13 @@ def current_holders(t: Tables) -> DataFrame:
                             F.col("archived_at").alias("e_archived_at"))
     joined = rel.join(emp, rel["employee_id"] == emp["e_id"], "left")
     passes = F.col("e_archived_at").isNull()
-    order_key = F.when(passes, F.struct(
+    # min over (closed, -day, relation id, holder): the struct order is the row choice.
+    ranked = F.when(passes, F.struct(
         F.col("retrieved_date").isNotNull().alias("closed"),
         (-F.unix_date("retrieved_date")).alias("neg_day"),
-        F.col("rel_id")))
+        F.col("rel_id"), F.col("e_id"), F.col("e_name")))
     return joined.groupBy("asset_id").agg(
-        F.min_by(F.struct("e_id", "e_name"), order_key).alias("holder"),
-        F.count_if(passes).alias("n_visible"))
+        F.min(ranked).alias("holder"), F.count_if(passes).alias("n_visible"))
 
 
 def asset_list_rows(t: Tables, flt: ListFilter, as_of: dt.datetime) -> DataFrame:
