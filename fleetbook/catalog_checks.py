@@ -15,7 +15,7 @@ from fleetbook.operators import asset_writes as aw
 from fleetbook.operators import validate as v
 from fleetbook.operators.quality import integrity_report
 from fleetbook.plans.session import ensure_checkpoint_dir
-from fleetbook.sources.fixtures import build_tables, duckdb_ctes, read_source
+from fleetbook.sources.fixtures import duckdb_ctes, read_source, shared_tables
 from fleetbook.sources.requests import write_requests
 from fleetbook.sources.tables import load_tables, write_snapshot
 from fleetbook.streaming.login_stream import login_policy_stream, read_attempt_stream
@@ -23,7 +23,7 @@ from fleetbook.streaming.request_stream import apply_request_stream, current_tab
 
 
 def T(spark, sf):
-    return build_tables(spark, sf)
+    return shared_tables(spark, sf)
 
 
 # --------------------------------------------------------------------------- Q1

@@ -15,7 +15,7 @@ from fleetbook.catalog_reads import ORACLE, QUERIES
 from fleetbook.operators import asset_writes as aw
 from fleetbook.operators import login as lg
 from fleetbook.operators import people_writes as pw
-from fleetbook.sources.fixtures import build_tables, duckdb_ctes
+from fleetbook.sources.fixtures import duckdb_ctes, shared_tables
 
 COMPANY_DOMAIN = "example.com"
 REQ_TS = "cast(date '1997-06-15' + cast({s} % 50 as int) as timestamp)"
@@ -81,7 +81,7 @@ def _ctes(needs, extra: dict[str, str]) -> str:
 
 
 def T(spark, sf):
-    return build_tables(spark, sf)
+    return shared_tables(spark, sf)
 
 
 def reg(name, fn, sql):

@@ -96,9 +96,10 @@ def read_requests(spark: SparkSession, path: str, op: str) -> tuple[DataFrame, D
     PERMISSIVE mode keeps bad lines as ``_corrupt_record``; they are returned separately so
     the caller can report them as rejects instead of failing the whole batch.
     """
-    raw = (spark.read.schema(json_schema(op)).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    df = from_json_names(raw, op)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", json_schema(op), {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
+    df = from_json_names(parsed, op)
     good = df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     bad = df.filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
     return good, bad
