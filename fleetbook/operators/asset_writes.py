@@ -9,14 +9,14 @@ false) where the stored statement would write it.  Every operator returns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetbook.operators.assets import open_counts_by_asset
 from fleetbook.operators.validate import (asset_create_errors, asset_update_errors, delete_errors,
                                           error_message, reassign_errors)
-from fleetbook.plans.batch import (ZERO_DATE, Changes, matched_update, new_id, split_by_reason,
-                                   winners)
+from fleetbook.plans.batch import (ZERO_DATE, Changes, chain_next, matched_update, new_id,
+                                   split_by_reason, winners)
 from fleetbook.sources.schemas import SPEC_COLUMNS, table_schema
 from fleetbook.sources.tables import SPEC_ATTR, Tables, conform
 
@@ -213,9 +213,7 @@ def reassign_assets(t: Tables, requests: DataFrame) -> Changes:
          "archived_at": F.col("r_req_ts")},
         guard=t.relation["archived_at"].isNull())
     # Requests of one asset are applied in seq order: each closes its predecessor's relation.
-    w = Window.partitionBy("asset_id").orderBy("seq")
-    nxt = F.lead(F.struct("retrieved_date", "retrieval_reason", "req_ts")).over(w)
-    chained = ok.withColumn("__next", nxt)
+    chained = chain_next(ok, "asset_id", "seq", ["retrieved_date", "retrieval_reason", "req_ts"])
     new_rows = _new_relations(chained, "reassign", _id_type(t), F.col("parsed_assigned_date"), {
         "retrieved_date": F.col("__next.retrieved_date").cast("date"),
         "retrieval_reason": F.col("__next.retrieval_reason"),

@@ -15,8 +15,8 @@ from fleetbook.functions.text import hash_text
 from fleetbook.operators.employees import open_counts_by_employee
 from fleetbook.operators.validate import (employee_errors, employee_status_bad, error_message,
                                           user_errors, user_type_bad)
-from fleetbook.plans.batch import (Changes, earlier_claims, matched_update, new_id,
-                                   split_by_reason, winners)
+from fleetbook.plans.batch import (Changes, claims_table, matched_update, new_id, split_by_reason,
+                                   winners, with_claim_flag, with_taken_flag)
 from fleetbook.sources.tables import Tables, conform
 
 
@@ -28,19 +28,6 @@ def _empty_rejects(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], "seq long, reason string")
 
 
-def _stored_collision(req: DataFrame, table: DataFrame, value: str, owner: str | None,
-                      live_only: bool) -> DataFrame:
-    """``req`` plus ``__taken_<value>``: another stored row already holds the value."""
-    src = table.filter(F.col("archived_at").isNull()) if live_only else table
-    holders = src.select(F.col(value).alias("__hv"), F.col("id").alias("__hid"))
-    cond = req[value] == holders["__hv"]
-    if owner is not None:
-        cond = cond & (req[owner] != holders["__hid"])
-    taken = req.join(holders, cond, "left_semi").select("seq").withColumn(f"__taken_{value}", F.lit(True))
-    return (req.join(taken, "seq", "left")
-            .withColumn(f"__taken_{value}", F.coalesce(F.col(f"__taken_{value}"), F.lit(False))))
-
-
 def _open_guard(t: Tables, req: DataFrame, emp_col: str, applies=None):
     counts = open_counts_by_employee(t, req.select(emp_col)).withColumnRenamed("employee_id", "__gid")
     j = req.join(counts, req[emp_col] == counts["__gid"], "left")
@@ -82,9 +69,9 @@ def update_employees(t: Tables, requests: DataFrame) -> Changes:
     ok, rej1 = split_by_reason(requests, reason)
     j, busy = _open_guard(t, ok, "id", F.col("status") == "not_an_employee")
     ok, rej2 = split_by_reason(j, F.when(busy, F.lit("asset is assigned to this employee")))
-    ok = _clean(ok)
-    ok = earlier_claims(_stored_collision(ok, t.employee, "email", "id", live_only=False),
-                        "email", "id")
+    base = _clean(ok)
+    ok = with_taken_flag(base, t.employee, "email", "id", live_only=False)
+    ok = with_claim_flag(ok, claims_table(base, "email", "id"), "email", "id")
     ok, rej3 = split_by_reason(ok, F.when(F.col("__taken_email") | F.col("__claimed_email"),
                                           F.lit("email already used")))
     w = winners(_clean(ok).select("seq", "id", "name", "email", "phone_no", "status", "type",
@@ -123,15 +110,15 @@ def register_users(t: Tables, requests: DataFrame) -> Changes:
     bcrypt is not reproduced).
     """
     ok, rej1 = split_by_reason(requests, _vreason(user_errors()))
-    live = t.users.filter(F.col("archived_at").isNull()).select(
-        F.col("email").alias("__xe"), F.col("phone_no").alias("__xp"))
-    exists = ok.join(live, (ok["email"] == live["__xe"]) & (ok["phone_no"] == live["__xp"]),
-                     "left_semi").select("seq").withColumn("__exists", F.lit(True))
-    ok = ok.join(exists, "seq", "left")
-    ok = _stored_collision(ok, t.users, "email", None, live_only=False)
-    ok = _stored_collision(ok, t.users, "phone_no", None, live_only=True)
-    ok = earlier_claims(earlier_claims(ok, "email", "seq"), "phone_no", "seq")
-    reason = (F.when(F.col("__exists").isNotNull(), F.lit("user already exists"))
+    base = ok
+    live = (t.users.filter(F.col("archived_at").isNull())
+            .select(F.col("email").alias("__xe"), F.col("phone_no").alias("__xp")).distinct())
+    ok = base.join(live, (base["email"] == live["__xe"]) & (base["phone_no"] == live["__xp"]), "left")
+    ok = with_taken_flag(ok, t.users, "email", None, live_only=False)
+    ok = with_taken_flag(ok, t.users, "phone_no", None, live_only=True)
+    ok = with_claim_flag(ok, claims_table(base, "email", "seq"), "email", "seq")
+    ok = with_claim_flag(ok, claims_table(base, "phone_no", "seq"), "phone_no", "seq")
+    reason = (F.when(F.col("__xe").isNotNull(), F.lit("user already exists"))
               .when(F.col("__taken_email") | F.col("__claimed_email"), F.lit("email already used"))
               .when(F.col("__taken_phone_no") | F.col("__claimed_phone_no"), F.lit("phone already used")))
     ok, rej2 = split_by_reason(ok, reason)
@@ -148,10 +135,11 @@ def update_users(t: Tables, requests: DataFrame) -> Changes:
     """Live user rows take the last accepted request's name, e-mail, phone, password hash
     and ``updated_at``.  Rejected: validation, an e-mail of another user, a phone of another
     live user, or a value claimed earlier in the batch for another user."""
-    ok, rej1 = split_by_reason(requests, _vreason(user_errors()))
-    ok = _stored_collision(ok, t.users, "email", "id", live_only=False)
-    ok = _stored_collision(ok, t.users, "phone_no", "id", live_only=True)
-    ok = earlier_claims(earlier_claims(ok, "email", "id"), "phone_no", "id")
+    base, rej1 = split_by_reason(requests, _vreason(user_errors()))
+    ok = with_taken_flag(base, t.users, "email", "id", live_only=False)
+    ok = with_taken_flag(ok, t.users, "phone_no", "id", live_only=True)
+    ok = with_claim_flag(ok, claims_table(base, "email", "id"), "email", "id")
+    ok = with_claim_flag(ok, claims_table(base, "phone_no", "id"), "phone_no", "id")
     reason = (F.when(F.col("__taken_email") | F.col("__claimed_email"), F.lit("email already used"))
               .when(F.col("__taken_phone_no") | F.col("__claimed_phone_no"), F.lit("phone already used")))
     ok, rej2 = split_by_reason(ok, reason)

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,26 +105,77 @@ def split_by_reason(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame
     return ok, bad
 
 
-def earlier_claims(requests: DataFrame, value: str, owner: str, seq: str = "seq") -> DataFrame:
-    """Per request, whether an *earlier* request of another owner claims the same value.
+def claims_table(base: DataFrame, value: str, owner: str, seq: str = "seq") -> DataFrame:
+    """Per value of a unique column: the two earliest claiming owners of the batch.
 
-    Used for unique columns (email, phone): ``owner`` is the row being written (the target id,
-    or ``seq`` itself for inserts).  Computed with partial aggregates only: first seq per
-    (value, owner), then the two earliest owners per value, so a value shared by a large share
-    of the batch is reduced map-side instead of ranked in one window partition.
-    Returns ``requests`` plus a boolean ``__claimed_<value>``.
+    ``owner`` is the row being written (the target id, or ``seq`` itself for inserts).
+    Built with partial aggregates only (first seq per (value, owner), then the earliest and
+    the second-earliest owner per value), so a value claimed by a large share of the batch is
+    reduced map-side.  Columns: ``__v``, ``__e1_seq``, ``__e1_owner``, ``__e2_seq``.
     """
-    flag = f"__claimed_{value}"
-    firsts = (requests.filter(F.col(value).isNotNull())
-              .groupBy(value, owner).agg(F.min(seq).alias("__first_seq")))
-    best = firsts.groupBy(value).agg(
-        F.min_by(F.struct(F.col("__first_seq").alias("s"), F.col(owner).alias("o")),
-                 F.col("__first_seq")).alias("__e1"))
-    second = (firsts.join(best, value)
-              .filter(F.col(owner) != F.col("__e1.o"))
-              .groupBy(value).agg(F.min("__first_seq").alias("__e2_seq")))
-    per_value = best.join(second, value, "left").withColumnRenamed(value, "__v")
-    j = requests.join(per_value, requests[value] == per_value["__v"], "left")
-    claimed = F.when(F.col("__e1.o") != F.col(owner), F.col("__e1.s") < F.col(seq)).otherwise(
-        F.coalesce(F.col("__e2_seq") < F.col(seq), F.lit(False)))
-    return j.withColumn(flag, F.coalesce(claimed, F.lit(False))).drop("__v", "__e1", "__e2_seq")
+    firsts = (base.filter(F.col(value).isNotNull())
+              .groupBy(F.col(value).alias("__v"), F.col(owner).alias("__o"))
+              .agg(F.min(seq).alias("__s")))
+    best = firsts.groupBy("__v").agg(
+        F.min_by(F.struct(F.col("__s").alias("s"), F.col("__o").alias("o")), F.col("__s")).alias("__e1"))
+    second = (firsts.join(best, "__v").filter(F.col("__o") != F.col("__e1.o"))
+              .groupBy("__v").agg(F.min("__s").alias("__e2_seq")))
+    return (best.join(second, "__v", "left")
+            .select("__v", F.col("__e1.s").alias("__e1_seq"), F.col("__e1.o").alias("__e1_owner"),
+                    "__e2_seq"))
+
+
+def with_claim_flag(df: DataFrame, claims: DataFrame, value: str, owner: str,
+                    seq: str = "seq") -> DataFrame:
+    """``df`` plus ``__claimed_<value>``: an earlier request of another owner claims the value."""
+    c = claims.select(*[F.col(x).alias(f"{x}_{value}") for x in claims.columns])
+    j = df.join(c, df[value] == c[f"__v_{value}"], "left")
+    e1s, e1o, e2s = (F.col(f"{x}_{value}") for x in ("__e1_seq", "__e1_owner", "__e2_seq"))
+    claimed = F.when(e1o != F.col(owner), e1s < F.col(seq)).otherwise(F.coalesce(e2s < F.col(seq), F.lit(False)))
+    return (j.withColumn(f"__claimed_{value}", F.coalesce(claimed, F.lit(False)))
+            .drop(*[f"{x}_{value}" for x in claims.columns]))
+
+
+def with_taken_flag(df: DataFrame, table: DataFrame, value: str, owner: str | None,
+                    live_only: bool) -> DataFrame:
+    """``df`` plus ``__taken_<value>``: a stored row other than ``owner`` holds the value.
+
+    The stored holders are reduced to one row per value (count, smallest and largest id)
+    first, so the request side is joined once to a table keyed by value.
+    """
+    src = table.filter(F.col("archived_at").isNull()) if live_only else table
+    holders = (src.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias(f"__hv_{value}"))
+               .agg(F.count(F.lit(1)).alias(f"__hn_{value}"), F.min("id").alias(f"__hmin_{value}"),
+                    F.max("id").alias(f"__hmax_{value}")))
+    j = df.join(holders, df[value] == holders[f"__hv_{value}"], "left")
+    n, lo = F.col(f"__hn_{value}"), F.col(f"__hmin_{value}")
+    if owner is None:
+        taken = n.isNotNull()
+    else:
+        taken = (n > 1) | ((n == 1) & (lo != F.col(owner)))
+    return (j.withColumn(f"__taken_{value}", F.coalesce(taken, F.lit(False)))
+            .drop(f"__hv_{value}", f"__hn_{value}", f"__hmin_{value}", f"__hmax_{value}"))
+
+
+def chain_next(df: DataFrame, key: str, order: str, payload: list[str], width: int = 1 << 16,
+               name: str = "__next") -> DataFrame:
+    """``df`` plus ``name`` = the payload struct of the next row (by ``order``) with the same
+    ``key``; NULL for the last row of a key.  Same as ``lead`` over ``partitionBy(key)``.
+
+    A key holding a large share of the rows would put its whole run in one window partition.
+    Here the window runs per (key, order // width) bucket, so a group holds at most ``width``
+    consecutive order values; the last row of each bucket takes the first row of the key's
+    next non-empty bucket, found by a second ``lead`` over the bucket heads (``width`` times
+    fewer rows).  ``order`` must be unique within a key.
+    """
+    bucket = F.floor(F.col(order) / F.lit(width)).cast("long")
+    body = F.struct(*[F.col(c) for c in payload])
+    b = df.withColumn("__bucket", bucket)
+    inner = b.withColumn(name, F.lead(body).over(Window.partitionBy(key, "__bucket").orderBy(order)))
+    heads = (b.groupBy(key, "__bucket")
+             .agg(F.min_by(body, F.col(order)).alias("__head"))
+             .withColumn("__next_head", F.lead("__head").over(Window.partitionBy(key).orderBy("__bucket")))
+             .select(F.col(key).alias("__hk"), F.col("__bucket").alias("__hb"), "__next_head"))
+    j = inner.join(heads, (inner[key] == heads["__hk"]) & (inner["__bucket"] == heads["__hb"]), "left")
+    return (j.withColumn(name, F.coalesce(F.col(name), F.col("__next_head")))
+            .drop("__bucket", "__hk", "__hb", "__next_head"))

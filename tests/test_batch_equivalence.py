@@ -227,3 +227,17 @@ def test_login_policy_equals_sequential(spark):
     assert dict(rows(ch.tables["login_outcomes"], "seq", "outcome")) == want_out
     got_state = {r[0]: r[1:] for r in rows(ch.tables["users"], "id", "type", "status", "authentication_times")}
     assert got_state == want_state
+
+
+def test_chain_next_equals_lead_across_buckets(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from fleetbook.plans.batch import chain_next
+    rng = random.Random(23)
+    data = [(rng.randint(1, 4), seq, f"p{seq}") for seq in rng.sample(range(1, 400), 150)]
+    df = spark.createDataFrame(data, "k long, seq long, p string")
+    want = df.withColumn("n", F.lead(F.struct("p")).over(Window.partitionBy("k").orderBy("seq")))
+    for width in (1, 3, 50, 1 << 20):
+        got = chain_next(df, "k", "seq", ["p"], width=width, name="n")
+        assert rows(got, "k", "seq", "n") == rows(want, "k", "seq", "n")
