@@ -528,3 +528,84 @@ reg("w16_login_sessions", lambda s, sf: _login(s, sf, "sessions"),
     _login_cte(["users", "sessions"])
     + "select user_id, start_time, end_time from sessions union all "
     "select user_id, ts, cast(null as timestamp) from outc where outcome = 'session'")
+
+# --------------------------------------------------------------------------- oracles for rejects
+
+_USER_RULES = [
+    ("Name", "coalesce(name, '') = ''"),
+    ("Email", "(coalesce(email, '') = '' or not regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$'))"),
+    ("PhoneNo", "(coalesce(phone_no, '') = '' or length(phone_no) <> 10 "
+                "or not regexp_matches(phone_no, '^[-+]?[0-9]+(\\.[0-9]+)?$'))"),
+    ("Password", "(coalesce(password, '') = '' or length(password) < 6)"),
+]
+_EMP_RULES = [
+    ("Name", "coalesce(name, '') = ''"),
+    ("Type", "(coalesce(type, '') = '' or type not in ('employee', 'intern', 'freelancer'))"),
+    ("Email", _USER_RULES[1][1]), ("PhoneNo", _USER_RULES[2][1]),
+]
+
+
+def _last_invalid(rules) -> str:
+    """'Invalid <last failing field>' (NULL when valid), as the validation message."""
+    return "case " + " ".join(f"when {p} then 'Invalid {n}'" for n, p in reversed(rules)) + " end"
+
+
+_W12_FLAGS = (
+    f", checked as (select *, {_last_invalid(_USER_RULES)} as invalid from req)"
+    ", valid as (select * from checked where invalid is null)"
+    ", flags as (select v.*, "
+    "exists (select 1 from users u where u.archived_at is null and u.email = v.email "
+    "and u.phone_no = v.phone_no) as ex, "
+    "exists (select 1 from users u where u.email = v.email) "
+    "or exists (select 1 from valid q where q.email = v.email and q.seq < v.seq) as e_used, "
+    "exists (select 1 from users u where u.archived_at is null and u.phone_no = v.phone_no) "
+    "or exists (select 1 from valid q where q.phone_no = v.phone_no and q.seq < v.seq) as p_used "
+    "from valid v)\n")
+ORACLE["w12_register_users"] = (
+    _ctes(["users"], {"req": _bind(REGISTER_USER_REQ)}) + _W12_FLAGS
+    + "select " + ", ".join(f"{_base('users', c)} as {c}" for c in USER_COLS if c != "password")
+    + " from users t union all select name, email, phone_no, 'authorized', 0, 'white_listed', "
+    "cast(null as string), cast(null as timestamp), req_ts, cast(null as timestamp) "
+    "from flags where not (ex or e_used or p_used)")
+ORACLE["w12_register_rejects"] = (
+    _ctes(["users"], {"req": _bind(REGISTER_USER_REQ)}) + _W12_FLAGS
+    + "select seq, invalid as reason from checked where invalid is not null union all "
+    "select seq, case when ex then 'user already exists' when e_used then 'email already used' "
+    "else 'phone already used' end from flags where ex or e_used or p_used")
+
+_W10_STEPS = (
+    f", checked as (select *, coalesce({_last_invalid(_EMP_RULES)}, case when status is null or status not in "
+    "('active', 'deleted', 'not_an_employee') then 'Invalid Status' end) as invalid from req)"
+    ", valid as (select * from checked where invalid is null)"
+    ", guarded as (select *, status = 'not_an_employee' and exists (select 1 from employee_asset_relation x "
+    "where x.employee_id = v.id and x.retrieved_date is null and x.archived_at is null) as busy from valid v)"
+    ", passed as (select * from guarded where not busy)"
+    ", flags as (select p.*, exists (select 1 from employee e where e.email = p.email and e.id <> p.id) "
+    "or exists (select 1 from passed q where q.email = p.email and q.id <> p.id and q.seq < p.seq) "
+    "as used from passed p)\n")
+ORACLE["w10_update_rejects"] = (
+    _ctes(["employee", "employee_asset_relation"], {"req": _bind(UPDATE_EMP_REQ)}) + _W10_STEPS
+    + "select seq, invalid as reason from checked where invalid is not null union all "
+    "select seq, 'asset is assigned to this employee' from guarded where busy union all "
+    "select seq, 'email already used' from flags where used")
+
+# --------------------------------------------------------------------------- W8
+
+AVAILABILITY_REQ = """
+select id as seq, id as asset_id, warranty_expiry_date >= date '1997-06-15' as available
+from {assets} where asset_type in ('mouse', 'sim')
+union all
+select id + 100000000, id, false from {assets} where asset_type = 'sim' and id % 4 = 1"""
+
+
+def _w08(spark, sf):
+    t = T(spark, sf)
+    return aw.set_availability(t.assets, _req(spark, t, AVAILABILITY_REQ)).select(*ASSET_COLS)
+
+
+reg("w08_set_availability", _w08,
+    _ctes(["assets"], {"req": _bind(AVAILABILITY_REQ)})
+    + oracle_update("assets", ASSET_COLS, "select * from req", [("id", "asset_id")],
+                    {"is_available": "w.available",
+                     "status": "case when w.available then 'available' else 'assigned' end"},
+                    "t.archived_at is null"))
