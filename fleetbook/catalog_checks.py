@@ -10,6 +10,7 @@ from fleetbook.catalog_reads import ORACLE, QUERIES, URL_SQL
 from fleetbook.catalog_writes import (ATTEMPT_SQL, COMPANY_DOMAIN, DELETE_REQ, REASSIGN_REQ,
                                       REGISTER_REQ, REGISTER_USER_REQ, REL_COLS, UPSERT_REQ,
                                       _bind, _ctes, _req)
+from fleetbook.functions.filters import query_param
 from fleetbook.functions.predicates import to_flag
 from fleetbook.operators import asset_writes as aw
 from fleetbook.operators import validate as v
@@ -142,7 +143,7 @@ ORACLE["v03_validate_delete_requests"] = _oracle_validation(DELETE_REQ, ["assets
 
 def _f02(spark, sf):
     pages = read_source(spark, sf, "pages").selectExpr("page_id", f"{URL_SQL} as request_url")
-    raw = F.try_parse_url(F.col("request_url"), F.lit("QUERY"), F.lit("available"))
+    raw = query_param(F.col("request_url"), "available")
     return pages.select("page_id", to_flag(raw).alias("available"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from urllib.parse import parse_qsl
+from urllib.parse import unquote_plus
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ BOOL_TRUE = ("1", "t", "T", "TRUE", "true", "True")
 BOOL_FALSE = ("0", "f", "F", "FALSE", "false", "False")
 
 _INT_RE = r"^[+-]?[0-9]+$"
+_BAD_ESCAPE = re.compile(r"%(?![0-9A-Fa-f]{2})")
 INT32_MIN, INT32_MAX = -(2 ** 31), 2 ** 31 - 1
 
 
@@ -50,8 +51,13 @@ class ListFilter:
     def from_query(query: str) -> "ListFilter":
         """Parse one query string the way the list endpoints do (first value of a key wins)."""
         values: dict[str, str] = {}
-        for k, v in parse_qsl(query, keep_blank_values=True):
-            values.setdefault(k, v)
+        for pair in query.split("&"):
+            if not pair:
+                continue
+            k, _, v = pair.partition("=")
+            if _BAD_ESCAPE.search(k) or _BAD_ESCAPE.search(v):
+                continue  # a pair with a malformed escape is dropped; the others still count
+            values.setdefault(unquote_plus(k), unquote_plus(v))
         get = lambda k: values.get(k, "")
 
         def to_int(key: str, default: int) -> int:
@@ -82,10 +88,20 @@ class ListFilter:
         )
 
 
-def _param(url: Column, key: str) -> Column:
+def _raw_query(url: Column) -> Column:
+    """Text between the first '?' and the fragment ('' when there is none).
+
+    Taken with a pattern rather than a URI parser, so one malformed escape elsewhere in the
+    URL does not drop the whole query.
+    """
+    return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+
+
+def query_param(url: Column, key: str) -> Column:
     """First value of ``key`` in the URL's query, decoded; '' when absent or malformed."""
-    raw = F.try_parse_url(url, F.lit("QUERY"), F.lit(key))
-    return F.coalesce(F.try_url_decode(raw), F.lit(""))
+    raw = F.regexp_extract(_raw_query(url), f"(^|&){re.escape(key)}=([^&]*)", 2)
+    found = _raw_query(url).rlike(f"(^|&){re.escape(key)}=")
+    return F.when(found, F.coalesce(F.try_url_decode(raw), F.lit(""))).otherwise(F.lit(""))
 
 
 def _int_or_null(raw: Column) -> Column:
@@ -101,7 +117,7 @@ def parse_filters(df: DataFrame, url_col: str = "url") -> DataFrame:
     asset_types (array), warranty, is_expired, filter_error (first failing parameter, or NULL).
     """
     url = F.col(url_col)
-    p = {k: _param(url, k) for k in ("name", "limit", "page", "pagination", "available",
+    p = {k: query_param(url, k) for k in ("name", "limit", "page", "pagination", "available",
                                      "assigned", "deleted", "notAnEmployee", "assetType",
                                      "warranty")}
     limit_i, page_i, warranty_i = (_int_or_null(p[k]) for k in ("limit", "page", "warranty"))
