@@ -14,8 +14,8 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -25,7 +25,7 @@ from fleetbook.catalog_writes import (ATTEMPT_SQL, COMPANY_DOMAIN, REASSIGN_REQ,
                                       _req)
 from fleetbook.functions.filters import ListFilter  # noqa: E402
 from fleetbook.operators import access, asset_writes, assets, dashboard, employees, login  # noqa: E402
-from fleetbook.plans.session import local_session  # noqa: E402
+from fleetbook.plans.session import ensure_checkpoint_dir, local_session  # noqa: E402
 from fleetbook.sources.fixtures import AS_OF, materialize, read_source  # noqa: E402
 
 
@@ -60,7 +60,8 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "5"))
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", "16")),
                           app="fleetbook-bench")
-    scratch = tempfile.mkdtemp(prefix="fleetbook-bench-", dir=os.environ.get("TMPDIR", "/tmp"))
+    # scratch under the shared checkpoint folder (set by the session; on a cluster: shared storage)
+    scratch = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex}"
     t0 = time.perf_counter()
     t = materialize(spark, sf_dir, f"{scratch}/tables")
     fixture_sec = time.perf_counter() - t0

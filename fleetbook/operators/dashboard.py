@@ -61,5 +61,19 @@ def type_counts(t: Tables, scope: str = "total") -> DataFrame:
 
 
 def dashboard(t: Tables, scope: str = "total") -> DataFrame:
-    """R11 then R12 as one row of nine columns (two one-row aggregates, 1x1 join)."""
-    return fleet_totals(t).crossJoin(type_counts(t, scope))
+    """R11 then R12 as one row of nine columns (one-row aggregates, 1x1 joins).
+
+    For the default 'total' scope the live-asset total and the six type counts come from one
+    pass over ``assets``.
+    """
+    if (scope or "total") != "total":
+        return fleet_totals(t).crossJoin(type_counts(t, scope))
+    a = _live(t.assets).agg(
+        F.count("id").alias("total_assets"),
+        *[F.count_if(F.col("asset_type") == k).alias(c) for k, c in TYPE_COLUMNS])
+    dist = (t.relation.filter(F.col("retrieved_date").isNull())
+            .agg(F.count("asset_id").alias("distributed_assets")))
+    return a.crossJoin(dist).select(
+        "total_assets", "distributed_assets",
+        (F.col("total_assets") - F.col("distributed_assets")).alias("available_assets"),
+        *[c for _, c in TYPE_COLUMNS])
