@@ -132,7 +132,7 @@ def shared_tables(spark: SparkSession, sf_dir: str) -> Tables:
     recomputes lost cached blocks from lineage, so an executor loss costs time, not results.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SHARED:
+    if key not in _SHARED or _SHARED[key].users.sparkSession is not spark:
         built = build_tables(spark, sf_dir)
         _SHARED[key] = Tables(**{a: df.persist(StorageLevel.MEMORY_AND_DISK)
                                  for a, df in built.__dict__.items()})
