@@ -29,9 +29,14 @@ from fleetbook.plans.session import ensure_checkpoint_dir, local_session  # noqa
 from fleetbook.sources.fixtures import AS_OF, materialize, read_source  # noqa: E402
 
 
-def headline(spark, t, sf_dir):
-    attempts = spark.sql(ATTEMPT_SQL, events=read_source(spark, sf_dir, "events"))
-    reassign = _req(spark, t, REASSIGN_REQ)
+def stored_requests(spark, t, sf_dir, scratch):
+    """Request batches as a deployment receives them: files, read back with their schema."""
+    spark.sql(ATTEMPT_SQL, events=read_source(spark, sf_dir, "events")).write.parquet(f"{scratch}/attempts")
+    _req(spark, t, REASSIGN_REQ).write.parquet(f"{scratch}/reassign")
+    return spark.read.parquet(f"{scratch}/attempts"), spark.read.parquet(f"{scratch}/reassign")
+
+
+def headline(spark, t, attempts, reassign):
     return {
         "R1_asset_list": lambda: assets.asset_list(t, ListFilter(limit=50, page=3), AS_OF),
         "R2_status_list": lambda: assets.asset_list_by_status(
@@ -68,7 +73,8 @@ def main() -> None:
     rows = {"employee_asset_relation": t.relation.count(), "assets": t.assets.count(),
             "employee": t.employee.count()}
     results = {}
-    for name, make in headline(spark, t, sf_dir).items():
+    attempts, reassign = stored_requests(spark, t, sf_dir, scratch)
+    for name, make in headline(spark, t, attempts, reassign).items():
         run_once(make)  # warm-up
         results[name] = round(statistics.median(run_once(make) for _ in range(runs)), 4)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")

@@ -179,3 +179,26 @@ def chain_next(df: DataFrame, key: str, order: str, payload: list[str], width: i
     j = inner.join(heads, (inner[key] == heads["__hk"]) & (inner["__bucket"] == heads["__hb"]), "left")
     return (j.withColumn(name, F.coalesce(F.col(name), F.col("__next_head")))
             .drop("__bucket", "__hk", "__hb", "__next_head"))
+
+
+def apply_in_order(tables, steps, cut_every: int = 1):
+    """Apply ``(operator, requests)`` steps in order, each on the tables left by the previous.
+
+    Returns ``(tables, rejects)`` with rejects tagged by ``step`` (1-based).  Every
+    ``cut_every`` steps the changed tables are checkpointed into the shared checkpoint folder
+    (reliable, survives executor loss), so a long pipeline does not grow one ever-deeper plan.
+    ``cut_every=0`` keeps everything lazy.
+    """
+    from fleetbook.plans.session import cut_lineage
+    from fleetbook.sources.tables import TABLE_TO_ATTR
+
+    rejects = None
+    for i, (operator, requests) in enumerate(steps, 1):
+        ch = operator(tables, requests)
+        changed = {TABLE_TO_ATTR[n]: df for n, df in ch.tables.items() if n in TABLE_TO_ATTR}
+        if cut_every and i % cut_every == 0:
+            changed = {a: cut_lineage(df) for a, df in changed.items()}
+        tables = tables.with_(**changed)
+        tagged = ch.rejects.withColumn("step", F.lit(i))
+        rejects = tagged if rejects is None else rejects.unionByName(tagged)
+    return tables, rejects

@@ -241,3 +241,31 @@ def test_chain_next_equals_lead_across_buckets(spark):
     for width in (1, 3, 50, 1 << 20):
         got = chain_next(df, "k", "seq", ["p"], width=width, name="n")
         assert rows(got, "k", "seq", "n") == rows(want, "k", "seq", "n")
+
+
+def test_apply_in_order_chains_operations(spark):
+    from fleetbook.plans.batch import apply_in_order
+    t = tables(spark, assets=[dict(id=1, brand="B", model="M", serial_no="S", asset_type="laptop",
+                                   purchased_date=D(1995, 1, 1), warranty_start_date=D(1995, 1, 1),
+                                   warranty_expiry_date=D(1999, 1, 1), status="available", is_available=True)],
+               employee=_emps(0, 2))
+    assign = spark.createDataFrame([(1, TS(1997, 1, 1), 9, 1, 1, D(1997, 1, 1))],
+                                   "seq long, req_ts timestamp, actor_id long, employee_id long, "
+                                   "asset_id long, assigned_date date")
+    retrieve = spark.createDataFrame([(2, 1, 1, D(1997, 2, 1), "done")],
+                                     "seq long, employee_id long, asset_id long, retrieved_date date, "
+                                     "retrieval_reason string")
+    delete = spark.createDataFrame([(3, TS(1997, 3, 1), 9, 1, "laptop", "old")],
+                                   "seq long, req_ts timestamp, actor_id long, id long, asset_type string, "
+                                   "delete_reason string")
+    out, rejects = apply_in_order(t, [(asset_writes.assign_assets, assign),
+                                      (asset_writes.retrieve_assets, retrieve),
+                                      (asset_writes.delete_assets, delete)])
+    assert rows(out.relation, "employee_id", "retrieved_date", "retrieval_reason") == [(1, D(1997, 2, 1), "done")]
+    assert rows(out.assets, "status", "archive_reason") == [("deleted", "old")]
+    assert rejects.count() == 0
+    # without the retrieve step the delete is rejected by the guard
+    out2, rejects2 = apply_in_order(t, [(asset_writes.assign_assets, assign),
+                                        (asset_writes.delete_assets, delete)], cut_every=0)
+    assert rows(rejects2, "seq", "reason", "step") == [(3, "asset is assigned", 2)]
+    assert rows(out2.assets, "status") == [("assigned",)]
