@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from fleetbook.functions.filters import ListFilter
 from fleetbook.functions.predicates import all_of, contains_ci, warranty_predicate
 from fleetbook.plans.joins import left_join_many
-from fleetbook.plans.paging import page_with_total
+from fleetbook.plans.paging import page_with_total, total_count
 from fleetbook.sources.schemas import SPEC_COLUMNS
 from fleetbook.sources.tables import Tables
 
+# Pages up to this many rows (offset + limit for the status list) are computed from broadcast
+# page ids; larger pages use the plans that join every asset.
+PAGE_BROADCAST_ROWS = 100_000
+
 LIST_COLUMNS = ["id", "brand", "model", "serial_no", "asset_type", "purchased_date", "status",
                 "warranty_expiry_date", "assigned_to_id", "name"]
 EXPORT_COLUMNS = LIST_COLUMNS[:8]
@@ -36,7 +40,7 @@ def _asset_filters(flt: ListFilter, as_of: dt.datetime) -> list[Column]:
 # --------------------------------------------------------------------------- R1
 
 
-def current_holders(t: Tables) -> DataFrame:
+def current_holders(t: Tables, only: DataFrame | None = None) -> DataFrame:
     """Per asset with relations: the holder picked by the list, and how many rows survive.
 
     Row choice = open relation first, then the latest retrieved date, then the lowest relation
@@ -46,6 +50,10 @@ def current_holders(t: Tables) -> DataFrame:
     """
     rel = t.relation.select(F.col("id").alias("rel_id"), "asset_id", "employee_id",
                             "retrieved_date")
+    if only is not None:
+        # ``only`` is a page of asset ids (at most PAGE_BROADCAST_ROWS rows): broadcast it
+        rel = rel.join(F.broadcast(only.select(F.col("id").alias("__only"))),
+                       F.col("asset_id") == F.col("__only"), "left_semi")
     emp = t.employee.select(F.col("id").alias("e_id"), F.col("name").alias("e_name"),
                             F.col("archived_at").alias("e_archived_at"))
     joined = rel.join(emp, rel["employee_id"] == emp["e_id"], "left")
@@ -74,10 +82,42 @@ def asset_list_rows(t: Tables, flt: ListFilter, as_of: dt.datetime) -> DataFrame
         F.when(held, F.col("holder.e_name")).otherwise(F.lit("")).alias("name"))
 
 
+def visibility(t: Tables) -> DataFrame:
+    """Per asset with relations: how many, and how many point at a non-archived employee."""
+    rel = t.relation.select("asset_id", "employee_id")
+    emp = t.employee.select(F.col("id").alias("e_id"), F.col("archived_at").alias("e_archived_at"))
+    return (rel.join(emp, rel["employee_id"] == emp["e_id"], "left")
+            .groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_rel"),
+                                     F.count_if(F.col("e_archived_at").isNull()).alias("n_visible")))
+
+
 def asset_list(t: Tables, flt: ListFilter, as_of: dt.datetime) -> DataFrame:
-    """Page of live assets with their current holder and the total (``pagination`` ignored)."""
-    rows = asset_list_rows(t, flt, as_of)
-    return page_with_total(rows, ["id"], flt.limit, flt.page, LIST_COLUMNS)
+    """Page of live assets with their current holder and the total (``pagination`` ignored).
+
+    Which assets are listed (and the total) needs only per-asset counts (a hash aggregate).
+    The holder is then computed for the page's assets alone: at most ``limit`` ids, broadcast
+    to the relation scan.  A page larger than ``PAGE_BROADCAST_ROWS`` takes the plan that
+    computes every asset's holder instead.
+    """
+    if flt.limit < 0 or flt.page < 0:
+        raise ValueError("LIMIT and OFFSET must not be negative")
+    if flt.limit > PAGE_BROADCAST_ROWS:
+        return page_with_total(asset_list_rows(t, flt, as_of), ["id"], flt.limit, flt.page,
+                               LIST_COLUMNS)
+    a = t.assets.filter(all_of([F.col("archived_at").isNull(), *_asset_filters(flt, as_of)]))
+    v = visibility(t)
+    listed = (a.join(v, a["id"] == v["asset_id"], "left")
+              .filter(F.col("asset_id").isNull() | (F.col("n_visible") > 0))
+              .select("id", "brand", "model", "serial_no", "asset_type", "purchased_date", "status",
+                      "warranty_expiry_date", "is_available"))
+    page = listed.orderBy("id").offset(flt.offset).limit(flt.limit)
+    h = current_holders(t, only=page)
+    held = F.col("is_available") == F.lit(False)
+    out = page.join(h, page["id"] == h["asset_id"], "left").select(
+        *EXPORT_COLUMNS,
+        F.when(held, F.col("holder.e_id")).alias("assigned_to_id"),
+        F.when(held, F.col("holder.e_name")).otherwise(F.lit("")).alias("name"))
+    return out.crossJoin(F.broadcast(total_count(listed))).select("total_count", *LIST_COLUMNS)
 
 
 # --------------------------------------------------------------------------- R2, R3
@@ -131,10 +171,30 @@ def asset_list_by_status(t: Tables, flt: ListFilter, as_of: dt.datetime,
     Paged: ordered by asset id then relation id (the stored query orders by id only; the
     relation id makes pages deterministic).  Unpaged: 8 columns, no order, no limit.
     """
-    rows = asset_status_rows(t, flt, as_of, strict)
     if not flt.pagination:
-        return rows.select(*EXPORT_COLUMNS)
-    return page_with_total(rows, ["id", "rel_id"], flt.limit, flt.page, LIST_COLUMNS)
+        return asset_status_rows(t, flt, as_of, strict).select(*EXPORT_COLUMNS)
+    if flt.limit < 0 or flt.page < 0:
+        raise ValueError("LIMIT and OFFSET must not be negative")
+    reach = flt.offset + flt.limit
+    if reach > PAGE_BROADCAST_ROWS:
+        rows = asset_status_rows(t, flt, as_of, strict)
+        return page_with_total(rows, ["id", "rel_id"], flt.limit, flt.page, LIST_COLUMNS)
+    a = t.assets.filter(status_predicate(flt, as_of, strict))
+    # total = join rows = per listed asset max(1, its relations): per-asset counts only
+    per_asset = t.relation.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_rel"))
+    total = (a.select("id").join(per_asset, F.col("id") == F.col("asset_id"), "left")
+             .agg(F.coalesce(F.sum(F.coalesce("n_rel", F.lit(1))), F.lit(0)).cast("bigint")
+                  .alias("total_count")))
+    # every asset yields at least one row, so the first ``reach`` rows come from the first
+    # ``reach`` assets: at most ``reach`` ids, broadcast to the relation scan
+    first = a.select("id").orderBy("id").limit(reach)
+    rel = t.relation.join(F.broadcast(first.select(F.col("id").alias("__f"))),
+                          F.col("asset_id") == F.col("__f"), "left_semi")
+    cand = a.join(F.broadcast(first.select(F.col("id").alias("__f"))), F.col("id") == F.col("__f"),
+                  "left_semi")
+    rows = asset_status_rows(t.with_(assets=cand, relation=rel), flt, as_of, strict)
+    page = rows.orderBy("id", "rel_id").offset(flt.offset).limit(flt.limit)
+    return page.crossJoin(F.broadcast(total)).select("total_count", *LIST_COLUMNS)
 
 
 def asset_export(t: Tables, flt: ListFilter, as_of: dt.datetime, strict: bool = False) -> DataFrame:

@@ -363,3 +363,17 @@ def test_w16_login_policy(spark):
     assert state[2] == ("authorized", "white_listed", 0)
     assert state[3] == ("blocked", "black_listed", 5)
     assert ch.tables["sessions"].count() == 1
+
+
+@pytest.mark.parametrize("flt", [ListFilter(limit=7, page=3), ListFilter(asset_types=("laptop", "sim"), limit=4),
+                                 ListFilter(warranty=0, is_expired=True, limit=6, page=1)])
+def test_page_paths_agree(spark, small, monkeypatch, flt):
+    """The broadcast-page plans and the full-join fallbacks give the same pages and totals."""
+    status = ListFilter(**{**flt.__dict__, "available": True, "assigned": True})
+    fast = (rows(assets.asset_list(small, flt, AS_OF)),
+            rows(assets.asset_list_by_status(small, status, AS_OF)))
+    monkeypatch.setattr(assets, "PAGE_BROADCAST_ROWS", 0)
+    slow = (rows(assets.asset_list(small, flt, AS_OF)),
+            rows(assets.asset_list_by_status(small, status, AS_OF)))
+    assert fast == slow
+    assert len(fast[0]) > 0 and len(fast[1]) > 0
