@@ -81,8 +81,9 @@ def test_no_python_in_operator_plans(stored):
         assert "EvalPython" not in plan and "PythonUDF" not in plan
 
 
-def test_only_one_row_sides_are_broadcast_explicitly(stored):
-    # the page's total is the only explicit broadcast: a global aggregate (one row)
+def test_explicit_broadcasts_are_bounded(stored):
+    # explicit broadcasts: the one-row total and the page's ids (at most ``limit`` rows)
     df = assets.asset_list(stored, ListFilter(), AS_OF)
     logical = df._jdf.queryExecution().analyzed().toString()
-    assert logical.count("broadcast") <= 1
+    assert logical.count("broadcast") <= 2
+    assert assets.PAGE_BROADCAST_ROWS <= 100_000
