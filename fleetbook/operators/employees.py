@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from fleetbook.functions.filters import ListFilter
 from fleetbook.functions.predicates import contains_ci
-from fleetbook.operators.assets import asset_history, open_relations
-from fleetbook.plans.paging import page_with_total
+from fleetbook.operators.assets import PAGE_BROADCAST_ROWS, asset_history, open_relations
+from fleetbook.plans.paging import page_with_total, total_count
 from fleetbook.sources.tables import Tables
 
 EMPLOYEE_COLUMNS = ["id", "name", "email", "phone_no", "status", "type", "archived_at",
@@ -72,9 +72,28 @@ def employee_rows(t: Tables, flt: ListFilter, strict: bool = False) -> DataFrame
 
 
 def employee_list(t: Tables, flt: ListFilter, strict: bool = False) -> DataFrame:
-    """A page of employees with asset quantities and the total (ordered by id)."""
-    return page_with_total(employee_rows(t, flt, strict), ["id"], flt.limit, flt.page,
-                           LIST_COLUMNS)
+    """A page of employees with asset quantities and the total (ordered by id).
+
+    Without an asset-type filter the predicate reads employee columns only, so the listed
+    employees and the total come from the employee table alone, and relations are counted
+    just for the page's employees (at most ``limit`` ids, broadcast into the relation scan).
+    With a type filter, or a page above ``PAGE_BROADCAST_ROWS``, every employee's per-type
+    counts are computed first.
+    """
+    if flt.limit < 0 or flt.page < 0:
+        raise ValueError("LIMIT and OFFSET must not be negative")
+    if flt.asset_types or flt.limit > PAGE_BROADCAST_ROWS:
+        return page_with_total(employee_rows(t, flt, strict), ["id"], flt.limit, flt.page,
+                               LIST_COLUMNS)
+    listed = (t.employee.select(*EMPLOYEE_COLUMNS)
+              .filter(F.coalesce(employee_predicate(flt, strict), F.lit(False))))
+    page = listed.orderBy("id").offset(flt.offset).limit(flt.limit)
+    ids = F.broadcast(page.select(F.col("id").alias("__p")))
+    counts = (t.relation.join(ids, F.col("employee_id") == F.col("__p"), "left_semi")
+              .groupBy("employee_id").agg(F.count(F.lit(1)).alias("n")))
+    out = page.join(counts, page["id"] == counts["employee_id"], "left").select(
+        *EMPLOYEE_COLUMNS, F.coalesce("n", F.lit(0)).cast("bigint").alias("asset_quantity"))
+    return out.crossJoin(F.broadcast(total_count(listed))).select("total_count", *LIST_COLUMNS)
 
 
 def employee_detail(t: Tables, flt: ListFilter, employee_id: str = "",

@@ -377,3 +377,11 @@ def test_page_paths_agree(spark, small, monkeypatch, flt):
             rows(assets.asset_list_by_status(small, status, AS_OF)))
     assert fast == slow
     assert len(fast[0]) > 0 and len(fast[1]) > 0
+
+
+@pytest.mark.parametrize("flt", [ListFilter(limit=7, page=2), ListFilter(name="1", deleted=True, not_an_employee=True),
+                                 ListFilter(employee_id="16", name="zz", deleted=True)])
+def test_employee_page_paths_agree(small, monkeypatch, flt):
+    fast = rows(employees.employee_list(small, flt))
+    monkeypatch.setattr(employees, "PAGE_BROADCAST_ROWS", 0)
+    assert rows(employees.employee_list(small, flt)) == fast
