@@ -244,9 +244,14 @@ def asset_detail(t: Tables, asset_type: str, ids: DataFrame | None = None) -> Da
     base = _specs(t, asset_type, ids, first_flag=True)
     hist = assignee_history(t, ids).select(
         F.col("asset_id").alias("h_asset_id"), *[F.col(c).alias(f"h_{c}") for c in HISTORY_COLUMNS])
-    out = base.join(hist, (F.col("asset_id") == F.col("h_asset_id")) & F.col("__first"), "left")
-    return out.select("asset_id", *SPEC_COMMON, *SPEC_COLUMNS[asset_type],
-                      *[f"h_{c}" for c in HISTORY_COLUMNS])
+    cols = ["asset_id", *SPEC_COMMON, *SPEC_COLUMNS[asset_type], *[f"h_{c}" for c in HISTORY_COLUMNS]]
+    # first spec rows take the history (one row -> many: inner join + rows without history,
+    # so AQE can split an asset with a huge history); other spec rows carry NULL history
+    first = left_join_many(base.filter(F.col("__first")), hist, "asset_id", "h_asset_id")
+    rest = base.filter(~F.col("__first"))
+    for f in hist.schema.fields:
+        rest = rest.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return first.select(*cols).unionByName(rest.select(*cols))
 
 
 # --------------------------------------------------------------------------- R6

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetbook.functions.filters import ListFilter
 from fleetbook.functions.predicates import contains_ci
 from fleetbook.operators.assets import PAGE_BROADCAST_ROWS, asset_history, open_relations
+from fleetbook.plans.joins import left_join_many
 from fleetbook.plans.paging import page_with_total, total_count
 from fleetbook.sources.tables import Tables
 
@@ -115,7 +116,7 @@ def employee_detail(t: Tables, flt: ListFilter, employee_id: str = "",
         hist = asset_history(t, ids)
         h = hist.select(F.col("employee_id").alias("h_owner"),
                         *[F.col(c).alias(f"h_{c}") for c in hist_cols])
-        out = rows.join(h, F.col("id") == F.col("h_owner"), "left")
+        out = left_join_many(rows, h, "id", "h_owner")
         return out.select(*LIST_COLUMNS, *[f"h_{c}" for c in hist_cols])
     f = ListFilter(**{**flt.__dict__, "employee_id": employee_id})
     page = employee_list(t, f, strict=False)

@@ -385,3 +385,14 @@ def test_employee_page_paths_agree(small, monkeypatch, flt):
     fast = rows(employees.employee_list(small, flt))
     monkeypatch.setattr(employees, "PAGE_BROADCAST_ROWS", 0)
     assert rows(employees.employee_list(small, flt)) == fast
+
+
+def test_strict_employee_detail_all_ids(spark, small):
+    ids = small.employee.select("id")
+    out = employees.employee_detail(small, ListFilter(), ids=ids, strict=True)
+    listed = employees.employee_rows(small, ListFilter(), strict=True)
+    hist = assets.asset_history(small).join(listed.select(F.col("id").alias("e")),
+                                             F.col("employee_id") == F.col("e"), "left_semi")
+    with_hist = listed.join(hist.select("employee_id").distinct(), F.col("id") == F.col("employee_id"), "left_anti")
+    # one row per history entry of a listed employee, plus one row per listed employee without any
+    assert out.count() == hist.count() + with_hist.count()
