@@ -23,8 +23,10 @@ SESSION_CONF = {
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "fleetbook") -> SparkSession:
     """Local session for tests and the benchmark (a cluster brings its own session)."""
+    scratch = tempfile.mkdtemp(prefix="fleetbook-local-", dir=os.environ.get("TMPDIR", "/tmp"))
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+               .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
                .config("spark.driver.memory", "16g"))
     for k, v in SESSION_CONF.items():
         builder = builder.config(k, v)

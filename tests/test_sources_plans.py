@@ -87,3 +87,18 @@ def test_explicit_broadcasts_are_bounded(stored):
     logical = df._jdf.queryExecution().analyzed().toString()
     assert logical.count("broadcast") <= 2
     assert assets.PAGE_BROADCAST_ROWS <= 100_000
+
+
+def test_bucketed_tables_avoid_shuffles(spark, stored):
+    from fleetbook.sources.catalog_tables import load_bucketed, save_bucketed
+    save_bucketed(stored, "fleetbook_test", 8)
+    b = load_bucketed(spark, "fleetbook_test")
+    vis = assets.visibility(b)
+    plan = vis._jdf.queryExecution().executedPlan().toString()
+    # relation is read hash-partitioned by asset_id: the per-asset aggregate needs no exchange
+    assert "Exchange hashpartitioning(asset_id" not in plan, plan
+    flat = assets.visibility(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(asset_id" in flat
+    # same results either way
+    assert rows(assets.asset_list(b, ListFilter(limit=20), AS_OF)) == rows(
+        assets.asset_list(stored, ListFilter(limit=20), AS_OF))
