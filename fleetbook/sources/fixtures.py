@@ -131,7 +131,11 @@ def shared_tables(spark: SparkSession, sf_dir: str) -> Tables:
     re-deriving the relation fixture (two windows over lineitem) for every query.  Spark
     recomputes lost cached blocks from lineage, so an executor loss costs time, not results.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect sessions expose no SparkContext
+        app = f"session-{id(spark)}"
+    key = (app, sf_dir)
     if key not in _SHARED or _SHARED[key].users.sparkSession is not spark:
         built = build_tables(spark, sf_dir)
         _SHARED[key] = Tables(**{a: df.persist(StorageLevel.MEMORY_AND_DISK)
