@@ -201,3 +201,72 @@ def _s02(spark, sf):
 
 QUERIES["s02_login_policy_stream"] = _s02
 ORACLE["s02_login_policy_stream"] = ORACLE["w16_login_outcomes"]
+
+# --------------------------------------------------------------------------- sources and sinks
+
+from fleetbook.catalog_reads import oracle_access  # noqa: E402
+from fleetbook.operators import access  # noqa: E402
+from fleetbook.sources.requests import read_requests  # noqa: E402
+from fleetbook.sources.sinks import append_rows, read_report, write_report  # noqa: E402
+from fleetbook.sources.tables import ATTR_TO_TABLE  # noqa: E402
+
+_REL_FULL = ["id", "employee_id", "asset_id", "assigned_by", "assigned_date", "retrieved_date",
+             "retrieval_reason", "archived_at"]
+
+
+def _x01(spark, sf):
+    root = _scratch(spark)
+    write_snapshot(T(spark, sf), f"{root}/v1")
+    return load_tables(spark, f"{root}/v1").relation.select(*_REL_FULL)
+
+
+QUERIES["x01_snapshot_round_trip"] = _x01
+ORACLE["x01_snapshot_round_trip"] = (duckdb_ctes(["employee_asset_relation"])
+                                     + "select " + ", ".join(_REL_FULL) + " from employee_asset_relation")
+
+_REQ_COLS = ["seq", "req_ts", "actor_id", "asset_id", "employee_id", "retrieved_date",
+             "retrieval_reason", "assigned_date"]
+
+
+def _x02(spark, sf):
+    root = _scratch(spark)
+    write_requests(_req(spark, T(spark, sf), REASSIGN_REQ), f"{root}/requests", "reassign_assets")
+    good, _bad = read_requests(spark, f"{root}/requests", "reassign_assets")
+    return good.select(*_REQ_COLS)
+
+
+QUERIES["x02_request_files_round_trip"] = _x02
+ORACLE["x02_request_files_round_trip"] = (_ctes(["employee_asset_relation"], {"req": _bind(REASSIGN_REQ)})
+                                          + "select " + ", ".join(_REQ_COLS) + " from req")
+
+
+def _x03(spark, sf):
+    root = _scratch(spark)
+    write_report(access.access_report(T(spark, sf), "authorized"), f"{root}/report")
+    schema = ("id long, name string, email string, authenticationTimes int, status string, "
+              "lastLoginTime timestamp")
+    return read_report(spark, f"{root}/report", schema)
+
+
+QUERIES["x03_report_round_trip"] = _x03
+ORACLE["x03_report_round_trip"] = (
+    "select id, name, email, authentication_times as \"authenticationTimes\", status, "
+    "start_time as \"lastLoginTime\" from (" + oracle_access("authorized", "").replace(
+        "select users.id", duckdb_ctes(["users", "sessions"]) + " select users.id", 1) + ") q")
+
+# Sign-up events become new sessions of their user (append of derived rows)
+SIGNUP_SQL = """
+select event_id + 1000000000 as id, user_id % 10 as user_id, cast(ts as timestamp) as start_time
+from {events} where event_type = 'signup'"""
+
+
+def _w18(spark, sf):
+    rows_ = spark.sql(SIGNUP_SQL, events=read_source(spark, sf, "events"))
+    return append_rows(T(spark, sf).sessions, rows_).select("id", "user_id", "start_time", "end_time")
+
+
+QUERIES["w18_append_rows"] = _w18
+ORACLE["w18_append_rows"] = (duckdb_ctes(["sessions"]) + "select id, user_id, start_time, end_time from sessions "
+                             "union all select id, user_id, start_time, cast(null as timestamp) from ("
+                             + SIGNUP_SQL.replace("{events}", "events") + ") s")
+_ = ATTR_TO_TABLE

@@ -25,10 +25,19 @@ def report_columns(df: DataFrame) -> DataFrame:
     return df.select(*[df[c].alias(camel(c)) for c in df.columns])
 
 
+# Timestamps keep microseconds (Spark's default JSON format stops at milliseconds).
+TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write a report as JSON lines with the service's field names (one file per partition;
     nothing is gathered on the driver)."""
-    report_columns(df).write.mode(mode).json(path)
+    report_columns(df).write.mode(mode).option("timestampFormat", TIMESTAMP_FORMAT).json(path)
+
+
+def read_report(spark, path: str, schema) -> DataFrame:
+    """Read a report written by ``write_report`` with an explicit schema (JSON field names)."""
+    return spark.read.schema(schema).option("timestampFormat", TIMESTAMP_FORMAT).json(path)
 
 
 def append_rows(target: DataFrame, rows: DataFrame) -> DataFrame:
