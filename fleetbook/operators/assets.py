@@ -117,7 +117,8 @@ def asset_list(t: Tables, flt: ListFilter, as_of: dt.datetime) -> DataFrame:
         *EXPORT_COLUMNS,
         F.when(held, F.col("holder.e_id")).alias("assigned_to_id"),
         F.when(held, F.col("holder.e_name")).otherwise(F.lit("")).alias("name"))
-    return out.crossJoin(F.broadcast(total_count(listed))).select("total_count", *LIST_COLUMNS)
+    return out.select(total_count(listed).scalar().alias("total_count"), *LIST_COLUMNS[:-2],
+                      "assigned_to_id", "name")
 
 
 # --------------------------------------------------------------------------- R2, R3
@@ -194,7 +195,7 @@ def asset_list_by_status(t: Tables, flt: ListFilter, as_of: dt.datetime,
                   "left_semi")
     rows = asset_status_rows(t.with_(assets=cand, relation=rel), flt, as_of, strict)
     page = rows.orderBy("id", "rel_id").offset(flt.offset).limit(flt.limit)
-    return page.crossJoin(F.broadcast(total)).select("total_count", *LIST_COLUMNS)
+    return page.select(total.scalar().alias("total_count"), *LIST_COLUMNS)
 
 
 def asset_export(t: Tables, flt: ListFilter, as_of: dt.datetime, strict: bool = False) -> DataFrame:

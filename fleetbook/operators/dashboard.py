@@ -27,14 +27,14 @@ def fleet_totals(t: Tables) -> DataFrame:
     """Live assets, open relations (any archive state), and their difference.
 
     ``available`` can go negative: relations are counted, not assets.  Both inputs are
-    global aggregates (one row each), so the cross join is 1x1.
+    global aggregates (one row each); the second is read as a scalar subquery.
     """
     total = _live(t.assets).agg(F.count("id").alias("total_assets"))
     dist = (t.relation.filter(F.col("retrieved_date").isNull())
             .agg(F.count("asset_id").alias("distributed_assets")))
-    return (total.crossJoin(dist)
-            .select("total_assets", "distributed_assets",
-                    (F.col("total_assets") - F.col("distributed_assets")).alias("available_assets")))
+    d = dist.scalar()
+    return total.select("total_assets", d.alias("distributed_assets"),
+                        (F.col("total_assets") - d).alias("available_assets"))
 
 
 def type_counts(t: Tables, scope: str = "total") -> DataFrame:
@@ -61,19 +61,21 @@ def type_counts(t: Tables, scope: str = "total") -> DataFrame:
 
 
 def dashboard(t: Tables, scope: str = "total") -> DataFrame:
-    """R11 then R12 as one row of nine columns (one-row aggregates, 1x1 joins).
+    """R11 then R12 as one row of nine columns (one-row aggregates, scalar subqueries).
 
     For the default 'total' scope the live-asset total and the six type counts come from one
     pass over ``assets``.
     """
     if (scope or "total") != "total":
-        return fleet_totals(t).crossJoin(type_counts(t, scope))
+        counts = type_counts(t, scope)
+        row = counts.select(F.struct(*counts.columns).alias("c")).scalar()
+        return fleet_totals(t).select("*", *[row[c].alias(c) for c in counts.columns])
     a = _live(t.assets).agg(
         F.count("id").alias("total_assets"),
         *[F.count_if(F.col("asset_type") == k).alias(c) for k, c in TYPE_COLUMNS])
     dist = (t.relation.filter(F.col("retrieved_date").isNull())
             .agg(F.count("asset_id").alias("distributed_assets")))
-    return a.crossJoin(dist).select(
-        "total_assets", "distributed_assets",
-        (F.col("total_assets") - F.col("distributed_assets")).alias("available_assets"),
-        *[c for _, c in TYPE_COLUMNS])
+    d = dist.scalar()
+    return a.select("total_assets", d.alias("distributed_assets"),
+                    (F.col("total_assets") - d).alias("available_assets"),
+                    *[c for _, c in TYPE_COLUMNS])

@@ -94,7 +94,7 @@ def employee_list(t: Tables, flt: ListFilter, strict: bool = False) -> DataFrame
               .groupBy("employee_id").agg(F.count(F.lit(1)).alias("n")))
     out = page.join(counts, page["id"] == counts["employee_id"], "left").select(
         *EMPLOYEE_COLUMNS, F.coalesce("n", F.lit(0)).cast("bigint").alias("asset_quantity"))
-    return out.crossJoin(F.broadcast(total_count(listed))).select("total_count", *LIST_COLUMNS)
+    return out.select(total_count(listed).scalar().alias("total_count"), *LIST_COLUMNS)
 
 
 def employee_detail(t: Tables, flt: ListFilter, employee_id: str = "",
@@ -120,14 +120,14 @@ def employee_detail(t: Tables, flt: ListFilter, employee_id: str = "",
         return out.select(*LIST_COLUMNS, *[f"h_{c}" for c in hist_cols])
     f = ListFilter(**{**flt.__dict__, "employee_id": employee_id})
     page = employee_list(t, f, strict=False)
-    first = page.agg(F.min("id").alias("first_id"))
+    first_id = page.agg(F.min("id")).scalar()
     rel = t.relation
     if employee_id != "":
         rel = rel.filter(F.col("employee_id").cast("string") == F.lit(employee_id))
     hist = asset_history(t.with_(relation=rel))
-    h = hist.select(*[F.col(c).alias(f"h_{c}") for c in hist_cols])
-    tagged = page.crossJoin(F.broadcast(first)).withColumn("__first", F.col("id") == F.col("first_id"))
-    out = tagged.join(h, F.col("__first"), "left")
+    # every history row belongs to the page's first row: an equi-join on that id
+    h = hist.select(first_id.alias("__to"), *[F.col(c).alias(f"h_{c}") for c in hist_cols])
+    out = left_join_many(page, h, "id", "__to")
     return out.select("total_count", *LIST_COLUMNS, *[f"h_{c}" for c in hist_cols])
 
 

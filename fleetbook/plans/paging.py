@@ -1,8 +1,8 @@
 """Paging with a total, without a single-partition window.
 
 ``count(*) over ()`` plans an ``Exchange SinglePartition`` over every row.  The total here is
-a global aggregate (partial counts per task, one row at the end), broadcast onto the page:
-the broadcast side is provably one row.  The page itself is a top-(offset+limit) per task
+a global aggregate (partial counts per task, one row at the end) attached to the page as a
+scalar subquery: no window over all rows and no join.  The page itself is a top-(offset+limit) per task
 followed by a merge (``TakeOrderedAndProject``), so no task sorts the whole result.
 """
 
@@ -27,5 +27,4 @@ def page_with_total(df: DataFrame, order: list[Column | str], limit: int, page:
         raise ValueError("LIMIT and OFFSET must not be negative")
     columns = columns or df.columns
     page_df = df.orderBy(*order).offset(limit * page).limit(limit)
-    return (page_df.crossJoin(F.broadcast(total_count(df)))
-            .select("total_count", *columns))
+    return page_df.select(total_count(df).scalar().alias("total_count"), *columns)

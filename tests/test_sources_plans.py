@@ -102,3 +102,18 @@ def test_bucketed_tables_avoid_shuffles(spark, stored):
     # same results either way
     assert rows(assets.asset_list(b, ListFilter(limit=20), AS_OF)) == rows(
         assets.asset_list(stored, ListFilter(limit=20), AS_OF))
+
+
+def test_no_cross_joins(spark, stored):
+    from fleetbook.operators import asset_writes
+    from fleetbook.catalog_writes import REASSIGN_REQ, _req
+    frames = [assets.asset_list(stored, ListFilter(), AS_OF),
+              assets.asset_list_by_status(stored, ListFilter(available=True, limit=5), AS_OF),
+              employees.employee_list(stored, ListFilter(asset_types=("laptop",))),
+              employees.employee_detail(stored, ListFilter(), employee_id="3"),
+              dashboard.dashboard(stored, "distributed"), dashboard.dashboard(stored, "total"),
+              asset_writes.reassign_assets(stored, _req(spark, stored, REASSIGN_REQ)).tables["employee_asset_relation"]]
+    for df in frames:
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "CartesianProduct" not in plan and "Cross" not in plan, plan
+        assert "BroadcastNestedLoopJoin" not in plan, plan
