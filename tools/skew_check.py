@@ -89,9 +89,9 @@ def main():
     t = load_tables(spark, f"{root}/skewed")
     req = reassign_requests(t)
     runs = {
-        "R1 asset_list (partial min per asset)": lambda: assets.asset_list(t, ListFilter(), AS_OF),
+        "R1 asset_list (visibility counts + page holders)": lambda: assets.asset_list(t, ListFilter(), AS_OF),
         "R1 naive: row_number over partitionBy(asset)": lambda: naive_holder(t),
-        "R9 employee_list (partial counts)": lambda: employees.employee_list(t, ListFilter()),
+        "R9 employee_list (page-sized counts)": lambda: employees.employee_list(t, ListFilter()),
         "R19 latest_open_session (max_by per user)": lambda: access.latest_open_session(t),
         "W5 reassign (bucketed chain)": lambda: asset_writes.reassign_assets(t, req).tables["employee_asset_relation"],
         "W5 naive: lead over partitionBy(asset)": lambda: naive_chain(req),
