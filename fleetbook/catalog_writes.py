@@ -522,8 +522,8 @@ reg("w16_login_users", lambda s, sf: _login(s, sf, "users"),
     "count(*) filter (where outcome = 'blocked_now') as nb from outc group by user_id)\n"
     "select u.id, case when coalesce(nb, 0) > 0 then 'blocked' else u.type end as type, "
     "case when coalesce(nb, 0) > 0 then 'black_listed' when coalesce(nw, 0) > 0 then 'warned' "
-    "else u.status end as status, u.authentication_times + coalesce(nw, 0) + coalesce(nb, 0) "
-    "as authentication_times from users u left join steps s on s.user_id = u.id")
+    "else u.status end as status, cast(u.authentication_times + coalesce(nw, 0) + coalesce(nb, 0) "
+    "as integer) as authentication_times from users u left join steps s on s.user_id = u.id")
 reg("w16_login_sessions", lambda s, sf: _login(s, sf, "sessions"),
     _login_cte(["users", "sessions"])
     + "select user_id, start_time, end_time from sessions union all "
