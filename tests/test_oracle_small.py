@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
-from tools.check_oracle import TABLES, norm
+from tools.check_oracle import TABLES, norm, type_mismatches
 
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
@@ -41,6 +41,7 @@ def test_query_matches_oracle(spark, con, name):
     got = [tuple(norm(x) for x in r) for r in df.collect()]
     cur = con.execute(ORACLES[name])
     ocols = [d[0] for d in cur.description]
+    assert type_mismatches(df, cur) == []
     want = [tuple(norm(x) for x in r) for r in cur.fetchall()]
     assert sorted(cols) == sorted(ocols)
     order = sorted(cols)
