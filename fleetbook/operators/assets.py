@@ -234,6 +234,24 @@ def asset_specs(t: Tables, asset_type: str, ids: DataFrame | None = None) -> Dat
     return _specs(t, asset_type, ids, first_flag=False)
 
 
+FAMILY_PREFIX = {"laptop": "laptop", "pen drive": "pen_drive", "hard disk": "hard_disk",
+                 "mobile": "mobile", "sim": "sim"}
+
+
+def all_specs(t: Tables, ids: DataFrame | None = None) -> DataFrame:
+    """R4 (wide): every asset with the columns of all five families, prefixed by family.
+
+    Five left joins on the asset id; each family table has one row per asset, so the joins
+    add columns, not rows (an asset with several rows in a family gets one row per row).
+    """
+    out = _restrict(t.assets, "id", ids).select(F.col("id").alias("asset_id"), *SPEC_COMMON)
+    for family, prefix in FAMILY_PREFIX.items():
+        spec = t.spec(family).select(F.col("asset_id").alias(f"__{prefix}"),
+                                     *[F.col(c).alias(f"{prefix}_{c}") for c in SPEC_COLUMNS[family]])
+        out = out.join(spec, F.col("asset_id") == F.col(f"__{prefix}"), "left").drop(f"__{prefix}")
+    return out
+
+
 def asset_detail(t: Tables, asset_type: str, ids: DataFrame | None = None) -> DataFrame:
     """R4 with the assignee history attached to the first spec row of each asset.
 
