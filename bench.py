@@ -19,8 +19,6 @@ import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from fleetbook.catalog_writes import (ATTEMPT_SQL, COMPANY_DOMAIN, REASSIGN_REQ,  # noqa: E402
                                       _req)
 from fleetbook.functions.filters import ListFilter  # noqa: E402
@@ -85,7 +83,6 @@ def main() -> None:
         "spark": spark.version,
     }))
     spark.stop()
-    _ = F  # keep the functions import for ad-hoc use
 
 
 if __name__ == "__main__":

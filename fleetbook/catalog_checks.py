@@ -208,7 +208,6 @@ from fleetbook.catalog_reads import oracle_access  # noqa: E402
 from fleetbook.operators import access  # noqa: E402
 from fleetbook.sources.requests import read_requests  # noqa: E402
 from fleetbook.sources.sinks import append_rows, read_report, write_report  # noqa: E402
-from fleetbook.sources.tables import ATTR_TO_TABLE  # noqa: E402
 
 _REL_FULL = ["id", "employee_id", "asset_id", "assigned_by", "assigned_date", "retrieved_date",
              "retrieval_reason", "archived_at"]
@@ -269,4 +268,3 @@ QUERIES["w18_append_rows"] = _w18
 ORACLE["w18_append_rows"] = (duckdb_ctes(["sessions"]) + "select id, user_id, start_time, end_time from sessions "
                              "union all select id, user_id, start_time, cast(null as timestamp) from ("
                              + SIGNUP_SQL.replace("{events}", "events") + ") s")
-_ = ATTR_TO_TABLE

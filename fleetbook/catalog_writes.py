@@ -9,8 +9,6 @@ independent formulation of the one-by-one semantics.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from fleetbook.catalog_reads import ORACLE, QUERIES
 from fleetbook.operators import asset_writes as aw
 from fleetbook.operators import login as lg

@@ -1,10 +1,8 @@
 """Tiny hand-made inventory tables for unit tests."""
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from fleetbook.sources.schemas import table_schema
-from fleetbook.sources.tables import ATTR_TO_TABLE, Tables, conform
+from fleetbook.sources.tables import ATTR_TO_TABLE, Tables
 
 D = dt.date
 TS = dt.datetime

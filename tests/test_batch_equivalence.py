@@ -4,7 +4,6 @@ Each test packs many random cases into one batch: case ``k`` uses ids ``k*100 +
 cases cannot interact, while inside a case a few keys receive many requests (hot keys,
 repeated requests, guard hits).
 """
-import datetime as dt
 import random
 
 from fleetbook.operators import asset_writes, login, people_writes

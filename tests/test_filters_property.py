@@ -1,8 +1,6 @@
 """The URL-column filter parser agrees with the one-request parser on random query strings."""
 import random
 
-from pyspark.sql import functions as F
-
 from fleetbook.functions.filters import ListFilter, parse_filters
 
 VALUES = ["", "0", "1", "-3", "+7", "12", "x1", " 4", "true", "True", "TRUE", "t", "F", "no",

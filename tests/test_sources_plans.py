@@ -1,6 +1,5 @@
 """Sources/sinks round trips and physical-plan shape checks."""
 import json
-import os
 
 import pytest
 
