@@ -55,6 +55,36 @@ def current_tables(spark: SparkSession, base_dir: str, out_root: str) -> Tables:
     return tables.with_(**changed)
 
 
+def apply_micro_batch(batch: DataFrame, epoch_id: int, operator: Callable[[Tables, DataFrame], Changes],
+                      base_dir: str, out_root: str) -> bool:
+    """Apply one micro-batch to the last committed tables and commit a new version.
+
+    Returns False (and changes nothing) when ``epoch_id`` is already committed: Spark re-runs
+    an epoch after a failure between the commit and its own checkpoint, and applying the same
+    requests twice would, e.g., close relations twice.
+    """
+    spark = batch.sparkSession
+    if committed(spark, out_root, epoch_id):
+        return False
+    if "_corrupt_record" in batch.columns:
+        batch = batch.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    tables = current_tables(spark, base_dir, out_root)
+    changes = operator(tables, batch)
+    rows = []
+    for name, df in changes.tables.items():
+        if name not in TABLE_NAMES:
+            continue
+        path = f"{out_root}/epoch={epoch_id}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        rows.append((int(epoch_id), name, path))
+    changes.rejects.withColumn("epoch", F.lit(int(epoch_id))).write.mode("overwrite").parquet(
+        f"{out_root}/epoch={epoch_id}/_rejects")
+    # commit point: the version rows (one per changed table) are appended last
+    (spark.createDataFrame(rows, "epoch long, table_name string, path string")
+     .coalesce(1).write.mode("append").json(f"{out_root}/{VERSIONS}"))
+    return True
+
+
 def apply_request_stream(spark: SparkSession, op: str, operator: Callable[[Tables, DataFrame], Changes],
                          requests_dir: str, base_dir: str, out_root: str, checkpoint_dir: str,
                          max_files_per_trigger: int = 1, available_now: bool = True) -> StreamingQuery:
@@ -65,23 +95,7 @@ def apply_request_stream(spark: SparkSession, op: str, operator: Callable[[Table
     requests = from_json_names(raw, op)
 
     def apply_batch(batch: DataFrame, epoch_id: int) -> None:
-        if committed(batch.sparkSession, out_root, epoch_id):
-            return  # a re-run of an epoch that already committed: applying again would double it
-        batch = batch.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-        tables = current_tables(batch.sparkSession, base_dir, out_root)
-        changes = operator(tables, batch)
-        rows = []
-        for name, df in changes.tables.items():
-            if name not in TABLE_NAMES:
-                continue
-            path = f"{out_root}/epoch={epoch_id}/{name}"
-            df.write.mode("overwrite").parquet(path)
-            rows.append((int(epoch_id), name, path))
-        changes.rejects.withColumn("epoch", F.lit(int(epoch_id))).write.mode("overwrite").parquet(
-            f"{out_root}/epoch={epoch_id}/_rejects")
-        # commit point: the version rows (one per changed table) are appended last
-        (batch.sparkSession.createDataFrame(rows, "epoch long, table_name string, path string")
-         .coalesce(1).write.mode("append").json(f"{out_root}/{VERSIONS}"))
+        apply_micro_batch(batch, epoch_id, operator, base_dir, out_root)
 
     writer = requests.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
