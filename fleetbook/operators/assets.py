@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetbook.functions.filters import ListFilter
 from fleetbook.functions.predicates import all_of, contains_ci, warranty_predicate
 from fleetbook.plans.joins import left_join_many
-from fleetbook.plans.paging import page_with_total, total_count
+from fleetbook.plans.paging import page_rows, page_with_total, total_count
 from fleetbook.sources.schemas import SPEC_COLUMNS
 from fleetbook.sources.tables import Tables
 
@@ -110,7 +110,7 @@ def asset_list(t: Tables, flt: ListFilter, as_of: dt.datetime) -> DataFrame:
               .filter(F.col("asset_id").isNull() | (F.col("n_visible") > 0))
               .select("id", "brand", "model", "serial_no", "asset_type", "purchased_date", "status",
                       "warranty_expiry_date", "is_available"))
-    page = listed.orderBy("id").offset(flt.offset).limit(flt.limit)
+    page = page_rows(listed, ["id"], flt.offset, flt.limit)
     h = current_holders(t, only=page)
     held = F.col("is_available") == F.lit(False)
     out = page.join(h, page["id"] == h["asset_id"], "left").select(
@@ -194,7 +194,7 @@ def asset_list_by_status(t: Tables, flt: ListFilter, as_of: dt.datetime,
     cand = a.join(F.broadcast(first.select(F.col("id").alias("__f"))), F.col("id") == F.col("__f"),
                   "left_semi")
     rows = asset_status_rows(t.with_(assets=cand, relation=rel), flt, as_of, strict)
-    page = rows.orderBy("id", "rel_id").offset(flt.offset).limit(flt.limit)
+    page = page_rows(rows, ["id", "rel_id"], flt.offset, flt.limit)
     return page.select(total.scalar().alias("total_count"), *LIST_COLUMNS)
 
 

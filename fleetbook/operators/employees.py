@@ -9,7 +9,7 @@ from fleetbook.functions.filters import ListFilter
 from fleetbook.functions.predicates import contains_ci
 from fleetbook.operators.assets import PAGE_BROADCAST_ROWS, asset_history, open_relations
 from fleetbook.plans.joins import left_join_many
-from fleetbook.plans.paging import page_with_total, total_count
+from fleetbook.plans.paging import page_rows, page_with_total, total_count
 from fleetbook.sources.tables import Tables
 
 EMPLOYEE_COLUMNS = ["id", "name", "email", "phone_no", "status", "type", "archived_at",
@@ -88,7 +88,7 @@ def employee_list(t: Tables, flt: ListFilter, strict: bool = False) -> DataFrame
                                LIST_COLUMNS)
     listed = (t.employee.select(*EMPLOYEE_COLUMNS)
               .filter(F.coalesce(employee_predicate(flt, strict), F.lit(False))))
-    page = listed.orderBy("id").offset(flt.offset).limit(flt.limit)
+    page = page_rows(listed, ["id"], flt.offset, flt.limit)
     ids = F.broadcast(page.select(F.col("id").alias("__p")))
     counts = (t.relation.join(ids, F.col("employee_id") == F.col("__p"), "left_semi")
               .groupBy("employee_id").agg(F.count(F.lit(1)).alias("n")))

@@ -8,15 +8,46 @@ followed by a merge (``TakeOrderedAndProject``), so no task sorts the whole resu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Pages ending beyond this row index are taken from a range-sorted copy instead of a
+# per-task top-(offset+limit), which would hold offset+limit rows in every task.
+DEEP_PAGE_ROWS = 1_000_000
+
 
 def total_count(df: DataFrame, name: str = "total_count") -> DataFrame:
     """One row: the number of rows of ``df`` (bounded size, safe to broadcast)."""
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
+def page_rows(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
+    """Rows ``[offset, offset + limit)`` of ``df`` in ``order`` (a total order).
+
+    Shallow pages: ``orderBy.offset.limit`` (``TakeOrderedAndProject``).  Deep pages: the rows
+    are range-partitioned by ``order`` and checkpointed (so partition boundaries are the same
+    in every later job), each partition's row count gives its first global index, and a row's
+    index is that plus its rank inside the partition; only the page's index range is kept.
+    No task holds more than its own partition, and nothing reaches the driver.
+    """
+    if offset + limit <= DEEP_PAGE_ROWS:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    from fleetbook.plans.session import cut_lineage
+
+    sorted_ = cut_lineage(df.orderBy(*order).withColumn("__part", F.spark_partition_id()))
+    counts = sorted_.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    # one row per partition: a window over this small table is cheap
+    starts = counts.withColumn(
+        "__start", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__start")
+    ranked = sorted_.withColumn("__rank", F.row_number().over(
+        Window.partitionBy("__part").orderBy(*order)))
+    indexed = ranked.join(F.broadcast(starts), "__part").withColumn(
+        "__idx", F.col("__start") + F.col("__rank") - 1)
+    page = indexed.filter((F.col("__idx") >= offset) & (F.col("__idx") < offset + limit))
+    return page.drop("__part", "__start", "__rank", "__idx")
+
+
 def page_with_total(df: DataFrame, order: list[Column | str], limit: int, page: int,
                     columns: list[str] | None = None) -> DataFrame:
     """Rows ``[limit*page, limit*page + limit)`` of ``df`` in ``order``, each with the total.
@@ -26,5 +57,5 @@ def page_with_total(df: DataFrame, order: list[Column | str], limit: int, page:
     if limit < 0 or page < 0:
         raise ValueError("LIMIT and OFFSET must not be negative")
     columns = columns or df.columns
-    page_df = df.orderBy(*order).offset(limit * page).limit(limit)
+    page_df = page_rows(df, order, limit * page, limit)
     return page_df.select(total_count(df).scalar().alias("total_count"), *columns)

@@ -396,3 +396,16 @@ def test_strict_employee_detail_all_ids(spark, small):
     with_hist = listed.join(hist.select("employee_id").distinct(), F.col("id") == F.col("employee_id"), "left_anti")
     # one row per history entry of a listed employee, plus one row per listed employee without any
     assert out.count() == hist.count() + with_hist.count()
+
+
+def test_deep_page_path_agrees(spark, small, monkeypatch):
+    from fleetbook.plans import paging
+    flt = ListFilter(limit=9, page=7)
+    status = ListFilter(available=True, deleted=True, limit=9, page=7)
+    shallow = (rows(assets.asset_list(small, flt, AS_OF)), rows(assets.asset_list_by_status(small, status, AS_OF)),
+               rows(employees.employee_list(small, ListFilter(limit=9, page=3))))
+    monkeypatch.setattr(paging, "DEEP_PAGE_ROWS", 0)
+    deep = (rows(assets.asset_list(small, flt, AS_OF)), rows(assets.asset_list_by_status(small, status, AS_OF)),
+            rows(employees.employee_list(small, ListFilter(limit=9, page=3))))
+    assert deep == shallow
+    assert all(len(x) == 9 for x in deep)
