@@ -39,16 +39,23 @@ def _validation_reason(errors):
     return F.when(F.size(errors) > 0, error_message(errors))
 
 
+def _known(table: DataFrame, req: DataFrame, col: str, alias: str) -> DataFrame:
+    """The table's ids that the batch mentions: the batch's distinct keys (small) semi-join
+    the id column, so the big table is filtered where it is read instead of shuffled whole."""
+    wanted = req.select(F.col(col).alias(alias)).distinct()
+    return table.select(F.col("id").alias(alias)).join(wanted, alias, "left_semi")
+
+
 def _fk_reason(req: DataFrame, t: Tables, emp_col: str | None, asset_col: str | None):
     """Requests left-joined to the employee/asset key sets; reason when a key is unknown."""
     out = req
     reason = F.lit(None).cast("string")
     if asset_col:
-        keys = t.assets.select(F.col("id").alias("__fk_a"))
+        keys = _known(t.assets, req, asset_col, "__fk_a")
         out = out.join(keys, out[asset_col] == keys["__fk_a"], "left")
         reason = F.when(F.col("__fk_a").isNull(), F.lit("unknown asset"))
     if emp_col:
-        keys = t.employee.select(F.col("id").alias("__fk_e"))
+        keys = _known(t.employee, req, emp_col, "__fk_e")
         out = out.join(keys, out[emp_col] == keys["__fk_e"], "left")
         reason = F.coalesce(reason, F.when(F.col("__fk_e").isNull(), F.lit("unknown employee")))
     return out, reason
