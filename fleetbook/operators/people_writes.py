@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetbook.functions.text import hash_text
 from fleetbook.operators.employees import open_counts_by_employee
+from fleetbook.plans.joins import mentioned
 from fleetbook.operators.validate import (employee_errors, employee_status_bad, error_message,
                                           user_errors, user_type_bad)
 from fleetbook.plans.batch import (Changes, claims_table, matched_update, new_id, split_by_reason,
@@ -50,7 +51,7 @@ def upsert_employees(t: Tables, requests: DataFrame) -> Changes:
     Within the batch the first request per new e-mail inserts; later ones hit the conflict.
     """
     ok, rejects = split_by_reason(requests, _vreason(employee_errors()))
-    known = t.employee.select(F.col("email").alias("__e"))
+    known = mentioned(t.employee, "email", ok, "email").select(F.col("email").alias("__e"))
     fresh = ok.join(known, ok["email"] == known["__e"], "left_anti")
     first = winners(fresh.select("seq", "email", "name", "phone_no", "type", "req_ts"),
                     ["email"], last=False)
@@ -70,7 +71,7 @@ def update_employees(t: Tables, requests: DataFrame) -> Changes:
     j, busy = _open_guard(t, ok, "id", F.col("status") == "not_an_employee")
     ok, rej2 = split_by_reason(j, F.when(busy, F.lit("asset is assigned to this employee")))
     base = _clean(ok)
-    ok = with_taken_flag(base, t.employee, "email", "id", live_only=False)
+    ok = with_taken_flag(base, t.employee, "email", "id", live_only=False, batch=base)
     ok = with_claim_flag(ok, claims_table(base, "email", "id"), "email", "id")
     ok, rej3 = split_by_reason(ok, F.when(F.col("__taken_email") | F.col("__claimed_email"),
                                           F.lit("email already used")))
@@ -111,11 +112,11 @@ def register_users(t: Tables, requests: DataFrame) -> Changes:
     """
     ok, rej1 = split_by_reason(requests, _vreason(user_errors()))
     base = ok
-    live = (t.users.filter(F.col("archived_at").isNull())
+    live = (mentioned(t.users.filter(F.col("archived_at").isNull()), "email", base, "email")
             .select(F.col("email").alias("__xe"), F.col("phone_no").alias("__xp")).distinct())
     ok = base.join(live, (base["email"] == live["__xe"]) & (base["phone_no"] == live["__xp"]), "left")
-    ok = with_taken_flag(ok, t.users, "email", None, live_only=False)
-    ok = with_taken_flag(ok, t.users, "phone_no", None, live_only=True)
+    ok = with_taken_flag(ok, t.users, "email", None, live_only=False, batch=base)
+    ok = with_taken_flag(ok, t.users, "phone_no", None, live_only=True, batch=base)
     ok = with_claim_flag(ok, claims_table(base, "email", "seq"), "email", "seq")
     ok = with_claim_flag(ok, claims_table(base, "phone_no", "seq"), "phone_no", "seq")
     reason = (F.when(F.col("__xe").isNotNull(), F.lit("user already exists"))
@@ -136,8 +137,8 @@ def update_users(t: Tables, requests: DataFrame) -> Changes:
     and ``updated_at``.  Rejected: validation, an e-mail of another user, a phone of another
     live user, or a value claimed earlier in the batch for another user."""
     base, rej1 = split_by_reason(requests, _vreason(user_errors()))
-    ok = with_taken_flag(base, t.users, "email", "id", live_only=False)
-    ok = with_taken_flag(ok, t.users, "phone_no", "id", live_only=True)
+    ok = with_taken_flag(base, t.users, "email", "id", live_only=False, batch=base)
+    ok = with_taken_flag(ok, t.users, "phone_no", "id", live_only=True, batch=base)
     ok = with_claim_flag(ok, claims_table(base, "email", "id"), "email", "id")
     ok = with_claim_flag(ok, claims_table(base, "phone_no", "id"), "phone_no", "id")
     reason = (F.when(F.col("__taken_email") | F.col("__claimed_email"), F.lit("email already used"))

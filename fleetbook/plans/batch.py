@@ -137,13 +137,17 @@ def with_claim_flag(df: DataFrame, claims: DataFrame, value: str, owner: str,
 
 
 def with_taken_flag(df: DataFrame, table: DataFrame, value: str, owner: str | None,
-                    live_only: bool) -> DataFrame:
+                    live_only: bool, batch: DataFrame | None = None) -> DataFrame:
     """``df`` plus ``__taken_<value>``: a stored row other than ``owner`` holds the value.
 
     The stored holders are reduced to one row per value (count, smallest and largest id)
-    first, so the request side is joined once to a table keyed by value.
+    first, so the request side is joined once to a table keyed by value.  Only values the
+    ``batch`` (default ``df``; pass the base frame when chaining flags) mentions are read.
     """
+    from fleetbook.plans.joins import mentioned
+
     src = table.filter(F.col("archived_at").isNull()) if live_only else table
+    src = mentioned(src, value, df if batch is None else batch, value)
     holders = (src.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias(f"__hv_{value}"))
                .agg(F.count(F.lit(1)).alias(f"__hn_{value}"), F.min("id").alias(f"__hmin_{value}"),
                     F.max("id").alias(f"__hmax_{value}")))

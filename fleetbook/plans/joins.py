@@ -22,3 +22,13 @@ def left_join_many(one: DataFrame, many: DataFrame, one_key: str, many_key: str)
         if f.name not in lonely.columns:
             lonely = lonely.withColumn(f.name, F.lit(None).cast(f.dataType))
     return matched.unionByName(lonely)
+
+
+def mentioned(table: DataFrame, col: str, batch: DataFrame, batch_col: str) -> DataFrame:
+    """Rows of ``table`` whose ``col`` appears in ``batch[batch_col]``.
+
+    The batch's distinct values are small next to a stored table; joined as a semi join they
+    can be broadcast, so the stored table is filtered as it is read, not shuffled whole.
+    """
+    wanted = batch.select(F.col(batch_col).alias("__want")).distinct()
+    return table.join(wanted, table[col] == wanted["__want"], "left_semi")
