@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbook.llm import chat
-from fleetbook.llm.common import bound_batches
+from fleetbook.llm import chat, mixing, quality
+from fleetbook.llm.common import bound_batches, stored
 
 QUERIES = {}
 ORACLE = {}
@@ -60,3 +60,52 @@ select conv_id, count(*) as n_turns,
   cast(sum(n) as bigint) as formatted_chars
 from marked group by conv_id
 """
+
+
+# ------------------------------------------------------------------------------------ op3
+
+@query
+def op3_mixing(spark, sf_dir):
+    """All documents mixed to the source weights."""
+    slim = mixing.sized(table(spark, sf_dir, "documents"))
+    taken = mixing.apply_plan(slim, mixing.mixing_plan(slim))
+    return taken.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+                        F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_repeats")).alias("taken"))
+
+
+ORACLE["op3_mixing"] = r"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
+    cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 12) as bigint) as k from documents),
+s0 as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+s1 as (select *, row_number() over (order by source nulls last) as place from s0),
+s2 as (select *, case (place - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight from s1),
+s3 as (select *, (sum(source_size) over () * 1.5::double
+      - coalesce(sum(source_size) over (order by source_size * 2.0::double / weight, place rows between unbounded preceding and 1 preceding), 0) * 2.0::double)
+    / (sum(weight) over () - coalesce(sum(weight) over (order by source_size * 2.0::double / weight, place rows between unbounded preceding and 1 preceding), 0)) as lvl from s2),
+s4 as (select source, source_size, least(source_size * 2.0::double, weight * max(lvl) over ()) as target from s3),
+s5 as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as copies from s4),
+g0 as (select source, k, sum(size) as words from d group by source, k),
+g1 as (select g0.*, sum(words) over (partition by source order by k) as upto from g0),
+g2 as (select g1.source, g1.k, target - copies * source_size as budget, upto, words,
+    case when upto <= target - copies * source_size then 1
+         when upto - words <= target - copies * source_size and upto - (target - copies * source_size) < (target - copies * source_size) - (upto - words)
+              and row_number() over (partition by g1.source, upto > target - copies * source_size order by g1.k) = 1 then 1
+         else 0 end as more
+  from g1 join s5 on g1.source is not distinct from s5.source)
+select doc_id, cast(size as bigint) as size, source_size, target, cast(size * (copies + more) as bigint) as taken
+from d join s5 on d.source is not distinct from s5.source
+join g2 on d.source is not distinct from g2.source and d.k = g2.k
+"""
+
+
+# ------------------------------------------------------------------------------------ op4
+
+@query
+def op4_quality_rules(spark, sf_dir):
+    """Base statistics, base rules and the MCD verdict of every document."""
+    stats = stored(quality.with_stats(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"]), "stats")
+    judged = quality.judge(stats, quality.fit_mcd(stats))
+    return judged.select("doc_id", *[F.col(f"qs_{s}").alias(s) for s in
+                                     ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+                         F.col("qs_base_failed").alias("base_failed"), F.col("qs_kept").alias("kept"),
+                         F.col("qs_distance").alias("distance"))
