@@ -16,6 +16,8 @@ other than the named ones are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,25 +74,25 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
                   (F.col("conv_id").eqNullSafe(F.col("c2"))) & (F.col("parent_id") == F.col("up")), "left")
         .select("conv_id", "node_id", "up", F.col("score").alias("gain"), F.lit(1).cast("long").alias("steps")),
         "chat-step")
-    jumps = []
-    n = base.agg(F.max("node_id")).first()[0]
+    # only nodes that are still below their root take part in a round
+    done, active, jumps = [step.filter(F.col("up").isNull())], step.filter(F.col("up").isNotNull()), []
     longest = base.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     reach = 1
-    while n is not None and reach < longest:
-        jumps.append(step)
-        far = step.select(F.col("conv_id").alias("c2"), F.col("node_id").alias("n2"), F.col("up").alias("up2"),
-                          F.col("gain").alias("gain2"), F.col("steps").alias("steps2"))
+    while reach < longest and not active.isEmpty():
+        jumps.append(active)
+        far = reduce(DataFrame.unionByName, done, active).select(
+            F.col("conv_id").alias("c2"), F.col("node_id").alias("n2"), F.col("up").alias("up2"),
+            F.col("gain").alias("gain2"), F.col("steps").alias("steps2"))
         step = stored(
-            step.join(far, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("up") == F.col("n2")), "left")
-            .select("conv_id", "node_id", F.col("up2").alias("up"),
-                    (F.col("gain") + F.coalesce("gain2", F.lit(0.0))).alias("gain"),
-                    (F.col("steps") + F.coalesce("steps2", F.lit(0).cast("long"))).alias("steps")),
-            "chat-step")
+            active.join(far, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("up") == F.col("n2")))
+            .select("conv_id", "node_id", F.col("up2").alias("up"), (F.col("gain") + F.col("gain2")).alias("gain"),
+                    (F.col("steps") + F.col("steps2")).alias("steps")), "chat-step")
+        done.append(step.filter(F.col("up").isNull()))
+        active = step.filter(F.col("up").isNotNull())
         reach *= 2
-    # ``step`` now reaches past every root: what still points up lies on a cycle
-    whole = step.filter(F.col("up").isNull()).select("conv_id", "node_id", F.col("gain"), F.col("steps"))
-    parents = jumps[0] if jumps else step
-    inner = parents.filter(F.col("up").isNotNull()).select("conv_id", F.col("up").alias("node_id")).distinct()
+    # what is still active lies on a cycle
+    whole = reduce(DataFrame.unionByName, done).select("conv_id", "node_id", "gain", "steps")
+    inner = (jumps[0] if jumps else active).select("conv_id", F.col("up").alias("node_id")).distinct()
     leaves = _anti(whole, inner)
     roots = _roots(leaves, jumps)
     best = Window.partitionBy("conv_id", "root").orderBy(F.desc("gain"), "node_id")
@@ -99,7 +101,7 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     # mark the ancestors of the chosen leaves, jumping 2**k, 2**(k-1), .., 1
     on_path = stored(chosen, "chat-path")
     for jump in reversed(jumps):
-        hop = jump.filter(F.col("up").isNotNull()).select(F.col("conv_id").alias("c2"), F.col("node_id").alias("n2"), "up")
+        hop = jump.select(F.col("conv_id").alias("c2"), F.col("node_id").alias("n2"), "up")
         above = on_path.join(hop, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("node_id") == F.col("n2"))) \
             .select("conv_id", "path_id", F.col("up").alias("node_id"))
         on_path = stored(on_path.unionByName(above), "chat-path")
@@ -120,7 +122,7 @@ def _roots(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     """Leaves with the root of their tree: take every jump, longest first, that stays inside."""
     at = leaves.withColumn("root", F.col("node_id"))
     for jump in reversed(jumps):
-        hop = jump.filter(F.col("up").isNotNull()).select(F.col("conv_id").alias("c2"), F.col("node_id").alias("n2"), "up")
+        hop = jump.select(F.col("conv_id").alias("c2"), F.col("node_id").alias("n2"), "up")
         at = at.join(hop, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("root") == F.col("n2")), "left") \
             .select("conv_id", "node_id", "gain", F.coalesce("up", "root").alias("root"))
     return at.select("conv_id", "node_id", "gain", "root")
