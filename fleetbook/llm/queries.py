@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbook.llm import chat, mixing, quality
-from fleetbook.llm.common import bound_batches, stored
+from fleetbook.llm import chat, classifier, embeddings, minhash, mixing, quality, warc
+from fleetbook.llm.common import bound_batches, crc_mod, stored
 
 QUERIES = {}
 ORACLE = {}
@@ -109,3 +109,67 @@ def op4_quality_rules(spark, sf_dir):
                                      ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                          F.col("qs_base_failed").alias("base_failed"), F.col("qs_kept").alias("kept"),
                          F.col("qs_distance").alias("distance"))
+
+
+# ------------------------------------------------------------------------------------ op1
+
+@query
+def op1_warc(spark, sf_dir):
+    """Every page as a WARC record, read back from the archives."""
+    back = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
+ORACLE["op1_warc"] = """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select payload_digest as d, min(page_id) as first_id from p where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, payload_digest,
+  case when first_id <> page_id then 'revisit' else 'response' end as record_type,
+  case when first_id <> page_id then first_id end as refers_to
+from p left join f on payload_digest = d
+"""
+
+
+# ------------------------------------------------------------------------------------ op7
+
+@query
+def op7_minhash_near_dedup(spark, sf_dir):
+    """Near-duplicate components of all documents."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+# ------------------------------------------------------------------------------------ op8
+
+@query
+def op8_embedding_near_dedup(spark, sf_dir):
+    """Near-duplicate components of all vectors."""
+    found = embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE["op8_embedding_near_dedup"] = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on r.b = l.a),
+comp as (select a, min(b) as component_id from reach group by a),
+n as (select a, count(*) as n_links from links group by a)
+select e.vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join comp on comp.a = e.vec_id left join n on n.a = e.vec_id
+"""
+
+
+# ------------------------------------------------------------------------------------ op9
+
+@query
+def op9_quality_classifier(spark, sf_dir):
+    """Calibrated quality score of every document."""
+    features = stored(classifier.with_features(table(spark, sf_dir, "documents")), "features")
+    labels = classifier.training_labels(table(spark, sf_dir, "labels"), "quality")
+    held = crc_mod(F.col("doc_id"), 3) == 1
+    train = stored(features.filter(~held).join(labels, F.col("doc_id") == F.col("label_of")).drop("label_of"), "train")
+    scored = classifier.fit_and_score(features, train)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
