@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbook.llm import chat, classifier, embeddings, minhash, mixing, quality, warc
+from fleetbook.llm import chat, classifier, embeddings, minhash, mixing, quality, repeats, warc
 from fleetbook.llm.common import bound_batches, crc_mod, stored
 
 QUERIES = {}
@@ -173,3 +173,31 @@ def op9_quality_classifier(spark, sf_dir):
     train = stored(features.filter(~held).join(labels, F.col("doc_id") == F.col("label_of")).drop("label_of"), "train")
     scored = classifier.fit_and_score(features, train)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+# ------------------------------------------------------------------------------------ op5
+
+@query
+def op5_suffix_array_dedup(spark, sf_dir):
+    """Repeated 50-byte strings removed from all documents."""
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", F.col("rp_bytes").alias("n_bytes"), F.col("rp_removed").alias("n_removed"),
+                      F.col("rp_spans").alias("n_spans"), F.col("rp_sha256").alias("kept_sha256"))
+
+
+ORACLE["op5_suffix_array_dedup"] = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+pos as (select doc_id, h, unnest(range(0, cast(length(h) / 2 as bigint) - 49)) as i from d where length(h) >= 100),
+win as (select doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) as w from pos),
+low as (select w, min(doc_id) as m from win group by w),
+hit as (select doc_id, i from win join low using (w) where m < doc_id),
+runs as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as fresh from hit),
+grp as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as g from runs),
+spans as (select doc_id, g, min(i) as a, max(i) + 50 as b from grp group by doc_id, g),
+pieces as (select s.doc_id, s.a, s.b, coalesce(lag(s.b) over (partition by s.doc_id order by s.a), 0) as prev from spans s),
+left_over as (select d.doc_id, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' order by a) as part, max(b) as e,
+    sum(b - a) as n, count(*) as k from d join pieces p using (doc_id) group by d.doc_id)
+select d.doc_id, cast(length(h) / 2 as bigint) as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(k, 0) as n_spans,
+  sha256(unhex(case when k is null then h else part || substr(h, 2 * e + 1) end)) as kept_sha256
+from d left join left_over using (doc_id)
+"""
