@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbook.llm import chat, classifier, embeddings, minhash, mixing, quality, repeats, warc
+from fleetbook.llm import chat, classifier, embeddings, minhash, mixing, ngram, quality, repeats, warc
 from fleetbook.llm.common import bound_batches, crc_mod, stored
 
 QUERIES = {}
@@ -187,8 +187,9 @@ def op5_suffix_array_dedup(spark, sf_dir):
 
 ORACLE["op5_suffix_array_dedup"] = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-pos as (select doc_id, h, unnest(range(0, cast(length(h) / 2 as bigint) - 49)) as i from d where length(h) >= 100),
-win as (select doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) as w from pos),
+pos as (select doc_id, b, unnest(range(1, cast(length(h) / 2 as bigint) - 48)) as i
+  from (select doc_id, h, unhex(h) as b from d) where length(h) >= 100),
+win as (select doc_id, i - 1 as i, array_slice(b, i, i + 49) as w from pos),
 low as (select w, min(doc_id) as m from win group by w),
 hit as (select doc_id, i from win join low using (w) where m < doc_id),
 runs as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as fresh from hit),
@@ -201,3 +202,11 @@ select d.doc_id, cast(length(h) / 2 as bigint) as n_bytes, coalesce(n, 0)::bigin
   sha256(unhex(case when k is null then h else part || substr(h, 2 * e + 1) end)) as kept_sha256
 from d left join left_over using (doc_id)
 """
+
+
+# ------------------------------------------------------------------------------------ op6
+
+@query
+def op6_lm_scoring(spark, sf_dir):
+    """Base and model scores of all documents."""
+    return ngram.score_documents(table(spark, sf_dir, "documents"))
