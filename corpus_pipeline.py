@@ -1,11 +1,82 @@
-"""Corpus pipeline: documents through the stages of ``STAGES``, each written and read again."""
+"""Corpus pipeline: documents through quality rules, near-duplicate removal, removal of repeated
+passages, mixing to source weights and SentencePiece encoding.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as
+Parquet into the shared folder and reads it back as the next stage's documents.  All stages but
+the last return the columns of documents; rows are whole (all columns carried along).
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetbook.llm import minhash, mixing, pieces, quality, repeats
+from fleetbook.llm.common import bound_batches, stored
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source.
+
+    The fit is over the statistics of all documents; a second pass over the texts applies it, so
+    no text is shuffled.
+    """
+    bound_batches(spark)
+    stats = stored(quality.with_stats(docs, ["lang", "source"]), "stats")
+    judged = quality.judge(quality.with_stats(docs, docs.columns), quality.fit_mcd(stats))
+    return judged.filter("qs_kept").select(*_columns(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that with the smallest id; rows that repeat an
+    id are one document.  Documents without an id stay."""
+    bound_batches(spark)
+    found = minhash.near_duplicates(docs)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("nd_kept")).distinct()
+    named = docs.join(kept, docs["doc_id"] == kept["nd_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter(docs["doc_id"].isNull()))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 50 bytes that a document with a smaller id holds; a character
+    that lost a byte goes whole.  ``n_chars`` is that of the remaining text."""
+    bound_batches(spark)
+    out = repeats.remove_repeats(docs, docs.columns, texts=True)
+    new = {"text": F.col("rp_text"), "n_chars": F.char_length("rp_text").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them (0, 1 or 2 times)."""
+    bound_batches(spark)
+    return mixing.mix_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, in chunks."""
+    bound_batches(spark)
+    return pieces.encode_documents(docs).select("rec_id", "doc_id", "chunk_no", "n_chunks", "n_pieces", "ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing sources to target weights", source_mix),
+    ("SentencePiece encoding and decoding", encoded),
+]
+
+#: SQL cannot express the fits and the tokeniser; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -97,24 +97,24 @@ def _vector() -> list:
             F.sqrt(F.col("qs_n_repeat_words") / n)]
 
 
-X = [f"x{i}" for i in range(1, DIM + 1)]
+X = [f"qs_x{i}" for i in range(1, DIM + 1)]
 PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 FIT_SCHEMA = "level int, lang string, source string, n double, mean array<double>, inv array<double>"
 
 
 def _distance():
-    """Squared Mahalanobis distance from the joined ``mean`` and ``inv``."""
-    d = [F.col(X[i]) - F.col("mean")[i] for i in range(DIM)]
+    """Squared Mahalanobis distance from the joined ``qs_mean`` and ``qs_inv``."""
+    d = [F.col(X[i]) - F.col("qs_mean")[i] for i in range(DIM)]
     total = None
     for i, j in PAIRS:
-        term = (1 if i == j else 2) * F.col("inv")[i * DIM + j] * d[i] * d[j]
+        term = (1 if i == j else 2) * F.col("qs_inv")[i * DIM + j] * d[i] * d[j]
         total = term if total is None else total + term
     return F.greatest(total, F.lit(0.0))
 
 
 def _with_fit(rows: DataFrame, fit: DataFrame, how: str = "inner") -> DataFrame:
     f = fit.select(F.col("level").alias("f_level"), F.col("lang").alias("f_lang"), F.col("source").alias("f_source"),
-                   "n", "mean", "inv")
+                   F.col("mean").alias("qs_mean"), F.col("inv").alias("qs_inv"))
     on = (F.col("level") == F.col("f_level")) & F.col("lang").eqNullSafe(F.col("f_lang")) \
         & F.col("source").eqNullSafe(F.col("f_source"))
     return rows.join(f, on, how).drop("f_level", "f_lang", "f_source")
@@ -192,12 +192,12 @@ def judge(stats: DataFrame, fit: DataFrame) -> DataFrame:
     """``stats`` with qs_base_failed, qs_distance (null: no fit) and qs_kept."""
     own = fit.filter(F.col("level") == 0).filter(F.col("n") >= MIN_GROUP)
     wide = fit.filter((F.col("level") == 1) & (F.col("n") >= MIN_GROUP))
-    own = own.select(F.col("lang").alias("o_lang"), F.col("source").alias("o_source"), F.col("mean").alias("o_mean"), F.col("inv").alias("o_inv"))
-    wide = wide.select(F.col("lang").alias("w_lang"), F.col("mean").alias("w_mean"), F.col("inv").alias("w_inv"))
+    own = own.select(F.col("lang").alias("qs_o_lang"), F.col("source").alias("qs_o_source"), F.col("mean").alias("qs_o_mean"), F.col("inv").alias("qs_o_inv"))
+    wide = wide.select(F.col("lang").alias("qs_w_lang"), F.col("mean").alias("qs_w_mean"), F.col("inv").alias("qs_w_inv"))
     cols = [F.col(f"`{c}`") for c in stats.columns]
-    rows = stats.join(own, F.col("lang").eqNullSafe(F.col("o_lang")) & F.col("source").eqNullSafe(F.col("o_source")), "left") \
-        .join(wide, F.col("lang").eqNullSafe(F.col("w_lang")), "left")
-    rows = rows.select(*cols, F.coalesce("o_mean", "w_mean").alias("mean"), F.coalesce("o_inv", "w_inv").alias("inv"),
+    rows = stats.join(own, F.col("lang").eqNullSafe(F.col("qs_o_lang")) & F.col("source").eqNullSafe(F.col("qs_o_source")), "left") \
+        .join(wide, F.col("lang").eqNullSafe(F.col("qs_w_lang")), "left")
+    rows = rows.select(*cols, F.coalesce("qs_o_mean", "qs_w_mean").alias("qs_mean"), F.coalesce("qs_o_inv", "qs_w_inv").alias("qs_inv"),
                        *[x.alias(n) for x, n in zip(_vector(), X)])
     out = rows.select(*cols, base_failed().alias("qs_base_failed"), _distance().alias("qs_distance"))
     return out.withColumn("qs_kept", ~F.col("qs_base_failed") & ~F.coalesce(F.col("qs_distance") > CUTOFF, F.lit(False)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbook.llm import chat, classifier, embeddings, minhash, mixing, ngram, quality, repeats, warc
+from fleetbook.llm import chat, classifier, embeddings, minhash, mixing, ngram, pieces, quality, repeats, warc
 from fleetbook.llm.common import bound_batches, crc_mod, stored
 
 QUERIES = {}
@@ -210,3 +210,12 @@ from d left join left_over using (doc_id)
 def op6_lm_scoring(spark, sf_dir):
     """Base and model scores of all documents."""
     return ngram.score_documents(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------------------------ op2
+
+@query
+def op2_sentencepiece(spark, sf_dir):
+    """Every document's pieces, in chunks, with the result of decoding them again."""
+    out = pieces.encode_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "chunk_no", "n_chunks", "n_pieces", "ids", "round_trip")
