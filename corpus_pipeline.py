@@ -27,8 +27,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     bound_batches(spark)
     stats = stored(quality.with_stats(docs, ["lang", "source"]), "stats")
-    judged = quality.judge(quality.with_stats(docs, docs.columns), quality.fit_mcd(stats))
-    return judged.filter("qs_kept").select(*_columns(docs))
+    rows = docs.select(F.struct(*_columns(docs)).alias("doc"), "text", "lang", "source")
+    judged = quality.judge(quality.with_stats(rows, ["doc", "lang", "source"]), quality.fit_mcd(stats))
+    return judged.filter("qs_kept").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

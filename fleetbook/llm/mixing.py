@@ -105,12 +105,10 @@ def apply_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken."""
-    cols = [c for c in docs.columns]
-    keyed = docs.select(*cols, mix_key("doc_id").alias("mix_key"))
-    plan = mixing_plan(sized(docs))
-    taken = apply_plan(keyed, plan)
-    return (taken.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_repeats").cast("int"))))
-            .select(*[F.col(f"`{c}`") for c in cols]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")      # names cannot clash inside
+    taken = apply_plan(docs.select(row, "source", mix_key("doc_id").alias("mix_key")), mixing_plan(sized(docs)))
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("mix_repeats").cast("int")))
+    return taken.select("row", copies).select("row.*")
 
 
 def sized(docs: DataFrame) -> DataFrame:

@@ -72,14 +72,14 @@ def repeated_words(words: list) -> int:
 
 def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` plus qs_<statistic> of the whole text."""
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("qs_text"))
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(max(keep, key=len) + "_text"))   # a name none of them has
     schema = T.StructType(list(docs.select(*[F.col(f"`{c}`") for c in keep]).schema.fields)
                           + [T.StructField(f"qs_{s}", T.LongType()) for s in STATS])
 
     def run(batches):
         for batch in batches:
-            values = np.array([text_stats(t) for t in batch.column("qs_text").to_pylist()], dtype=np.int64).reshape(-1, DIM)
-            cols = [batch.column(c) for c in keep] + [pa.array(values[:, i]) for i in range(DIM)]
+            values = np.array([text_stats(t) for t in batch.column(len(keep)).to_pylist()], dtype=np.int64).reshape(-1, DIM)
+            cols = batch.columns[:len(keep)] + [pa.array(values[:, i]) for i in range(DIM)]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(f"qs_{s}" for s in STATS)])
 
     return src.mapInArrow(run, schema)

@@ -68,7 +68,7 @@ class Shard:
 
     def _windows(self, a, b):
         offsets = np.clip(self.offsets, a, b) - a
-        doc, start, width, gram = windows(self.data[a:b], offsets, self.prefix[a:b + 1])
+        doc, start, width, gram = windows(self.data[a:b], offsets, prefix_hash(self.data[a:b]))
         return doc, start + a, width, gram
 
     def slot_order(self, slots: int):
