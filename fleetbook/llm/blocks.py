@@ -24,8 +24,12 @@ from fleetbook.llm.common import stored
 BLOCK_BYTES = 3 << 20
 
 
-def squeeze(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+#: Compression of the blocks themselves, which are read several times; answers use level 1.
+BLOCK_LEVEL = 9
+
+
+def squeeze(data, level: int = 1) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
 
 
 def unsqueeze(data) -> bytes:
@@ -70,11 +74,11 @@ def build_blocks(docs: DataFrame, columns: list[str]) -> DataFrame:
             with pa.ipc.new_stream(sink, table.schema) as out:
                 out.write_table(table)
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()),
-                                               pa.array([squeeze(sink.getvalue())], pa.binary())], names=["block", "docs"])
+                                               pa.array([squeeze(sink.getvalue(), BLOCK_LEVEL)], pa.binary())], names=["block", "docs"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                piece = batch.slice(start, 64)
+            for start in range(0, batch.num_rows, 16):
+                piece = batch.slice(start, 16)
                 held.append(piece)
                 size += piece.column("text").cast(pa.large_string()).nbytes
                 if size >= BLOCK_BYTES:

@@ -34,7 +34,7 @@ from fleetbook.llm import blocks as B
 from fleetbook.llm.common import U64, batch_bytes, mix64, prefix_hash, span_hash
 from fleetbook.llm.suffixes import LENGTH, equal_runs, windows
 
-PIECE = 4 << 20
+PIECE = 1 << 20
 LAST_ID = np.iinfo(np.int64).max
 SLOTS_PER_TASK = 4
 
