@@ -44,6 +44,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_ids(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose long ``column`` is in the one-column table ``ids`` (stored).
+
+    Spark puts a Bloom filter of the ids, of fixed size, into the scan of ``rows``, so that long
+    texts that nobody asks for are not shuffled.  It does so for a side that is filtered, hence the
+    comparison, which every id passes.
+    """
+    rows.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    wanted = ids.select(F.col(ids.columns[0]).alias("wanted_id")).filter(F.col("wanted_id") >= F.lit(-2 ** 63).cast("long"))
+    return rows.join(wanted, rows[column] == wanted["wanted_id"], "left_semi")
+
+
 def ascii_lower(col):
     """Lower-case A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetbook.llm.common import (LOWER, U64, _splitmix, batch_bytes, mix64, prefix_hash, span_hash, stored, tokens)
+from fleetbook.llm.common import (LOWER, U64, _splitmix, batch_bytes, mix64, prefix_hash, span_hash, stored, tokens,
+                                  with_ids)
 from fleetbook.llm.graph import components
 
 HALVES = 9
@@ -154,12 +155,14 @@ def rest_pairs(sets: DataFrame, label: DataFrame) -> DataFrame:
     shared = items.join(often, "item").groupBy("rep").agg(
         F.array_sort(F.collect_list(F.struct("df", "item"))).alias("shared"))
     have = stored(sets.select("rep", "n").join(shared, "rep").join(label, "rep"), "rest")
-    # own = n - shared items occur in no other set; a prefix has n - ceil(0.85 n) + 1 items, own first
+    # own = n - shared items occur in no other set; a prefix has n - ceil(0.85 n) + 1 items, own
+    # first; ``after``: how many items of the set, this one included, follow in the order.  A pair
+    # has at most as many items in common as follow, in either set, the first one they share.
     need = F.ceil(num * F.col("n") / F.lit(den))
     have = have.withColumn("n_shared", F.size("shared").cast("long")).filter(F.col("n_shared") >= need)
     prefix = (F.col("n") - need + 1) - (F.col("n") - F.col("n_shared"))
-    rows = have.select("rep", "comp", "n", "n_shared", F.explode(F.slice("shared", 1, F.greatest(prefix, F.lit(0)).cast("int"))).alias("p")) \
-        .select("rep", "comp", "n", "n_shared", F.col("p.item").alias("item"))
+    rows = have.select("rep", "comp", "n", "n_shared", F.posexplode(F.slice("shared", 1, F.greatest(prefix, F.lit(0)).cast("int"))).alias("k", "p")) \
+        .select("rep", "comp", "n", (F.col("n_shared") - F.col("k")).alias("after"), F.col("p.item").alias("item"))
     rows = stored(rows, "rest-prefix")
     # items in sets of one component only have nothing to decide; elsewhere the commonest component
     # of an item is compared with the others, and the others among themselves
@@ -167,12 +170,12 @@ def rest_pairs(sets: DataFrame, label: DataFrame) -> DataFrame:
     main = stored(per.groupBy("item").agg(F.max_by("comp", F.struct("cnt", "comp")).alias("main"), F.count("*").alias("kinds"))
                   .filter("kinds > 1").select("item", "main"), "rest-main")
     rows = stored(rows.join(main, "item"), "rest-rows")
-    x = rows.filter("comp <> main").select("item", "main", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("n_shared").alias("sx"))
-    y = rows.select("item", F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("n_shared").alias("sy"))
+    x = rows.filter("comp <> main").select("item", "main", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("after").alias("ax"))
+    y = rows.select("item", F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("after").alias("ay"))
     together = (num * (F.col("nx") + F.col("ny"))) / F.lit(num + den)      # least number of common items
     hit = x.join(y, "item").filter((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
                                    & similar_size(F.col("nx"), F.col("ny"))
-                                   & (F.col("sx") >= together) & (F.col("sy") >= together))
+                                   & (F.col("ax") >= together) & (F.col("ay") >= together))
     return hit.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
@@ -186,11 +189,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                   .filter("hub < far").select(F.col("key").alias("k2"), "hub"), "hubs")
     met = keys.join(hubs, F.col("key") == F.col("k2")).select("rep", "hub").distinct()
     met = stored(met, "met")
-    wanted = met.select("rep").distinct()
+    wanted = stored(met.select("rep").distinct(), "wanted")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # the text of a class is that of its smallest id; of repeated ids, the rows whose digest is the class's
-    sets = document_sets(text.join(wanted.withColumnRenamed("rep", "r2"), F.col("doc_id") == F.col("r2"), "left_semi")
-                         .withColumnRenamed("doc_id", "rep"))
+    sets = document_sets(with_ids(text, "doc_id", wanted).withColumnRenamed("doc_id", "rep"))
     sets = stored(sets.filter("n > 0").groupBy("rep").agg(F.max_by(F.struct("n", "items"), "n").alias("v")).select("rep", "v.n", "v.items"), "sets")
     size = sets.select("rep", "n")
     near = met.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")) \
