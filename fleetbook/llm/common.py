@@ -40,7 +40,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     joins a plain scan, so that Spark inserts its own exchanges, which it can split on skew.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -106,11 +106,12 @@ def _clean_uri(uri, page_id):
     return F.regexp_replace(uri, r"[\x00-\x1f\x7f]", "%00")
 
 
-def write_archives(chunks: DataFrame, path: str) -> None:
+def write_archives(chunks: DataFrame, path: str, compression: str = "gzip") -> None:
     """Write the chunk table (stored) as WARC files below ``path``.
 
     The segments of a record stand together and in order.  A revisit record has no payload: its
-    chunks after the first are left out, the first is written empty.
+    chunks after the first are left out, the first is written empty.  ``compression``: gzip, as
+    archives usually are (a file is one gzip member and is read by one task), or none.
     """
     decided = revisits(chunks)
     rows = chunks.join(decided.withColumnRenamed("rec_id", "r2"), F.col("rec_id") == F.col("r2")) \
@@ -140,7 +141,7 @@ def write_archives(chunks: DataFrame, path: str) -> None:
         line("Content-Length", F.octet_length(data)), F.lit("\r\n"))
     value = F.concat(head.cast("binary"), data).cast("string")
     (rows.repartition("rec_id").sortWithinPartitions("rec_id", "chunk_no").select(value.alias("value"))
-     .write.option("lineSep", "\r\n\r\n").text(path))
+     .write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path))
 
 
 SEGMENTS = ("rec_id long, page_id long, uri string, kind string, segment int, whole boolean, refers_to long, "
