@@ -41,10 +41,13 @@ LOG_STEP = 4096                # a count is kept as round(log10(count) * LOG_STE
 # ------------------------------------------------------------------------- Elias-Fano levels
 
 class EliasFano:
-    """A non-decreasing sequence: low bits in a packed array, high bits in unary."""
+    """A non-decreasing sequence: low bits in an array of 0, 1, 2 or 4 bytes each, high bits in unary."""
+
+    KINDS = {0: np.uint8, 8: np.uint8, 16: np.dtype("<u2"), 32: np.dtype("<u4")}
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low = n, low_bits, low
+        self.n, self.low_bits = n, low_bits
+        self.low = np.frombuffer(low, dtype=self.KINDS[low_bits])
         bits = np.unpackbits(high)
         self.ones = np.flatnonzero(bits)[:n]
         self.zeros = np.flatnonzero(bits == 0)
@@ -53,19 +56,16 @@ class EliasFano:
     def encode(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
-        low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        bits = (values[:, None] >> np.arange(low_bits, dtype=U64)[None, :]).astype(np.uint8) & 1 if low_bits else np.zeros((n, 0), np.uint8)
+        best = (top // max(n, 1)).bit_length() - 1
+        low_bits = next((b for b in (0, 8, 16) if b >= best - 3), 32)
+        low = (values & U64((1 << low_bits) - 1)).astype(EliasFano.KINDS[low_bits]) if low_bits else np.zeros(0, np.uint8)
         high = (values >> U64(low_bits)).astype(np.int64)
         unary = np.zeros(n + (int(high[-1]) if n else 0) + 2, dtype=np.uint8)
         unary[high + np.arange(n)] = 1
-        return n, low_bits, np.packbits(bits.reshape(-1)), np.packbits(unary)
+        return n, low_bits, low.view(np.uint8), np.packbits(unary)
 
     def lows(self, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at), dtype=U64)
-        for k in range(self.low_bits):
-            bit = at * self.low_bits + k
-            out |= ((self.low[bit >> 3] >> (7 - (bit & 7))) & 1).astype(U64) << U64(k)
-        return out
+        return self.low[at].astype(U64) if self.low_bits else np.zeros(len(at), dtype=U64)
 
     def get(self, at: np.ndarray) -> np.ndarray:
         return ((self.ones[at] - at).astype(U64) << U64(self.low_bits)) | self.lows(at)
