@@ -19,7 +19,7 @@ BOOL_FALSE = ("0", "f", "F", "FALSE", "false", "False")
 
 _INT_RE = r"^[+-]?[0-9]+$"
 _BAD_ESCAPE = re.compile(r"%(?![0-9A-Fa-f]{2})")
-INT32_MIN, INT32_MAX = -(2 ** 31), 2 ** 31 - 1
+INT64_MIN, INT64_MAX = -(2 ** 63), 2 ** 63 - 1
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ class ListFilter:
             raw = get(key)
             if raw == "":
                 return default
-            if not re.match(_INT_RE, raw) or not INT32_MIN <= int(raw) <= INT32_MAX:
+            if not re.match(_INT_RE, raw) or not INT64_MIN <= int(raw) <= INT64_MAX:
                 raise ValueError(f"invalid {key}: {raw!r}")
             return int(raw)
 
@@ -99,15 +99,29 @@ def _raw_query(url: Column) -> Column:
 
 def query_param(url: Column, key: str) -> Column:
     """First value of ``key`` in the URL's query, decoded; '' when absent or malformed."""
-    raw = F.regexp_extract(_raw_query(url), f"(^|&){re.escape(key)}=([^&]*)", 2)
-    found = _raw_query(url).rlike(f"(^|&){re.escape(key)}=")
-    return F.when(found, F.coalesce(F.try_url_decode(raw), F.lit(""))).otherwise(F.lit(""))
+    return _first_value(query_pairs(url), key)
+
+
+def query_pairs(url: Column) -> Column:
+    """The query's well-formed pairs, decoded: array of (key, value) in their order.
+
+    A pair with a malformed escape in its key or value is dropped; the others still count.
+    """
+    pairs = F.filter(F.split(_raw_query(url), "&"), lambda p: (p != "") & ~p.rlike(_BAD_ESCAPE.pattern))
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), F.lit(""))
+    return F.transform(pairs, lambda p: F.struct(
+        decoded(F.regexp_extract(p, r"(?s)^([^=]*)", 1)).alias("key"),
+        decoded(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("value")))
+
+
+def _first_value(pairs: Column, key: str) -> Column:
+    hit = F.filter(pairs, lambda p: p["key"] == key)
+    return F.coalesce(F.get(hit, 0)["value"], F.lit(""))
 
 
 def _int_or_null(raw: Column) -> Column:
     ok = raw.rlike(_INT_RE)
-    val = F.when(ok, raw.try_cast("bigint"))
-    return F.when((val >= INT32_MIN) & (val <= INT32_MAX), val.cast("int"))
+    return F.when(ok, raw.try_cast("bigint"))
 
 
 def parse_filters(df: DataFrame, url_col: str = "url") -> DataFrame:
@@ -116,8 +130,9 @@ def parse_filters(df: DataFrame, url_col: str = "url") -> DataFrame:
     Adds: name, limit, page, pagination, available, assigned, deleted, not_an_employee,
     asset_types (array), warranty, is_expired, filter_error (first failing parameter, or NULL).
     """
-    url = F.col(url_col)
-    p = {k: query_param(url, k) for k in ("name", "limit", "page", "pagination", "available",
+    columns = df.columns
+    df = df.withColumn("__pairs", query_pairs(F.col(url_col)))
+    p = {k: _first_value(F.col("__pairs"), k) for k in ("name", "limit", "page", "pagination", "available",
                                      "assigned", "deleted", "notAnEmployee", "assetType",
                                      "warranty")}
     limit_i, page_i, warranty_i = (_int_or_null(p[k]) for k in ("limit", "page", "warranty"))
@@ -128,10 +143,10 @@ def parse_filters(df: DataFrame, url_col: str = "url") -> DataFrame:
     error = (F.when(limit_bad, F.lit("limit")).when(pag_bad, F.lit("pagination"))
              .when(warranty_bad, F.lit("warranty")).when(page_bad, F.lit("page")))
     return df.select(
-        "*",
+        *columns,
         p["name"].alias("name"),
-        F.when(p["limit"] == "", F.lit(DEFAULT_LIMIT)).otherwise(limit_i).alias("limit"),
-        F.when(p["page"] == "", F.lit(0)).otherwise(page_i).alias("page"),
+        F.when(p["limit"] == "", F.lit(DEFAULT_LIMIT).cast("bigint")).otherwise(limit_i).alias("limit"),
+        F.when(p["page"] == "", F.lit(0).cast("bigint")).otherwise(page_i).alias("page"),
         F.when(p["pagination"] == "", F.lit(True))
          .otherwise(p["pagination"].isin(*BOOL_TRUE)).alias("pagination"),
         p["available"].isin(*TRUE_SPELLINGS).alias("available"),
@@ -140,7 +155,7 @@ def parse_filters(df: DataFrame, url_col: str = "url") -> DataFrame:
         p["notAnEmployee"].isin(*TRUE_SPELLINGS).alias("not_an_employee"),
         F.when(p["assetType"] == "", F.array().cast("array<string>"))
          .otherwise(F.split(p["assetType"], ",", -1)).alias("asset_types"),
-        F.when(p["warranty"] == "", F.lit(0)).otherwise(warranty_i).alias("warranty"),
+        F.when(p["warranty"] == "", F.lit(0).cast("bigint")).otherwise(warranty_i).alias("warranty"),
         ((p["warranty"] != "") & (warranty_i == 0)).alias("is_expired"),
         error.alias("filter_error"),
     )

@@ -54,15 +54,16 @@ def existing_users(t: Tables, requests: DataFrame) -> DataFrame:
 
 
 def latest_open_session(t: Tables, ids: DataFrame | None = None) -> DataFrame:
-    """Per user, the newest session not yet ended (ties: highest session id).
+    """Per user, the newest session not yet ended (a NULL start counts as newest, as in a
+    descending order; ties: highest session id).
 
-    ``max_by`` over a (start_time, id) key is a partial aggregate: a user holding a large
+    The maximum of a (start_time, id) struct is a partial aggregate: a user holding a large
     share of all sessions is reduced per map task, not ranked in one window partition.
     """
     s = _semi(t.sessions.filter(F.col("end_time").isNull()), "user_id", ids)
-    key = F.struct("start_time", "id")
-    return (s.groupBy("user_id")
-            .agg(F.max_by("id", key).alias("session_id"), F.max("start_time").alias("start_time")))
+    newest = F.max(F.struct(F.col("start_time").isNull().alias("unset"), "start_time", "id"))
+    return (s.groupBy("user_id").agg(newest.alias("m"))
+            .select("user_id", F.col("m.id").alias("session_id"), F.col("m.start_time").alias("start_time")))
 
 
 def user_status(t: Tables, emails: DataFrame | None = None) -> DataFrame:

@@ -10,14 +10,10 @@ from pyspark.sql import functions as F
 from fleetbook.functions.filters import ListFilter
 from fleetbook.functions.predicates import all_of, contains_ci, warranty_predicate
 from fleetbook.plans.joins import left_join_many
-from fleetbook.plans.paging import page_rows, page_with_total, total_count
+from fleetbook.plans.paging import check_page, cut_page, page_rows, total_count
 from fleetbook.sources.schemas import SPEC_COLUMNS
 from fleetbook.sources.tables import Tables
 
-# Pages up to this many rows (offset + limit for the status list) are computed from broadcast
-# page ids; larger pages use the plans that join every asset.
-PAGE_BROADCAST_ROWS = 100_000
-
 LIST_COLUMNS = ["id", "brand", "model", "serial_no", "asset_type", "purchased_date", "status",
                 "warranty_expiry_date", "assigned_to_id", "name"]
 EXPORT_COLUMNS = LIST_COLUMNS[:8]
@@ -51,9 +47,8 @@ def current_holders(t: Tables, only: DataFrame | None = None) -> DataFrame:
     rel = t.relation.select(F.col("id").alias("rel_id"), "asset_id", "employee_id",
                             "retrieved_date")
     if only is not None:
-        # ``only`` is a page of asset ids (at most PAGE_BROADCAST_ROWS rows): broadcast it
-        rel = rel.join(F.broadcast(only.select(F.col("id").alias("__only"))),
-                       F.col("asset_id") == F.col("__only"), "left_semi")
+        # ``only`` is a page of assets: Spark broadcasts its ids if they turn out to be few
+        rel = restrict(rel, "asset_id", only)
     emp = t.employee.select(F.col("id").alias("e_id"), F.col("name").alias("e_name"),
                             F.col("archived_at").alias("e_archived_at"))
     joined = rel.join(emp, rel["employee_id"] == emp["e_id"], "left")
@@ -95,15 +90,9 @@ def asset_list(t: Tables, flt: ListFilter, as_of: dt.datetime) -> DataFrame:
     """Page of live assets with their current holder and the total (``pagination`` ignored).
 
     Which assets are listed (and the total) needs only per-asset counts (a hash aggregate).
-    The holder is then computed for the page's assets alone: at most ``limit`` ids, broadcast
-    to the relation scan.  A page larger than ``PAGE_BROADCAST_ROWS`` takes the plan that
-    computes every asset's holder instead.
+    The holder is then computed for the page's assets alone, whose ids restrict the relation scan.
     """
-    if flt.limit < 0 or flt.page < 0:
-        raise ValueError("LIMIT and OFFSET must not be negative")
-    if flt.limit > PAGE_BROADCAST_ROWS:
-        return page_with_total(asset_list_rows(t, flt, as_of), ["id"], flt.limit, flt.page,
-                               LIST_COLUMNS)
+    check_page(flt.limit, flt.page)
     a = t.assets.filter(all_of([F.col("archived_at").isNull(), *_asset_filters(flt, as_of)]))
     v = visibility(t)
     listed = (a.join(v, a["id"] == v["asset_id"], "left")
@@ -111,7 +100,7 @@ def asset_list(t: Tables, flt: ListFilter, as_of: dt.datetime) -> DataFrame:
               .select("id", "brand", "model", "serial_no", "asset_type", "purchased_date", "status",
                       "warranty_expiry_date", "is_available"))
     page = page_rows(listed, ["id"], flt.offset, flt.limit)
-    h = current_holders(t, only=page)
+    h = current_holders(t, only=page.select("id"))
     held = F.col("is_available") == F.lit(False)
     out = page.join(h, page["id"] == h["asset_id"], "left").select(
         *EXPORT_COLUMNS,
@@ -148,18 +137,21 @@ def status_predicate(flt: ListFilter, as_of: dt.datetime, strict: bool = False)
 
 
 def asset_status_rows(t: Tables, flt: ListFilter, as_of: dt.datetime,
-                      strict: bool = False) -> DataFrame:
-    """Unpaged rows of the status list: one row per relation ever (no "current" filter)."""
-    a = t.assets.filter(status_predicate(flt, as_of, strict)).select(
+                      strict: bool = False, restricted: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """Unpaged rows of the status list: one row per relation ever (no "current" filter).
+
+    ``restricted``: the assets of ``t`` are filtered already; ``carry``: asset columns to keep."""
+    carry = carry or []
+    a = (t.assets if restricted else t.assets.filter(status_predicate(flt, as_of, strict))).select(
         "id", "brand", "model", "serial_no", "asset_type", "purchased_date", "status",
-        "warranty_expiry_date")
+        "warranty_expiry_date", *carry)
     rel = t.relation.select(F.col("id").alias("rel_id"), F.col("asset_id").alias("rel_asset"),
                             "employee_id")
     ar = left_join_many(a, rel, "id", "rel_asset")
     emp = t.employee.select(F.col("id").alias("e_id"), F.col("name").alias("e_name"))
     are = ar.join(emp, ar["employee_id"] == emp["e_id"], "left")
     return are.select(
-        *EXPORT_COLUMNS, "rel_id",
+        *EXPORT_COLUMNS, "rel_id", *carry,
         F.when(F.col("status") == "assigned", F.col("e_id")).alias("assigned_to_id"),
         F.when(F.col("status").isin("assigned", "deleted"), F.col("e_name"))
          .otherwise(F.lit("")).alias("name"))
@@ -174,27 +166,17 @@ def asset_list_by_status(t: Tables, flt: ListFilter, as_of: dt.datetime,
     """
     if not flt.pagination:
         return asset_status_rows(t, flt, as_of, strict).select(*EXPORT_COLUMNS)
-    if flt.limit < 0 or flt.page < 0:
-        raise ValueError("LIMIT and OFFSET must not be negative")
-    reach = flt.offset + flt.limit
-    if reach > PAGE_BROADCAST_ROWS:
-        rows = asset_status_rows(t, flt, as_of, strict)
-        return page_with_total(rows, ["id", "rel_id"], flt.limit, flt.page, LIST_COLUMNS)
+    check_page(flt.limit, flt.page)
     a = t.assets.filter(status_predicate(flt, as_of, strict))
-    # total = join rows = per listed asset max(1, its relations): per-asset counts only
+    # one row per listed asset with its number of result rows, max(1, its relations)
     per_asset = t.relation.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_rel"))
-    total = (a.select("id").join(per_asset, F.col("id") == F.col("asset_id"), "left")
-             .agg(F.coalesce(F.sum(F.coalesce("n_rel", F.lit(1))), F.lit(0)).cast("bigint")
-                  .alias("total_count")))
-    # every asset yields at least one row, so the first ``reach`` rows come from the first
-    # ``reach`` assets: at most ``reach`` ids, broadcast to the relation scan
-    first = a.select("id").orderBy("id").limit(reach)
-    rel = t.relation.join(F.broadcast(first.select(F.col("id").alias("__f"))),
-                          F.col("asset_id") == F.col("__f"), "left_semi")
-    cand = a.join(F.broadcast(first.select(F.col("id").alias("__f"))), F.col("id") == F.col("__f"),
-                  "left_semi")
-    rows = asset_status_rows(t.with_(assets=cand, relation=rel), flt, as_of, strict)
-    page = page_rows(rows, ["id", "rel_id"], flt.offset, flt.limit)
+    weighed = (a.select("id").join(per_asset, F.col("id") == F.col("asset_id"), "left")
+               .select("id", F.coalesce("n_rel", F.lit(1)).alias("n_rel")))
+    total = weighed.agg(F.coalesce(F.sum("n_rel"), F.lit(0)).cast("bigint").alias("total_count"))
+    cut = cut_page(weighed, "id", flt.offset, flt.limit, F.col("n_rel"))
+    few = t.with_(assets=cut.restrict(a), relation=cut.restrict(t.relation, "asset_id").drop("__b"))
+    rows = asset_status_rows(few, flt, as_of, strict, restricted=True, carry=["__b"])
+    page = cut.take(rows, ["id", "rel_id"])
     return page.select(total.scalar().alias("total_count"), *LIST_COLUMNS)
 
 
@@ -207,7 +189,7 @@ def asset_export(t: Tables, flt: ListFilter, as_of: dt.datetime, strict: bool =
 
 
 def _specs(t: Tables, asset_type: str, ids: DataFrame | None, first_flag: bool) -> DataFrame:
-    a = _restrict(t.assets, "id", ids)
+    a = restrict(t.assets, "id", ids)
     common = [F.col("a.id").alias("asset_id")] + [F.col(f"a.{c}").alias(c) for c in SPEC_COMMON]
     if asset_type == "mouse":
         extra = [F.lit(True).alias("__first")] if first_flag else []
@@ -219,7 +201,8 @@ def _specs(t: Tables, asset_type: str, ids: DataFrame | None, first_flag: bool)
     j = a.alias("a").join(spec.alias("s"), F.col("a.id") == F.col("s.asset_id"), "inner")
     if not first_flag:
         return j.select(*common, *fam)
-    first = spec.groupBy("asset_id").agg(F.min("id").alias("first_spec_id")).alias("f")
+    first = (restrict(spec, "asset_id", ids).groupBy("asset_id")
+             .agg(F.min("id").alias("first_spec_id")).alias("f"))
     j = j.join(first, F.col("s.asset_id") == F.col("f.asset_id"), "inner")
     return j.select(*common, *fam, (F.col("s.id") == F.col("f.first_spec_id")).alias("__first"))
 
@@ -244,7 +227,7 @@ def all_specs(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     Five left joins on the asset id; each family table has one row per asset, so the joins
     add columns, not rows (an asset with several rows in a family gets one row per row).
     """
-    out = _restrict(t.assets, "id", ids).select(F.col("id").alias("asset_id"), *SPEC_COMMON)
+    out = restrict(t.assets, "id", ids).select(F.col("id").alias("asset_id"), *SPEC_COMMON)
     for family, prefix in FAMILY_PREFIX.items():
         spec = t.spec(family).select(F.col("asset_id").alias(f"__{prefix}"),
                                      *[F.col(c).alias(f"{prefix}_{c}") for c in SPEC_COLUMNS[family]])
@@ -343,7 +326,7 @@ ASSET_HISTORY_COLUMNS = ["id", "brand", "model", "serial_no", "asset_type", "ass
                          "retrieved_date", "retrieval_reason"]
 
 
-def _restrict(df: DataFrame, key: str, ids: DataFrame | None) -> DataFrame:
+def restrict(df: DataFrame, key: str, ids: DataFrame | None) -> DataFrame:
     if ids is None:
         return df
     k = ids.select(F.col(ids.columns[0]).alias("__k")).distinct()
@@ -352,7 +335,7 @@ def _restrict(df: DataFrame, key: str, ids: DataFrame | None) -> DataFrame:
 
 def assignee_history(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     """Employees (not archived) who held each asset, with the relation dates."""
-    rel = _restrict(t.relation, "asset_id", ids)
+    rel = restrict(t.relation, "asset_id", ids)
     e = t.employee.filter(F.col("archived_at").isNull())
     j = rel.alias("r").join(e.alias("e"), F.col("e.id") == F.col("r.employee_id"), "inner")
     return j.select(
@@ -363,7 +346,7 @@ def assignee_history(t: Tables, ids: DataFrame | None = None) -> DataFrame:
 
 def asset_history(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     """Live assets each employee held; ``ids=None`` answers every employee."""
-    rel = _restrict(t.relation, "employee_id", ids)
+    rel = restrict(t.relation, "employee_id", ids)
     a = t.assets.filter(F.col("archived_at").isNull())
     j = rel.alias("r").join(a.alias("a"), F.col("r.asset_id") == F.col("a.id"), "inner")
     return j.select(
@@ -382,7 +365,8 @@ def open_relations(t: Tables) -> DataFrame:
 
 def open_counts_by_asset(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     """Per asset, the number of open relations (0 when none); partial aggregation."""
-    counts = open_relations(t).groupBy("asset_id").agg(F.count(F.lit(1)).alias("open_count"))
-    a = _restrict(t.assets.select(F.col("id").alias("asset_id")), "asset_id", ids)
+    counts = (restrict(open_relations(t), "asset_id", ids)
+              .groupBy("asset_id").agg(F.count(F.lit(1)).alias("open_count")))
+    a = restrict(t.assets.select(F.col("id").alias("asset_id")), "asset_id", ids)
     return (a.join(counts, "asset_id", "left")
             .select("asset_id", F.coalesce("open_count", F.lit(0).cast("bigint")).alias("open_count")))

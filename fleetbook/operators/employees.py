@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from fleetbook.functions.filters import ListFilter
 from fleetbook.functions.predicates import contains_ci
-from fleetbook.operators.assets import PAGE_BROADCAST_ROWS, asset_history, open_relations
+from fleetbook.operators.assets import asset_history, open_relations, restrict
 from fleetbook.plans.joins import left_join_many
-from fleetbook.plans.paging import page_rows, page_with_total, total_count
+from fleetbook.plans.paging import check_page, page_rows, page_with_total, total_count
 from fleetbook.sources.tables import Tables
 
 EMPLOYEE_COLUMNS = ["id", "name", "email", "phone_no", "status", "type", "archived_at",
@@ -77,20 +77,17 @@ def employee_list(t: Tables, flt: ListFilter, strict: bool = False) -> DataFrame
 
     Without an asset-type filter the predicate reads employee columns only, so the listed
     employees and the total come from the employee table alone, and relations are counted
-    just for the page's employees (at most ``limit`` ids, broadcast into the relation scan).
-    With a type filter, or a page above ``PAGE_BROADCAST_ROWS``, every employee's per-type
-    counts are computed first.
+    just for the page's employees.  A type filter reads the relations of every employee, so
+    per-type counts come first.
     """
-    if flt.limit < 0 or flt.page < 0:
-        raise ValueError("LIMIT and OFFSET must not be negative")
-    if flt.asset_types or flt.limit > PAGE_BROADCAST_ROWS:
+    check_page(flt.limit, flt.page)
+    if flt.asset_types:
         return page_with_total(employee_rows(t, flt, strict), ["id"], flt.limit, flt.page,
                                LIST_COLUMNS)
     listed = (t.employee.select(*EMPLOYEE_COLUMNS)
               .filter(F.coalesce(employee_predicate(flt, strict), F.lit(False))))
     page = page_rows(listed, ["id"], flt.offset, flt.limit)
-    ids = F.broadcast(page.select(F.col("id").alias("__p")))
-    counts = (t.relation.join(ids, F.col("employee_id") == F.col("__p"), "left_semi")
+    counts = (restrict(t.relation, "employee_id", page.select("id"))
               .groupBy("employee_id").agg(F.count(F.lit(1)).alias("n")))
     out = page.join(counts, page["id"] == counts["employee_id"], "left").select(
         *EMPLOYEE_COLUMNS, F.coalesce("n", F.lit(0)).cast("bigint").alias("asset_quantity"))
@@ -111,33 +108,37 @@ def employee_detail(t: Tables, flt: ListFilter, employee_id: str = "",
     if strict:
         if ids is None:
             raise ValueError("strict detail needs ids")
-        k = ids.select(F.col(ids.columns[0]).alias("__k")).distinct()
-        rows = employee_rows(t, flt, strict=True).join(k, F.col("id") == F.col("__k"), "left_semi")
-        hist = asset_history(t, ids)
+        t = t.with_(employee=restrict(t.employee, "id", ids), relation=restrict(t.relation, "employee_id", ids))
+        rows = employee_rows(t, flt, strict=True)
+        hist = asset_history(t)
         h = hist.select(F.col("employee_id").alias("h_owner"),
                         *[F.col(c).alias(f"h_{c}") for c in hist_cols])
         out = left_join_many(rows, h, "id", "h_owner")
         return out.select(*LIST_COLUMNS, *[f"h_{c}" for c in hist_cols])
     f = ListFilter(**{**flt.__dict__, "employee_id": employee_id})
     page = employee_list(t, f, strict=False)
-    first_id = page.agg(F.min("id")).scalar()
     rel = t.relation
     if employee_id != "":
         rel = rel.filter(F.col("employee_id").cast("string") == F.lit(employee_id))
     hist = asset_history(t.with_(relation=rel))
-    # every history row belongs to the page's first row: an equi-join on that id
-    h = hist.select(first_id.alias("__to"), *[F.col(c).alias(f"h_{c}") for c in hist_cols])
-    out = left_join_many(page, h, "id", "__to")
-    return out.select("total_count", *LIST_COLUMNS, *[f"h_{c}" for c in hist_cols])
+    # every history row goes to the page's first row, whose columns are one scalar: no join at all
+    row = ["total_count", *LIST_COLUMNS]
+    first = page.agg(F.min(F.struct("id", *[c for c in row if c != "id"])).alias("first"))
+    h = hist.select(F.col("employee_id"), *[F.col(c).alias(f"h_{c}") for c in hist_cols])
+    given = (h.withColumn("__first", first.scalar()).filter(F.col("__first").isNotNull())
+             .select(*[F.col(f"__first.{c}").alias(c) for c in row], *[f"h_{c}" for c in hist_cols]))
+    found = h.agg(F.count(F.lit(1))).scalar()
+    rest = page.filter((F.col("id") != page.agg(F.min("id")).scalar()) | (found == 0))
+    for f in given.schema.fields[len(row):]:
+        rest = rest.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return given.unionByName(rest.select(*given.columns))
 
 
 def open_counts_by_employee(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     """Per employee, the number of open relations (0 when none)."""
-    counts = open_relations(t).groupBy("employee_id").agg(F.count(F.lit(1)).alias("open_count"))
-    e = t.employee.select(F.col("id").alias("employee_id"))
-    if ids is not None:
-        k = ids.select(F.col(ids.columns[0]).alias("__k")).distinct()
-        e = e.join(k, F.col("employee_id") == F.col("__k"), "left_semi")
+    counts = (restrict(open_relations(t), "employee_id", ids)
+              .groupBy("employee_id").agg(F.count(F.lit(1)).alias("open_count")))
+    e = restrict(t.employee.select(F.col("id").alias("employee_id")), "employee_id", ids)
     return (e.join(counts, "employee_id", "left")
             .select("employee_id",
                     F.coalesce("open_count", F.lit(0).cast("bigint")).alias("open_count")))

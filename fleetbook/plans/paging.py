@@ -1,61 +1,116 @@
-"""Paging with a total, without a single-partition window.
+"""Paging with a total, in one lazy plan for pages of any size and depth.
 
 ``count(*) over ()`` plans an ``Exchange SinglePartition`` over every row.  The total here is
 a global aggregate (partial counts per task, one row at the end) attached to the page as a
-scalar subquery: no window over all rows and no join.  The page itself is a top-(offset+limit) per task
-followed by a merge (``TakeOrderedAndProject``), so no task sorts the whole result.
+scalar subquery.
+
+Pages are cut by counting.  The order key is mapped monotonically to one of ``BUCKETS`` numbers
+between its smallest and largest value, rows are counted per bucket, and the running sum over
+the bucket table (at most ``BUCKETS`` rows) tells in which buckets the page begins and ends.  Only
+rows of those buckets and between them are kept - a plain filter - and ranked inside their
+bucket, whose first row index is known.  Nothing else is sorted, no task holds offset + limit
+rows, and nothing runs before the page is read.  Keys that crowd a small part of their range
+share buckets; that costs time, not rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Pages ending beyond this row index are taken from a range-sorted copy instead of a
-# per-task top-(offset+limit), which would hold offset+limit rows in every task.
-DEEP_PAGE_ROWS = 1_000_000
+BUCKETS = 1 << 16
+LAST_INDEX = 2 ** 63 - 1
 
 
 def total_count(df: DataFrame, name: str = "total_count") -> DataFrame:
-    """One row: the number of rows of ``df`` (bounded size, safe to broadcast)."""
+    """One row: the number of rows of ``df``."""
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
-def page_rows(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
-    """Rows ``[offset, offset + limit)`` of ``df`` in ``order`` (a total order).
+def position(df: DataFrame, key: str) -> Column:
+    """The key as a number in the key's order (strings by their first seven bytes)."""
+    if isinstance(df.schema[key].dataType, T.StringType):
+        head = F.rpad(F.substring(F.hex(F.col(key).cast("binary")), 1, 14), 14, "0")
+        return F.conv(head, 16, 10).cast("double")
+    return F.col(key).cast("double")
+
+
+@dataclass(frozen=True)
+class PageCut:
+    """Where a page lies; ``where`` is one scalar: the key's range and the buckets of the page's
+    first and last row."""
+
+    key: str
+    where: Column
+    buckets: DataFrame      # (b, before): row index at which each bucket starts
+    offset: int
+    limit: int
+
+    def restrict(self, df: DataFrame, key: str | None = None) -> DataFrame:
+        """Rows of ``df`` in the page's buckets (``__b``); ``key`` is the name of the key in ``df``."""
+        placed = df.withColumn("__cut", self.where)
+        placed = placed.withColumn("__b", _bucket(position(df, key or self.key), F.col("__cut")))
+        return placed.filter((F.col("__b") >= F.col("__cut.first")) & (F.col("__b") <= F.col("__cut.last"))).drop("__cut")
+
+    def take(self, rows: DataFrame, order: list[str]) -> DataFrame:
+        """The page's rows of ``rows``: everything ``restrict`` keeps, in the total ``order``."""
+        cols = [c for c in rows.columns if c != "__b"]
+        ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__b").orderBy(*order)))
+        starts = self.buckets.select(F.col("b").alias("__c"), "before")
+        index = F.col("before") + F.col("__rank") - 1
+        end = min(self.offset + self.limit, LAST_INDEX)
+        return (ranked.join(starts, F.col("__b") == F.col("__c"))
+                .filter((index >= self.offset) & (index < end)).select(*cols))
+
+
+def _bucket(at: Column, ends: Column) -> Column:
+    """Bucket of a key at position ``at`` in the range ``ends.low`` .. ``ends.high``."""
+    share = (at - ends["low"]) / (ends["high"] - ends["low"] + 1)
+    return F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
 
-    Shallow pages: ``orderBy.offset.limit`` (``TakeOrderedAndProject``).  Deep pages: the rows
-    are range-partitioned by ``order`` and checkpointed (so partition boundaries are the same
-    in every later job), each partition's row count gives its first global index, and a row's
-    index is that plus its rank inside the partition; only the page's index range is kept.
-    No task holds more than its own partition, and nothing reaches the driver.
+
+def cut_page(keys: DataFrame, key: str, offset: int, limit: int, weight: Column | None = None) -> PageCut:
+    """Find the page ``[offset, offset + limit)`` of rows ordered by ``key``.
+
+    ``keys`` has one row per key value (or per row); ``weight`` is how many result rows it stands
+    for (default 1).
     """
-    if offset + limit <= DEEP_PAGE_ROWS:
-        return df.orderBy(*order).offset(offset).limit(limit)
-    from fleetbook.plans.session import cut_lineage
-
-    sorted_ = cut_lineage(df.orderBy(*order).withColumn("__part", F.spark_partition_id()))
-    counts = sorted_.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    # one row per partition: a window over this small table is cheap
-    starts = counts.withColumn(
-        "__start", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__start")
-    ranked = sorted_.withColumn("__rank", F.row_number().over(
-        Window.partitionBy("__part").orderBy(*order)))
-    indexed = ranked.join(F.broadcast(starts), "__part").withColumn(
-        "__idx", F.col("__start") + F.col("__rank") - 1)
-    page = indexed.filter((F.col("__idx") >= offset) & (F.col("__idx") < offset + limit))
-    return page.drop("__part", "__start", "__rank", "__idx")
-
-
-def page_with_total(df: DataFrame, order: list[Column | str], limit: int, page: int,
+    last = max(min(offset + limit, LAST_INDEX) - 1, 0)
+    weighed = keys.select(position(keys, key).alias("__at"), (weight if weight is not None else F.lit(1)).cast("bigint").alias("__n"))
+    ends = weighed.agg(F.struct(F.min("__at").alias("low"), F.max("__at").alias("high")).alias("ends"))
+    coded = weighed.withColumn("__ends", ends.scalar())
+    sums = coded.groupBy(_bucket(F.col("__at"), F.col("__ends")).alias("b")).agg(      # at most BUCKETS rows
+        F.sum("__n").alias("n"), F.max("__ends").alias("__ends"))
+    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("b", "__ends", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    holds = lambda index: F.max(F.when(F.col("before") <= index, F.col("b")))
+    where = starts.agg(F.struct(holds(offset).alias("first"), holds(last).alias("last"), F.max("__ends.low").alias("low"),
+                                F.max("__ends.high").alias("high")).alias("cut"))
+    return PageCut(key, where.scalar(), starts.select("b", "before"), offset, limit)
+
+
+def page_rows(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
+    """Rows ``[offset, offset + limit)`` of ``df`` in ``order`` (a total order whose first column
+    is never NULL)."""
+    cut = cut_page(df, order[0], offset, limit)
+    return cut.take(cut.restrict(df), order)
+
+
+def page_with_total(df: DataFrame, order: list[str], limit: int, page: int,
                     columns: list[str] | None = None) -> DataFrame:
     """Rows ``[limit*page, limit*page + limit)`` of ``df`` in ``order``, each with the total.
 
     An empty page has no rows.  ``order`` must be a total order or pages overlap.
     """
-    if limit < 0 or page < 0:
-        raise ValueError("LIMIT and OFFSET must not be negative")
+    check_page(limit, page)
     columns = columns or df.columns
     page_df = page_rows(df, order, limit * page, limit)
     return page_df.select(total_count(df).scalar().alias("total_count"), *columns)
+
+
+def check_page(limit: int, page: int) -> None:
+    if limit < 0 or page < 0 or limit * page > LAST_INDEX:
+        raise ValueError("LIMIT and OFFSET must not be negative or beyond 64 bits")
