@@ -107,4 +107,5 @@ def read_requests(spark: SparkSession, path: str, op: str) -> tuple[DataFrame, D
 
 def write_requests(df: DataFrame, path: str, op: str, mode: str = "errorifexists") -> None:
     """Store a request frame as JSON lines with the body names (used to feed streams)."""
-    to_json_names(df, op).write.mode(mode).json(path)
+    # the default pattern would cut timestamps to milliseconds
+    to_json_names(df, op).write.mode(mode).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)

@@ -1,84 +1,29 @@
-"""Login policy as a stateful stream (per-user state across micro-batches).
-
-Stateless checks (domain, known e-mail, password) run as ordinary stream operators, the
-e-mail looked up in the static ``users`` table (stream-static join).  Valid attempts are
-grouped by user and fed to ``applyInPandasWithState``: the state is the user's
-(type, warnings, status), seeded from ``users`` on first sight; each micro-batch's attempts
-of a user are applied in ``seq`` order.  Equals the batch operator (W16) when attempts arrive
-in ``seq`` order across micro-batches; later arrivals are taken as they come.
-
-The per-key function is a small helper (a handful of rows per user per micro-batch); all
-joins, filters and the grouping run in Spark.  A key's rows within one micro-batch are held
-by one task; micro-batch size is bounded by ``maxFilesPerTrigger``.
+"""Login policy as a stream: every micro-batch of attempts is applied with the batch operator.
+
+What an attempt does depends only on the user's stored state and on whether 0, 1 or more valid
+attempts came before it, which W16 has in closed form.  So the stream keeps no state of its own:
+users and sessions are tables, each micro-batch reads those the last one committed, and writes
+new versions of both together with the outcomes.  Equals W16 on the whole log when attempts
+arrive in ``seq`` order across micro-batches; later arrivals are taken as they come.  Malformed
+lines go to the rejects.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-from fleetbook.sources.requests import from_json_names, json_schema
-
-OUTCOME_SCHEMA = "seq long, email string, user_id long, outcome string"
-STATE_SCHEMA = "type string, times int, status string"
-
-
-def _step(user_type: str, times: int, status: str) -> tuple[str, str, int, str]:
-    """One valid attempt: (outcome, new type, new warnings, new status)."""
-    if user_type == "unauthorized" and times == 0:
-        return "warned", "unauthorized", times + 1, "warned"
-    if user_type == "unauthorized" and times > 0:
-        return "blocked_now", "blocked", times + 1, "black_listed"
-    if user_type == "blocked":
-        return "blocked", user_type, times, status
-    return "session", user_type, times, status
-
+from functools import partial
 
-def _apply_user(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
-    if state.exists:
-        user_type, times, status = state.get
-    else:
-        first = rows.iloc[0]
-        user_type, times, status = first["u_type"], int(first["u_times"]), first["u_status"]
-    outcomes = []
-    for seq, email in zip(rows["seq"], rows["email"]):
-        outcome, user_type, times, status = _step(user_type, times, status)
-        outcomes.append(outcome)
-    state.update((user_type, int(times), status))
-    yield pd.DataFrame({"seq": rows["seq"].astype("int64"), "email": rows["email"],
-                        "user_id": rows["user_id"].astype("int64"), "outcome": outcomes})
+from pyspark.sql import SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
+from fleetbook.operators.login import login_outcomes
+from fleetbook.streaming.request_stream import apply_request_stream
 
-def login_policy_stream(spark: SparkSession, attempts: DataFrame, users: DataFrame,
-                        company_domain: str) -> DataFrame:
-    """Streaming outcomes (seq, email, user_id, outcome) for a stream of login attempts."""
-    u = users.select(F.col("id").alias("user_id"), F.col("email").alias("__ue"),
-                     F.col("type").alias("u_type"), F.col("authentication_times").alias("u_times"),
-                     F.col("status").alias("u_status"))
-    a = attempts.join(u, attempts["email"] == u["__ue"], "left")
-    domain = F.try_element_at(F.split(F.col("email"), "@"), F.lit(2))
-    pre = (F.when(domain.isNull(), F.lit("invalid"))
-           .when(domain != F.lit(company_domain), F.lit("bad_domain"))
-           .when(F.col("user_id").isNull(), F.lit("wrong_email"))
-           .when(~F.coalesce(F.col("password_ok"), F.lit(False)), F.lit("wrong_password"))
-           .when(F.col("u_times").isNull(), F.lit("invalid")))
-    a = a.withColumn("__pre", pre)
-    rejected = a.filter(F.col("__pre").isNotNull()).select(
-        F.col("seq").cast("long"), "email", F.col("user_id").cast("long"), F.col("__pre").alias("outcome"))
-    valid = a.filter(F.col("__pre").isNull()).select(
-        F.col("seq").cast("long"), "email", F.col("user_id").cast("long"), "u_type",
-        F.col("u_times").cast("int"), "u_status")
-    decided = valid.groupBy("user_id").applyInPandasWithState(
-        _apply_user, OUTCOME_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    return decided.unionByName(rejected)
+OPERATION = "login_attempts"
+OUTCOMES = "login_outcomes"
 
 
-def read_attempt_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
-    raw = (spark.readStream.schema(json_schema("login_attempts"))
-           .option("maxFilesPerTrigger", max_files_per_trigger).json(path))
-    return from_json_names(raw, "login_attempts").drop("_corrupt_record")
+def login_policy_stream(spark: SparkSession, attempts_dir: str, base_dir: str, out_root: str, checkpoint_dir: str,
+                        company_domain: str, max_files_per_trigger: int = 1, available_now: bool = True) -> StreamingQuery:
+    """Start the stream; ``current_tables`` then has users and sessions, ``emitted`` the outcomes."""
+    return apply_request_stream(spark, OPERATION, partial(login_outcomes, company_domain=company_domain), attempts_dir,
+                                base_dir, out_root, checkpoint_dir, max_files_per_trigger, available_now)

@@ -1,20 +1,25 @@
-"""Apply a stream of request files to the inventory tables, micro-batch by micro-batch.
+"""Apply streams of request files to the inventory tables, micro-batch by micro-batch.
 
 ``readStream`` over a folder of JSON request files (one operation per folder) feeds
 ``foreachBatch``: each micro-batch is applied with the same batch operator as the offline
-path, to the tables left by the previous micro-batch, and the changed tables are written to a
-new version folder.  A version becomes visible only when its row is appended to the
-``_versions`` table, so a failed or retried epoch (Spark re-runs it with the same id) simply
-overwrites its own folder and commits once.  Files are taken oldest first; with
-``maxFilesPerTrigger`` the order across files is arrival order, and inside a micro-batch the
-operator orders by ``seq``.  Order *across operations* is the trigger order of their
-streams, not ``seq`` (each operation has its own stream).
+path, to the tables left by the last committed batch of any operation, and the changed tables
+are written to a new version folder.  A version becomes visible only when its rows are appended
+to the ``_versions`` table.  A commit is known by (operation, epoch): every operation's stream
+counts its epochs from 0, and a failed or retried epoch (Spark re-runs it with the same id)
+overwrites its own folder and commits once.  Versions are numbered in commit order; the streams
+that share an ``out_root`` take turns (one writer at a time).  Lines that are no request are kept
+in ``_rejects`` with their text.
+
+Files are taken oldest first; with ``maxFilesPerTrigger`` the order across files is arrival
+order, and inside a micro-batch the operator orders by ``seq``.  Order *across operations* is
+the trigger order of their streams, not ``seq``.
 """
 
 from __future__ import annotations
 
 from typing import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,17 +32,24 @@ from fleetbook.sources.tables import TABLE_TO_ATTR, Tables, load_tables
 VERSIONS = "_versions"
 
 
+VERSION_SCHEMA = "version long, operation string, epoch long, table_name string, path string"
+REJECT_SCHEMA = "operation string, epoch long, seq long, reason string, line string"
+MALFORMED = "malformed request"
+
+
 def _versions(spark: SparkSession, out_root: str) -> DataFrame | None:
+    """The commit log; None only where no log exists yet (any other failure is raised)."""
     try:
-        return spark.read.schema("epoch long, table_name string, path string").json(
-            f"{out_root}/{VERSIONS}")
-    except Exception:  # noqa: BLE001 - no version committed yet
+        return spark.read.schema(VERSION_SCHEMA).json(f"{out_root}/{VERSIONS}")
+    except AnalysisException as why:
+        if why.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
-def committed(spark: SparkSession, out_root: str, epoch_id: int) -> bool:
+def committed(spark: SparkSession, out_root: str, operation: str, epoch_id: int) -> bool:
     v = _versions(spark, out_root)
-    return v is not None and not v.filter(F.col("epoch") == epoch_id).isEmpty()
+    return v is not None and not v.filter((F.col("operation") == operation) & (F.col("epoch") == epoch_id)).isEmpty()
 
 
 def current_tables(spark: SparkSession, base_dir: str, out_root: str) -> Tables:
@@ -46,8 +58,8 @@ def current_tables(spark: SparkSession, base_dir: str, out_root: str) -> Tables:
     versions = _versions(spark, out_root)
     if versions is None:
         return tables
-    latest = (versions.groupBy("table_name").agg(F.max_by("path", "epoch").alias("path"))
-              .collect())  # one row per table: bounded by the number of tables
+    latest = (versions.filter(F.col("table_name").isin(*TABLE_NAMES)).groupBy("table_name")
+              .agg(F.max_by("path", "version").alias("path")).collect())  # one row per table
     changed = {}
     for row in latest:
         schema = getattr(tables, TABLE_TO_ATTR[row["table_name"]]).schema
@@ -55,33 +67,53 @@ def current_tables(spark: SparkSession, base_dir: str, out_root: str) -> Tables:
     return tables.with_(**changed)
 
 
+def rejects(spark: SparkSession, out_root: str) -> DataFrame:
+    """Rejected requests and malformed lines of all committed batches."""
+    versions = _versions(spark, out_root)
+    if versions is None:
+        return spark.createDataFrame([], REJECT_SCHEMA)
+    roots = [r["path"] for r in versions.filter(F.col("table_name") == VERSIONS).select("path").collect()]  # one per batch
+    return spark.read.schema(REJECT_SCHEMA).parquet(*[f"{r}/_rejects" for r in roots])
+
+
+def emitted(spark: SparkSession, out_root: str, name: str) -> DataFrame | None:
+    """What all committed batches put out under ``name`` (an output that is no table)."""
+    versions = _versions(spark, out_root)
+    paths = [] if versions is None else [r["path"] for r in versions.filter(F.col("table_name") == name).select("path").collect()]
+    return spark.read.parquet(*paths) if paths else None
+
+
 def apply_micro_batch(batch: DataFrame, epoch_id: int, operator: Callable[[Tables, DataFrame], Changes],
-                      base_dir: str, out_root: str) -> bool:
+                      base_dir: str, out_root: str, operation: str = "requests") -> bool:
     """Apply one micro-batch to the last committed tables and commit a new version.
 
-    Returns False (and changes nothing) when ``epoch_id`` is already committed: Spark re-runs
-    an epoch after a failure between the commit and its own checkpoint, and applying the same
-    requests twice would, e.g., close relations twice.
+    Returns False (and changes nothing) when (``operation``, ``epoch_id``) is already committed:
+    Spark re-runs an epoch after a failure between the commit and its own checkpoint, and applying
+    the same requests twice would, e.g., close relations twice.
     """
     spark = batch.sparkSession
-    if committed(spark, out_root, epoch_id):
+    if committed(spark, out_root, operation, epoch_id):
         return False
+    log = _versions(spark, out_root)
+    version = 1 + (0 if log is None else log.agg(F.max("version")).first()[0])
+    bad = None
     if "_corrupt_record" in batch.columns:
+        bad = batch.filter(F.col("_corrupt_record").isNotNull()).select(
+            F.lit(None).cast("long").alias("seq"), F.lit(MALFORMED).alias("reason"), F.col("_corrupt_record").alias("line"))
         batch = batch.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     tables = current_tables(spark, base_dir, out_root)
     changes = operator(tables, batch)
-    rows = []
-    for name, df in changes.tables.items():
-        if name not in TABLE_NAMES:
-            continue
-        path = f"{out_root}/epoch={epoch_id}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        rows.append((int(epoch_id), name, path))
-    changes.rejects.withColumn("epoch", F.lit(int(epoch_id))).write.mode("overwrite").parquet(
-        f"{out_root}/epoch={epoch_id}/_rejects")
-    # commit point: the version rows (one per changed table) are appended last
-    (spark.createDataFrame(rows, "epoch long, table_name string, path string")
-     .coalesce(1).write.mode("append").json(f"{out_root}/{VERSIONS}"))
+    root = f"{out_root}/operation={operation}/epoch={epoch_id}"
+    rows = [(version, operation, int(epoch_id), VERSIONS, root)]
+    for name, df in changes.tables.items():       # new versions of tables, and other outputs of the batch
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        rows.append((version, operation, int(epoch_id), name, f"{root}/{name}"))
+    refused = changes.rejects.select("seq", "reason", F.lit(None).cast("string").alias("line"))
+    refused = refused if bad is None else refused.unionByName(bad)
+    refused.select(F.lit(operation).alias("operation"), F.lit(int(epoch_id)).cast("long").alias("epoch"), "seq", "reason", "line") \
+        .write.mode("overwrite").parquet(f"{root}/_rejects")
+    # commit point: the version rows (one for the batch, one per changed table) are appended last
+    (spark.createDataFrame(rows, VERSION_SCHEMA).coalesce(1).write.mode("append").json(f"{out_root}/{VERSIONS}"))
     return True
 
 
@@ -95,7 +127,7 @@ def apply_request_stream(spark: SparkSession, op: str, operator: Callable[[Table
     requests = from_json_names(raw, op)
 
     def apply_batch(batch: DataFrame, epoch_id: int) -> None:
-        apply_micro_batch(batch, epoch_id, operator, base_dir, out_root)
+        apply_micro_batch(batch, epoch_id, operator, base_dir, out_root, op)
 
     writer = requests.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

@@ -32,3 +32,32 @@ def test_rerun_epoch_is_applied_once(spark):
     base = load_tables(spark, f"{root}/base")
     assert base.relation.count() == 1  # the base version is never modified
     assert rel.filter(F.col("retrieved_date").isNull()).count() == 1
+
+
+def test_operations_share_a_root_and_bad_lines_are_kept(spark):
+    """Two operations both count from epoch 0; malformed lines are rejects; a broken log is an error."""
+    import pytest
+
+    from fleetbook.streaming import request_stream as rs
+    root = f"{ensure_checkpoint_dir(spark)}/stream-test-{uuid.uuid4().hex}"
+    t = tables(spark, assets=[dict(id=1, brand="B", model="M", serial_no="S", asset_type="laptop",
+                                   purchased_date=D(1995, 1, 1), warranty_start_date=D(1995, 1, 1),
+                                   warranty_expiry_date=D(1999, 1, 1), status="available", is_available=True)],
+               employee=[dict(id=1, name="n", email="e@x.io", phone_no="1", status="active")])
+    write_snapshot(t, f"{root}/base")
+    one = spark.createDataFrame([(1, TS(1997, 1, 1), 9, 1, D(2000, 1, 1), D(2001, 1, 1))],
+                                "seq long, req_ts timestamp, actor_id long, asset_id long, warranty_start_date date, warranty_expiry_date date")
+    two = spark.createDataFrame([(1, TS(1997, 1, 1), 9, 1, 1, "1997-01-02", None), (None, None, None, None, None, None, "{oops")],
+                                "seq long, req_ts timestamp, actor_id long, asset_id long, employee_id long, assigned_date string, _corrupt_record string")
+    args = (f"{root}/base", f"{root}/out")
+    assert apply_micro_batch(one, 0, asset_writes.update_warranty, *args, "update_warranty")
+    assert apply_micro_batch(two, 0, asset_writes.assign_assets, *args, "assign_assets")
+    assert not apply_micro_batch(two, 0, asset_writes.assign_assets, *args, "assign_assets")
+    now = current_tables(spark, *args)
+    assert now.relation.count() == 1
+    assert rows(now.assets, "warranty_expiry_date") == [(D(2001, 1, 1),)]
+    assert rows(rs.rejects(spark, f"{root}/out"), "operation", "reason", "line") == [("assign_assets", rs.MALFORMED, "{oops")]
+    # only a missing log counts as empty
+    assert rs._versions(spark, f"{root}/nowhere") is None
+    with pytest.raises(Exception):
+        rs._versions(spark, "nosuchscheme://x/y")
