@@ -38,6 +38,13 @@ def _open_guard(t: Tables, req: DataFrame, emp_col: str, applies=None):
     return j, busy
 
 
+def _live_targets(requests: DataFrame, table: DataFrame) -> DataFrame:
+    """Requests whose target row exists and is not archived; the others change nothing, so they
+    neither take nor claim a value."""
+    live = table.filter(F.col("archived_at").isNull()).select(F.col("id").alias("__live"))
+    return requests.join(mentioned(live, "__live", requests, "id"), F.col("id") == F.col("__live"), "left_semi")
+
+
 def _clean(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("__") or c == "open_count"])
 
@@ -70,7 +77,7 @@ def update_employees(t: Tables, requests: DataFrame) -> Changes:
     ok, rej1 = split_by_reason(requests, reason)
     j, busy = _open_guard(t, ok, "id", F.col("status") == "not_an_employee")
     ok, rej2 = split_by_reason(j, F.when(busy, F.lit("asset is assigned to this employee")))
-    base = _clean(ok)
+    base = _live_targets(_clean(ok), t.employee)
     ok = with_taken_flag(base, t.employee, "email", "id", live_only=False, batch=base)
     ok = with_claim_flag(ok, claims_table(base, "email", "id"), "email", "id")
     ok, rej3 = split_by_reason(ok, F.when(F.col("__taken_email") | F.col("__claimed_email"),
@@ -136,7 +143,8 @@ def update_users(t: Tables, requests: DataFrame) -> Changes:
     """Live user rows take the last accepted request's name, e-mail, phone, password hash
     and ``updated_at``.  Rejected: validation, an e-mail of another user, a phone of another
     live user, or a value claimed earlier in the batch for another user."""
-    base, rej1 = split_by_reason(requests, _vreason(user_errors()))
+    valid, rej1 = split_by_reason(requests, _vreason(user_errors()))
+    base = _live_targets(valid, t.users)
     ok = with_taken_flag(base, t.users, "email", "id", live_only=False, batch=base)
     ok = with_taken_flag(ok, t.users, "phone_no", "id", live_only=True, batch=base)
     ok = with_claim_flag(ok, claims_table(base, "email", "id"), "email", "id")

@@ -60,7 +60,8 @@ def integrity_report(t: Tables) -> DataFrame:
     parts = [
         _checked(t.users, "users", [
             ("name not null", nn("name")), ("email not null", nn("email")),
-            ("phone_no not null", nn("phone_no")), ("email not empty", F.col("email") == ""),
+            ("phone_no not null", nn("phone_no")), ("password not null", nn("password")),
+            ("email not empty", F.col("email") == ""),
             ("type in domain", _outside("type", USER_TYPES)),
             ("status in domain", _outside("status", USER_STATUSES))], []),
         _unique(t.users, "users", "email", "email unique"),
@@ -79,6 +80,7 @@ def integrity_report(t: Tables) -> DataFrame:
             ("purchased_date not null", nn("purchased_date")),
             ("warranty_start_date not null", nn("warranty_start_date")),
             ("warranty_expiry_date not null", nn("warranty_expiry_date")),
+            ("created_by not null", nn("created_by")),
             ("asset_type in domain", _outside("asset_type", ASSET_TYPES)),
             ("status in domain", _outside("status", ASSET_STATUSES)),
             ("owned_by in domain", _outside("owned_by", OWNED_BY))],
@@ -90,10 +92,14 @@ def integrity_report(t: Tables) -> DataFrame:
             [("employee_id", t.employee, "employee_id references employee"),
              ("asset_id", t.assets, "asset_id references assets"),
              ("assigned_by", t.users, "assigned_by references users")]),
-        _checked(t.sessions, "sessions", [], [("user_id", t.users, "user_id references users")]),
+        _checked(t.sessions, "sessions", [("user_id not null", nn("user_id"))], [("user_id", t.users, "user_id references users")]),
     ]
     for name, spec in (("laptop_specifications", t.laptop), ("pen_drive_specifications", t.pen_drive),
                        ("hard_disk_specifications", t.hard_disk),
                        ("mobile_specifications", t.mobile), ("sim_specifications", t.sim)):
-        parts.append(_checked(spec, name, [], [("asset_id", t.assets, "asset_id references assets")]))
+        needed = ["asset_id", "storage"] if name in ("pen_drive_specifications", "hard_disk_specifications") else ["asset_id"]
+        parts.append(_checked(spec, name, [(f"{c} not null", nn(c)) for c in needed],
+                              [("asset_id", t.assets, "asset_id references assets")]))
+    for name, df in t.by_name().items():
+        parts.append(_unique(df, name, "id", "id unique"))
     return reduce(DataFrame.unionByName, parts)

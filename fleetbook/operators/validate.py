@@ -32,10 +32,6 @@ def _errors(rules: list[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]))
 
 
-def _cols(df: DataFrame, *names: str) -> bool:
-    return all(n in df.columns for n in names)
-
-
 def asset_create_errors() -> Column:
     """V1 (create): brand, type, the three dates required; type and ownership in domain."""
     return _errors([

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Go zero values used when a request field is absent (NULL in the request frame).
+# Go zero value of a date, used when a request leaves it out (NULL in the request frame).
 ZERO_DATE = "0001-01-01"
 
 
@@ -78,24 +78,6 @@ def new_id(op: str, seq: Column | str, id_type: T.DataType = T.LongType()) -> Co
     return F.xxhash64(F.lit(op), s)
 
 
-def zero_str(c: str) -> Column:
-    """A string request field; absent -> '' (Go zero value)."""
-    return F.coalesce(F.col(c).cast("string"), F.lit(""))
-
-
-def zero_date(c: str) -> Column:
-    """A date request field; absent -> 0001-01-01 (Go zero time written as a date)."""
-    return F.coalesce(F.col(c).cast("date"), F.lit(ZERO_DATE).cast("date"))
-
-
-def reject_rows(df: DataFrame, reason: Column) -> DataFrame:
-    return df.select("seq", reason.alias("reason"))
-
-
-def empty_rejects(spark) -> DataFrame:
-    return spark.createDataFrame([], "seq long, reason string")
-
-
 def split_by_reason(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """(accepted requests, rejects(seq, reason)) for a NULL-when-fine ``reason`` column."""
     tagged = df.withColumn("__reason", reason)

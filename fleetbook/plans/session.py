@@ -61,11 +61,14 @@ def apply_conf(spark: SparkSession, conf: dict) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names shared storage and is used as is; only when it is unset
-    (local tests) is a scratch folder created.
+    The setting names shared storage and is used as is.  Where it is unset, a local session
+    (tests, benchmark) gets a scratch folder; any other session is refused, because executors
+    would not share a folder of this machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="fleetbook-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     try:

@@ -33,7 +33,8 @@ def save_bucketed(tables: Tables, database: str, buckets: int) -> None:
     spark.sql(f"create database if not exists {database}")
     for name, df in tables.by_name().items():
         key = BUCKET_KEYS[name]
-        (df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+        # one task per bucket, so that a bucket is one file
+        (df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
          .saveAsTable(f"{database}.{name}"))
 
 

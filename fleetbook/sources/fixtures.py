@@ -8,13 +8,16 @@ view names on DuckDB.  Test-time "now" is ``AS_OF``; session time zone UTC.
 from __future__ import annotations
 
 import datetime as dt
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetbook.sources.schemas import table_schema
 from fleetbook.sources.tables import TABLE_TO_ATTR, Tables, conform
 
 AS_OF = dt.datetime(1997, 6, 15, 12, 0, 0)
+# Ids of assets that no relation and no specification mentions start here.
+SPARE_ASSETS = 10_000_000
 ARCHIVED = "timestamp '1997-01-01 00:00:00'"
 
 # Derived views: name -> (SQL template, source tables it reads).
@@ -51,7 +54,8 @@ select p_partkey as id, p_brand as brand, p_type as model, concat('SN', cast(p_p
   case when p_partkey % 20 = 19 then {ARCHIVED} else cast(null as timestamp) end as archived_at,
   case when p_partkey % 20 = 19 then 'broken' else cast(null as string) end as archive_reason,
   case when p_partkey % 20 = 19 then cast(0 as bigint) else cast(null as bigint) end as deleted_by
-from {{part}}""", ("part",)),
+from (select p_partkey, p_brand, p_type, p_size from {{part}}
+  union all select p_partkey + {SPARE_ASSETS}, p_brand, p_type, p_size from {{part}} where p_partkey % 50 = 3) p""", ("part",)),
     "employee_asset_relation": ("""
 select l_orderkey * 100 + n as id,
   case when l_partkey % 50 = 1 then cast(7 as bigint) when is_open and o_custkey % 10 in (7, 8) then o_custkey - 2 else o_custkey end as employee_id,
@@ -63,34 +67,35 @@ from (select *, (r = 1 and l_partkey % 2 = 0) as is_open from (
   select *,
     row_number() over (partition by l_partkey order by l_shipdate desc, l_orderkey desc, l_linenumber desc, l_suppkey desc, l_extendedprice desc) as r,
     row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) as n
-  from {lineitem} where l_partkey % 50 <> 3) x) y
+  from {lineitem}) x) y
 join {orders} on l_orderkey = o_orderkey""", ("lineitem", "orders")),
     "laptop_specifications": (f"""
 select p_partkey as asset_id, p_type as series, concat('cpu', cast(p_size % 4 as string)) as processor,
   concat(cast(8 * (1 + p_size % 4) as string), 'GB') as ram, 'linux' as operating_system, p_size % 4 < 2 as charger,
   '1920x1080' as screen_resolution, concat(cast(256 * (1 + p_size % 3) as string), 'GB') as storage,
   case when p_partkey % 20 = 19 then {ARCHIVED} else cast(null as timestamp) end as archived_at
-from {{part}} where p_size % 6 = 0 and p_partkey % 11 <> 5""", ("part",)),
+from {{part}} where p_size % 6 = 0""", ("part",)),
     "pen_drive_specifications": (f"""
 select p_partkey as asset_id, concat(cast(16 * (1 + p_size % 4) as string), 'GB') as storage,
   case when p_partkey % 20 = 19 then {ARCHIVED} else cast(null as timestamp) end as archived_at
-from {{part}} where p_size % 6 = 2 and p_partkey % 11 <> 5""", ("part",)),
+from {{part}} where p_size % 6 = 2""", ("part",)),
     "hard_disk_specifications": (f"""
 select p_partkey as asset_id, concat(cast(1 + p_size % 4 as string), 'TB') as storage,
   case when p_partkey % 20 = 19 then {ARCHIVED} else cast(null as timestamp) end as archived_at
-from {{part}} where p_size % 6 = 3 and p_partkey % 11 <> 5""", ("part",)),
+from {{part}} where p_size % 6 = 3""", ("part",)),
     "mobile_specifications": (f"""
 select p_partkey as asset_id, case when p_partkey % 2 = 0 then 'android' else 'ios' end as os_type,
   lpad(cast(p_partkey as string), 15, '1') as imei_1, lpad(cast(p_partkey as string), 15, '2') as imei_2,
   concat(cast(4 * (1 + p_size % 3) as string), 'GB') as ram,
   case when p_partkey % 20 = 19 then {ARCHIVED} else cast(null as timestamp) end as archived_at
-from {{part}} where p_size % 6 = 4 and p_partkey % 11 <> 5""", ("part",)),
+from {{part}} where p_size % 6 = 4""", ("part",)),
     "sim_specifications": (f"""
 select p_partkey as asset_id, concat('SIM', cast(p_partkey as string)) as sim_no, lpad(cast(p_partkey as string), 10, '7') as phone_no,
   case when p_partkey % 20 = 19 then {ARCHIVED} else cast(null as timestamp) end as archived_at
-from {{part}} where p_size % 6 = 5 and p_partkey % 11 <> 5""", ("part",)),
+from {{part}} where p_size % 6 = 5""", ("part",)),
     "sessions": ("""
-select event_id as id, user_id % 10 as user_id, cast(ts as timestamp) as start_time,
+select event_id as id, user_id % 10 as user_id,
+  case when event_id % 97 = 13 then cast(null as timestamp) else cast(ts as timestamp) end as start_time,
   case when event_type in ('purchase', 'error') then cast(null as timestamp) else cast(ts as timestamp) + interval '1' hour end as end_time
 from {events}""", ("events",)),
 }
@@ -125,21 +130,15 @@ _SHARED: dict[tuple[str, str], Tables] = {}
 
 
 def shared_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """``build_tables`` kept per (application, folder) and persisted, for the query registry.
-
-    The registry runs many queries over the same derived tables; persisting them avoids
-    re-deriving the relation fixture (two windows over lineitem) for every query.  Spark
-    recomputes lost cached blocks from lineage, so an executor loss costs time, not results.
-    """
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - Spark Connect sessions expose no SparkContext
-        app = f"session-{id(spark)}"
-    key = (app, sf_dir)
+    """The derived tables, stored once per (application, folder) in the shared folder, for the
+    query registry: every query then reads stored tables, as a deployment does, and a lost
+    executor costs nothing but a re-read."""
+    from fleetbook.plans.session import ensure_checkpoint_dir
+
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SHARED or _SHARED[key].users.sparkSession is not spark:
-        built = build_tables(spark, sf_dir)
-        _SHARED[key] = Tables(**{a: df.persist(StorageLevel.MEMORY_AND_DISK)
-                                 for a, df in built.__dict__.items()})
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetbook-tables-{uuid.uuid4().hex}"
+        _SHARED[key] = materialize(spark, sf_dir, root)
     return _SHARED[key]
 
 
