@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fleetbook.catalog_reads import ORACLE, QUERIES, URL_SQL
 from fleetbook.catalog_writes import (ATTEMPT_SQL, COMPANY_DOMAIN, DELETE_REQ, REASSIGN_REQ,
                                       REGISTER_REQ, REGISTER_USER_REQ, REL_COLS, UPSERT_REQ,
-                                      _bind, _ctes, _req)
+                                      SESSION_COLS, WARRANTY_REQ, _bind, _ctes, _req)
 from fleetbook.functions.filters import query_param
 from fleetbook.functions.predicates import to_flag
 from fleetbook.operators import asset_writes as aw
@@ -19,8 +19,8 @@ from fleetbook.plans.session import ensure_checkpoint_dir
 from fleetbook.sources.fixtures import duckdb_ctes, read_source, shared_tables
 from fleetbook.sources.requests import write_requests
 from fleetbook.sources.tables import load_tables, write_snapshot
-from fleetbook.streaming.login_stream import login_policy_stream, read_attempt_stream
-from fleetbook.streaming.request_stream import apply_request_stream, current_tables
+from fleetbook.streaming.login_stream import OUTCOMES, login_policy_stream
+from fleetbook.streaming.request_stream import apply_request_stream, current_tables, emitted
 
 
 def T(spark, sf):
@@ -51,6 +51,18 @@ def _oracle_integrity() -> str:
                            ("email not empty", "email = ''"),
                            ("type in domain", dom("type", ["authorized", "unauthorized", "blocked"])),
                            ("status in domain", dom("status", ["white_listed", "black_listed", "warned"]))])
+    parts += [f"select 'users', 'password not null', count(*) from users",
+              f"select 'assets', 'created_by not null', count(*) from assets",
+              "select 'sessions', 'user_id not null', count(*) from sessions where user_id is null"]
+    parts += [uniq(name, "id", "id unique") for name in ("users", "employee", "assets", "employee_asset_relation", "sessions")]
+    parts += [f"select '{s}', 'asset_id not null', count(*) from {s} where asset_id is null" for s in (
+        "laptop_specifications", "pen_drive_specifications", "hard_disk_specifications",
+        "mobile_specifications", "sim_specifications")]
+    parts += [f"select '{s}', 'storage not null', count(*) from {s} where storage is null" for s in (
+        "pen_drive_specifications", "hard_disk_specifications")]
+    parts += [f"select '{s}', 'id unique', 0" for s in (
+        "laptop_specifications", "pen_drive_specifications", "hard_disk_specifications",
+        "mobile_specifications", "sim_specifications")]
     parts += [uniq("users", "email", "email unique"),
               uniq("users", "phone_no", "live phone_no unique", "archived_at is null")]
     parts += rows("employee", [("name not null", "name is null"), ("email not null", "email is null"),
@@ -168,39 +180,67 @@ def _s01(spark, sf):
     write_snapshot(T(spark, sf), f"{root}/base")
     t = load_tables(spark, f"{root}/base")
     req = _req(spark, t, REASSIGN_REQ)
-    # first moves arrive before second moves: two files, taken one per micro-batch
+    # first moves arrive before second moves: each wave of files is one micro-batch
     for k in (1, 2):
-        write_requests(req.filter(F.col("seq") % 10 == k).coalesce(1), f"{root}/requests",
-                       "reassign_assets", mode="append")
-    q = apply_request_stream(spark, "reassign_assets", aw.reassign_assets, f"{root}/requests",
-                             f"{root}/base", f"{root}/out", f"{root}/checkpoint")
-    q.awaitTermination()
+        write_requests(req.filter(F.col("seq") % 10 == k), f"{root}/requests", "reassign_assets", mode="append")
+        apply_request_stream(spark, "reassign_assets", aw.reassign_assets, f"{root}/requests", f"{root}/base",
+                             f"{root}/out", f"{root}/checkpoint", max_files_per_trigger=1000).awaitTermination()
     return current_tables(spark, f"{root}/base", f"{root}/out").relation.select(*REL_COLS)
 
 
+def _s01_two(spark, sf):
+    """Two operations in turn on one set of tables; both streams count their epochs from 0."""
+    root = _scratch(spark)
+    write_snapshot(T(spark, sf), f"{root}/base")
+    t = load_tables(spark, f"{root}/base")
+    for op, sql, run in (("update_warranty", WARRANTY_REQ, aw.update_warranty),
+                         ("reassign_assets", REASSIGN_REQ, aw.reassign_assets)):
+        write_requests(_req(spark, t, sql), f"{root}/{op}", op)
+        apply_request_stream(spark, op, run, f"{root}/{op}", f"{root}/base", f"{root}/out", f"{root}/checkpoint-{op}",
+                             max_files_per_trigger=1000).awaitTermination()
+    return current_tables(spark, f"{root}/base", f"{root}/out").relation.select(*REL_COLS)
+
+
+QUERIES["s01_two_operations_stream"] = _s01_two
+ORACLE["s01_two_operations_stream"] = ORACLE["w05_reassign_relations"]
 QUERIES["s01_reassign_stream"] = _s01
 ORACLE["s01_reassign_stream"] = ORACLE["w05_reassign_relations"]
 
 
 def _s02(spark, sf):
+    """All attempts in three waves of files, one micro-batch each; returns the stream's root."""
     root = _scratch(spark)
+    write_snapshot(T(spark, sf), f"{root}/base")
     attempts = spark.sql(ATTEMPT_SQL, events=read_source(spark, sf, "events"))
-    top = attempts.agg(F.max("seq")).first()[0]  # one scalar: where to cut the files
+    top = attempts.agg(F.max("seq")).first()[0]  # one scalar: where to cut the waves
     for k in range(3):
         part = attempts.filter((F.col("seq") * 3 / (top + 1)).cast("int") == k)
-        write_requests(part.coalesce(1), f"{root}/attempts", "login_attempts", mode="append")
-    users = T(spark, sf).users
-    stream = login_policy_stream(spark, read_attempt_stream(spark, f"{root}/attempts"), users,
-                                 COMPANY_DOMAIN)
-    q = (stream.writeStream.format("parquet").option("path", f"{root}/outcomes")
-         .option("checkpointLocation", f"{root}/checkpoint").outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/outcomes").select("seq", "email", "outcome")
-
-
-QUERIES["s02_login_policy_stream"] = _s02
+        write_requests(part, f"{root}/attempts", "login_attempts", mode="append")
+        login_policy_stream(spark, f"{root}/attempts", f"{root}/base", f"{root}/out", f"{root}/checkpoint", COMPANY_DOMAIN,
+                            max_files_per_trigger=1000).awaitTermination()
+    return root
+
+
+def _s02_outcomes(spark, sf):
+    return emitted(spark, f"{_s02(spark, sf)}/out", OUTCOMES).select("seq", "email", "outcome")
+
+
+def _s02_users(spark, sf):
+    root = _s02(spark, sf)
+    return current_tables(spark, f"{root}/base", f"{root}/out").users.select("id", "type", "status", "authentication_times")
+
+
+def _s02_sessions(spark, sf):
+    root = _s02(spark, sf)
+    return current_tables(spark, f"{root}/base", f"{root}/out").sessions.select(*SESSION_COLS)
+
+
+QUERIES["s02_login_policy_stream"] = _s02_outcomes
 ORACLE["s02_login_policy_stream"] = ORACLE["w16_login_outcomes"]
+QUERIES["s02_login_users"] = _s02_users
+ORACLE["s02_login_users"] = ORACLE["w16_login_users"]
+QUERIES["s02_login_sessions"] = _s02_sessions
+ORACLE["s02_login_sessions"] = ORACLE["w16_login_sessions"]
 
 # --------------------------------------------------------------------------- sources and sinks
 
@@ -250,8 +290,8 @@ def _x03(spark, sf):
 QUERIES["x03_report_round_trip"] = _x03
 ORACLE["x03_report_round_trip"] = (
     "select id, name, email, authentication_times as \"authenticationTimes\", status, "
-    "start_time as \"lastLoginTime\" from (" + oracle_access("authorized", "").replace(
-        "select users.id", duckdb_ctes(["users", "sessions"]) + " select users.id", 1) + ") q")
+    "start_time as \"lastLoginTime\" from (" + duckdb_ctes(["users", "sessions"])
+    + oracle_access("authorized", "") + ") q")
 
 # Sign-up events become new sessions of their user (append of derived rows)
 SIGNUP_SQL = """

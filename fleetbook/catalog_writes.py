@@ -365,13 +365,22 @@ from {{employee}}
 union all
 select id * 10 + 1, {REQ_TS.format(s='id + 2')}, id, concat(name, ' v3'), concat('v3.', email),
   phone_no, 'intern', 'active'
-from {{employee}} where id % 6 = 0"""
+from {{employee}} where id % 6 = 0
+union all
+select id * 10 + 2, {REQ_TS.format(s='id')}, id + 1000000, 'nobody', concat('v2.', email), phone_no, type, 'active'
+from {{employee}} where id % 5 = 1
+union all
+select -id, {REQ_TS.format(s='id')}, id, name, concat('v2.emp', cast(id + 1 as string), '@example.com'), phone_no, type, 'active'
+from {{employee}} where archived_at is not null"""
+_UE_LIVE = "exists (select 1 from employee l where l.id = {a}.id and l.archived_at is null)"
 _UE_ACC = (f"select * from req r where {_valid_emp('r')} "
            "and r.status in ('active', 'deleted', 'not_an_employee') "
            "and not (status = 'not_an_employee' and exists (select 1 from employee_asset_relation x "
            "where x.employee_id = r.id and x.retrieved_date is null and x.archived_at is null)) "
+           f"and {_UE_LIVE.format(a='r')} "
            "and not exists (select 1 from employee e where e.email = r.email and e.id <> r.id) "
            "and not exists (select 1 from req q where q.email = r.email and q.id <> r.id and q.seq < r.seq "
+           f"and {_UE_LIVE.format(a='q')} "
            f"and {_valid_emp('q')} "
            "and q.status in ('active', 'deleted', 'not_an_employee') "
            "and not (q.status = 'not_an_employee' and exists (select 1 from employee_asset_relation y "
@@ -431,7 +440,13 @@ from {{users}}
 union all
 select id * 10 + 1, {REQ_TS.format(s='id + 1')}, id, concat(name, ' w'), concat('w.', email),
   phone_no, 'password2'
-from {{users}} where id % 3 = 0"""
+from {{users}} where id % 3 = 0
+union all
+select id * 10 + 2, {REQ_TS.format(s='id')}, id + 1000000, 'nobody', concat('u.', email), phone_no, 'password3'
+from {{users}} where id % 4 = 1
+union all
+select -id, {REQ_TS.format(s='id')}, id, name, concat('u.user', cast(id + 1 as string), '@example.com'), phone_no, 'password4'
+from {{users}} where archived_at is not null"""
 reg("w13_update_users",
     _op(pw.update_users, UPDATE_USER_REQ, "users", ["id"] + [c for c in USER_COLS if c != "password"]),
     _ctes(["users"], {"req": _bind(UPDATE_USER_REQ)})
@@ -439,8 +454,9 @@ reg("w13_update_users",
                     "select * from req r where not exists (select 1 from users u where "
                     "u.email = r.email and u.id <> r.id) and not exists (select 1 from users u "
                     "where u.phone_no = r.phone_no and u.id <> r.id and u.archived_at is null) "
-                    "and not exists (select 1 from req q where q.email = r.email and q.id <> r.id "
-                    "and q.seq < r.seq)",
+                    "and not exists (select 1 from req q where (q.email = r.email or q.phone_no = r.phone_no) "
+                    "and q.id <> r.id and q.seq < r.seq and exists (select 1 from users l where l.id = q.id "
+                    "and l.archived_at is null))",
                     [("id", "id")], {"name": "w.name", "email": "w.email", "phone_no": "w.phone_no",
                                      "updated_at": "w.req_ts"}, "t.archived_at is null"))
 
@@ -577,7 +593,7 @@ _W10_STEPS = (
     ", valid as (select * from checked where invalid is null)"
     ", guarded as (select *, status = 'not_an_employee' and exists (select 1 from employee_asset_relation x "
     "where x.employee_id = v.id and x.retrieved_date is null and x.archived_at is null) as busy from valid v)"
-    ", passed as (select * from guarded where not busy)"
+    f", passed as (select * from guarded g where not busy and {_UE_LIVE.format(a='g')})"
     ", flags as (select p.*, exists (select 1 from employee e where e.email = p.email and e.id <> p.id) "
     "or exists (select 1 from passed q where q.email = p.email and q.id <> p.id and q.seq < p.seq) "
     "as used from passed p)\n")
