@@ -112,8 +112,12 @@ def ask(blocks: DataFrame, questions: Callable) -> DataFrame:
     return blocks.mapInArrow(run, "slot int, block long, data binary")
 
 
-def slots_of(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Answering tasks per shuffle partition: they hold their questions in memory, so there are more.
+TASKS_PER_PARTITION = 3
+
+
+def answer_tasks(df: DataFrame) -> int:
+    return TASKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def answer(asked: DataFrame, slots: int, answers: Callable, sums: int = 1) -> DataFrame:

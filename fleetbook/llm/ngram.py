@@ -33,6 +33,7 @@ HELD_OUT_MOD = 10
 END = U64(0xE0D0E0D0E0D0E0D1)
 PIECE = 2 << 20
 SLOTS_PER_TASK = 2
+LOOKUP = 1 << 17                # bigrams looked up at once
 GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98])
 SIZES = 24                     # context sizes 1, 2-3, 4-7, ..
 LOG_STEP = 4096                # a count is kept as round(log10(count) * LOG_STEP) + 1
@@ -280,7 +281,7 @@ def answer_bigrams(n: float, v_size: float):
         with tempfile.TemporaryFile() as file:
             Trie.write(file, v[here], w[here], total)
             trie = Trie(file)
-            found = trie.lookup(v, w)
+            found = np.concatenate([trie.lookup(v[a:a + LOOKUP], w[a:a + LOOKUP]) for a in range(0, len(v), LOOKUP)])
             del trie
         edge = np.cumsum([0, *sizes])
         sums = left_out_likelihood(total, cv[here], cw[here], n, v_size)
@@ -312,7 +313,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score_documents(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): SCORES."""
     blocks = B.build_blocks(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), ["doc_id", "text"])
-    tasks = B.slots_of(docs)
+    tasks = B.answer_tasks(docs)
     slots = SLOTS_PER_TASK * tasks
     words = B.answer(B.ask(blocks, ask_words(slots)), tasks, answer_words(slots))
     n, v_size = B.total_sums(words, 2)

@@ -36,7 +36,7 @@ from fleetbook.llm.suffixes import LENGTH, equal_runs, windows
 
 PIECE = 1 << 20
 LAST_ID = np.iinfo(np.int64).max
-SLOTS_PER_TASK = 4
+SLOTS_PER_TASK = 2
 
 
 class Shard:
@@ -251,8 +251,8 @@ def remove_repeats(docs: DataFrame, columns: list[str], texts: bool = False) ->
     of which a byte was removed is left out)."""
     keep = [c for c in columns if c != "text"]
     blocks = B.build_blocks(docs, [*keep, "text"])
-    slots = SLOTS_PER_TASK * B.slots_of(docs)
-    tasks = B.slots_of(docs)
+    tasks = B.answer_tasks(docs)
+    slots = SLOTS_PER_TASK * tasks
     first = B.answer(B.ask(blocks, ask_segments(slots)), tasks, answer_segments)
     second = B.answer(B.ask(B.with_replies(blocks, first), ask_strings(slots)), tasks, answer_strings)
     fields = [docs.schema[c] for c in keep] + MEASURES + ([T.StructField("rp_text", T.StringType())] if texts else [])
