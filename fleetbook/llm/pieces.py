@@ -38,12 +38,11 @@ NONE = float("-inf")
 
 
 def read_model(spark: SparkSession, path: str) -> bytes:
-    """The model file's bytes, through Spark's file system."""
-    url = path if "://" in path else f"file://{path}"
-    try:
-        return bytes(spark.read.format("binaryFile").load(url).select("content").first()["content"])
-    except Exception as why:
-        raise FileNotFoundError(f"no tokenizer model at {path}") from why
+    """The model file's bytes: from the driver's disk, or through Spark if ``path`` is a URL."""
+    if "://" in path:
+        return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+    with open(path, "rb") as file:
+        return file.read()
 
 
 class Vocabulary:
