@@ -50,7 +50,10 @@ def login_outcomes(t: Tables, attempts: DataFrame, company_domain: str) -> Chang
           .groupBy("user_id").agg(F.min("seq").alias("__s2")))
     ranks = s1.join(s2, "user_id", "left")
 
-    a = a.join(ranks, "user_id", "left")
+    # only valid attempts have a user to join; the others (many without any) are not shuffled by it
+    none = F.lit(None).cast(a.schema["seq"].dataType)
+    invalid = a.filter(F.col("__pre").isNotNull()).withColumn("__s1", none).withColumn("__s2", none)
+    a = valid.join(ranks, "user_id", "left").select(*a.columns, "__s1", "__s2").unionByName(invalid)
     k = (F.when(F.col("seq") == F.col("__s1"), F.lit(1))
          .when(F.col("seq") == F.col("__s2"), F.lit(2)).otherwise(F.lit(3)))
     unauth = F.col("__type") == "unauthorized"

@@ -366,25 +366,33 @@ def test_w16_login_policy(spark):
 
 
 @pytest.mark.parametrize("flt", [ListFilter(limit=7, page=3), ListFilter(asset_types=("laptop", "sim"), limit=4),
-                                 ListFilter(warranty=0, is_expired=True, limit=6, page=1)])
-def test_page_paths_agree(spark, small, monkeypatch, flt):
-    """The broadcast-page plans and the full-join fallbacks give the same pages and totals."""
+                                 ListFilter(warranty=0, is_expired=True, limit=6, page=1), ListFilter(limit=9, page=7)])
+def test_pages_are_slices_of_the_whole(spark, small, flt):
+    """A page is the slice of the ordered unpaged rows, and carries their number."""
+    whole = rows(assets.asset_list_rows(small, flt, AS_OF))
+    page = rows_sorted(rows(assets.asset_list(small, flt, AS_OF).drop("total_count")))
+    assert page == rows_sorted(whole)[flt.offset:flt.offset + flt.limit] and page
+    assert assets.asset_list(small, flt, AS_OF).first()["total_count"] == len(whole)
     status = ListFilter(**{**flt.__dict__, "available": True, "assigned": True})
-    fast = (rows(assets.asset_list(small, flt, AS_OF)),
-            rows(assets.asset_list_by_status(small, status, AS_OF)))
-    monkeypatch.setattr(assets, "PAGE_BROADCAST_ROWS", 0)
-    slow = (rows(assets.asset_list(small, flt, AS_OF)),
-            rows(assets.asset_list_by_status(small, status, AS_OF)))
-    assert fast == slow
-    assert len(fast[0]) > 0 and len(fast[1]) > 0
+    lines = assets.asset_status_rows(small, status, AS_OF).orderBy("id", "rel_id").drop("rel_id").collect()
+    got = assets.asset_list_by_status(small, status, AS_OF).collect()
+    want = [tuple(r) for r in lines][status.offset:status.offset + status.limit]
+    assert sorted((tuple(r)[1:] for r in got), key=repr) == sorted(want, key=repr)
+    assert {r["total_count"] for r in got} == {len(lines)}
+
+
+def rows_sorted(found):
+    return sorted(found, key=lambda r: r[0])
 
 
 @pytest.mark.parametrize("flt", [ListFilter(limit=7, page=2), ListFilter(name="1", deleted=True, not_an_employee=True),
-                                 ListFilter(employee_id="16", name="zz", deleted=True)])
-def test_employee_page_paths_agree(small, monkeypatch, flt):
-    fast = rows(employees.employee_list(small, flt))
-    monkeypatch.setattr(employees, "PAGE_BROADCAST_ROWS", 0)
-    assert rows(employees.employee_list(small, flt)) == fast
+                                 ListFilter(employee_id="16", name="zz", deleted=True),
+                                 ListFilter(asset_types=("sim",), limit=5, page=1)])
+def test_employee_pages_are_slices_of_the_whole(small, flt):
+    whole = rows_sorted(rows(employees.employee_rows(small, flt)))
+    got = employees.employee_list(small, flt)
+    assert rows_sorted(rows(got.drop("total_count"))) == whole[flt.offset:flt.offset + flt.limit]
+    assert {r["total_count"] for r in got.collect()} <= {len(whole)}
 
 
 def test_strict_employee_detail_all_ids(spark, small):
@@ -396,16 +404,3 @@ def test_strict_employee_detail_all_ids(spark, small):
     with_hist = listed.join(hist.select("employee_id").distinct(), F.col("id") == F.col("employee_id"), "left_anti")
     # one row per history entry of a listed employee, plus one row per listed employee without any
     assert out.count() == hist.count() + with_hist.count()
-
-
-def test_deep_page_path_agrees(spark, small, monkeypatch):
-    from fleetbook.plans import paging
-    flt = ListFilter(limit=9, page=7)
-    status = ListFilter(available=True, deleted=True, limit=9, page=7)
-    shallow = (rows(assets.asset_list(small, flt, AS_OF)), rows(assets.asset_list_by_status(small, status, AS_OF)),
-               rows(employees.employee_list(small, ListFilter(limit=9, page=3))))
-    monkeypatch.setattr(paging, "DEEP_PAGE_ROWS", 0)
-    deep = (rows(assets.asset_list(small, flt, AS_OF)), rows(assets.asset_list_by_status(small, status, AS_OF)),
-            rows(employees.employee_list(small, ListFilter(limit=9, page=3))))
-    assert deep == shallow
-    assert all(len(x) == 9 for x in deep)
