@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetbook.functions.filters import ListFilter
 from fleetbook.functions.predicates import all_of, contains_ci, warranty_predicate
 from fleetbook.plans.joins import left_join_many
-from fleetbook.plans.paging import check_page, cut_page, page_rows, total_count
+from fleetbook.plans.paging import PageCut, check_page, cut_page, total_count
 from fleetbook.sources.schemas import SPEC_COLUMNS
 from fleetbook.sources.tables import Tables
 
@@ -36,7 +36,7 @@ def _asset_filters(flt: ListFilter, as_of: dt.datetime) -> list[Column]:
 # --------------------------------------------------------------------------- R1
 
 
-def current_holders(t: Tables, only: DataFrame | None = None) -> DataFrame:
+def current_holders(t: Tables, within: PageCut | None = None) -> DataFrame:
     """Per asset with relations: the holder picked by the list, and how many rows survive.
 
     Row choice = open relation first, then the latest retrieved date, then the lowest relation
@@ -46,9 +46,8 @@ def current_holders(t: Tables, only: DataFrame | None = None) -> DataFrame:
     """
     rel = t.relation.select(F.col("id").alias("rel_id"), "asset_id", "employee_id",
                             "retrieved_date")
-    if only is not None:
-        # ``only`` is a page of assets: Spark broadcasts its ids if they turn out to be few
-        rel = restrict(rel, "asset_id", only)
+    if within is not None:      # the buckets of a page: a plain range of asset ids
+        rel = within.restrict(rel, "asset_id").drop("__b")
     emp = t.employee.select(F.col("id").alias("e_id"), F.col("name").alias("e_name"),
                             F.col("archived_at").alias("e_archived_at"))
     joined = rel.join(emp, rel["employee_id"] == emp["e_id"], "left")
@@ -90,7 +89,7 @@ def asset_list(t: Tables, flt: ListFilter, as_of: dt.datetime) -> DataFrame:
     """Page of live assets with their current holder and the total (``pagination`` ignored).
 
     Which assets are listed (and the total) needs only per-asset counts (a hash aggregate).
-    The holder is then computed for the page's assets alone, whose ids restrict the relation scan.
+    The holder is then computed for the page's buckets alone: a range of ids in the relation scan.
     """
     check_page(flt.limit, flt.page)
     a = t.assets.filter(all_of([F.col("archived_at").isNull(), *_asset_filters(flt, as_of)]))
@@ -99,8 +98,9 @@ def asset_list(t: Tables, flt: ListFilter, as_of: dt.datetime) -> DataFrame:
               .filter(F.col("asset_id").isNull() | (F.col("n_visible") > 0))
               .select("id", "brand", "model", "serial_no", "asset_type", "purchased_date", "status",
                       "warranty_expiry_date", "is_available"))
-    page = page_rows(listed, ["id"], flt.offset, flt.limit)
-    h = current_holders(t, only=page.select("id"))
+    cut = cut_page(listed, "id", flt.offset, flt.limit)
+    page = cut.take(cut.restrict(listed), ["id"])
+    h = current_holders(t, within=cut)
     held = F.col("is_available") == F.lit(False)
     out = page.join(h, page["id"] == h["asset_id"], "left").select(
         *EXPORT_COLUMNS,

@@ -9,7 +9,7 @@ from fleetbook.functions.filters import ListFilter
 from fleetbook.functions.predicates import contains_ci
 from fleetbook.operators.assets import asset_history, open_relations, restrict
 from fleetbook.plans.joins import left_join_many
-from fleetbook.plans.paging import check_page, page_rows, page_with_total, total_count
+from fleetbook.plans.paging import check_page, cut_page, page_with_total, total_count
 from fleetbook.sources.tables import Tables
 
 EMPLOYEE_COLUMNS = ["id", "name", "email", "phone_no", "status", "type", "archived_at",
@@ -86,8 +86,9 @@ def employee_list(t: Tables, flt: ListFilter, strict: bool = False) -> DataFrame
                                LIST_COLUMNS)
     listed = (t.employee.select(*EMPLOYEE_COLUMNS)
               .filter(F.coalesce(employee_predicate(flt, strict), F.lit(False))))
-    page = page_rows(listed, ["id"], flt.offset, flt.limit)
-    counts = (restrict(t.relation, "employee_id", page.select("id"))
+    cut = cut_page(listed, "id", flt.offset, flt.limit)
+    page = cut.take(cut.restrict(listed), ["id"])
+    counts = (cut.restrict(t.relation, "employee_id")
               .groupBy("employee_id").agg(F.count(F.lit(1)).alias("n")))
     out = page.join(counts, page["id"] == counts["employee_id"], "left").select(
         *EMPLOYEE_COLUMNS, F.coalesce("n", F.lit(0)).cast("bigint").alias("asset_quantity"))
