@@ -101,3 +101,30 @@ def test_no_vectors(spark):
     assert embeddings.near_vectors(empty(spark, "vec_id long, embedding array<float>")).count() == 0
     got = embeddings.near_vectors(spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>"))
     assert rows(got) == [(1, 0, 1), (2, 0, 2)]
+
+
+def near_group(n, group, dim, seed):
+    """Vectors of which the first ``group`` are close to each other, and links per vector."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x[:group] = x[0] + 0.02 * rng.normal(size=(group, dim))
+    x = x.astype(np.float32)
+    z = embeddings.unit_vectors(x)
+    links = (z @ z.T >= 0.9).sum(axis=1) - 1
+    return x, links
+
+
+def test_group_over_many_partitions_and_blocks(spark):
+    """A dense group, with partitions and blocks far smaller than the group."""
+    x, links = near_group(400, 250, 16, 8)
+    assert links[:250].min() == 249
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "48")
+        found = embeddings.stored(embeddings.near_vectors(df, block=64), "t")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()}
+    assert [got[i] for i in range(250)] == [(int(links[i]), 0) for i in range(250)]
+    assert sum(n for n, _ in got.values()) <= links.sum()
