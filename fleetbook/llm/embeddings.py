@@ -6,7 +6,7 @@ next ``WINDOW`` in that order.  Where the outer half of a window still holds lin
 is doubled, until it does not: dense groups are compared in full, whatever their size.  The order
 of a pass is cut into blocks of ``BLOCK`` rows that are read with the rows behind them; windows
 that go further are continued over whole blocks.  Pairs of all passes are united; links carry the
-class sizes.
+class sizes.  The number of passes follows the counted vectors (``passes_for``).
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component link
 with nothing; vectors of different lengths do not link; a null id is a row of its own with null
@@ -15,6 +15,8 @@ component; repeated rows are vectors of their own that share an id; extra column
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,8 +27,10 @@ from pyspark.sql import types as T
 from fleetbook.llm.common import stored
 from fleetbook.llm.graph import components
 
-PASSES = 24
-BITS = 32
+#: Predicted recall of lone pairs at COSINE; sets the number of passes from the number of vectors.
+RECALL = 0.995
+LEAST_PASSES = 24
+BITS = 48
 WINDOW = 64
 #: Rows of a pass that one task holds at a time (an eighth more are read behind them).
 BLOCK = 2048
@@ -39,6 +43,21 @@ def hyperplanes(dim: int, passes: int) -> np.ndarray:
     return np.random.default_rng(SEED + dim).normal(size=(dim, passes * BITS))
 
 
+def predicted_recall(rows: int, passes: int) -> float:
+    """Chance that a lone pair at ``COSINE`` among ``rows`` evenly spread vectors meets in a pass:
+    its first bits have to agree until about WINDOW rows are left."""
+    agree = (1 - math.acos(COSINE) / math.pi) ** max(math.log2(max(rows, 1) / WINDOW), 0.0)
+    return 1 - (1 - agree) ** passes
+
+
+def passes_for(rows: int) -> int:
+    """Passes with a predicted recall of at least ``RECALL``; grows about as rows ** 0.22."""
+    passes = LEAST_PASSES
+    while predicted_recall(rows, passes) < RECALL:
+        passes += 1
+    return passes
+
+
 def unit_vectors(x: np.ndarray) -> np.ndarray:
     x = x.astype(float)
     x /= np.abs(x).max(axis=1, keepdims=True)
@@ -215,7 +234,7 @@ def linked_classes(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     if block < WINDOW:
         raise ValueError("a block holds a window at least")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = placed(classes, PASSES, block)
+    places = placed(classes, passes_for(classes.count()), block)
     vectors = packed(classes)
     # a block and the rows that follow it: those at the start of the next block go to both
     behind = (F.col("idx") % block < halo) & (F.col("block_no") > 0)

@@ -128,3 +128,12 @@ def test_group_over_many_partitions_and_blocks(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()}
     assert [got[i] for i in range(250)] == [(int(links[i]), 0) for i in range(250)]
     assert sum(n for n, _ in got.values()) <= links.sum()
+
+
+def test_passes_grow_with_the_table():
+    for rows_ in (0, 1, 500, 10**5, 10**6, 10**7, 10**8, 10**9):
+        passes = embeddings.passes_for(rows_)
+        bits = max(np.log2(max(rows_, 1) / embeddings.WINDOW), 0)
+        assert 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** passes > 0.99
+        assert bits < embeddings.BITS
+    assert embeddings.passes_for(10**8) > embeddings.passes_for(10**6) > embeddings.passes_for(500)
