@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from fleetbook.llm import minhash, mixing, pieces, quality, repeats
 from fleetbook.llm.common import bound_batches, stored
 
+#: Shingles of five words, similarity 0.8 or more; a pair of 0.8 meets in a table with probability 0.9996.
+NEAR = minhash.Rule(shingle=5, similarity=(80, 100), halves=12)
+
 
 def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
@@ -36,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each near-duplicate group, that with the smallest id; rows that repeat an
     id are one document.  Documents without an id stay."""
     bound_batches(spark)
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, NEAR)
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("nd_kept")).distinct()
     named = docs.join(kept, docs["doc_id"] == kept["nd_kept"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter(docs["doc_id"].isNull()))

@@ -1,9 +1,9 @@
 """MinHash near-duplicate groups with tensored banding.
 
-A document's set holds the 64-bit hashes of its distinct 3-word shingles.  Two collections of
-``HALVES`` half-keys (``ROWS`` minhashes each) are computed per set; every pair of a half-key from
-the first and one from the second is a table key, so ``HALVES**2`` tables of ``2 * ROWS`` minhashes
-cost ``2 * HALVES * ROWS`` minhashes.  Equal sets are one class, found by digest first.
+A document's set holds the 64-bit hashes of its distinct shingles of ``rule.shingle`` words.  Two
+collections of ``halves`` half-keys (``rows`` minhashes each) are computed per set; every pair of a half-key from
+the first and one from the second is a table key, so ``halves**2`` tables of ``2 * rows`` minhashes
+cost ``2 * halves * rows`` minhashes.  Equal sets are one class, found by digest first.
 
 Candidates are confirmed on the full sets.  Members of a table bucket are first compared with the
 bucket's smallest member only.  What this leaves undecided - members of one bucket in different
@@ -14,13 +14,15 @@ bucket is left out, and documents that are far from all others (whose rarest shi
 own) make no pairs.
 
 Defined cases: null or empty text and text without words has an empty set, linked with nothing;
-texts of one or two words are one shingle; rows with a null id are a group of their own each,
+texts of fewer words than a shingle are one shingle; rows with a null id are a group of their own each,
 with a null component; repeated ids are one node per distinct set and share the id; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,18 +32,24 @@ from fleetbook.llm.common import (LOWER, U64, _splitmix, batch_bytes, mix64, pre
                                   with_ids)
 from fleetbook.llm.graph import components
 
-HALVES = 9
-ROWS = 3
-SHINGLE = 3
-SIMILARITY = (85, 100)
-SEEDS = _splitmix(2 * 2 * HALVES * ROWS, 0xD0C5).reshape(2, -1)
-STEP = _splitmix(SHINGLE + 1, 0x5417)
+
+class Rule(NamedTuple):
+    """Words of a shingle, least Jaccard similarity (a fraction), and the bands to find it."""
+    shingle: int = 3
+    similarity: tuple[int, int] = (85, 100)
+    halves: int = 9
+    rows: int = 3
+
+
+#: The rule of the op7 query.
+RULE = Rule()
 
 
-def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(column, width: int = RULE.shingle) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of a batch of texts: (values, bounds); values[bounds[i]:bounds[i+1]]
     are those of text i, ascending."""
     data, offsets = batch_bytes(column)
+    step = _splitmix(width + 1, 0x5417)
     n = len(offsets) - 1
     data = LOWER[data]
     doc, start, end = tokens(data, offsets)
@@ -49,17 +57,17 @@ def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         grams, owner = [], []
         count = np.bincount(doc, minlength=n)
-        for size in range(1, SHINGLE + 1):
+        for size in range(1, width + 1):
             k = len(word) - size + 1
             if k <= 0:
                 continue
             same = doc[:k] == doc[size - 1:]
-            if size < SHINGLE:                       # a text of fewer words is one shingle
+            if size < width:                       # a text of fewer words is one shingle
                 same &= count[doc[:k]] == size
             at = np.flatnonzero(same)
-            h = np.full(len(at), STEP[0] * U64(size), dtype=U64)
+            h = np.full(len(at), step[0] * U64(size), dtype=U64)
             for j in range(size):
-                h = mix64(h + word[at + j] * (STEP[j + 1] | U64(1)))
+                h = mix64(h + word[at + j] * (step[j + 1] | U64(1)))
             grams.append(h)
             owner.append(doc[at])
     values = np.concatenate(grams) if grams else np.zeros(0, U64)
@@ -72,22 +80,23 @@ def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(owner, np.arange(n + 1))
 
 
-def sketches(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per set: two digest words and the 2 * HALVES half-keys (0 for empty sets)."""
+def sketches(values: np.ndarray, bounds: np.ndarray, rule: Rule = RULE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per set: two digest words and the 2 * rule.halves half-keys (0 for empty sets)."""
     n = len(bounds) - 1
     some = np.flatnonzero(np.diff(bounds))
-    half = np.zeros((n, 2 * HALVES), dtype=U64)
+    seeds = _splitmix(2 * 2 * rule.halves * rule.rows, 0xD0C5).reshape(2, -1)
+    half = np.zeros((n, 2 * rule.halves), dtype=U64)
     d1, d2 = np.zeros(n, U64), np.zeros(n, U64)
     if len(some):
         cut = bounds[some]
         with np.errstate(over="ignore"):
             d1[some] = np.add.reduceat(mix64(values + U64(1)), cut)
             d2[some] = np.bitwise_xor.reduceat(mix64(values ^ U64(0xA5A5A5A5A5A5A5A5)), cut)
-            for k in range(2 * HALVES):
+            for k in range(2 * rule.halves):
                 h = np.full(len(some), U64(k + 1))
-                for r in range(ROWS):
-                    j = k * ROWS + r
-                    h = mix64(h * U64(3) + np.minimum.reduceat(values * (SEEDS[0, j] | U64(1)) + SEEDS[1, j], cut))
+                for r in range(rule.rows):
+                    j = k * rule.rows + r
+                    h = mix64(h * U64(3) + np.minimum.reduceat(values * (seeds[0, j] | U64(1)) + seeds[1, j], cut))
                 half[some, k] = h
     return d1, d2, half
 
@@ -95,12 +104,12 @@ def sketches(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 SKETCH = "doc_id long, n long, d1 long, d2 long, half array<long>"
 
 
-def sketch_documents(docs: DataFrame) -> DataFrame:
+def sketch_documents(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     def run(batches):
         for batch in batches:
-            values, bounds = shingle_sets(batch.column("text"))
-            d1, d2, half = sketches(values, bounds)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, half.size + 1, 2 * HALVES, dtype=np.int32)),
+            values, bounds = shingle_sets(batch.column("text"), rule.shingle)
+            d1, d2, half = sketches(values, bounds, rule)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, half.size + 1, 2 * rule.halves, dtype=np.int32)),
                                              pa.array(half.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(d1.view(np.int64)),
@@ -108,28 +117,28 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
+def document_sets(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """(rep, n, items): the shingle hashes of ``docs`` (rep, text), ascending."""
     def run(batches):
         for batch in batches:
-            values, bounds = shingle_sets(batch.column("text"))
+            values, bounds = shingle_sets(batch.column("text"), rule.shingle)
             items = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(np.diff(bounds).astype(np.int64)), items],
                                              names=["rep", "n", "items"])
     return docs.select("rep", "text").mapInArrow(run, "rep long, n long, items array<long>")
 
 
-def table_keys(classes: DataFrame) -> DataFrame:
-    """(key, rep, n): HALVES**2 table keys per class, one of each pair of half-keys."""
-    first = F.posexplode(F.slice("half", 1, HALVES)).alias("i", "ha")
-    second = F.posexplode(F.slice("half", HALVES + 1, HALVES)).alias("j", "hb")
+def table_keys(classes: DataFrame, rule: Rule = RULE) -> DataFrame:
+    """(key, rep, n): halves**2 table keys per class, one of each pair of half-keys."""
+    first = F.posexplode(F.slice("half", 1, rule.halves)).alias("i", "ha")
+    second = F.posexplode(F.slice("half", rule.halves + 1, rule.halves)).alias("j", "hb")
     return classes.select("rep", "n", "half", first).select("rep", "n", "i", "ha", second) \
         .select(F.xxhash64("i", "j", "ha", "hb").alias("key"), "rep", "n")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, rule: Rule = RULE) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; ``sets`` is a stored table."""
-    num, den = SIMILARITY
+    num, den = rule.similarity
     left = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -139,23 +148,23 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(den * F.col("common") >= num * (F.col("sizes") - F.col("common"))).select("a", "b")
 
 
-def similar_size(x, y):
-    num, den = SIMILARITY
+def similar_size(x, y, rule: Rule = RULE):
+    num, den = rule.similarity
     return (den * x >= num * y) & (den * y >= num * x)
 
 
-def rest_pairs(sets: DataFrame, label: DataFrame) -> DataFrame:
+def rest_pairs(sets: DataFrame, label: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Pairs of sets in different components that may reach the similarity (prefix filter).
 
     ``sets`` (rep, n, items), ``label`` (rep, comp), both stored.
     """
-    num, den = SIMILARITY
+    num, den = rule.similarity
     items = sets.select("rep", F.explode("items").alias("item"))
     often = stored(items.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1"), "item-df")
     shared = items.join(often, "item").groupBy("rep").agg(
         F.array_sort(F.collect_list(F.struct("df", "item"))).alias("shared"))
     have = stored(sets.select("rep", "n").join(shared, "rep").join(label, "rep"), "rest")
-    # own = n - shared items occur in no other set; a prefix has n - ceil(0.85 n) + 1 items, own
+    # own = n - shared items occur in no other set; a prefix has n - ceil(similarity * n) + 1 items, own
     # first; ``after``: how many items of the set, this one included, follow in the order.  A pair
     # has at most as many items in common as follow, in either set, the first one they share.
     need = F.ceil(num * F.col("n") / F.lit(den))
@@ -174,17 +183,17 @@ def rest_pairs(sets: DataFrame, label: DataFrame) -> DataFrame:
     y = rows.select("item", F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("after").alias("ay"))
     together = (num * (F.col("nx") + F.col("ny"))) / F.lit(num + den)      # least number of common items
     hit = x.join(y, "item").filter((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
-                                   & similar_size(F.col("nx"), F.col("ny"))
+                                   & similar_size(F.col("nx"), F.col("ny"), rule)
                                    & (F.col("ax") >= together) & (F.col("ay") >= together))
     return hit.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
-    sketch = stored(sketch_documents(docs), "sketch")
+    sketch = stored(sketch_documents(docs, rule), "sketch")
     some = sketch.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = stored(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half")), "classes")
-    keys = table_keys(classes)
+    keys = table_keys(classes, rule)
     hubs = stored(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far"))
                   .filter("hub < far").select(F.col("key").alias("k2"), "hub"), "hubs")
     met = keys.join(hubs, F.col("key") == F.col("k2")).select("rep", "hub").distinct()
@@ -192,13 +201,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = stored(met.select("rep").distinct(), "wanted")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # the text of a class is that of its smallest id; of repeated ids, the rows whose digest is the class's
-    sets = document_sets(with_ids(text, "doc_id", wanted).withColumnRenamed("doc_id", "rep"))
+    sets = document_sets(with_ids(text, "doc_id", wanted).withColumnRenamed("doc_id", "rep"), rule)
     sets = stored(sets.filter("n > 0").groupBy("rep").agg(F.max_by(F.struct("n", "items"), "n").alias("v")).select("rep", "v.n", "v.items"), "sets")
     size = sets.select("rep", "n")
     near = met.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")) \
         .join(size.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a") \
-        .join(size.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b").filter(similar_size(F.col("na"), F.col("nb")))
-    links = stored(confirm(near, sets), "links")
+        .join(size.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b").filter(similar_size(F.col("na"), F.col("nb"), rule))
+    links = stored(confirm(near, sets, rule), "links")
     comp = stored(components(links), "comp")
     label = stored(size.select("rep").join(comp, F.col("rep") == F.col("node"), "left")
                    .select("rep", F.coalesce("component", "rep").alias("comp")), "label")
@@ -208,7 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                        .filter("c1 < c2").select(F.col("hub").alias("h2")), "open")
     undecided = met.join(open_hubs, F.col("hub") == F.col("h2"), "left_semi").select(F.col("rep").alias("r4")).distinct()
     rest = stored(sets.join(undecided, F.col("rep") == F.col("r4"), "left_semi"), "rest-sets")
-    more = confirm(rest_pairs(rest, label), rest)
+    more = confirm(rest_pairs(rest, label, rule), rest, rule)
     final = stored(components(links.unionByName(stored(more, "links"))), "comp")
     of = stored(classes.select("n", "d1", "d2", "rep").join(final, F.col("rep") == F.col("node"), "left")
                 .select(F.col("n").alias("n2"), F.col("d1").alias("e1"), F.col("d2").alias("e2"),

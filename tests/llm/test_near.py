@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from fleetbook.llm import embeddings, graph, minhash
-from llm.util import documents, empty, odd_texts, prose, rows, shingles
+from llm.util import documents, empty, odd_texts, prose, rows, shingles, words
 
 
 def union(pairs, nodes):
@@ -137,3 +138,27 @@ def test_passes_grow_with_the_table():
         assert 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** passes > 0.99
         assert bits < embeddings.BITS
     assert embeddings.passes_for(10**8) > embeddings.passes_for(10**6) > embeddings.passes_for(500)
+
+
+def test_stage_against_brute_force(spark):
+    """The pipeline's rule: five words, similarity 0.8 or more."""
+    rng = random.Random(5)
+    texts = [None, "", "one two", "one two", "ONE two three four", "a b c d e"]
+    for k in range(40):                       # copies with 5 to 35 of 150 words added at the end
+        w = prose(rng, 150, 10**6)
+        texts += [w, w + " " + prose(rng, 5 + 30 * k // 39, 10**6)]
+    for k in range(20):                       # edits of single words
+        w = prose(rng, 150, 10**6).split()
+        texts.append(" ".join(w))
+        for i in range(0, 150, 40 - k):
+            w[i] = f"edit{i}"
+        texts.append(" ".join(w))
+    grams = []
+    for t in texts:
+        w = words((t or "").lower())
+        grams.append({tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if grams[i] and grams[j]
+             and 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j])]
+    want = union(pairs, range(len(texts)))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, documents(spark, texts), "").collect()}
+    assert kept == {i for i in want if want[i] == i} and 40 < len(pairs) < 61
