@@ -9,7 +9,8 @@ and covariance, keeps the nearest documents and sums their moments anew.  A step
 aggregation of counts and moments by (group, distance bucket), summed map-side first, so the size
 or skew of a group does not matter; the running count over at most ``BUCKETS`` rows of a group
 tells which buckets are inside.  The trimmed share shrinks over the first steps (1, .9, .8, then
-COVERAGE), which makes the start deterministic.  Documents further than ``CUTOFF`` are rejected.
+COVERAGE), which makes the start deterministic.  Documents further than ``CUTOFF``, the
+chi-square quantile ``INLIERS``, are rejected.
 
 Defined cases: null or empty text has no words and fails the base rules; null language or source
 is a group of its own; documents in a language with fewer than ``MIN_GROUP`` fitted documents
@@ -38,10 +39,11 @@ TRIM = (1.0, 0.9, 0.8, COVERAGE, COVERAGE, COVERAGE)
 MIN_GROUP = 60
 BUCKETS = 512
 DIM = 5
-#: Smallest standard deviation of each transformed statistic.
-FLOOR = (0.5, 0.1, 0.06, 0.1, 0.1)
-#: Largest squared Mahalanobis distance of a kept document.
-CUTOFF = 60.0
+#: Added to each statistic's standard deviation (squares) against singular covariances, small
+#: beside what statistics that vary have; the scale of those that are constant in a group.
+FLOOR = (0.2, 0.01, 0.03, 0.03, 0.05)
+#: Share of a normal sample that is nearer than the cutoff.
+INLIERS = 0.999
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -131,15 +133,22 @@ def gamma_cdf(a: float, x: float) -> float:
     return total * math.exp(-x + a * math.log(x) - math.lgamma(a))
 
 
-def consistency(share: float) -> float:
-    """Factor by which the covariance of the nearest ``share`` of a normal sample falls short."""
-    if share >= 1:
-        return 1.0
+def chi_square(share: float) -> float:
+    """Quantile of the chi-square distribution with DIM degrees of freedom."""
     low, high = 1e-9, 200.0
     while high - low > 1e-10:
         mid = (low + high) / 2
         low, high = (mid, high) if gamma_cdf(DIM / 2, mid / 2) < share else (low, mid)
-    return share / gamma_cdf(DIM / 2 + 1, low / 2)
+    return low
+
+
+def consistency(share: float) -> float:
+    """Factor by which the covariance of the nearest ``share`` of a normal sample falls short."""
+    return 1.0 if share >= 1 else share / gamma_cdf(DIM / 2 + 1, chi_square(share) / 2)
+
+
+#: Largest squared Mahalanobis distance of a kept document.
+CUTOFF = chi_square(INLIERS)
 
 
 def fit_group(buckets: pd.DataFrame, share: float) -> tuple[float, list, list]:

@@ -124,3 +124,19 @@ def _lang(i):
 def _fails(text):
     n, _, _, _, rep = stats_by_hand(text)
     return n < 50 or 100 * rep > 50 * n
+
+
+def test_moderate_outliers_of_each_statistic(spark):
+    """One statistic off, the others ordinary, next to clean documents of the same group."""
+    rng = np.random.default_rng(9)
+    word = lambda k=6: "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(k - 3, k + 4))))
+    clean = [" ".join(word() for _ in range(int(rng.lognormal(5.3, 0.4)) + 60)) for _ in range(300)]
+    base = [word() for _ in range(200)]
+    wide = [base[:10] * 9 + base[10:120], [w + "$" if i % 12 == 0 else w for i, w in enumerate(base)], [word(18) for _ in range(200)], [word() for _ in range(6000)]]
+    lines = "\n".join([" ".join(base[k:k + 10]) for k in range(0, 200, 10)] + ["x"] * 12)
+    texts = clean + [" ".join(w) for w in wide] + [lines]
+    assert not any(_fails(t) for t in texts)
+    stats = stored(quality.with_stats(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOC), ["doc_id", "lang", "source"]), "t")
+    kept = {r["doc_id"]: r["qs_kept"] for r in quality.judge(stats, quality.fit_mcd(stats)).collect()}
+    assert quality.CUTOFF == pytest.approx(20.515, abs=0.01)
+    assert [i for i in range(300, len(texts)) if kept[i]] == [] and sum(kept[i] for i in range(300)) >= 294
