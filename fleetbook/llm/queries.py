@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbook.llm import chat, classifier, embeddings, minhash, mixing, ngram, pieces, quality, repeats, warc
+from fleetbook.llm import anchors, chat, classifier, embeddings, minhash, mixing, ngram, pieces, quality, repeats, warc
 from fleetbook.llm.common import bound_batches, crc_mod, stored
 
 QUERIES = {}
@@ -219,3 +219,26 @@ def op2_sentencepiece(spark, sf_dir):
     """Every document's pieces, in chunks, with the result of decoding them again."""
     out = pieces.encode_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "chunk_no", "n_chunks", "n_pieces", "ids", "round_trip")
+
+
+# ----------------------------------------------------------------------------------- op11
+
+@query
+def op11_fixed_block_anchors(spark, sf_dir):
+    """Repeated windows of 35 words removed from all documents."""
+    out = anchors.remove_passages(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc.doc_id", F.col("words").alias("n_words"), F.col("removed").alias("n_removed"),
+                      F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op11_fixed_block_anchors"] = r"""
+with d as (select row_number() over () as k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select k, i, array_to_string(list_slice(w, i, i + 34), ' ') as g
+  from (select k, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
+many as (select g from win group by g having count(*) > 1),
+gone as (select distinct k, unnest(range(i, i + 35)) as i from win semi join many using (g)),
+word as (select k, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d),
+left_over as (select k, count(*) as n, string_agg(x, ' ' order by i) as kept from word anti join gone using (k, i) group by k)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join left_over using (k)
+"""
