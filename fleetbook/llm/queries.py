@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbook.llm import anchors, chat, classifier, embeddings, minhash, mixing, ngram, pieces, quality, repeats, warc
+from fleetbook.llm import align, anchors, chat, classifier, embeddings, minhash, mixing, ngram, pieces, quality, repeats, warc
 from fleetbook.llm.common import bound_batches, crc_mod, stored
 
 QUERIES = {}
@@ -242,3 +242,23 @@ left_over as (select k, count(*) as n, string_agg(x, ' ' order by i) as kept fro
 select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from d left join left_over using (k)
 """
+
+
+# ----------------------------------------------------------------------------------- op12
+
+def aligned_documents(docs: DataFrame) -> DataFrame:
+    """Per document its tokens, groups and links, with the digest of the groups and the links' scores."""
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    rows = stored(align.align(docs, ["doc_id"]).withColumn("groups", digest), "aligned")
+    postings = stored(align.merged(rows.filter("rec is null")), "postings")
+    counts = stored(align.pair_counts(postings), "pairs")
+    found = align.scores(postings, counts).withColumnRenamed("rec", "of_rec")
+    out = rows.filter("rec is not null").join(found, F.col("rec") == F.col("of_rec"), "left")
+    return out.select("doc.doc_id", *align.NUMBERS, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")],
+                      F.col("groups").alias("groups_sha256"))
+
+
+@query
+def op12_pair_bitmaps(spark, sf_dir):
+    """Alignment of two tokenizers over all documents."""
+    return aligned_documents(table(spark, sf_dir, "documents"))
