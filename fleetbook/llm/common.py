@@ -143,9 +143,10 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix64((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(U64))
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray):
-    """Words of a batch: (document index, start, end), in order; words never cross documents."""
-    space = IS_SPACE[data]
+def tokens(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = IS_SPACE):
+    """Words of a batch: (document index, start, end), in order; words never cross documents and end
+    at the bytes of ``gaps``."""
+    space = gaps[data]
     first = np.ones(len(data) + 1, dtype=bool)      # does a new run begin here?
     if len(data):
         first[1:-1] = space[:-1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbook.llm import align, anchors, chat, classifier, embeddings, minhash, mixing, ngram, pieces, quality, repeats, warc
+from fleetbook.llm import align, anchors, chat, classifier, embeddings, minhash, mixing, ngram, pieces, quality, repeats, search, warc
 from fleetbook.llm.common import bound_batches, crc_mod, stored
 
 QUERIES = {}
@@ -262,3 +262,30 @@ def aligned_documents(docs: DataFrame) -> DataFrame:
 def op12_pair_bitmaps(spark, sf_dir):
     """Alignment of two tokenizers over all documents."""
     return aligned_documents(table(spark, sf_dir, "documents"))
+
+
+# ----------------------------------------------------------------------------------- op13
+
+@query
+def op13_shared_search(spark, sf_dir):
+    """The 20 best documents of each benchmark item, of all documents."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_shared_search"] = r"""
+with d as (select row_number() over () as k, doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents),
+tf as (select k, any_value(doc_id) as doc_id, t, count(*) as tf from d group by k, t),
+size as (select k, cast(sum(tf) as bigint) as n from tf group by k),
+total as (select count(*) as n_docs, cast(sum(n) as bigint) as l from size),
+df as (select t, count(*) as df from tf group by t),
+i as (select row_number() over () as item, item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+q as (select item, any_value(item_id) as item_id, t, count(*) as q from i group by item, t),
+part as (select item, item_id, k, doc_id, q * cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1))) as bigint)
+    * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // l))) as s
+  from q join df using (t) join tf using (t) join size using (k) cross join total),
+score as (select item, any_value(item_id) as item_id, k, any_value(doc_id) as doc_id, cast(sum(s) as bigint) as score from part group by item, k),
+ranked as (select *, cast(row_number() over (partition by item order by score desc, doc_id nulls last) as integer) as rank from score where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 20
+"""
