@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetbook.functions.filters import ListFilter
 from fleetbook.functions.predicates import all_of, contains_ci, warranty_predicate
 from fleetbook.plans.joins import left_join_many
-from fleetbook.plans.paging import PageCut, check_page, cut_page, total_count
+from fleetbook.plans.paging import check_page, find_page, select_places, stored_keys
 from fleetbook.sources.schemas import SPEC_COLUMNS
 from fleetbook.sources.tables import Tables
 
@@ -36,7 +36,7 @@ def _asset_filters(flt: ListFilter, as_of: dt.datetime) -> list[Column]:
 # --------------------------------------------------------------------------- R1
 
 
-def current_holders(t: Tables, within: PageCut | None = None) -> DataFrame:
+def current_holders(t: Tables) -> DataFrame:
     """Per asset with relations: the holder picked by the list, and how many rows survive.
 
     Row choice = open relation first, then the latest retrieved date, then the lowest relation
@@ -46,8 +46,6 @@ def current_holders(t: Tables, within: PageCut | None = None) -> DataFrame:
     """
     rel = t.relation.select(F.col("id").alias("rel_id"), "asset_id", "employee_id",
                             "retrieved_date")
-    if within is not None:      # the buckets of a page: a plain range of asset ids
-        rel = within.restrict(rel, "asset_id").drop("__b")
     emp = t.employee.select(F.col("id").alias("e_id"), F.col("name").alias("e_name"),
                             F.col("archived_at").alias("e_archived_at"))
     joined = rel.join(emp, rel["employee_id"] == emp["e_id"], "left")
@@ -88,26 +86,19 @@ def visibility(t: Tables) -> DataFrame:
 def asset_list(t: Tables, flt: ListFilter, as_of: dt.datetime) -> DataFrame:
     """Page of live assets with their current holder and the total (``pagination`` ignored).
 
-    Which assets are listed (and the total) needs only per-asset counts (a hash aggregate).
-    The holder is then computed for the page's buckets alone: a range of ids in the relation scan.
+    Which assets are listed needs only per-asset counts (a hash aggregate), computed once and stored
+    as bare ids while the page is looked for.  The rows are then those of the unpaged list over the
+    page's range of asset ids, which the scans of both tables are given.
     """
     check_page(flt.limit, flt.page)
-    a = t.assets.filter(all_of([F.col("archived_at").isNull(), *_asset_filters(flt, as_of)]))
+    a = t.assets.filter(all_of([F.col("archived_at").isNull(), *_asset_filters(flt, as_of)])).select("id")
     v = visibility(t)
     listed = (a.join(v, a["id"] == v["asset_id"], "left")
-              .filter(F.col("asset_id").isNull() | (F.col("n_visible") > 0))
-              .select("id", "brand", "model", "serial_no", "asset_type", "purchased_date", "status",
-                      "warranty_expiry_date", "is_available"))
-    cut = cut_page(listed, "id", flt.offset, flt.limit)
-    page = cut.take(cut.restrict(listed), ["id"])
-    h = current_holders(t, within=cut)
-    held = F.col("is_available") == F.lit(False)
-    out = page.join(h, page["id"] == h["asset_id"], "left").select(
-        *EXPORT_COLUMNS,
-        F.when(held, F.col("holder.e_id")).alias("assigned_to_id"),
-        F.when(held, F.col("holder.e_name")).otherwise(F.lit("")).alias("name"))
-    return out.select(total_count(listed).scalar().alias("total_count"), *LIST_COLUMNS[:-2],
-                      "assigned_to_id", "name")
+              .filter(F.col("asset_id").isNull() | (F.col("n_visible") > 0)).select("id"))
+    with stored_keys(listed) as keys:
+        page = find_page(keys, "id", flt.offset, flt.limit)
+    few = t.with_(assets=page.of(t.assets, "id"), relation=page.of(t.relation, "asset_id"))
+    return asset_list_rows(few, flt, as_of).select(page.total_column(), *LIST_COLUMNS)
 
 
 # --------------------------------------------------------------------------- R2, R3
@@ -136,22 +127,17 @@ def status_predicate(flt: ListFilter, as_of: dt.datetime, strict: bool = False)
     return pred
 
 
-def asset_status_rows(t: Tables, flt: ListFilter, as_of: dt.datetime,
-                      strict: bool = False, restricted: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """Unpaged rows of the status list: one row per relation ever (no "current" filter).
-
-    ``restricted``: the assets of ``t`` are filtered already; ``carry``: asset columns to keep."""
-    carry = carry or []
-    a = (t.assets if restricted else t.assets.filter(status_predicate(flt, as_of, strict))).select(
-        "id", "brand", "model", "serial_no", "asset_type", "purchased_date", "status",
-        "warranty_expiry_date", *carry)
+def asset_status_rows(t: Tables, flt: ListFilter, as_of: dt.datetime, strict: bool = False) -> DataFrame:
+    """Unpaged rows of the status list: one row per relation ever (no "current" filter)."""
+    a = t.assets.filter(status_predicate(flt, as_of, strict)).select(
+        "id", "brand", "model", "serial_no", "asset_type", "purchased_date", "status", "warranty_expiry_date")
     rel = t.relation.select(F.col("id").alias("rel_id"), F.col("asset_id").alias("rel_asset"),
                             "employee_id")
     ar = left_join_many(a, rel, "id", "rel_asset")
     emp = t.employee.select(F.col("id").alias("e_id"), F.col("name").alias("e_name"))
     are = ar.join(emp, ar["employee_id"] == emp["e_id"], "left")
     return are.select(
-        *EXPORT_COLUMNS, "rel_id", *carry,
+        *EXPORT_COLUMNS, "rel_id",
         F.when(F.col("status") == "assigned", F.col("e_id")).alias("assigned_to_id"),
         F.when(F.col("status").isin("assigned", "deleted"), F.col("e_name"))
          .otherwise(F.lit("")).alias("name"))
@@ -167,17 +153,23 @@ def asset_list_by_status(t: Tables, flt: ListFilter, as_of: dt.datetime,
     if not flt.pagination:
         return asset_status_rows(t, flt, as_of, strict).select(*EXPORT_COLUMNS)
     check_page(flt.limit, flt.page)
-    a = t.assets.filter(status_predicate(flt, as_of, strict))
+    a = t.assets.filter(status_predicate(flt, as_of, strict)).select("id")
     # one row per listed asset with its number of result rows, max(1, its relations)
     per_asset = t.relation.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_rel"))
-    weighed = (a.select("id").join(per_asset, F.col("id") == F.col("asset_id"), "left")
+    weighed = (a.join(per_asset, F.col("id") == F.col("asset_id"), "left")
                .select("id", F.coalesce("n_rel", F.lit(1)).alias("n_rel")))
-    total = weighed.agg(F.coalesce(F.sum("n_rel"), F.lit(0)).cast("bigint").alias("total_count"))
-    cut = cut_page(weighed, "id", flt.offset, flt.limit, F.col("n_rel"))
-    few = t.with_(assets=cut.restrict(a), relation=cut.restrict(t.relation, "asset_id").drop("__b"))
-    rows = asset_status_rows(few, flt, as_of, strict, restricted=True, carry=["__b"])
-    page = cut.take(rows, ["id", "rel_id"])
-    return page.select(total.scalar().alias("total_count"), *LIST_COLUMNS)
+    with stored_keys(weighed) as keys:
+        page = find_page(keys, "id", flt.offset, flt.limit, F.col("n_rel"))
+    few = t.with_(assets=page.of(t.assets, "id"), relation=page.of(t.relation, "asset_id"))
+    rows = asset_status_rows(few, flt, as_of, strict)
+    # an asset that lies partly in the page: the same selection over its relations
+    for asset, skip, upper in ((page.first, page.skip, False), (page.last, page.spare, True)):
+        if skip:
+            index = page.last_rows - skip - 1 if upper else skip
+            _, place = select_places(t.relation.filter(F.col("asset_id") == F.lit(asset)), "id", [index])
+            edge = F.col("rel_id") <= F.lit(place[index].key) if upper else F.col("rel_id") >= F.lit(place[index].key)
+            rows = rows.filter((F.col("id") != F.lit(asset)) | edge)
+    return rows.select(page.total_column(), *LIST_COLUMNS)
 
 
 def asset_export(t: Tables, flt: ListFilter, as_of: dt.datetime, strict: bool = False) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetbook.functions.filters import ListFilter
 from fleetbook.functions.predicates import contains_ci
 from fleetbook.operators.assets import asset_history, open_relations, restrict
 from fleetbook.plans.joins import left_join_many
-from fleetbook.plans.paging import check_page, cut_page, page_with_total, total_count
+from fleetbook.plans.paging import Page, check_page, find_page, stored_keys
 from fleetbook.sources.tables import Tables
 
 EMPLOYEE_COLUMNS = ["id", "name", "email", "phone_no", "status", "type", "archived_at",
@@ -73,26 +74,31 @@ def employee_rows(t: Tables, flt: ListFilter, strict: bool = False) -> DataFrame
 
 
 def employee_list(t: Tables, flt: ListFilter, strict: bool = False) -> DataFrame:
-    """A page of employees with asset quantities and the total (ordered by id).
+    """A page of employees with asset quantities and the total (ordered by id)."""
+    return _employee_page(t, flt, strict)[1]
 
-    Without an asset-type filter the predicate reads employee columns only, so the listed
-    employees and the total come from the employee table alone, and relations are counted
-    just for the page's employees.  A type filter reads the relations of every employee, so
-    per-type counts come first.
+
+def _employee_page(t: Tables, flt: ListFilter, strict: bool) -> tuple[Page, DataFrame]:
+    """Where the page lies, and its rows.
+
+    Without an asset-type filter the predicate reads employee columns only, so the page is found in
+    the employee table alone, and relations are counted just for its range of employees.  A
+    type filter reads the relations of every employee, so the listed ids are stored while the page
+    is looked for.
     """
     check_page(flt.limit, flt.page)
     if flt.asset_types:
-        return page_with_total(employee_rows(t, flt, strict), ["id"], flt.limit, flt.page,
-                               LIST_COLUMNS)
-    listed = (t.employee.select(*EMPLOYEE_COLUMNS)
-              .filter(F.coalesce(employee_predicate(flt, strict), F.lit(False))))
-    cut = cut_page(listed, "id", flt.offset, flt.limit)
-    page = cut.take(cut.restrict(listed), ["id"])
-    counts = (cut.restrict(t.relation, "employee_id")
-              .groupBy("employee_id").agg(F.count(F.lit(1)).alias("n")))
-    out = page.join(counts, page["id"] == counts["employee_id"], "left").select(
-        *EMPLOYEE_COLUMNS, F.coalesce("n", F.lit(0)).cast("bigint").alias("asset_quantity"))
-    return out.select(total_count(listed).scalar().alias("total_count"), *LIST_COLUMNS)
+        with stored_keys(employee_rows(t, flt, strict).select("id")) as keys:
+            page = find_page(keys, "id", flt.offset, flt.limit)
+        few = t.with_(employee=page.of(t.employee, "id"), relation=page.of(t.relation, "employee_id"))
+        rows = employee_rows(few, flt, strict)
+    else:
+        listed = t.employee.select(*EMPLOYEE_COLUMNS).filter(F.coalesce(employee_predicate(flt, strict), F.lit(False)))
+        page = find_page(listed, "id", flt.offset, flt.limit)
+        counts = page.of(t.relation, "employee_id").groupBy("employee_id").agg(F.count(F.lit(1)).alias("n"))
+        rows = (page.of(listed, "id").join(counts, F.col("id") == F.col("employee_id"), "left")
+                .withColumn("asset_quantity", F.coalesce("n", F.lit(0)).cast("bigint")))
+    return page, rows.select(page.total_column(), *LIST_COLUMNS)
 
 
 def employee_detail(t: Tables, flt: ListFilter, employee_id: str = "",
@@ -117,22 +123,27 @@ def employee_detail(t: Tables, flt: ListFilter, employee_id: str = "",
         out = left_join_many(rows, h, "id", "h_owner")
         return out.select(*LIST_COLUMNS, *[f"h_{c}" for c in hist_cols])
     f = ListFilter(**{**flt.__dict__, "employee_id": employee_id})
-    page = employee_list(t, f, strict=False)
+    page, rows = _employee_page(t, f, strict=False)
+    if page.first is None:
+        return rows.select("*", *[F.lit(None).cast(k).alias(c) for c, k in _history_types(t, hist_cols)])
     rel = t.relation
     if employee_id != "":
         rel = rel.filter(F.col("employee_id").cast("string") == F.lit(employee_id))
-    hist = asset_history(t.with_(relation=rel))
+    h = asset_history(t.with_(relation=rel)).select("employee_id", *[F.col(c).alias(f"h_{c}") for c in hist_cols])
     # every history row goes to the page's first row, whose columns are one scalar: no join at all
-    row = ["total_count", *LIST_COLUMNS]
-    first = page.agg(F.min(F.struct("id", *[c for c in row if c != "id"])).alias("first"))
-    h = hist.select(F.col("employee_id"), *[F.col(c).alias(f"h_{c}") for c in hist_cols])
-    given = (h.withColumn("__first", first.scalar()).filter(F.col("__first").isNotNull())
-             .select(*[F.col(f"__first.{c}").alias(c) for c in row], *[f"h_{c}" for c in hist_cols]))
-    found = h.agg(F.count(F.lit(1))).scalar()
-    rest = page.filter((F.col("id") != page.agg(F.min("id")).scalar()) | (found == 0))
-    for f in given.schema.fields[len(row):]:
-        rest = rest.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return given.unionByName(rest.select(*given.columns))
+    columns = rows.columns
+    first = rows.filter(F.col("id") == F.lit(page.first)).agg(F.first(F.struct(*columns)).alias("first"))
+    given = (h.withColumn("__first", first.scalar())
+             .select(*[F.col(f"__first.{c}").alias(c) for c in columns], *[f"h_{c}" for c in hist_cols]))
+    found = h.limit(1).agg(F.count(F.lit(1))).scalar()
+    rest = rows.filter((F.col("id") != F.lit(page.first)) | (found == 0))
+    rest = rest.select("*", *[F.lit(None).cast(k).alias(c) for c, k in _history_types(t, hist_cols)])
+    return given.unionByName(rest)
+
+
+def _history_types(t: Tables, columns: list[str]) -> list[tuple[str, T.DataType]]:
+    schema = asset_history(t).schema
+    return [(f"h_{c}", schema[c].dataType) for c in columns]
 
 
 def open_counts_by_employee(t: Tables, ids: DataFrame | None = None) -> DataFrame:

@@ -1,27 +1,34 @@
-"""Paging with a total, in one lazy plan for pages of any size and depth.
-
-``count(*) over ()`` plans an ``Exchange SinglePartition`` over every row.  The total here is
-a global aggregate (partial counts per task, one row at the end) attached to the page as a
-scalar subquery.
-
-Pages are cut by counting.  The order key is mapped monotonically to one of ``BUCKETS`` numbers
-between its smallest and largest value, rows are counted per bucket, and the running sum over
-the bucket table (at most ``BUCKETS`` rows) tells in which buckets the page begins and ends.  Only
-rows of those buckets and between them are kept - a plain filter - and ranked inside their
-bucket, whose first row index is known.  Nothing else is sorted, no task holds offset + limit
-rows, and nothing runs before the page is read.  Keys that crowd a small part of their range
-share buckets; that costs time, not rows.
+"""Pages of any size and depth by selection on the order key.
+
+A page ``[offset, offset + limit)`` is the rows whose key lies between the key at index ``offset`` and
+the key at index ``offset + limit - 1``.  Both keys are found by radix selection: the rows of an
+interval of keys are counted per digit (at most ``DIGITS`` of them, the leading bits, or
+bytes, in which the interval's keys differ), and only the digit that holds the wanted index becomes the next
+interval, with the smallest and largest key that occur in it.  A 64-bit key takes four or five such
+counts whatever its distribution; outliers, hashed ids beside small ones, or a prefix that all
+keys share cost nothing, because the next digit begins where the keys of the interval begin to
+differ.  An interval of at most ``DIGITS`` keys is counted by the keys themselves, so one count finds
+any page of a small table.
+
+Each count is one aggregate whose result (two rows at most) comes to the driver.  The page itself is then a
+plain filter ``key >= first and key <= last`` with literals, which reaches the Parquet scans of
+every table that is read for the page; no row of the page is ranked or sorted by its index.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 1 << 16
+from fleetbook.plans.session import scratch_table
+
+DIGIT_BITS = 16
+DIGITS = 1 << DIGIT_BITS
 LAST_INDEX = 2 ** 63 - 1
 
 
@@ -30,87 +37,146 @@ def total_count(df: DataFrame, name: str = "total_count") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
-def position(df: DataFrame, key: str) -> Column:
-    """The key as a number in the key's order (strings by their first seven bytes)."""
-    if isinstance(df.schema[key].dataType, T.StringType):
-        head = F.rpad(F.substring(F.hex(F.col(key).cast("binary")), 1, 14), 14, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(key).cast("double")
+def check_page(limit: int, page: int) -> None:
+    if limit < 0 or page < 0 or limit * page > LAST_INDEX:
+        raise ValueError("LIMIT and OFFSET must not be negative or beyond 64 bits")
+
+
+# ------------------------------------------------------------------------------------ selection
 
 
 @dataclass(frozen=True)
-class PageCut:
-    """Where a page lies; ``where`` is one scalar: the key's range and the buckets of the page's
-    first and last row."""
-
-    key: str
-    where: Column
-    buckets: DataFrame      # (b, before): row index at which each bucket starts
-    offset: int
-    limit: int
-
-    def restrict(self, df: DataFrame, key: str | None = None) -> DataFrame:
-        """Rows of ``df`` in the page's buckets (``__b``); ``key`` is the name of the key in ``df``."""
-        placed = df.withColumn("__cut", self.where)
-        placed = placed.withColumn("__b", _bucket(position(df, key or self.key), F.col("__cut")))
-        return placed.filter((F.col("__b") >= F.col("__cut.first")) & (F.col("__b") <= F.col("__cut.last"))).drop("__cut")
-
-    def take(self, rows: DataFrame, order: list[str]) -> DataFrame:
-        """The page's rows of ``rows``: everything ``restrict`` keeps, in the total ``order``."""
-        cols = [c for c in rows.columns if c != "__b"]
-        ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__b").orderBy(*order)))
-        starts = self.buckets.select(F.col("b").alias("__c"), "before")
-        index = F.col("before") + F.col("__rank") - 1
-        end = min(self.offset + self.limit, LAST_INDEX)
-        return (ranked.join(starts, F.col("__b") == F.col("__c"))
-                .filter((index >= self.offset) & (index < end)).select(*cols))
-
-
-def _bucket(at: Column, ends: Column) -> Column:
-    """Bucket of a key at position ``at`` in the range ``ends.low`` .. ``ends.high``."""
-    share = (at - ends["low"]) / (ends["high"] - ends["low"] + 1)
-    return F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
-
-
-def cut_page(keys: DataFrame, key: str, offset: int, limit: int, weight: Column | None = None) -> PageCut:
-    """Find the page ``[offset, offset + limit)`` of rows ordered by ``key``.
-
-    ``keys`` has one row per key value (or per row); ``weight`` is how many result rows it stands
-    for (default 1).
+class Place:
+    """The key that holds a row index: ``before`` rows come ahead of it and ``rows`` share it."""
+
+    key: Any
+    before: int
+    rows: int
+
+
+@dataclass(frozen=True)
+class _Interval:
+    low: Any
+    high: Any
+    before: int
+    rows: int
+    keys: int
+
+
+def digit(key: str, kind: T.DataType, low: Any, high: Any) -> Column:
+    """The leading digit in which keys between ``low`` and ``high`` differ, in the order of the keys."""
+    if isinstance(kind, T.StringType):
+        a, b = low.encode(), high.encode()
+        same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        return F.substring(F.hex(F.col(key).cast("binary")), 2 * same + 1, 2 * DIGIT_BITS // 8)
+    return F.shiftright(F.col(key).cast("long"), max(0, (high - low).bit_length() - DIGIT_BITS))
+
+
+def _narrowed(keys: DataFrame, key: str, part: _Interval, whole: bool, ranks: list[int]) -> dict[int, _Interval]:
+    """The digits of ``part`` that hold the row indexes ``ranks``, as intervals."""
+    rows = keys if whole else keys.filter((F.col(key) >= F.lit(part.low)) & (F.col(key) <= F.lit(part.high)))
+    by = F.col(key) if part.keys <= DIGITS else digit(key, keys.schema[key].dataType, part.low, part.high)
+    sums = rows.groupBy(by.alias("__d")).agg(
+        F.sum("__n").alias("n"), F.count(F.lit(1)).alias("k"), F.min(key).alias("low"), F.max(key).alias("high"))
+    upto = Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, Window.currentRow)   # at most DIGITS + 1 rows
+    placed = sums.withColumn("before", F.sum("n").over(upto) - F.col("n") + F.lit(part.before))
+    holds = [(F.col("before") <= r) & (F.lit(r) < F.col("before") + F.col("n")) for r in ranks]
+    wanted = holds[0]
+    for h in holds[1:]:
+        wanted = wanted | h
+    found = [_Interval(r["low"], r["high"], r["before"], r["n"], r["k"]) for r in placed.filter(wanted).collect()]   # one per rank
+    return {r: next(f for f in found if f.before <= r < f.before + f.rows) for r in ranks}
+
+
+def select_places(keys: DataFrame, key: str, ranks: list[int], weight: Column | None = None) -> tuple[int, dict[int, Place]]:
+    """(number of rows, where each row index of ``ranks`` falls) in the order of ``key``.
+
+    ``keys`` has one row per key, or per row; ``weight`` is how many rows one stands for (default 1).
+    Indexes past the end are left out.  ``key`` (a whole number or string) is never NULL.
     """
-    last = max(min(offset + limit, LAST_INDEX) - 1, 0)
-    weighed = keys.select(position(keys, key).alias("__at"), (weight if weight is not None else F.lit(1)).cast("bigint").alias("__n"))
-    ends = weighed.agg(F.struct(F.min("__at").alias("low"), F.max("__at").alias("high")).alias("ends"))
-    coded = weighed.withColumn("__ends", ends.scalar())
-    sums = coded.groupBy(_bucket(F.col("__at"), F.col("__ends")).alias("b")).agg(      # at most BUCKETS rows
-        F.sum("__n").alias("n"), F.max("__ends").alias("__ends"))
-    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("b", "__ends", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    holds = lambda index: F.max(F.when(F.col("before") <= index, F.col("b")))
-    where = starts.agg(F.struct(holds(offset).alias("first"), holds(last).alias("last"), F.max("__ends.low").alias("low"),
-                                F.max("__ends.high").alias("high")).alias("cut"))
-    return PageCut(key, where.scalar(), starts.select("b", "before"), offset, limit)
+    keys = keys.select(key, (weight if weight is not None else F.lit(1)).cast("bigint").alias("__n"))
+    ends = keys.agg(F.sum("__n"), F.count(F.lit(1)), F.min(key), F.max(key)).first()
+    total = ends[0] or 0
+    open_ranks = {r: _Interval(ends[2], ends[3], 0, total, ends[1]) for r in ranks if 0 <= r < total}
+    places: dict[int, Place] = {}
+    whole = True
+    while open_ranks:
+        for part in set(open_ranks.values()):
+            mine = [r for r, p in open_ranks.items() if p == part]
+            if part.low == part.high:
+                places |= {r: Place(part.low, part.before, part.rows) for r in mine}
+                for r in mine:
+                    del open_ranks[r]
+            else:
+                open_ranks |= _narrowed(keys, key, part, whole, mine)
+        whole = False
+    return total, places
+
+
+# ----------------------------------------------------------------------------------------- pages
+
+
+@dataclass(frozen=True)
+class Page:
+    """A page as a range of keys; ``first`` is None where the page is empty.
+
+    ``skip`` and ``spare`` rows of the first and last key lie outside the page (0 where every key is
+    one row).
+    """
+
+    total: int
+    first: Any = None
+    last: Any = None
+    skip: int = 0
+    spare: int = 0
+    last_rows: int = 1
+
+    def of(self, df: DataFrame, key: str) -> DataFrame:
+        """Rows of ``df`` whose ``key`` lies in the page: literal bounds, for the scan."""
+        if self.first is None:
+            return df.filter(F.lit(False))
+        return df.filter((F.col(key) >= F.lit(self.first)) & (F.col(key) <= F.lit(self.last)))
+
+    def total_column(self, name: str = "total_count") -> Column:
+        return F.lit(self.total).cast("bigint").alias(name)
+
+
+def find_page(keys: DataFrame, key: str, offset: int, limit: int, weight: Column | None = None) -> Page:
+    """The page ``[offset, offset + limit)`` of the rows that ``keys`` stands for, ordered by ``key``."""
+    end = min(offset + limit, LAST_INDEX)
+    total, places = select_places(keys, key, [offset] if limit == 0 else sorted({offset, end - 1}), weight)
+    if limit == 0 or offset not in places:
+        return Page(total)
+    first = places[offset]
+    last = places.get(end - 1)
+    if last is None:                                        # the page reaches beyond the last row
+        high = keys.agg(F.max(key)).first()[0]
+        return Page(total, first.key, high, offset - first.before)
+    return Page(total, first.key, last.key, offset - first.before, last.before + last.rows - end, last.rows)
+
+
+@contextmanager
+def stored_keys(keys: DataFrame):
+    """``keys`` written once to the shared folder while a page is looked for, where finding the listed
+    keys takes joins; removed afterwards."""
+    with scratch_table(keys, "keys") as table:
+        yield table
 
 
 def page_rows(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
-    """Rows ``[offset, offset + limit)`` of ``df`` in ``order`` (a total order whose first column
-    is never NULL)."""
-    cut = cut_page(df, order[0], offset, limit)
-    return cut.take(cut.restrict(df), order)
+    """Rows ``[offset, offset + limit)`` of ``df`` ordered by the first column of ``order``, which is
+    unique and never NULL."""
+    return find_page(df, order[0], offset, limit).of(df, order[0])
 
 
 def page_with_total(df: DataFrame, order: list[str], limit: int, page: int,
                     columns: list[str] | None = None) -> DataFrame:
     """Rows ``[limit*page, limit*page + limit)`` of ``df`` in ``order``, each with the total.
 
-    An empty page has no rows.  ``order`` must be a total order or pages overlap.
+    An empty page has no rows.  The first column of ``order`` is unique.
     """
     check_page(limit, page)
     columns = columns or df.columns
-    page_df = page_rows(df, order, limit * page, limit)
-    return page_df.select(total_count(df).scalar().alias("total_count"), *columns)
-
-
-def check_page(limit: int, page: int) -> None:
-    if limit < 0 or page < 0 or limit * page > LAST_INDEX:
-        raise ValueError("LIMIT and OFFSET must not be negative or beyond 64 bits")
+    with stored_keys(df.select(order[0])) as keys:
+        cut = find_page(keys, order[0], limit * page, limit)
+    return cut.of(df, order[0]).select(cut.total_column(), *columns)
