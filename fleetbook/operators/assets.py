@@ -162,13 +162,16 @@ def asset_list_by_status(t: Tables, flt: ListFilter, as_of: dt.datetime,
         page = find_page(keys, "id", flt.offset, flt.limit, F.col("n_rel"))
     few = t.with_(assets=page.of(t.assets, "id"), relation=page.of(t.relation, "asset_id"))
     rows = asset_status_rows(few, flt, as_of, strict)
-    # an asset that lies partly in the page: the same selection over its relations
-    for asset, skip, upper in ((page.first, page.skip, False), (page.last, page.spare, True)):
-        if skip:
-            index = page.last_rows - skip - 1 if upper else skip
-            _, place = select_places(t.relation.filter(F.col("asset_id") == F.lit(asset)), "id", [index])
-            edge = F.col("rel_id") <= F.lit(place[index].key) if upper else F.col("rel_id") >= F.lit(place[index].key)
-            rows = rows.filter((F.col("id") != F.lit(asset)) | edge)
+    # assets that lie partly in the page: the relations that are its first and last
+    cuts = {}
+    if page.skip:
+        cuts[page.first, "first"] = (page.skip, page.first_rows)
+    if page.spare:
+        cuts[page.last, "last"] = (page.last_rows - page.spare - 1, page.last_rows)
+    for (asset, side), (index, n_rel) in cuts.items():
+        _, place = select_places(t.relation.filter(F.col("asset_id") == F.lit(asset)), "id", [index], known=n_rel)
+        edge = F.col("rel_id") >= F.lit(place[index].key) if side == "first" else F.col("rel_id") <= F.lit(place[index].key)
+        rows = rows.filter((F.col("id") != F.lit(asset)) | edge)
     return rows.select(page.total_column(), *LIST_COLUMNS)
 
 

@@ -73,29 +73,41 @@ def digit(key: str, kind: T.DataType, low: Any, high: Any) -> Column:
 
 
 def _narrowed(keys: DataFrame, key: str, part: _Interval, whole: bool, ranks: list[int]) -> dict[int, _Interval]:
-    """The digits of ``part`` that hold the row indexes ``ranks``, as intervals."""
+    """The digits (or keys, if they are few) of ``part`` that hold the row indexes ``ranks``, as intervals."""
     rows = keys if whole else keys.filter((F.col(key) >= F.lit(part.low)) & (F.col(key) <= F.lit(part.high)))
-    by = F.col(key) if part.keys <= DIGITS else digit(key, keys.schema[key].dataType, part.low, part.high)
-    sums = rows.groupBy(by.alias("__d")).agg(
-        F.sum("__n").alias("n"), F.count(F.lit(1)).alias("k"), F.min(key).alias("low"), F.max(key).alias("high"))
-    upto = Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, Window.currentRow)   # at most DIGITS + 1 rows
-    placed = sums.withColumn("before", F.sum("n").over(upto) - F.col("n") + F.lit(part.before))
+    if part.keys <= DIGITS:         # few enough to be summed up in one task
+        upto = Window.orderBy("low").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = rows.select(F.col(key).alias("low"), F.col(key).alias("high"), "__n").withColumn("upto", F.sum("__n").over(upto))
+        sums = sums.withColumns({"n": F.sum("__n").over(Window.partitionBy("low")), "k": F.lit(1)})
+    else:
+        by = digit(key, keys.schema[key].dataType, part.low, part.high)
+        upto = Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, Window.currentRow)   # at most DIGITS + 1 rows
+        sums = rows.groupBy(by.alias("__d")).agg(
+            F.sum("__n").alias("n"), F.count(F.lit(1)).alias("k"), F.min(key).alias("low"), F.max(key).alias("high"))
+        sums = sums.withColumn("upto", F.sum("n").over(upto))
+    placed = sums.withColumn("before", F.col("upto") - F.col("n") + F.lit(part.before))
     holds = [(F.col("before") <= r) & (F.lit(r) < F.col("before") + F.col("n")) for r in ranks]
     wanted = holds[0]
     for h in holds[1:]:
         wanted = wanted | h
-    found = [_Interval(r["low"], r["high"], r["before"], r["n"], r["k"]) for r in placed.filter(wanted).collect()]   # one per rank
+    held = placed.filter(wanted).select("low", "high", "before", "n", "k").collect()   # one per rank, or per row of its key
+    found = [_Interval(*r) for r in held]
     return {r: next(f for f in found if f.before <= r < f.before + f.rows) for r in ranks}
 
 
-def select_places(keys: DataFrame, key: str, ranks: list[int], weight: Column | None = None) -> tuple[int, dict[int, Place]]:
+def select_places(keys: DataFrame, key: str, ranks: list[int], weight: Column | None = None,
+                  known: int | None = None) -> tuple[int, dict[int, Place]]:
     """(number of rows, where each row index of ``ranks`` falls) in the order of ``key``.
 
     ``keys`` has one row per key, or per row; ``weight`` is how many rows one stands for (default 1).
-    Indexes past the end are left out.  ``key`` (a whole number or string) is never NULL.
+    Indexes past the end are left out.  ``key`` (a whole number or string) is never NULL.  ``known``: the
+    number of rows, where it is known and each is one key.
     """
     keys = keys.select(key, (weight if weight is not None else F.lit(1)).cast("bigint").alias("__n"))
-    ends = keys.agg(F.sum("__n"), F.count(F.lit(1)), F.min(key), F.max(key)).first()
+    if known is not None and known <= DIGITS:
+        ends = (known, known, None, None)
+    else:
+        ends = keys.agg(F.sum("__n"), F.count(F.lit(1)), F.min(key), F.max(key)).first()
     total = ends[0] or 0
     open_ranks = {r: _Interval(ends[2], ends[3], 0, total, ends[1]) for r in ranks if 0 <= r < total}
     places: dict[int, Place] = {}
@@ -103,7 +115,7 @@ def select_places(keys: DataFrame, key: str, ranks: list[int], weight: Column |
     while open_ranks:
         for part in set(open_ranks.values()):
             mine = [r for r, p in open_ranks.items() if p == part]
-            if part.low == part.high:
+            if part.low is not None and part.low == part.high:
                 places |= {r: Place(part.low, part.before, part.rows) for r in mine}
                 for r in mine:
                     del open_ranks[r]
@@ -129,6 +141,7 @@ class Page:
     last: Any = None
     skip: int = 0
     spare: int = 0
+    first_rows: int = 1
     last_rows: int = 1
 
     def of(self, df: DataFrame, key: str) -> DataFrame:
@@ -151,8 +164,8 @@ def find_page(keys: DataFrame, key: str, offset: int, limit: int, weight: Column
     last = places.get(end - 1)
     if last is None:                                        # the page reaches beyond the last row
         high = keys.agg(F.max(key)).first()[0]
-        return Page(total, first.key, high, offset - first.before)
-    return Page(total, first.key, last.key, offset - first.before, last.before + last.rows - end, last.rows)
+        return Page(total, first.key, high, offset - first.before, first_rows=first.rows)
+    return Page(total, first.key, last.key, offset - first.before, last.before + last.rows - end, first.rows, last.rows)
 
 
 @contextmanager
