@@ -184,7 +184,7 @@ def _s01(spark, sf):
     for k in (1, 2):
         write_requests(req.filter(F.col("seq") % 10 == k), f"{root}/requests", "reassign_assets", mode="append")
         apply_request_stream(spark, "reassign_assets", aw.reassign_assets, f"{root}/requests", f"{root}/base",
-                             f"{root}/out", f"{root}/checkpoint", max_files_per_trigger=1000).awaitTermination()
+                             f"{root}/out", f"{root}/checkpoint", max_files_per_trigger=1000, buckets=8).awaitTermination()
     return current_tables(spark, f"{root}/base", f"{root}/out").relation.select(*REL_COLS)
 
 
@@ -197,12 +197,18 @@ def _s01_two(spark, sf):
                          ("reassign_assets", REASSIGN_REQ, aw.reassign_assets)):
         write_requests(_req(spark, t, sql), f"{root}/{op}", op)
         apply_request_stream(spark, op, run, f"{root}/{op}", f"{root}/base", f"{root}/out", f"{root}/checkpoint-{op}",
-                             max_files_per_trigger=1000).awaitTermination()
-    return current_tables(spark, f"{root}/base", f"{root}/out").relation.select(*REL_COLS)
+                             max_files_per_trigger=1000, buckets=8).awaitTermination()
+    now = current_tables(spark, f"{root}/base", f"{root}/out")
+    dates = now.assets.select(F.col("id").alias("of"), "warranty_start_date", "warranty_expiry_date", "status")
+    rel = now.relation.select(*REL_COLS)
+    return rel.join(dates, rel["asset_id"] == dates["of"], "left").drop("of")
 
 
 QUERIES["s01_two_operations_stream"] = _s01_two
-ORACLE["s01_two_operations_stream"] = ORACLE["w05_reassign_relations"]
+ORACLE["s01_two_operations_stream"] = (
+    "select r.*, w.warranty_start_date, w.warranty_expiry_date, a.status from (" + ORACLE["w05_reassign_relations"]
+    + ") r left join (" + ORACLE["w03_update_warranty"] + ") w on w.id = r.asset_id left join ("
+    + ORACLE["w05_reassign_assets"] + ") a on a.id = r.asset_id")
 QUERIES["s01_reassign_stream"] = _s01
 ORACLE["s01_reassign_stream"] = ORACLE["w05_reassign_relations"]
 
@@ -217,7 +223,7 @@ def _s02(spark, sf):
         part = attempts.filter((F.col("seq") * 3 / (top + 1)).cast("int") == k)
         write_requests(part, f"{root}/attempts", "login_attempts", mode="append")
         login_policy_stream(spark, f"{root}/attempts", f"{root}/base", f"{root}/out", f"{root}/checkpoint", COMPANY_DOMAIN,
-                            max_files_per_trigger=1000).awaitTermination()
+                            max_files_per_trigger=1000, buckets=8).awaitTermination()
     return root
 
 

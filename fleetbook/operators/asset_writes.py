@@ -104,7 +104,7 @@ def register_assets(t: Tables, requests: DataFrame) -> Changes:
         F.when(F.col("owned_by") == "remote_state", F.lit("")).otherwise(_zs("client_name"))
          .alias("client_name"),
         F.lit("available").alias("status"))
-    changed = {"assets": t.assets.unionByName(conform(new_assets, t.assets.schema))}
+    added = {"assets": conform(new_assets, t.assets.schema)}
     for family, attr in SPEC_ATTR.items():
         target = getattr(t, attr)
         cols = [(F.coalesce(F.col(c), F.lit(False)) if c == "charger" else _zs(c)).alias(c)
@@ -112,8 +112,9 @@ def register_assets(t: Tables, requests: DataFrame) -> Changes:
         rows = ok.filter(F.col("asset_type") == family).select(
             new_id("register_spec", "seq", idt).alias("id"), F.col("__new_id").alias("asset_id"),
             *cols, F.col("req_ts").alias("created_at"))
-        changed[table_name(attr)] = target.unionByName(conform(rows, target.schema))
-    return Changes(changed, rejects)
+        added[table_name(attr)] = conform(rows, target.schema)
+    stored = t.by_name()
+    return Changes({name: stored[name].unionByName(rows) for name, rows in added.items()}, rejects, added)
 
 
 def table_name(attr: str) -> str:

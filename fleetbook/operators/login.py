@@ -91,8 +91,8 @@ def login_outcomes(t: Tables, attempts: DataFrame, company_domain: str) -> Chang
     started = outcomes.filter(F.col("outcome") == "session").select(
         new_id("session", "seq", idt).alias("id"), F.col("user_id"),
         F.col("ts").cast("timestamp").alias("start_time"))
-    sessions = t.sessions.unionByName(conform(started, t.sessions.schema))
+    started = conform(started, t.sessions.schema)
     rejects = outcomes.filter(F.col("outcome") != "session").select(
         F.col("seq").cast("long").alias("seq"), F.col("outcome").alias("reason"))
-    return Changes({"users": users, "sessions": sessions,
-                    "login_outcomes": outcomes.drop("ts")}, rejects)
+    return Changes({"users": users, "sessions": t.sessions.unionByName(started),
+                    "login_outcomes": outcomes.drop("ts")}, rejects, {"sessions": started})

@@ -65,7 +65,8 @@ def upsert_employees(t: Tables, requests: DataFrame) -> Changes:
     idt = t.employee.schema["id"].dataType
     rows = first.select(new_id("employee", "seq", idt).alias("id"), "name", "email", "phone_no",
                         F.col("req_ts").alias("created_at"), F.lit("active").alias("status"), "type")
-    return Changes({"employee": t.employee.unionByName(conform(rows, t.employee.schema))}, rejects)
+    added = conform(rows, t.employee.schema)
+    return Changes({"employee": t.employee.unionByName(added)}, rejects, {"employee": added})
 
 
 def update_employees(t: Tables, requests: DataFrame) -> Changes:
@@ -135,8 +136,8 @@ def register_users(t: Tables, requests: DataFrame) -> Changes:
                      hash_text("password").alias("password"), F.col("req_ts").alias("created_at"),
                      F.lit("authorized").alias("type"), F.lit(0).alias("authentication_times"),
                      F.lit("white_listed").alias("status"))
-    return Changes({"users": t.users.unionByName(conform(rows, t.users.schema))},
-                   rej1.unionByName(rej2))
+    added = conform(rows, t.users.schema)
+    return Changes({"users": t.users.unionByName(added)}, rej1.unionByName(rej2), {"users": added})
 
 
 def update_users(t: Tables, requests: DataFrame) -> Changes:

@@ -15,7 +15,7 @@ hot key in the target can be split by AQE.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,10 +27,14 @@ ZERO_DATE = "0001-01-01"
 
 @dataclass(frozen=True)
 class Changes:
-    """Result of a write operator: the new tables it changed and the rejected requests."""
+    """Result of a write operator: the new tables it changed and the rejected requests.
+
+    ``appended`` holds, for tables that only got new rows, these rows alone.
+    """
 
     tables: dict[str, DataFrame]
     rejects: DataFrame
+    appended: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def winners(requests: DataFrame, keys: list[str], last: bool = True, seq: str = "seq") -> DataFrame:
