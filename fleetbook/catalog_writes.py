@@ -13,6 +13,7 @@ from fleetbook.catalog_reads import ORACLE, QUERIES
 from fleetbook.operators import asset_writes as aw
 from fleetbook.operators import login as lg
 from fleetbook.operators import people_writes as pw
+from fleetbook.operators.asset_log import apply_asset_log
 from fleetbook.sources.fixtures import duckdb_ctes, shared_tables
 
 COMPANY_DOMAIN = "example.com"
@@ -329,6 +330,83 @@ reg("w07_delete_rejects", _op(aw.delete_assets, DELETE_REQ, None, None, rejects=
     "employee_asset_relation e where e.asset_id = r.id and e.retrieved_date is null "
     "and e.archived_at is null)")
 
+# --------------------------------------------------------------------------- W3-W7 as one mixed log
+
+_LOG_COLUMNS = ("{seq} as seq, {ts} as req_ts, cast(1 as bigint) as actor_id, '{op}' as operation, id as asset_id, {emp} as employee_id, "
+                "{assigned} as assigned_date, {back} as retrieved_date, {why} as retrieval_reason, asset_type, {gone} as delete_reason, "
+                "warranty_start_date, warranty_expiry_date + 100 as warranty_expiry_date from {{assets}} where {where}")
+
+
+def _log_part(k, op, where, emp="id % 97 + 1", assigned="cast(null as string)", back="cast(null as date)", why="cast(null as string)",
+              gone="cast(null as string)"):
+    return "select " + _LOG_COLUMNS.format(seq=f"id * 10 + {k}", ts=REQ_TS.format(s=f"(id % 100000 + {k})"), op=op, where=where, emp=emp,
+                                           assigned=assigned, back=back, why=why, gone=gone)
+
+
+LOG_REQ = " union all ".join([
+    _log_part(0, "retrieve_assets", "id % 7 < 3", emp="case when id % 50 = 1 then 7 else id % 89 + 1 end", back="date '1997-03-03'"),
+    _log_part(1, "assign_assets", "id % 2 = 1", assigned="'1997-06-01'"),
+    _log_part(2, "delete_assets", "id % 5 < 2", gone="'early'"),
+    _log_part(3, "reassign_assets", "id % 3 = 0", emp="case when id % 60 = 33 then -1 else id % 89 + 1 end", assigned="'1997-06-03'",
+              back="date '1997-06-03'", why="case when id % 27 = 0 then '' else 'moved' end"),
+    _log_part(4, "update_warranty", "id % 4 = 1"),
+    _log_part(5, "retrieve_assets", "id % 4 < 2", emp="case when id % 8 < 4 then id % 97 + 1 else id % 89 + 1 end", back="date '1997-06-05'",
+              why="'back'"),
+    _log_part(6, "delete_assets", "id % 3 < 2", gone="'late'"),
+    _log_part(7, "assign_assets", "id % 11 = 4", emp="id % 89 + 1", assigned="'1997-06-07'"),
+    _log_part(8, "update_warranty", "id % 9 = 1"),
+    _log_part(9, "retrieve_assets", "id % 13 = 5", emp="id % 89 + 1")])
+
+# One request at a time, said with EXISTS: what closes a relation, and whether one is open when a deletion arrives.
+_LOG_CTES = {
+    "req": _bind(LOG_REQ),
+    "fine": """select r.*, a.id is not null as has_asset, e.id is not null as has_employee from req r
+  left join assets a on a.id = r.asset_id left join employee e on e.id = r.employee_id""",
+    "bad": """select seq, case when operation = 'reassign_assets' and retrieval_reason = '' then 'Invalid RetrievalReason'
+    when operation in ('assign_assets', 'reassign_assets') and not has_employee then 'unknown employee' end as reason from fine""",
+    "ok": "select req.* from req join bad using (seq) where reason is null",
+    "born": """select -1 as born, asset_id, employee_id, assigned_by, assigned_date, retrieved_date, retrieval_reason, archived_at,
+    id as was from employee_asset_relation
+  union all select seq, asset_id, employee_id, actor_id, cast(assigned_date as date), null, null, null, null from ok
+    where operation in ('assign_assets', 'reassign_assets')""",
+    "fate": """select b.*,
+    (select min(seq) from ok where operation = 'reassign_assets' and ok.asset_id = b.asset_id and seq > born) as moved,
+    (select min(seq) from ok where operation = 'retrieve_assets' and ok.asset_id = b.asset_id
+      and ok.employee_id = b.employee_id and seq > born) as fetched from born b""",
+    "refused": """select distinct d.seq from ok d join fate f on f.asset_id = d.asset_id and d.operation = 'delete_assets'
+      and f.born < d.seq and f.retrieved_date is null and f.archived_at is null
+      and coalesce(f.moved, d.seq) >= d.seq and coalesce(f.fetched, d.seq) >= d.seq""",
+    "done": "select * from ok anti join refused using (seq)",
+}
+_LOG_TABLES = ["assets", "employee", "employee_asset_relation"]
+reg("w19_asset_log_relations", _op(apply_asset_log, LOG_REQ, "employee_asset_relation", REL_COLS), _ctes(_LOG_TABLES, _LOG_CTES) + """
+select f.employee_id, f.asset_id, f.assigned_by, f.assigned_date,
+  case when f.archived_at is null and m.seq is not null then m.retrieved_date
+    when f.retrieved_date is null and t.seq is not null then coalesce(t.retrieved_date, date '0001-01-01') else f.retrieved_date end as retrieved_date,
+  case when f.archived_at is null and m.seq is not null then m.retrieval_reason
+    when f.retrieved_date is null and t.seq is not null then coalesce(t.retrieval_reason, '') else f.retrieval_reason end as retrieval_reason,
+  case when f.archived_at is null and m.seq is not null then m.req_ts else f.archived_at end as archived_at
+from fate f left join ok m on m.seq = f.moved left join ok t on t.seq = f.fetched""")
+_LOG_ASSET_COLS = ["id", "status", "is_available", "warranty_start_date", "warranty_expiry_date", "archived_at", "archive_reason", "deleted_by"]
+reg("w19_asset_log_assets", _op(apply_asset_log, LOG_REQ, "assets", _LOG_ASSET_COLS), _ctes(_LOG_TABLES, {**_LOG_CTES,
+    "ends": "select asset_id, min(seq) as ending from done where operation = 'delete_assets' group by asset_id",
+    "mine": """select d.* from done d left join ends using (asset_id) where ending is null or d.seq <= ending""",
+    "how": """select asset_id, arg_max(operation = 'retrieve_assets', seq) filter (where operation in
+      ('assign_assets', 'reassign_assets', 'retrieve_assets')) as free,
+    max(seq) filter (where operation = 'update_warranty') as paper, max(seq) filter (where operation = 'delete_assets') as ending
+    from mine group by asset_id"""}) + """
+select a.id, case when a.archived_at is not null then a.status when how.ending is not null then 'deleted' when free then 'available'
+    when not free then 'assigned' else a.status end as status,
+  case when a.archived_at is null then coalesce(free, a.is_available) else a.is_available end as is_available,
+  case when a.archived_at is null then coalesce(p.warranty_start_date, a.warranty_start_date) else a.warranty_start_date end as warranty_start_date,
+  case when a.archived_at is null then coalesce(p.warranty_expiry_date, a.warranty_expiry_date) else a.warranty_expiry_date end as warranty_expiry_date,
+  coalesce(a.archived_at, e.req_ts) as archived_at,
+  case when a.archived_at is null and e.seq is not null then e.delete_reason else a.archive_reason end as archive_reason,
+  case when a.archived_at is null and e.seq is not null then e.actor_id else a.deleted_by end as deleted_by
+from assets a left join how on how.asset_id = a.id left join done p on p.seq = how.paper left join done e on e.seq = how.ending""")
+reg("w19_asset_log_rejects", _op(apply_asset_log, LOG_REQ, None, None, rejects=True), _ctes(_LOG_TABLES, _LOG_CTES)
+    + "select seq, reason from bad where reason is not null union all select seq, 'asset is assigned' from refused")
+
 # --------------------------------------------------------------------------- W9-W11 employees
 
 UPSERT_REQ = f"""

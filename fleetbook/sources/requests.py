@@ -49,6 +49,11 @@ REQUEST_FIELDS: dict[str, list[tuple[str, str, T.DataType]]] = {
         ("employee_id", "employeeId", L), ("asset_id", "assetId", L)],
     "delete_assets": _COMMON + [
         ("id", "id", L), ("asset_type", "assetType", S), ("delete_reason", "deleteReason", S)],
+    "asset_log": _COMMON + [
+        ("operation", "operation", S), ("asset_id", "assetId", L), ("employee_id", "employeeId", L),
+        ("assigned_date", "assignedDate", S), ("retrieved_date", "retrievedDate", D),
+        ("retrieval_reason", "retrievalReason", S), ("asset_type", "assetType", S), ("delete_reason", "deleteReason", S),
+        ("warranty_start_date", "warrantyStartDate", D), ("warranty_expiry_date", "warrantyExpiryDate", D)],
     "upsert_employees": _COMMON + [
         ("name", "name", S), ("type", "type", S), ("email", "email", S), ("phone_no", "phoneNo", S)],
     "update_employees": _COMMON + [

@@ -74,6 +74,7 @@ FOOTPRINTS = {
     "reassign_assets": Footprint(_named("asset_id"), ASSET_TABLES),
     "retrieve_assets": Footprint(_named("asset_id"), ASSET_TABLES),
     "delete_assets": Footprint(_named("id"), ASSET_TABLES),
+    "asset_log": Footprint(_named("asset_id"), ASSET_TABLES),
     "upsert_employees": Footprint(_inserted("employee", "employee")),
     "update_employees": Footprint(_named("id")),
     "delete_employees": Footprint(_named("employee_id")),
