@@ -101,7 +101,12 @@ def sketches(values: np.ndarray, bounds: np.ndarray, rule: Rule = RULE) -> tuple
     return d1, d2, half
 
 
-SKETCH = "doc_id long, n long, d1 long, d2 long, half array<long>"
+SKETCH = "doc_id long, digest string, n long, d1 long, d2 long, half array<long>"
+
+
+def text_digest():
+    """Tells apart the texts of rows that repeat an id."""
+    return F.md5(F.coalesce("text", F.lit("")))
 
 
 def sketch_documents(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
@@ -112,20 +117,21 @@ def sketch_documents(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, half.size + 1, 2 * rule.halves, dtype=np.int32)),
                                              pa.array(half.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(d1.view(np.int64)),
-                 pa.array(d2.view(np.int64)), lists], names=["doc_id", "n", "d1", "d2", "half"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+                [batch.column("doc_id"), batch.column("digest"), pa.array(np.diff(bounds).astype(np.int64)),
+                 pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists], names=["doc_id", "digest", "n", "d1", "d2", "half"])
+    return docs.select(F.col("doc_id").cast("long"), text_digest().alias("digest"), "text").mapInArrow(run, SKETCH)
 
 
 def document_sets(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """(rep, n, items): the shingle hashes of ``docs`` (rep, text), ascending."""
+    """(doc_id, n, d1, d2, items): the shingle hashes of ``docs`` (doc_id, text), ascending, with their digest."""
     def run(batches):
         for batch in batches:
             values, bounds = shingle_sets(batch.column("text"), rule.shingle)
+            d1, d2, _ = sketches(values, bounds, rule)
             items = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(np.diff(bounds).astype(np.int64)), items],
-                                             names=["rep", "n", "items"])
-    return docs.select("rep", "text").mapInArrow(run, "rep long, n long, items array<long>")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(d1.view(np.int64)),
+                                              pa.array(d2.view(np.int64)), items], names=["doc_id", "n", "d1", "d2", "items"])
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, items array<long>")
 
 
 def table_keys(classes: DataFrame, rule: Rule = RULE) -> DataFrame:
@@ -189,10 +195,15 @@ def rest_pairs(sets: DataFrame, label: DataFrame, rule: Rule = RULE) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, digest (of the text).
+
+    A class is a distinct set, numbered on its own: of rows that repeat an id each belongs to the
+    class of its text.
+    """
     sketch = stored(sketch_documents(docs, rule), "sketch")
     some = sketch.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = stored(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half")), "classes")
+    classes = some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("low"), F.first("half").alias("half"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     keys = table_keys(classes, rule)
     hubs = stored(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far"))
                   .filter("hub < far").select(F.col("key").alias("k2"), "hub"), "hubs")
@@ -200,9 +211,12 @@ def near_duplicates(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     met = stored(met, "met")
     wanted = stored(met.select("rep").distinct(), "wanted")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # the text of a class is that of its smallest id; of repeated ids, the rows whose digest is the class's
-    sets = document_sets(with_ids(text, "doc_id", wanted).withColumnRenamed("doc_id", "rep"), rule)
-    sets = stored(sets.filter("n > 0").groupBy("rep").agg(F.max_by(F.struct("n", "items"), "n").alias("v")).select("rep", "v.n", "v.items"), "sets")
+    # the text of a class is that of its smallest id with the class's digest
+    asked = classes.join(wanted, "rep").select("rep", F.col("low").alias("doc_id"), "n", "d1", "d2")
+    asked = stored(asked, "asked")
+    sets = document_sets(with_ids(text, "doc_id", stored(asked.select("doc_id").distinct(), "wanted-ids")), rule)
+    sets = sets.filter("n > 0").groupBy("doc_id", "n", "d1", "d2").agg(F.first("items").alias("items"))
+    sets = stored(sets.join(asked, ["doc_id", "n", "d1", "d2"]).select("rep", "n", "items"), "sets")
     size = sets.select("rep", "n")
     near = met.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")) \
         .join(size.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a") \
@@ -219,9 +233,11 @@ def near_duplicates(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     rest = stored(sets.join(undecided, F.col("rep") == F.col("r4"), "left_semi"), "rest-sets")
     more = confirm(rest_pairs(rest, label, rule), rest, rule)
     final = stored(components(links.unionByName(stored(more, "links"))), "comp")
-    of = stored(classes.select("n", "d1", "d2", "rep").join(final, F.col("rep") == F.col("node"), "left")
-                .select(F.col("n").alias("n2"), F.col("d1").alias("e1"), F.col("d2").alias("e2"),
-                        F.coalesce("component", "rep").alias("component_id")), "class-components")
+    found = stored(classes.select("n", "d1", "d2", "low", "rep").join(final, F.col("rep") == F.col("node"), "left")
+                   .select("n", "d1", "d2", "low", F.coalesce("component", "rep").alias("comp")), "class-components")
+    low = found.groupBy(F.col("comp").alias("of_comp")).agg(F.min("low").alias("component_id"))
+    of = found.join(low, F.col("comp") == F.col("of_comp")).select(
+        F.col("n").alias("n2"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), "component_id")
     out = sketch.join(of, (F.col("n") == F.col("n2")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
                       & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "digest")

@@ -135,7 +135,7 @@ from p left join f on payload_digest = d
 @query
 def op7_minhash_near_dedup(spark, sf_dir):
     """Near-duplicate components of all documents."""
-    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -60,7 +60,7 @@ def test_rest_pairs_find_links_that_hubs_miss(spark):
     texts = [" ".join(a), " ".join(far), " ".join(near)]
     _, want = components_by_hand(texts)
     assert want == {0: 0, 1: 1, 2: 1}
-    sets = minhash.document_sets(spark.createDataFrame(list(enumerate(texts)), "rep long, text string"))
+    sets = minhash.document_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumnRenamed("doc_id", "rep")
     from fleetbook.llm.common import stored
     label = stored(spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "rep long, comp long"), "t")
     sets = stored(sets, "t")
@@ -70,10 +70,20 @@ def test_rest_pairs_find_links_that_hubs_miss(spark):
 def test_near_edge_cases(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     got = rows(minhash.near_duplicates(spark.createDataFrame(
-        [(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (6, None), (7, "A B C D")], "doc_id long, text string")))
+        [(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (6, None), (7, "A B C D")], "doc_id long, text string")).drop("digest"))
     assert got == sorted([(None, 2, None), (4, 2, 4), (4, 2, 4), (6, 0, 6), (7, 2, 4)], key=repr)
 
 
+def test_texts_that_share_an_id(spark):
+    """Each row of a repeated id is linked by its own text."""
+    rng = random.Random(17)
+    a, b = prose(rng, 58, 10**6), prose(rng, 90, 10**6)
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "far away from all"), (1, a)],
+                                 "doc_id long, text string").repartition(3)
+    got = rows(minhash.near_duplicates(docs), "doc_id", "n_shingles", "component_id")
+    assert got == [(1, 56, 1), (1, 56, 1), (1, 88, 1), (2, 57, 1), (3, 89, 1), (4, 2, 4)]
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 24))

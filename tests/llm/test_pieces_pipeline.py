@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from fleetbook.llm import pieces
 from fleetbook.llm.common import stored
-from llm.util import documents, empty, odd_texts, rows
+from llm.util import DOC, documents, empty, odd_texts, prose, rows
 
 MODEL = open(pieces.MODEL, "rb").read()
 VOCABULARY = pieces.Vocabulary(MODEL)
@@ -83,3 +83,13 @@ def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame([(3, text, "en", "s", 1), (1, text, "en", "s", 1), (1, text, "en", "s", 1), (None, text, "en", "s", 1)],
                                  documents(spark, []).schema)
     assert rows(corpus_pipeline.near_duplicates(spark, docs, ""), "doc_id") == [(1,), (None,)]
+
+
+def test_rows_that_share_an_id(spark):
+    """No row is lost for sharing an id; rows that repeat id and text are one document, the same on every run."""
+    rng = random.Random(5)
+    a, b = prose(rng, 60, 10**6), prose(rng, 70, 10**6)
+    rows_in = [(1, a, "en", "s1", 5), (1, b, "en", "s1", 5), (1, a, "de", "s0", 5), (0, b + " x", "en", "s1", 5), (2, "short", None, None, None)]
+    docs = spark.createDataFrame(rows_in, DOC).repartition(4)
+    assert rows(corpus_pipeline.near_duplicates(spark, docs, "")) == sorted(
+        [(1, a, "de", "s0", 5), (0, b + " x", "en", "s1", 5), (2, "short", None, None, None)], key=repr)
