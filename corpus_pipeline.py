@@ -36,13 +36,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id; rows that repeat an
-    id are one document.  Documents without an id stay."""
+    """One document of each near-duplicate group, that with the smallest id.
+
+    A document is an id and its text: rows that repeat both are one document (the smallest row in
+    the order of the other columns stays), rows that share an id but not the text are judged each by its
+    own.  Documents without an id stay.
+    """
     bound_batches(spark)
     found = minhash.near_duplicates(docs, NEAR)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("nd_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["nd_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(docs["doc_id"].isNull()))
+    kept = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("nd_id"), F.col("digest").alias("nd_digest")).agg(
+        F.count("*").alias("nd_rows"))
+    rows = docs.select(F.struct(*_columns(docs)).alias("doc"), "doc_id", minhash.text_digest().alias("digest"))
+    left = rows.filter("doc_id is not null").join(kept, (F.col("doc_id") == F.col("nd_id")) & (F.col("digest") == F.col("nd_digest")))
+    once = left.filter("nd_rows > 1").groupBy("doc_id", "digest").agg(F.min("doc").alias("doc"))
+    whole = left.filter("nd_rows = 1").select("doc").unionByName(once.select("doc"))
+    return whole.unionByName(rows.filter("doc_id is null").select("doc")).select("doc.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
