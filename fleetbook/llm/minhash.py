@@ -135,11 +135,11 @@ def document_sets(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
 
 
 def table_keys(classes: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """(key, rep, n): halves**2 table keys per class, one of each pair of half-keys."""
+    """(key, rep, low, n): halves**2 table keys per class, one of each pair of half-keys."""
     first = F.posexplode(F.slice("half", 1, rule.halves)).alias("i", "ha")
     second = F.posexplode(F.slice("half", rule.halves + 1, rule.halves)).alias("j", "hb")
-    return classes.select("rep", "n", "half", first).select("rep", "n", "i", "ha", second) \
-        .select(F.xxhash64("i", "j", "ha", "hb").alias("key"), "rep", "n")
+    return classes.select("rep", "low", "n", "half", first).select("rep", "low", "n", "i", "ha", second) \
+        .select(F.xxhash64("i", "j", "ha", "hb").alias("key"), "rep", "low", "n")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, rule: Rule = RULE) -> DataFrame:
@@ -205,8 +205,9 @@ def near_duplicates(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     classes = some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("low"), F.first("half").alias("half"))
     classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     keys = table_keys(classes, rule)
-    hubs = stored(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far"))
-                  .filter("hub < far").select(F.col("key").alias("k2"), "hub"), "hubs")
+    # a bucket's hub is the class of its smallest id: mostly the text that the others were copied from
+    hubs = stored(keys.groupBy("key").agg(F.min(F.struct("low", "rep")).alias("first"), F.min("rep").alias("one"), F.max("rep").alias("far"))
+                  .filter("one < far").select(F.col("key").alias("k2"), F.col("first.rep").alias("hub")), "hubs")
     met = keys.join(hubs, F.col("key") == F.col("k2")).select("rep", "hub").distinct()
     met = stored(met, "met")
     wanted = stored(met.select("rep").distinct(), "wanted")
