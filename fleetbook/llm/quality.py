@@ -2,20 +2,27 @@
 outliers by the minimum covariance determinant (MCD) per language and source.
 
 The five statistics of a document are turned into a vector (logarithms and square roots of
-rates).  For every (language, source), and every language as a fallback for groups of fewer than
-``MIN_GROUP`` documents, concentration steps look for the share ``COVERAGE`` of the documents with
-the smallest covariance determinant: each step measures Mahalanobis distances with the last mean
-and covariance, keeps the nearest documents and sums their moments anew.  A step is one
-aggregation of counts and moments by (group, distance bucket), summed map-side first, so the size
-or skew of a group does not matter; the running count over at most ``BUCKETS`` rows of a group
-tells which buckets are inside.  The trimmed share shrinks over the first steps (1, .9, .8, then
-COVERAGE), which makes the start deterministic.  Documents further than ``CUTOFF``, the
-chi-square quantile ``INLIERS``, are rejected.
+rates).  For every (language, source), every language and all documents together, concentration steps look for
+the share ``COVERAGE`` of the documents with the smallest covariance determinant: each step measures
+Mahalanobis distances with the last mean and covariance, keeps the nearest documents and sums
+their moments anew.  They set out from four starts (``STARTS``): the plain moments, which a cluster of bad
+documents can hold captive, and three around the medians, scaled by the median absolute deviations, which up
+to a quarter of bad documents hardly moves: without correlations, with those of spatial signs, and with
+those of tanh scores.  Steps go on until no start's determinant falls any more; the smallest one
+of a group is its fit.
+
+A step is one aggregation of counts and moments by (group, start, distance bucket), summed map-side first, so
+the size or skew of a group does not matter; the running count over at most ``BUCKETS`` rows of a
+group tells which buckets are inside.  Medians come from counts by cells of 1 / ``CELLS``.
+
+A document is judged by the fit of its (language, source) if that has ``MIN_GROUP`` fitted documents, else
+by that of its language if that has as many, else by that of all documents.  Documents further than
+``CUTOFF``, the chi-square quantile ``INLIERS``, are rejected.
 
 Defined cases: null or empty text has no words and fails the base rules; null language or source
-is a group of its own; documents in a language with fewer than ``MIN_GROUP`` fitted documents
-get no MCD verdict (kept unless a base rule failed); constant statistics get a variance floor;
-repeated rows count as often as they stand; extra columns are carried along.
+is a group of its own; every document that passes the base rules is judged, however small its group or
+the table; constant statistics get a variance floor; repeated rows count as often as they stand; extra
+columns are carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,8 +42,13 @@ from fleetbook.llm.common import stored
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS = 50
 COVERAGE = 0.75
-TRIM = (1.0, 0.9, 0.8, COVERAGE, COVERAGE, COVERAGE)
+STARTS = ("moments", "medians", "signs", "tanh")
+#: A start has settled when its log determinant falls by no more than this in a step.
+SETTLED = 0.005
+#: Steps end here at the latest, as distance buckets can keep a start going back and forth.
+MAX_STEPS = 30
 MIN_GROUP = 60
+CELLS = 256
 BUCKETS = 512
 DIM = 5
 #: Added to each statistic's standard deviation (squares) against singular covariances, small
@@ -101,7 +113,8 @@ def _vector() -> list:
 
 X = [f"qs_x{i}" for i in range(1, DIM + 1)]
 PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
-FIT_SCHEMA = "level int, lang string, source string, n double, mean array<double>, inv array<double>"
+GROUP = ("level", "lang", "source")
+FIT_SCHEMA = "level int, lang string, source string, start int, n double, mean array<double>, inv array<double>, logdet double, fell double"
 
 
 def _distance():
@@ -114,12 +127,12 @@ def _distance():
     return F.greatest(total, F.lit(0.0))
 
 
-def _with_fit(rows: DataFrame, fit: DataFrame, how: str = "inner") -> DataFrame:
-    f = fit.select(F.col("level").alias("f_level"), F.col("lang").alias("f_lang"), F.col("source").alias("f_source"),
-                   F.col("mean").alias("qs_mean"), F.col("inv").alias("qs_inv"))
+def _by_group(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` with the columns of the small ``table`` of their group."""
+    side = table.select(*[F.col(c).alias(f"f_{c}") for c in GROUP], *[c for c in table.columns if c not in GROUP])
     on = (F.col("level") == F.col("f_level")) & F.col("lang").eqNullSafe(F.col("f_lang")) \
         & F.col("source").eqNullSafe(F.col("f_source"))
-    return rows.join(f, on, how).drop("f_level", "f_lang", "f_source")
+    return rows.join(side, on).drop(*[f"f_{c}" for c in GROUP])
 
 
 def gamma_cdf(a: float, x: float) -> float:
@@ -151,62 +164,121 @@ def consistency(share: float) -> float:
 CUTOFF = chi_square(INLIERS)
 
 
-def fit_group(buckets: pd.DataFrame, share: float) -> tuple[float, list, list]:
-    """(n, mean, inverse covariance) from the moments of the nearest ``share`` of a group."""
+def _matrix(row, name: str) -> np.ndarray:
+    """The symmetric matrix of the columns ``name``ij."""
+    out = np.zeros((DIM, DIM))
+    for i, j in PAIRS:
+        out[i, j] = out[j, i] = row[f"{name}{i}{j}"]
+    return out
+
+
+def _fit_row(key, start: int, n: float, mean: np.ndarray, cov: np.ndarray, last: float) -> dict:
+    """A row of FIT_SCHEMA; the floors are added to ``cov``."""
+    cov = cov + np.diag(np.square(FLOOR))
+    logdet = float(np.linalg.slogdet(cov)[1])
+    return {**{c: key[c] for c in GROUP}, "start": start, "n": float(n), "mean": mean.tolist(),
+            "inv": np.linalg.inv(cov).ravel().tolist(), "logdet": logdet, "fell": last - logdet}
+
+
+def _medians(cells: pd.DataFrame) -> pd.DataFrame:
+    """Median and scale of each statistic of a group from its counts by cell."""
+    mid, scale = [0.0] * DIM, list(FLOOR)
+    for k, part in cells.groupby("stat"):
+        at = (part["cell"].to_numpy() + 0.5) / CELLS
+        count = part["cnt"].to_numpy()
+
+        def middle(values):
+            order = np.argsort(values, kind="stable")
+            return float(values[order][np.searchsorted(np.cumsum(count[order]), count.sum() / 2)])
+        mid[k] = middle(at)
+        scale[k] = max(1.4826 * middle(np.abs(at - mid[k])), FLOOR[k])
+    key = cells.iloc[0]
+    return pd.DataFrame([{**{c: key[c] for c in GROUP}, "mid": mid, "scale": scale}])
+
+
+def _starts(sums: pd.DataFrame) -> pd.DataFrame:
+    """The four starts of a group from its moments, medians, sign and tanh products."""
+    row = sums.iloc[0]
+    n, mid, scale = row["cnt"], np.array(row["mid"]), np.diag(row["scale"])
+    mean = np.array([row[f"s{i}"] for i in range(DIM)]) / n
+    fits = [(mean, _matrix(row, "p") / n - np.outer(mean, mean)), (mid, scale @ scale),
+            (mid, DIM * scale @ _matrix(row, "u") @ scale / n), (mid, scale @ _matrix(row, "t") @ scale / n)]
+    return pd.DataFrame([_fit_row(row, k, n, *f, np.inf) for k, f in enumerate(fits)])
+
+
+def _step(buckets: pd.DataFrame) -> pd.DataFrame:
+    """One concentration step of a start: the moments of the nearest COVERAGE of its group."""
     buckets = buckets.sort_values("bucket")
     count = buckets["cnt"].to_numpy(dtype=float)
-    total = count.sum()
-    inside = np.cumsum(count) - count < share * total
-    n = count[inside].sum()
-    first = np.array([buckets[f"s{i}"].to_numpy()[inside].sum() for i in range(DIM)])
-    mean = first / n
-    cov = np.zeros((DIM, DIM))
-    for i, j in PAIRS:
-        cov[i, j] = cov[j, i] = buckets[f"p{i}{j}"].to_numpy()[inside].sum() / n - mean[i] * mean[j]
-    cov = cov * consistency(share) + np.diag(np.square(FLOOR))
-    return total, mean.tolist(), np.linalg.inv(cov).ravel().tolist()
-
-
-def _fitter(share: float):
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, mean, inv = fit_group(pdf, share)
-        key = pdf[["level", "lang", "source"]].iloc[0]
-        return pd.DataFrame({"level": [key["level"]], "lang": [key["lang"]], "source": [key["source"]],
-                             "n": [n], "mean": [mean], "inv": [inv]})
-    return one
+    inside = buckets[np.cumsum(count) - count < COVERAGE * count.sum()].sum(numeric_only=True)
+    n = inside["cnt"]
+    mean = np.array([inside[f"s{i}"] for i in range(DIM)]) / n
+    cov = (_matrix(inside, "p") / n - np.outer(mean, mean)) * consistency(COVERAGE)
+    key = buckets.iloc[0]
+    return pd.DataFrame([_fit_row(key, int(key["start"]), count.sum(), mean, cov, key["last"])])
+
+
+def _levels(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` once for each of their three groups: (lang, source), (lang) and all."""
+    none = F.lit(None).cast("string")
+    groups = F.array(*[F.struct(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source")) for k, (lang, source) in
+                       enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), none), (none, none)])])
+    return rows.withColumn("at", F.explode(groups)).select("at.*", *columns)
+
+
+def _products(name: str, values: list) -> list:
+    return [F.sum(values[i] * values[j]).alias(f"{name}{i}{j}") for i, j in PAIRS]
+
+
+def first_fits(rows: DataFrame) -> DataFrame:
+    """The starts of every group."""
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), F.floor(F.col(x) * CELLS).alias("cell")) for k, x in enumerate(X)]))
+    counts = rows.withColumn("c", cells).groupBy("lang", "source", "c.stat", "c.cell").agg(F.count("*").alias("cnt"))
+    counts = _levels(counts, "stat", "cell", "cnt").groupBy(*GROUP, "stat", "cell").agg(F.sum("cnt").alias("cnt"))
+    middle = stored(counts.groupBy(*GROUP).applyInPandas(
+        _medians, "level int, lang string, source string, mid array<double>, scale array<double>"), "mcd-medians")
+    seen = _by_group(_levels(rows, *X), middle)
+    seen = seen.withColumns({f"z{i}": (F.col(x) - F.col("mid")[i]) / F.col("scale")[i] for i, x in enumerate(X)})
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, DIM)), F.col("z0") * F.col("z0")))
+    seen = seen.withColumn("length", F.greatest(length, F.lit(1e-12)))
+    sums = seen.groupBy(*GROUP, "mid", "scale").agg(
+        F.count("*").alias("cnt"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *_products("p", [F.col(x) for x in X]),
+        *_products("u", [F.col(f"z{i}") / F.col("length") for i in range(DIM)]), *_products("t", [F.tanh(f"z{i}") for i in range(DIM)]))
+    return stored(sums.groupBy(*GROUP).applyInPandas(_starts, FIT_SCHEMA), "mcd")
 
 
 def fit_mcd(stats: DataFrame) -> DataFrame:
-    """MCD mean and inverse covariance of every (lang, source), level 0, and (lang), level 1."""
+    """The fit (n, mean, inv, logdet, start) of every (lang, source), level 0, every lang, level 1,
+    and all documents, level 2."""
     rows = stats.filter(~base_failed()).select("lang", "source", *[x.alias(n) for x, n in zip(_vector(), X)])
-    levels = F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("source").alias("source")),
-                               F.struct(F.lit(1).alias("level"), F.lit(None).cast("string").alias("source"))))
-    rows = rows.withColumn("at", levels).select("at.level", "lang", "at.source", *X)
-    fit = None
-    for share in TRIM:
-        if fit is None:
-            seen = rows.withColumn("bucket", F.lit(0))
-        else:
-            seen = _with_fit(rows, fit).withColumn(
-                "bucket", F.least(F.floor(F.log1p(_distance()) * 32), F.lit(BUCKETS - 1)).cast("int"))
-        sums = seen.groupBy("level", "lang", "source", "bucket").agg(
-            F.count("*").alias("cnt"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)],
-            *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{i}{j}") for i, j in PAIRS])
-
-        fit = stored(sums.groupBy("level", "lang", "source").applyInPandas(_fitter(share), FIT_SCHEMA), "mcd")
-    return fit
+    fit = first_fits(rows)
+    wide = _levels(rows, *X)
+    for _ in range(MAX_STEPS):
+        seen = _by_group(wide, fit.select(*GROUP, "start", "logdet", F.col("mean").alias("qs_mean"), F.col("inv").alias("qs_inv")))
+        seen = seen.withColumn("bucket", F.least(F.floor(F.log1p(_distance()) * 32), F.lit(BUCKETS - 1)).cast("int"))
+        sums = seen.groupBy(*GROUP, "start", "bucket").agg(
+            F.count("*").alias("cnt"), F.max("logdet").alias("last"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)],
+            *_products("p", [F.col(x) for x in X]))
+        fit = stored(sums.groupBy(*GROUP, "start").applyInPandas(_step, FIT_SCHEMA), "mcd")
+        used = fit.filter((F.col("n") >= MIN_GROUP) | (F.col("level") == 2))
+        fell = used.agg(F.max("fell")).first()[0]
+        if fell is None or fell <= SETTLED:
+            break
+    best = F.min_by(F.struct("n", "mean", "inv", "logdet", "start"), F.struct("logdet", "start"))
+    return stored(fit.groupBy(*GROUP).agg(best.alias("best")).select(*GROUP, "best.*"), "mcd-best")
 
 
 def judge(stats: DataFrame, fit: DataFrame) -> DataFrame:
-    """``stats`` with qs_base_failed, qs_distance (null: no fit) and qs_kept."""
-    own = fit.filter(F.col("level") == 0).filter(F.col("n") >= MIN_GROUP)
-    wide = fit.filter((F.col("level") == 1) & (F.col("n") >= MIN_GROUP))
-    own = own.select(F.col("lang").alias("qs_o_lang"), F.col("source").alias("qs_o_source"), F.col("mean").alias("qs_o_mean"), F.col("inv").alias("qs_o_inv"))
-    wide = wide.select(F.col("lang").alias("qs_w_lang"), F.col("mean").alias("qs_w_mean"), F.col("inv").alias("qs_w_inv"))
+    """``stats`` with qs_base_failed, qs_distance (null where no document of the group passes the
+    base rules) and qs_kept."""
+    whole = fit.filter("level = 2").first()        # one row, of fixed size
+    large = F.col("n") >= MIN_GROUP
+    lang = fit.filter((F.col("level") == 1) & large).select(F.col("lang").alias("w_lang"), F.col("mean").alias("w_mean"), F.col("inv").alias("w_inv"))
+    own = fit.filter("level = 0").join(lang, F.col("lang").eqNullSafe(F.col("w_lang")), "left")
+    pick = lambda c: F.coalesce(F.when(large, F.col(c)), F.col(f"w_{c}"), F.lit(whole and whole[c]).cast("array<double>"))
+    own = own.select(F.col("lang").alias("qs_o_lang"), F.col("source").alias("qs_o_source"), pick("mean").alias("qs_mean"), pick("inv").alias("qs_inv"))
     cols = [F.col(f"`{c}`") for c in stats.columns]
-    rows = stats.join(own, F.col("lang").eqNullSafe(F.col("qs_o_lang")) & F.col("source").eqNullSafe(F.col("qs_o_source")), "left") \
-        .join(wide, F.col("lang").eqNullSafe(F.col("qs_w_lang")), "left")
-    rows = rows.select(*cols, F.coalesce("qs_o_mean", "qs_w_mean").alias("qs_mean"), F.coalesce("qs_o_inv", "qs_w_inv").alias("qs_inv"),
-                       *[x.alias(n) for x, n in zip(_vector(), X)])
+    rows = stats.join(own, F.col("lang").eqNullSafe(F.col("qs_o_lang")) & F.col("source").eqNullSafe(F.col("qs_o_source")), "left")
+    rows = rows.select(*cols, "qs_mean", "qs_inv", *[x.alias(n) for x, n in zip(_vector(), X)])
     out = rows.select(*cols, base_failed().alias("qs_base_failed"), _distance().alias("qs_distance"))
     return out.withColumn("qs_kept", ~F.col("qs_base_failed") & ~F.coalesce(F.col("qs_distance") > CUTOFF, F.lit(False)))
