@@ -33,7 +33,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +44,7 @@ MIN_WORDS = 50
 COVERAGE = 0.75
 STARTS = ("moments", "medians", "signs", "tanh")
 #: A start has settled when its log determinant falls by no more than this in a step.
-SETTLED = 0.005
+SETTLED = 0.05
 #: Steps end here at the latest, as distance buckets can keep a start going back and forth.
 MAX_STEPS = 30
 MIN_GROUP = 60
@@ -164,20 +164,26 @@ def consistency(share: float) -> float:
 CUTOFF = chi_square(INLIERS)
 
 
-def _matrix(row, name: str) -> np.ndarray:
-    """The symmetric matrix of the columns ``name``ij."""
-    out = np.zeros((DIM, DIM))
+def _matrices(rows: pd.DataFrame, name: str) -> np.ndarray:
+    """The symmetric matrices of the columns ``name``ij, divided by the counts."""
+    out = np.zeros((len(rows), DIM, DIM))
     for i, j in PAIRS:
-        out[i, j] = out[j, i] = row[f"{name}{i}{j}"]
+        out[:, i, j] = out[:, j, i] = rows[f"{name}{i}{j}"] / rows["cnt"]
     return out
 
 
-def _fit_row(key, start: int, n: float, mean: np.ndarray, cov: np.ndarray, last: float) -> dict:
-    """A row of FIT_SCHEMA; the floors are added to ``cov``."""
+def _moments(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of each row of sums."""
+    mean = np.stack([rows[f"s{i}"] / rows["cnt"] for i in range(DIM)], axis=1).astype(float)
+    return mean, _matrices(rows, "p") - mean[:, :, None] * mean[:, None, :]
+
+
+def _fits(rows: pd.DataFrame, start, n, mean: np.ndarray, cov: np.ndarray, last) -> pd.DataFrame:
+    """Rows of FIT_SCHEMA; the floors are added to ``cov``."""
     cov = cov + np.diag(np.square(FLOOR))
-    logdet = float(np.linalg.slogdet(cov)[1])
-    return {**{c: key[c] for c in GROUP}, "start": start, "n": float(n), "mean": mean.tolist(),
-            "inv": np.linalg.inv(cov).ravel().tolist(), "logdet": logdet, "fell": last - logdet}
+    logdet = np.linalg.slogdet(cov)[1]
+    return rows[list(GROUP)].assign(start=start, n=n, mean=list(mean), inv=list(np.linalg.inv(cov).reshape(-1, DIM * DIM)),
+                                    logdet=logdet, fell=last - logdet)
 
 
 def _medians(cells: pd.DataFrame) -> pd.DataFrame:
@@ -196,26 +202,40 @@ def _medians(cells: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{**{c: key[c] for c in GROUP}, "mid": mid, "scale": scale}])
 
 
-def _starts(sums: pd.DataFrame) -> pd.DataFrame:
-    """The four starts of a group from its moments, medians, sign and tanh products."""
-    row = sums.iloc[0]
-    n, mid, scale = row["cnt"], np.array(row["mid"]), np.diag(row["scale"])
-    mean = np.array([row[f"s{i}"] for i in range(DIM)]) / n
-    fits = [(mean, _matrix(row, "p") / n - np.outer(mean, mean)), (mid, scale @ scale),
-            (mid, DIM * scale @ _matrix(row, "u") @ scale / n), (mid, scale @ _matrix(row, "t") @ scale / n)]
-    return pd.DataFrame([_fit_row(row, k, n, *f, np.inf) for k, f in enumerate(fits)])
-
-
-def _step(buckets: pd.DataFrame) -> pd.DataFrame:
-    """One concentration step of a start: the moments of the nearest COVERAGE of its group."""
-    buckets = buckets.sort_values("bucket")
-    count = buckets["cnt"].to_numpy(dtype=float)
-    inside = buckets[np.cumsum(count) - count < COVERAGE * count.sum()].sum(numeric_only=True)
-    n = inside["cnt"]
-    mean = np.array([inside[f"s{i}"] for i in range(DIM)]) / n
-    cov = (_matrix(inside, "p") / n - np.outer(mean, mean)) * consistency(COVERAGE)
-    key = buckets.iloc[0]
-    return pd.DataFrame([_fit_row(key, int(key["start"]), count.sum(), mean, cov, key["last"])])
+def _starts(batches):
+    """The four starts of each group (row) from its moments, medians, sign and tanh products."""
+    for rows in batches:
+        if len(rows):
+            mid = np.array(rows["mid"].tolist())
+            scale = np.array(rows["scale"].tolist())
+            square = scale[:, :, None] * scale[:, None, :]
+            fits = [_moments(rows), (mid, square * np.eye(DIM)), (mid, DIM * square * _matrices(rows, "u")), (mid, square * _matrices(rows, "t"))]
+            for k, fit in enumerate(fits):
+                yield _fits(rows, k, rows["cnt"], *fit, np.inf)
+
+
+def _steps(batches):
+    """The fit of each start (row) from the moments of its nearest documents."""
+    for rows in batches:
+        if len(rows):
+            mean, cov = _moments(rows)
+            yield _fits(rows, rows["start"], rows["total"], mean, cov * consistency(COVERAGE), rows["last"])
+
+
+def concentrate(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """One step of every start: the moments of the nearest COVERAGE of its group."""
+    seen = _by_group(rows, fit.select(*GROUP, "start", "logdet", F.col("mean").alias("qs_mean"), F.col("inv").alias("qs_inv")))
+    seen = seen.withColumn("bucket", F.least(F.floor(F.log1p(_distance()) * 32), F.lit(BUCKETS - 1)).cast("int"))
+    sums = seen.groupBy(*GROUP, "start", "bucket").agg(
+        F.count("*").alias("cnt"), F.max("logdet").alias("last"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)],
+        *_products("p", [F.col(x) for x in X]))
+    of_start = Window.partitionBy(*GROUP, "start")           # at most BUCKETS rows
+    sums = sums.withColumn("total", F.sum("cnt").over(of_start)) \
+        .withColumn("before", F.sum("cnt").over(of_start.orderBy("bucket")) - F.col("cnt")).filter(F.col("before") < COVERAGE * F.col("total"))
+    names = [f"s{i}" for i in range(DIM)] + [f"p{i}{j}" for i, j in PAIRS]
+    inside = sums.groupBy(*GROUP, "start").agg(F.sum("cnt").alias("cnt"), F.max("total").alias("total"), F.max("last").alias("last"),
+                                               *[F.sum(c).alias(c) for c in names])
+    return inside.mapInPandas(_steps, FIT_SCHEMA)
 
 
 def _levels(rows: DataFrame, *columns: str) -> DataFrame:
@@ -244,7 +264,7 @@ def first_fits(rows: DataFrame) -> DataFrame:
     sums = seen.groupBy(*GROUP, "mid", "scale").agg(
         F.count("*").alias("cnt"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *_products("p", [F.col(x) for x in X]),
         *_products("u", [F.col(f"z{i}") / F.col("length") for i in range(DIM)]), *_products("t", [F.tanh(f"z{i}") for i in range(DIM)]))
-    return stored(sums.groupBy(*GROUP).applyInPandas(_starts, FIT_SCHEMA), "mcd")
+    return stored(sums.mapInPandas(_starts, FIT_SCHEMA), "mcd")
 
 
 def fit_mcd(stats: DataFrame) -> DataFrame:
@@ -254,12 +274,7 @@ def fit_mcd(stats: DataFrame) -> DataFrame:
     fit = first_fits(rows)
     wide = _levels(rows, *X)
     for _ in range(MAX_STEPS):
-        seen = _by_group(wide, fit.select(*GROUP, "start", "logdet", F.col("mean").alias("qs_mean"), F.col("inv").alias("qs_inv")))
-        seen = seen.withColumn("bucket", F.least(F.floor(F.log1p(_distance()) * 32), F.lit(BUCKETS - 1)).cast("int"))
-        sums = seen.groupBy(*GROUP, "start", "bucket").agg(
-            F.count("*").alias("cnt"), F.max("logdet").alias("last"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)],
-            *_products("p", [F.col(x) for x in X]))
-        fit = stored(sums.groupBy(*GROUP, "start").applyInPandas(_step, FIT_SCHEMA), "mcd")
+        fit = stored(concentrate(wide, fit), "mcd")
         used = fit.filter((F.col("n") >= MIN_GROUP) | (F.col("level") == 2))
         fell = used.agg(F.max("fell")).first()[0]
         if fell is None or fell <= SETTLED:
