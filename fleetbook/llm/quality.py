@@ -119,12 +119,8 @@ FIT_SCHEMA = "level int, lang string, source string, start int, n double, mean a
 
 def _distance():
     """Squared Mahalanobis distance from the joined ``qs_mean`` and ``qs_inv``."""
-    d = [F.col(X[i]) - F.col("qs_mean")[i] for i in range(DIM)]
-    total = None
-    for i, j in PAIRS:
-        term = (1 if i == j else 2) * F.col("qs_inv")[i * DIM + j] * d[i] * d[j]
-        total = term if total is None else total + term
-    return F.greatest(total, F.lit(0.0))
+    terms = [f"{1 if i == j else 2} * qs_inv[{i * DIM + j}] * ({X[i]} - qs_mean[{i}]) * ({X[j]} - qs_mean[{j}])" for i, j in PAIRS]
+    return F.expr(f"greatest({' + '.join(terms)}, 0.0D)")
 
 
 def _by_group(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -227,14 +223,13 @@ def concentrate(rows: DataFrame, fit: DataFrame) -> DataFrame:
     seen = _by_group(rows, fit.select(*GROUP, "start", "logdet", F.col("mean").alias("qs_mean"), F.col("inv").alias("qs_inv")))
     seen = seen.withColumn("bucket", F.least(F.floor(F.log1p(_distance()) * 32), F.lit(BUCKETS - 1)).cast("int"))
     sums = seen.groupBy(*GROUP, "start", "bucket").agg(
-        F.count("*").alias("cnt"), F.max("logdet").alias("last"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)],
-        *_products("p", [F.col(x) for x in X]))
+        F.count("*").alias("cnt"), F.max("logdet").alias("last"), *map(F.expr, SUMS), *_products("p", X))
     of_start = Window.partitionBy(*GROUP, "start")           # at most BUCKETS rows
     sums = sums.withColumn("total", F.sum("cnt").over(of_start)) \
         .withColumn("before", F.sum("cnt").over(of_start.orderBy("bucket")) - F.col("cnt")).filter(F.col("before") < COVERAGE * F.col("total"))
     names = [f"s{i}" for i in range(DIM)] + [f"p{i}{j}" for i, j in PAIRS]
     inside = sums.groupBy(*GROUP, "start").agg(F.sum("cnt").alias("cnt"), F.max("total").alias("total"), F.max("last").alias("last"),
-                                               *[F.sum(c).alias(c) for c in names])
+                                               *[F.expr(f"sum({c}) as {c}") for c in names])
     return inside.mapInPandas(_steps, FIT_SCHEMA)
 
 
@@ -246,8 +241,11 @@ def _levels(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumn("at", F.explode(groups)).select("at.*", *columns)
 
 
-def _products(name: str, values: list) -> list:
-    return [F.sum(values[i] * values[j]).alias(f"{name}{i}{j}") for i, j in PAIRS]
+def _products(name: str, values: list[str]) -> list:
+    return [F.expr(f"sum({values[i]} * {values[j]}) as {name}{i}{j}") for i, j in PAIRS]
+
+
+SUMS = [f"sum({x}) as s{i}" for i, x in enumerate(X)]
 
 
 def first_fits(rows: DataFrame) -> DataFrame:
@@ -258,12 +256,12 @@ def first_fits(rows: DataFrame) -> DataFrame:
     middle = stored(counts.groupBy(*GROUP).applyInPandas(
         _medians, "level int, lang string, source string, mid array<double>, scale array<double>"), "mcd-medians")
     seen = _by_group(_levels(rows, *X), middle)
-    seen = seen.withColumns({f"z{i}": (F.col(x) - F.col("mid")[i]) / F.col("scale")[i] for i, x in enumerate(X)})
-    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, DIM)), F.col("z0") * F.col("z0")))
-    seen = seen.withColumn("length", F.greatest(length, F.lit(1e-12)))
+    z = [f"z{i}" for i in range(DIM)]
+    seen = seen.selectExpr("*", *[f"({x} - mid[{i}]) / scale[{i}] as z{i}" for i, x in enumerate(X)])
+    seen = seen.selectExpr("*", f"greatest(sqrt({' + '.join(f'{c} * {c}' for c in z)}), 1e-12D) as length")
     sums = seen.groupBy(*GROUP, "mid", "scale").agg(
-        F.count("*").alias("cnt"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *_products("p", [F.col(x) for x in X]),
-        *_products("u", [F.col(f"z{i}") / F.col("length") for i in range(DIM)]), *_products("t", [F.tanh(f"z{i}") for i in range(DIM)]))
+        F.count("*").alias("cnt"), *map(F.expr, SUMS), *_products("p", X),
+        *_products("u", [f"({c} / length)" for c in z]), *_products("t", [f"tanh({c})" for c in z]))
     return stored(sums.mapInPandas(_starts, FIT_SCHEMA), "mcd")
 
 
