@@ -18,7 +18,7 @@ from fleetbook.operators.quality import integrity_report
 from fleetbook.plans.session import ensure_checkpoint_dir
 from fleetbook.sources.fixtures import duckdb_ctes, read_source, shared_tables
 from fleetbook.sources.requests import write_requests
-from fleetbook.sources.tables import load_tables, write_snapshot
+from fleetbook.sources.tables import ADDED_TABLES, load_tables, write_snapshot
 from fleetbook.streaming.login_stream import OUTCOMES, login_policy_stream
 from fleetbook.streaming.request_stream import apply_request_stream, current_tables, emitted
 
@@ -269,6 +269,34 @@ QUERIES["x01_snapshot_round_trip"] = _x01
 ORACLE["x01_snapshot_round_trip"] = (duckdb_ctes(["employee_asset_relation"])
                                      + "select " + ", ".join(_REL_FULL) + " from employee_asset_relation")
 
+
+
+def _x04(spark, sf):
+    """A snapshot in the first schema version: no later columns, no tables of later families."""
+    root = _scratch(spark)
+    t = T(spark, sf)
+    old = {"users": t.users.drop("type", "authentication_times", "status", "image"),
+           "employee": t.employee.drop("status", "type", "archive_reason", "deleted_by"),
+           "assets": t.assets.drop("is_available", "owned_by", "client_name", "status", "deleted_by", "archive_reason")}
+    whole = t.by_name()
+    write_snapshot({n: old.get(n, whole[n]) for n in whole if n not in ADDED_TABLES}, f"{root}/v1")
+    u = load_tables(spark, f"{root}/v1")
+    none = F.lit(None)
+    assert u.mobile.schema.names == t.mobile.schema.names
+    return (u.assets.select(F.lit("assets").alias("kind"), "id", "brand", "status", "is_available", none.cast("string").alias("type"), none.cast("int").alias("times"))
+            .unionByName(u.users.select(F.lit("users").alias("kind"), "id", F.col("name").alias("brand"), "status", none.cast("boolean").alias("is_available"),
+                                        "type", F.col("authentication_times").alias("times")))
+            .unionByName(u.employee.select(F.lit("employee").alias("kind"), "id", F.col("name").alias("brand"), "status", none.cast("boolean").alias("is_available"),
+                                           "type", none.cast("int").alias("times"))))
+
+
+QUERIES["x04_old_snapshot"] = _x04
+ORACLE["x04_old_snapshot"] = (duckdb_ctes(["assets", "users", "employee"])
+                              + "select 'assets' as kind, id, brand, 'available' as status, true as is_available, cast(null as varchar) as type, "
+                              "cast(null as integer) as times from assets "
+                              "union all select 'users', id, name, 'white_listed', null, 'authorized', null from users "
+                              "union all select 'employee', id, name, 'active', null, null, null from employee")
+
 _REQ_COLS = ["seq", "req_ts", "actor_id", "asset_id", "employee_id", "retrieved_date",
              "retrieval_reason", "assigned_date"]
 

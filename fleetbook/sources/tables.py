@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,12 +69,51 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
+# What a column added by a later schema version holds in rows that were there before.
+# Columns not named here were added without a default (``authentication_times`` got its 0 only
+# afterwards, for new rows).
+ADDED_COLUMNS = {
+    "users": {"type": "authorized", "status": "white_listed"},
+    "assets": {"is_available": True, "status": "available"},
+    "employee": {"status": "active"},
+}
+# Enum values renamed later, (table, column) -> old and new.
+RENAMED_VALUES = {("users", "status"): ("block_listed", "black_listed")}
+# Tables that the first schema versions lack.
+ADDED_TABLES = ("mobile_specifications", "sim_specifications")
+
+
+def stored_columns(spark: SparkSession, path: str) -> set[str] | None:
+    """Column names of a stored table from its file footers; None where there is no such folder,
+    or no file in it."""
+    try:
+        return set(spark.read.parquet(path).columns)
+    except AnalysisException as why:
+        if why.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def load_tables(spark: SparkSession, base_dir: str, id_type: T.DataType = T.LongType()) -> Tables:
-    """Read ``base_dir/<table>`` Parquet directories with explicit schemas (no inference)."""
+    """Read ``base_dir/<table>`` Parquet directories with explicit schemas (no inference).
+
+    A snapshot of an older schema version loads as if migrated: absent columns take the default
+    they were added with (NULL without one), renamed enum values their new name, and
+    specification tables of later families are empty.  Stored NULLs stay NULL.
+    """
     frames = {}
     for name in TABLE_NAMES:
-        schema = table_schema(name, id_type)
-        frames[TABLE_TO_ATTR[name]] = spark.read.schema(schema).parquet(f"{base_dir}/{name}")
+        schema, path = table_schema(name, id_type), f"{base_dir}/{name}"
+        held = stored_columns(spark, path)
+        if held is None and name in ADDED_TABLES:
+            frames[TABLE_TO_ATTR[name]] = spark.createDataFrame([], schema)
+            continue
+        df = spark.read.schema(schema).parquet(path)
+        changes = {c: F.lit(v) for c, v in ADDED_COLUMNS.get(name, {}).items() if held is not None and c not in held}
+        for (table, column), (old, new) in RENAMED_VALUES.items():
+            if table == name and column not in changes:
+                changes[column] = F.when(F.col(column) == old, F.lit(new)).otherwise(F.col(column))
+        frames[TABLE_TO_ATTR[name]] = df.withColumns(changes) if changes else df
     return Tables(**frames)
 
 

@@ -10,7 +10,8 @@ from fleetbook.operators import access, assets, dashboard, employees
 from fleetbook.sources.fixtures import AS_OF, materialize
 from fleetbook.sources.requests import read_requests, write_requests
 from fleetbook.sources.sinks import append_rows, camel, write_report
-from helpers import TS, rows
+from fleetbook.sources.tables import ADDED_TABLES, load_tables, write_snapshot
+from helpers import D, TS, rows, tables
 
 
 @pytest.fixture(scope="module")
@@ -209,3 +210,22 @@ def test_no_cross_joins(spark, stored):
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "CartesianProduct" not in plan and "Cross" not in plan, plan
         assert "BroadcastNestedLoopJoin" not in plan, plan
+
+
+def test_older_snapshots_load_as_if_migrated(spark, tmp_path):
+    """Absent columns take the default they were added with, stored NULLs and values stay."""
+    t = tables(spark, users=[{"id": 1, "name": "n", "email": "e", "phone_no": "p", "status": "block_listed"},
+                             {"id": 2, "name": "m", "email": "f", "phone_no": "q", "type": "blocked"}],
+               employee=[{"id": 5, "name": "a", "email": "b", "phone_no": "c", "status": "deleted"}],
+               assets=[{"id": 7, "brand": "b", "model": "m", "serial_no": "s", "asset_type": "laptop", "purchased_date": D(2020, 1, 1),
+                        "warranty_start_date": D(2020, 1, 1), "warranty_expiry_date": D(2021, 1, 1), "is_available": False}])
+    whole = t.by_name()
+    later = {"users": ["image"], "employee": [], "assets": ["status", "owned_by"]}
+    write_snapshot({n: df.drop(*later.get(n, [])) for n, df in whole.items() if n not in ADDED_TABLES}, str(tmp_path / "v7"))
+    u = load_tables(spark, str(tmp_path / "v7"))
+    assert rows(u.users, "id", "type", "status", "image") == [(1, None, "black_listed", None), (2, "blocked", None, None)]
+    assert rows(u.assets, "is_available", "status", "owned_by") == [(False, "available", None)]
+    assert rows(u.employee, "status") == [("deleted",)]
+    assert u.sim.count() == 0 and u.mobile.count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        load_tables(spark, str(tmp_path / "nothing"))
