@@ -499,36 +499,41 @@ select id as seq, {REQ_TS.format(s='id')} as req_ts, concat(name, '+') as name,
   case when id % 4 = 0 then email else concat('n', email) end as email,
   case when id % 4 = 0 then phone_no when id % 4 = 1 then phone_no
        else lpad(cast(id + 7 as string), 10, '6') end as phone_no,
-  case when id % 6 = 5 then 'abc' else 'secret-pw' end as password
+  case when id % 6 = 5 then 'abc' else 'secret-pw' end as password,
+  case when id % 17 = 0 then '' else concat('hash of ', name) end as password_hash
 from {{users}}
 union all
 select id + 1000000, {REQ_TS.format(s='id + 1')}, 'dup', concat('n', email),
-  lpad(cast(id + 500 as string), 10, '5'), 'secret-pw'
-from {{users}} where id % 5 = 2"""
-reg("w12_register_users",
-    _op(pw.register_users, REGISTER_USER_REQ, "users",
-        [c for c in USER_COLS if c != "password"]), None)
+  lpad(cast(id + 500 as string), 10, '5'), 'secret-pw', concat('second ', name)
+from {{users}} where id % 5 = 2
+union all
+select id + 2000000, {REQ_TS.format(s='id + 2')}, 'third', concat('n', email),
+  case when id % 2 = 0 then lpad(cast(id + 500 as string), 10, '5') else lpad(cast(id + 7 as string), 10, '6') end,
+  'secret-pw', concat('third ', name)
+from {{users}} where id % 3 = 1"""
+reg("w12_register_users", _op(pw.register_users, REGISTER_USER_REQ, "users", USER_COLS), None)
 reg("w12_register_rejects", _op(pw.register_users, REGISTER_USER_REQ, None, None, rejects=True), None)
 
 UPDATE_USER_REQ = f"""
 select id * 10 as seq, {REQ_TS.format(s='id')} as req_ts, id, concat(name, ' u') as name,
   case when id % 7 = 0 then concat('user', cast(id + 1 as string), '@example.com')
-       else concat('u.', email) end as email, phone_no, 'password1' as password
+       else concat('u.', email) end as email, phone_no, 'password1' as password,
+  concat('hash 1 of ', name) as password_hash
 from {{users}}
 union all
 select id * 10 + 1, {REQ_TS.format(s='id + 1')}, id, concat(name, ' w'), concat('w.', email),
-  phone_no, 'password2'
+  phone_no, 'password2', concat('hash 2 of ', name)
 from {{users}} where id % 3 = 0
 union all
-select id * 10 + 2, {REQ_TS.format(s='id')}, id + 1000000, 'nobody', concat('u.', email), phone_no, 'password3'
+select id * 10 + 2, {REQ_TS.format(s='id')}, id + 1000000, 'nobody', concat('u.', email), phone_no, 'password3', concat('hash 3 of ', name)
 from {{users}} where id % 4 = 1
 union all
-select -id, {REQ_TS.format(s='id')}, id, name, concat('u.user', cast(id + 1 as string), '@example.com'), phone_no, 'password4'
+select -id, {REQ_TS.format(s='id')}, id, name, concat('u.user', cast(id + 1 as string), '@example.com'), phone_no, 'password4', concat('hash 4 of ', name)
 from {{users}} where archived_at is not null"""
 reg("w13_update_users",
-    _op(pw.update_users, UPDATE_USER_REQ, "users", ["id"] + [c for c in USER_COLS if c != "password"]),
+    _op(pw.update_users, UPDATE_USER_REQ, "users", ["id"] + USER_COLS),
     _ctes(["users"], {"req": _bind(UPDATE_USER_REQ)})
-    + oracle_update("users", ["id"] + [c for c in USER_COLS if c != "password"],
+    + oracle_update("users", ["id"] + USER_COLS,
                     "select * from req r where not exists (select 1 from users u where "
                     "u.email = r.email and u.id <> r.id) and not exists (select 1 from users u "
                     "where u.phone_no = r.phone_no and u.id <> r.id and u.archived_at is null) "
@@ -536,7 +541,64 @@ reg("w13_update_users",
                     "and q.id <> r.id and q.seq < r.seq and exists (select 1 from users l where l.id = q.id "
                     "and l.archived_at is null))",
                     [("id", "id")], {"name": "w.name", "email": "w.email", "phone_no": "w.phone_no",
-                                     "updated_at": "w.req_ts"}, "t.archived_at is null"))
+                                     "password": "w.password_hash", "updated_at": "w.req_ts"}, "t.archived_at is null"))
+
+# Updates that take values from one another: the people of a block of eight share a few new e-mails and
+# eight new phones (stored phones repeat across blocks), in an order that mixes them.  The oracle takes a block's requests one by one.
+_TURN = "((id * 37 + {k} * 53) % 101) * 1000000 + id * 10 + {k}"
+_SLOT = "concat('slot', cast(id - id % 8 as string), '.', cast((id * 5 + {k}) % 5 as string), '@example.com')"
+
+
+def _turns(k: int) -> tuple[str, str]:
+    return _TURN.format(k=k), _SLOT.format(k=k)
+
+
+USER_TURNS_REQ = "\nunion all\n".join(
+    f"select {seq} as seq, {REQ_TS.format(s=f'id + {k}')} as req_ts, id, concat(name, ' {k}') as name, "
+    f"case when id % 3 = {k % 3} then email else {slot} end as email, "
+    f"concat('55', lpad(cast(id - id % 8 + (id * 3 + {k}) % 8 as string), 8, '0')) as phone_no, "
+    f"'secret-pw' as password, concat('hash {k} of ', name) as password_hash from {{users}}"
+    for k in range(4) for seq, slot in [_turns(k)])
+EMPLOYEE_TURNS_REQ = "\nunion all\n".join(
+    f"select {seq} as seq, {REQ_TS.format(s=f'id + {k}')} as req_ts, id, concat(name, ' {k}') as name, "
+    f"case when id % 4 = {k} then email else {slot} end as email, phone_no, type, 'active' as status from {{employee}}"
+    for k in range(4) for seq, slot in [_turns(k)])
+
+
+def _in_turn(table: str, phones: str | None) -> str:
+    """CTEs ``run`` (seq, why): the requests ``req`` of each block of eight ids applied one by one."""
+    own = "map_concat(r.{m}, map([o.id], ['']))"
+    held = f"map(list(id), list({phones or 'email'}))"
+    phone = f"when list_contains(map_values({own.format(m='phones')}), o.phone_no) then 'phone already used' " if phones else ""
+    return (
+        f", ordered as (select r.*, r.id - r.id % 8 as b, row_number() over (partition by r.id - r.id % 8 order by seq) as turn "
+        f"from req r join {table} l on l.id = r.id and l.archived_at is null)"
+        ", run as (select id - id % 8 as b, cast(0 as bigint) as turn, cast(null as bigint) as seq, cast(null as varchar) as why, "
+        f"map(list(id), list(email)) as emails, {held} as phones from {table} group by id - id % 8 "
+        "union all select b, turn, seq, why, case when why is null then map_concat(emails, map([id], [email])) else emails end, "
+        "case when why is null then map_concat(phones, map([id], [phone_no])) else phones end from ("
+        "select o.b, o.turn, o.seq, o.id, o.email, o.phone_no, r.emails, r.phones, case when "
+        f"list_contains(map_values({own.format(m='emails')}), o.email) then 'email already used' {phone}end as why "
+        "from run r join ordered o on o.b = r.b and o.turn = r.turn + 1) x)\n")
+
+
+def _recursive(sql: str) -> str:
+    return "with recursive" + sql.lstrip()[len("with"):]
+
+
+_LIVE_PHONE = "case when archived_at is null then phone_no end"
+_GRANTED = "select * from req where seq in (select seq from run where why is null)"
+for _name, _fn, _table, _batch, _cols, _phones, _sets in (
+        ("w13_update_users_in_turn", pw.update_users, "users", USER_TURNS_REQ, USER_COLS, _LIVE_PHONE,
+         {"password": "w.password_hash"}),
+        ("w10_update_employees_in_turn", pw.update_employees, "employee", EMPLOYEE_TURNS_REQ, EMP_COLS, None,
+         {"status": "w.status", "type": "w.type"})):
+    _head = _recursive(_ctes([_table], {"req": _bind(_batch)}) + _in_turn(_table, _phones))
+    _sets = {"name": "w.name", "email": "w.email", "phone_no": "w.phone_no", "updated_at": "w.req_ts", **_sets}
+    reg(_name, _op(_fn, _batch, _table, ["id"] + _cols),
+        _head + oracle_update(_table, ["id"] + _cols, _GRANTED, [("id", "id")], _sets, "t.archived_at is null"))
+    reg(_name + "_rejects", _op(_fn, _batch, None, None, rejects=True),
+        _head + "select seq, why as reason from run where why is not null")
 
 ACCESS_REQ = """
 select id as seq, id as user_id,
@@ -642,28 +704,32 @@ def _last_invalid(rules) -> str:
     return "case " + " ".join(f"when {p} then 'Invalid {n}'" for n, p in reversed(rules)) + " end"
 
 
-_W12_FLAGS = (
-    f", checked as (select *, {_last_invalid(_USER_RULES)} as invalid from req)"
-    ", valid as (select * from checked where invalid is null)"
-    ", flags as (select v.*, "
-    "exists (select 1 from users u where u.archived_at is null and u.email = v.email "
-    "and u.phone_no = v.phone_no) as ex, "
-    "exists (select 1 from users u where u.email = v.email) "
-    "or exists (select 1 from valid q where q.email = v.email and q.seq < v.seq) as e_used, "
-    "exists (select 1 from users u where u.archived_at is null and u.phone_no = v.phone_no) "
-    "or exists (select 1 from valid q where q.phone_no = v.phone_no and q.seq < v.seq) as p_used "
-    "from valid v)\n")
+# One by one: the state is all e-mails, the phones of live users and their (e-mail, phone) pairs.
+_W12_RUN = (
+    f", checked as (select *, coalesce({_last_invalid(_USER_RULES)}, "
+    "case when coalesce(password_hash, '') = '' then 'Invalid PasswordHash' end) as invalid from req)"
+    ", ordered as (select *, row_number() over (order by seq) as turn from checked where invalid is null)"
+    ", run as (select cast(0 as bigint) as turn, cast(null as bigint) as seq, cast(null as varchar) as why, "
+    "list(email) as emails, list(phone_no) filter (where archived_at is null) as phones, "
+    "list(email || ' ' || phone_no) filter (where archived_at is null) as pairs from users "
+    "union all select turn, seq, why, case when why is null then list_append(emails, email) else emails end, "
+    "case when why is null then list_append(phones, phone_no) else phones end, "
+    "case when why is null then list_append(pairs, email || ' ' || phone_no) else pairs end from ("
+    "select o.turn, o.seq, o.email, o.phone_no, r.emails, r.phones, r.pairs, "
+    "case when list_contains(r.pairs, o.email || ' ' || o.phone_no) then 'user already exists' "
+    "when list_contains(r.emails, o.email) then 'email already used' "
+    "when list_contains(r.phones, o.phone_no) then 'phone already used' end as why "
+    "from run r join ordered o on o.turn = r.turn + 1) x)\n")
 ORACLE["w12_register_users"] = (
-    _ctes(["users"], {"req": _bind(REGISTER_USER_REQ)}) + _W12_FLAGS
-    + "select " + ", ".join(f"{_base('users', c)} as {c}" for c in USER_COLS if c != "password")
+    _recursive(_ctes(["users"], {"req": _bind(REGISTER_USER_REQ)}) + _W12_RUN)
+    + "select " + ", ".join(f"{_base('users', c)} as {c}" for c in USER_COLS)
     + " from users t union all select name, email, phone_no, 'authorized', 0, 'white_listed', "
-    "cast(null as string), cast(null as timestamp), req_ts, cast(null as timestamp) "
-    "from flags where not (ex or e_used or p_used)")
+    "cast(null as varchar), cast(null as timestamp), password_hash, req_ts, cast(null as timestamp) "
+    "from req where seq in (select seq from run where why is null)")
 ORACLE["w12_register_rejects"] = (
-    _ctes(["users"], {"req": _bind(REGISTER_USER_REQ)}) + _W12_FLAGS
+    _recursive(_ctes(["users"], {"req": _bind(REGISTER_USER_REQ)}) + _W12_RUN)
     + "select seq, invalid as reason from checked where invalid is not null union all "
-    "select seq, case when ex then 'user already exists' when e_used then 'email already used' "
-    "else 'phone already used' end from flags where ex or e_used or p_used")
+    "select seq, why from run where why is not null")
 
 _W10_STEPS = (
     f", checked as (select *, coalesce({_last_invalid(_EMP_RULES)}, case when status is null or status not in "

@@ -91,62 +91,6 @@ def split_by_reason(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame
     return ok, bad
 
 
-def claims_table(base: DataFrame, value: str, owner: str, seq: str = "seq") -> DataFrame:
-    """Per value of a unique column: the two earliest claiming owners of the batch.
-
-    ``owner`` is the row being written (the target id, or ``seq`` itself for inserts).
-    Built with partial aggregates only (first seq per (value, owner), then the earliest and
-    the second-earliest owner per value), so a value claimed by a large share of the batch is
-    reduced map-side.  Columns: ``__v``, ``__e1_seq``, ``__e1_owner``, ``__e2_seq``.
-    """
-    firsts = (base.filter(F.col(value).isNotNull())
-              .groupBy(F.col(value).alias("__v"), F.col(owner).alias("__o"))
-              .agg(F.min(seq).alias("__s")))
-    best = firsts.groupBy("__v").agg(
-        F.min_by(F.struct(F.col("__s").alias("s"), F.col("__o").alias("o")), F.col("__s")).alias("__e1"))
-    second = (firsts.join(best, "__v").filter(F.col("__o") != F.col("__e1.o"))
-              .groupBy("__v").agg(F.min("__s").alias("__e2_seq")))
-    return (best.join(second, "__v", "left")
-            .select("__v", F.col("__e1.s").alias("__e1_seq"), F.col("__e1.o").alias("__e1_owner"),
-                    "__e2_seq"))
-
-
-def with_claim_flag(df: DataFrame, claims: DataFrame, value: str, owner: str,
-                    seq: str = "seq") -> DataFrame:
-    """``df`` plus ``__claimed_<value>``: an earlier request of another owner claims the value."""
-    c = claims.select(*[F.col(x).alias(f"{x}_{value}") for x in claims.columns])
-    j = df.join(c, df[value] == c[f"__v_{value}"], "left")
-    e1s, e1o, e2s = (F.col(f"{x}_{value}") for x in ("__e1_seq", "__e1_owner", "__e2_seq"))
-    claimed = F.when(e1o != F.col(owner), e1s < F.col(seq)).otherwise(F.coalesce(e2s < F.col(seq), F.lit(False)))
-    return (j.withColumn(f"__claimed_{value}", F.coalesce(claimed, F.lit(False)))
-            .drop(*[f"{x}_{value}" for x in claims.columns]))
-
-
-def with_taken_flag(df: DataFrame, table: DataFrame, value: str, owner: str | None,
-                    live_only: bool, batch: DataFrame | None = None) -> DataFrame:
-    """``df`` plus ``__taken_<value>``: a stored row other than ``owner`` holds the value.
-
-    The stored holders are reduced to one row per value (count, smallest and largest id)
-    first, so the request side is joined once to a table keyed by value.  Only values the
-    ``batch`` (default ``df``; pass the base frame when chaining flags) mentions are read.
-    """
-    from fleetbook.plans.joins import mentioned
-
-    src = table.filter(F.col("archived_at").isNull()) if live_only else table
-    src = mentioned(src, value, df if batch is None else batch, value)
-    holders = (src.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias(f"__hv_{value}"))
-               .agg(F.count(F.lit(1)).alias(f"__hn_{value}"), F.min("id").alias(f"__hmin_{value}"),
-                    F.max("id").alias(f"__hmax_{value}")))
-    j = df.join(holders, df[value] == holders[f"__hv_{value}"], "left")
-    n, lo = F.col(f"__hn_{value}"), F.col(f"__hmin_{value}")
-    if owner is None:
-        taken = n.isNotNull()
-    else:
-        taken = (n > 1) | ((n == 1) & (lo != F.col(owner)))
-    return (j.withColumn(f"__taken_{value}", F.coalesce(taken, F.lit(False)))
-            .drop(f"__hv_{value}", f"__hn_{value}", f"__hmin_{value}", f"__hmax_{value}"))
-
-
 def chain_next(df: DataFrame, key: str, order: str, payload: list[str], width: int = 1 << 16,
                name: str = "__next") -> DataFrame:
     """``df`` plus ``name`` = the payload struct of the next row (by ``order``) with the same

@@ -13,10 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 1 << 16
+#: Width for keys that were counted: a key is one bucket.
+WHOLE = 0
 
 
 def _with_carry(df: DataFrame, keys: list[str], order: str, inner: Column, summary: Column, carry: Column, combine,
                 name: str, width: int | None) -> DataFrame:
+    if width == WHOLE:
+        return df.withColumn("__bucket", F.lit(0)).withColumn(name, combine(inner, F.lit(None))).drop("__bucket")
     width = width or WIDTH
     placed = df.withColumn("__bucket", F.floor(F.col(order) / F.lit(width)).cast("long"))
     heads = placed.groupBy(*keys, "__bucket").agg(summary.alias("__summary"))

@@ -63,10 +63,10 @@ REQUEST_FIELDS: dict[str, list[tuple[str, str, T.DataType]]] = {
         ("employee_id", "employeeID", L), ("archive_reason", "archiveReason", S)],
     "register_users": _COMMON + [
         ("name", "name", S), ("email", "email", S), ("phone_no", "phoneNo", S),
-        ("password", "password", S)],
+        ("password", "password", S), ("password_hash", "passwordHash", S)],
     "update_users": _COMMON + [
         ("id", "id", L), ("name", "name", S), ("email", "email", S), ("phone_no", "phoneNo", S),
-        ("password", "password", S)],
+        ("password", "password", S), ("password_hash", "passwordHash", S)],
     "set_access_type": _COMMON + [("user_id", "userId", L), ("user_type", "userType", S)],
     "set_profile_image": _COMMON + [("user_id", "userId", L), ("url", "url", S)],
     "logout_users": _COMMON + [("user_id", "userId", L)],
