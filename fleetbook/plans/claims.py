@@ -70,9 +70,12 @@ def _width(lines: DataFrame) -> int | None:
 
 def _met(lines: DataFrame, asked: DataFrame, width: int | None) -> DataFrame:
     """``asked`` claims plus ``n``: the other owners that hold the value then, as two counts."""
+    def settled(df):            # a scan in buckets reads its input twice: cut, so that scans do not multiply
+        return df if width == WHOLE else cut_lineage(df)
+
     order = ["kind", "owner"]
-    rows = first_after(lines, order, "seq", F.col("sure"), F.col("seq"), "sure_end", width)
-    rows = last_before(rows, order, "seq", F.lit(True), F.col("value"), "prior", width)
+    rows = settled(first_after(lines, order, "seq", F.col("sure"), F.col("seq"), "sure_end", width))
+    rows = settled(last_before(rows, order, "seq", F.lit(True), F.col("value"), "prior", width))
     rows = first_after(rows, order, "seq", F.coalesce(F.col("prior") != F.col("value"), F.lit(False)), F.col("seq"), "next", width).filter("fought")
     sure = F.col("sure").cast("long")
     changes = F.array(F.struct(F.col("seq").alias("at"), (F.lit(PERHAPS) + sure).alias("delta")),
@@ -80,8 +83,8 @@ def _met(lines: DataFrame, asked: DataFrame, width: int | None) -> DataFrame:
                       F.struct(F.col("next").alias("at"), (-sure).alias("delta")))
     moments = rows.select(*NAME, "owner", F.explode(changes).alias("c")).select(*NAME, "owner", "c.*").filter("at is not null")
     moments = moments.unionByName(asked.select(*NAME, "owner", F.col("seq").alias("at"), F.lit(0).cast("long").alias("delta")))
-    moments = moments.groupBy(*NAME, "owner", "at").agg(F.sum("delta").alias("delta"))
-    moments = running_sum(moments, NAME, "at", F.col("delta"), "everybody", width)
+    moments = settled(moments.groupBy(*NAME, "owner", "at").agg(F.sum("delta").alias("delta")))
+    moments = settled(running_sum(moments, NAME, "at", F.col("delta"), "everybody", width))
     moments = running_sum(moments, [*NAME, "owner"], "at", F.col("delta"), "own", width)
     return asked.join(moments.selectExpr(*NAME, "at as seq", "everybody - own as n"), [*NAME, "seq"])
 

@@ -2,7 +2,9 @@
 import random
 
 from fleetbook.operators import people_writes
-from fleetbook.plans.claims import refusals
+from fleetbook.plans.claims import _met, _timelines, refusals
+from fleetbook.plans.scan import WHOLE
+from fleetbook.plans.session import cut_lineage
 from helpers import TS, rows, tables
 
 CASES = 150
@@ -116,19 +118,21 @@ def _one_by_one(claims, held):
     return sorted(out, key=repr)
 
 
-def test_hot_value_and_hot_owner_in_narrow_buckets(spark):
+def test_narrow_buckets_meet_the_same_holders(spark):
+    """One round over scans in buckets of seven places equals one over whole keys."""
     rng = random.Random(41)
-    held = [("k", "hot", "o1"), ("k", "v2", "o2")]
-    claims = [(s, f"o{rng.choice([1, 1, 1, rng.randint(2, 9)])}", "k", rng.choice(["hot", "hot", f"v{rng.randint(1, 6)}"])) for s in range(-3, 5)]
-    got = refusals(spark.createDataFrame(claims, CLAIM), spark.createDataFrame(held, HELD), width=7)
-    assert rows(got) == _one_by_one(claims, held)
+    held = spark.createDataFrame([("k", "hot", "o1"), ("k", "v2", "o2")], HELD)
+    claims = [(s, f"o{rng.choice([1, 1, 1, rng.randint(2, 9)])}", "k", rng.choice(["hot", "hot", f"v{rng.randint(1, 6)}"])) for s in range(-20, 60)]
+    lines = cut_lineage(_timelines(spark.createDataFrame(claims, CLAIM), held))
+    asked = lines.filter("fought and not sure").select("seq", "owner", "kind", "value")
+    assert rows(_met(lines, asked, 7)) == rows(_met(lines, asked, WHOLE)) != []
 
 
 def test_one_row_that_keeps_its_value_decides_all_at_once(spark):
     """A third of the requests keep one value, the others want it: two rounds, not one per request."""
     held = [("k", "hot", "o1")]
     claims = [(s, "o1" if s % 3 == 0 else f"o{s}", "k", "hot") for s in range(2, 300)]
-    got = refusals(spark.createDataFrame(claims, CLAIM), spark.createDataFrame(held, HELD), width=64)
+    got = refusals(spark.createDataFrame(claims, CLAIM), spark.createDataFrame(held, HELD))
     assert rows(got) == _one_by_one(claims, held)
 
 
