@@ -253,7 +253,7 @@ ORACLE["s02_login_sessions"] = ORACLE["w16_login_sessions"]
 from fleetbook.catalog_reads import oracle_access  # noqa: E402
 from fleetbook.operators import access  # noqa: E402
 from fleetbook.sources.requests import read_requests  # noqa: E402
-from fleetbook.sources.sinks import append_rows, read_report, write_report  # noqa: E402
+from fleetbook.sources.sinks import append_rows, append_to_table, read_appended, read_report, write_report  # noqa: E402
 
 _REL_FULL = ["id", "employee_id", "asset_id", "assigned_by", "assigned_date", "retrieved_date",
              "retrieval_reason", "archived_at"]
@@ -338,7 +338,19 @@ def _w18(spark, sf):
     return append_rows(T(spark, sf).sessions, rows_).select("id", "user_id", "start_time", "end_time")
 
 
+def _w18_stored(spark, sf):
+    """The sessions as batch 0, the sign-ups as two batches, one of them appended twice."""
+    sessions, path = T(spark, sf).sessions, f"{ensure_checkpoint_dir(spark).rstrip('/')}/w18-{uuid.uuid4().hex}"
+    rows_ = append_rows(sessions.limit(0), spark.sql(SIGNUP_SQL, events=read_source(spark, sf, "events")))
+    append_to_table(sessions, path, 0)
+    for batch in (1, 2, 1):
+        append_to_table(rows_.filter(F.col("id") % 2 == batch - 1), path, batch)
+    return read_appended(spark, path, sessions.schema).select("id", "user_id", "start_time", "end_time")
+
+
 QUERIES["w18_append_rows"] = _w18
 ORACLE["w18_append_rows"] = (duckdb_ctes(["sessions"]) + "select id, user_id, start_time, end_time from sessions "
                              "union all select id, user_id, start_time, cast(null as timestamp) from ("
                              + SIGNUP_SQL.replace("{events}", "events") + ") s")
+QUERIES["w18_append_to_table"] = _w18_stored
+ORACLE["w18_append_to_table"] = ORACLE["w18_append_rows"]

@@ -47,7 +47,16 @@ def append_rows(target: DataFrame, rows: DataFrame) -> DataFrame:
                               allowMissingColumns=True)
 
 
-def append_to_table(rows: DataFrame, path: str) -> None:
-    """Append rows to a stored Parquet table (new files; existing files untouched)."""
-    rows.write.mode("append").parquet(path)
+def append_to_table(rows: DataFrame, path: str, batch: int) -> None:
+    """Append ``rows`` to the Parquet table at ``path`` as batch number ``batch``.
 
+    A batch is a folder of its own; existing ones are untouched.  Repeating a batch (after a failure,
+    or twice) replaces its folder, so its rows stand in the table once.  The same number must
+    mean the same rows.
+    """
+    rows.write.mode("overwrite").parquet(f"{path}/batch={int(batch)}")
+
+
+def read_appended(spark, path: str, schema) -> DataFrame:
+    """The rows of all batches appended to ``path``."""
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())

@@ -229,3 +229,12 @@ def test_older_snapshots_load_as_if_migrated(spark, tmp_path):
     assert u.sim.count() == 0 and u.mobile.count() == 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         load_tables(spark, str(tmp_path / "nothing"))
+
+
+def test_append_repeated_batch_changes_nothing(spark, tmp_path):
+    from fleetbook.sources.sinks import append_to_table, read_appended
+    path, make = str(tmp_path / "t"), lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    append_to_table(make(1, 2), path, 1)
+    append_to_table(make(3), path, 2)
+    append_to_table(make(1, 2), path, 1)
+    assert sorted(r["id"] for r in read_appended(spark, path, make(1).schema).collect()) == [1, 2, 3]
