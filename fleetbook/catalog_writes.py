@@ -15,6 +15,7 @@ from fleetbook.operators import login as lg
 from fleetbook.operators import people_writes as pw
 from fleetbook.operators.asset_log import apply_asset_log
 from fleetbook.sources.fixtures import duckdb_ctes, shared_tables
+from fleetbook.sources.tables import TABLE_TO_ATTR
 
 COMPANY_DOMAIN = "example.com"
 REQ_TS = "cast(date '1997-06-15' + cast({s} % 50 as int) as timestamp)"
@@ -90,9 +91,8 @@ def reg(name, fn, sql):
 
 
 def _req(spark, t, text):
-    frames = {"assets": t.assets, "employee": t.employee, "employee_asset_relation": t.relation,
-              "users": t.users, "sessions": t.sessions}
-    return spark.sql(text, **{k: v for k, v in frames.items() if "{" + k + "}" in text})
+    names = ("assets", "employee", "employee_asset_relation", "users", "sessions")
+    return spark.sql(text, **{n: getattr(t, TABLE_TO_ATTR[n]) for n in names if "{" + n + "}" in text})
 
 
 def _bind(text: str) -> str:

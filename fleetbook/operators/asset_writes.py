@@ -18,7 +18,7 @@ from fleetbook.operators.validate import (asset_create_errors, asset_update_erro
 from fleetbook.plans.batch import (ZERO_DATE, Changes, chain_next, matched_update, new_id,
                                    split_by_reason, winners)
 from fleetbook.sources.schemas import SPEC_COLUMNS
-from fleetbook.sources.tables import SPEC_ATTR, Tables, conform
+from fleetbook.sources.tables import SPEC_ATTR, TABLE_TO_ATTR, Tables, conform
 
 SPEC_UPDATED_AT = {"laptop": True, "mobile": True, "sim": True, "pen drive": False, "hard disk": False}
 
@@ -113,8 +113,7 @@ def register_assets(t: Tables, requests: DataFrame) -> Changes:
             new_id("register_spec", "seq", idt).alias("id"), F.col("__new_id").alias("asset_id"),
             *cols, F.col("req_ts").alias("created_at"))
         added[table_name(attr)] = conform(rows, target.schema)
-    stored = t.by_name()
-    return Changes({name: stored[name].unionByName(rows) for name, rows in added.items()}, rejects, added)
+    return Changes({name: getattr(t, TABLE_TO_ATTR[name]).unionByName(rows) for name, rows in added.items()}, rejects, added)
 
 
 def table_name(attr: str) -> str:

@@ -2,7 +2,8 @@
 
 The SQL below runs unchanged on Spark and on DuckDB (the oracle): ``{name}`` placeholders
 are bound to DataFrames on Spark (``spark.sql(text, name=df)``) and to the pre-registered
-view names on DuckDB.  Test-time "now" is ``AS_OF``; session time zone UTC.
+view names on DuckDB.  The relations alone have a form of their own on Spark (``derive_relation``), with
+the same rows.  Test-time "now" is ``AS_OF``; session time zone UTC.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from fleetbook.sources.schemas import table_schema
-from fleetbook.sources.tables import TABLE_TO_ATTR, Tables, conform
+from fleetbook.sources.tables import ATTR_TO_TABLE, TABLE_TO_ATTR, Tables, conform, load_table, load_tables, write_snapshot
 
 AS_OF = dt.datetime(1997, 6, 15, 12, 0, 0)
 # Ids of assets that no relation and no specification mentions start here.
@@ -115,10 +117,45 @@ def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What orders a line among those of its part (latest first) and of its order.
+_LATEST = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
+_IN_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+
+
+def derive_relation(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """The rows of ``FIXTURE_SQL["employee_asset_relation"]``, with each line shuffled once.
+
+    Only the latest line of a part is asked for, so it is a maximum per part, reduced where the lines are
+    read.  These few lines are added to all lines as marks: in the one window per order a mark
+    sorts before the line it stands for (the first of equal ones), which so learns that it is open.
+    """
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_extendedprice"]
+    lines = lineitem.select(*columns, F.lit(False).alias("mark"))
+    even = F.col("l_partkey") % 2 == 0
+    latest = (lineitem.filter(F.coalesce(even, F.lit(True))).groupBy("l_partkey")
+              .agg(F.max(F.struct(*_LATEST)).alias("top")).select("l_partkey", "top.*")
+              .select(*[c for c in columns if c != "l_returnflag"], F.lit(True).alias("mark")))
+    turn = Window.partitionBy("l_orderkey").orderBy(*_IN_ORDER, F.desc("mark"))
+    upto = turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (lines.unionByName(latest, allowMissingColumns=True)
+              .withColumns({"n": F.count(F.when(~F.col("mark"), 1)).over(upto), "marked": F.lag("mark", 1, False).over(turn)})
+              .filter(~F.col("mark"))
+              .withColumn("is_open", F.when(F.col("marked"), even).otherwise(F.lit(False))))
+    joined = placed.join(orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.selectExpr(
+        "l_orderkey * 100 + n as id",
+        "case when l_partkey % 50 = 1 then cast(7 as bigint) when is_open and o_custkey % 10 in (7, 8) then o_custkey - 2 else o_custkey end as employee_id",
+        "l_partkey as asset_id", "l_suppkey as assigned_by", "cast(o_orderdate as date) as assigned_date",
+        "case when is_open then cast(null as date) else cast(l_shipdate as date) end as retrieved_date",
+        "case when is_open or l_returnflag = 'N' then cast(null as string) when l_returnflag = 'R' then 'returned' else 'replaced' end as retrieval_reason",
+        "case when not is_open and l_returnflag = 'A' then cast(l_shipdate as timestamp) else cast(null as timestamp) end as archived_at")
+
+
 def derive_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, sources = FIXTURE_SQL[name]
     frames = {s: read_source(spark, sf_dir, s) for s in sources}
-    return conform(spark.sql(text, **frames), table_schema(name))
+    df = derive_relation(**frames) if name == "employee_asset_relation" else spark.sql(text, **frames)
+    return conform(df, table_schema(name))
 
 
 def build_tables(spark: SparkSession, sf_dir: str) -> Tables:
@@ -126,25 +163,50 @@ def build_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(**{TABLE_TO_ATTR[n]: derive_table(spark, sf_dir, n) for n in FIXTURE_SQL})
 
 
-_SHARED: dict[tuple[str, str], Tables] = {}
+class DerivedTables(Tables):
+    """The derived tables, each stored as a whole when it is first asked for and read from there."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str, stored: dict[str, DataFrame] | None = None):
+        for name, value in (("spark", spark), ("sf_dir", sf_dir), ("root", root), ("stored", {} if stored is None else stored)):
+            object.__setattr__(self, name, value)
+
+    def __getattr__(self, attr: str) -> DataFrame:
+        if attr not in ATTR_TO_TABLE:
+            raise AttributeError(attr)
+        name, stored = ATTR_TO_TABLE[attr], self.stored
+        if name not in stored:
+            path = f"{self.root}/{uuid.uuid4().hex}/{name}"
+            derive_table(self.spark, self.sf_dir, name).write.parquet(path)
+            stored[name] = load_table(self.spark, path, name)
+        return stored[name]
+
+    def with_(self, **changes: DataFrame) -> Tables:
+        """These tables with some replaced; the others are still shared."""
+        other = DerivedTables(self.spark, self.sf_dir, self.root, self.stored)
+        for attr, df in {**{a: v for a, v in self.__dict__.items() if a in ATTR_TO_TABLE}, **changes}.items():
+            if attr not in ATTR_TO_TABLE:
+                raise TypeError(f"no table {attr!r}")
+            object.__setattr__(other, attr, df)
+        return other
+
+
+_SHARED: dict[tuple[str, str], DerivedTables] = {}
 
 
 def shared_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The derived tables, stored once per (application, folder) in the shared folder, for the
+    """The derived tables, each stored once per (application, folder) in the shared folder, for the
     query registry: every query then reads stored tables, as a deployment does, and a lost
-    executor costs nothing but a re-read."""
+    executor costs nothing but a re-read.  A query pays for the tables it uses."""
     from fleetbook.plans.session import ensure_checkpoint_dir
 
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SHARED or _SHARED[key].users.sparkSession is not spark:
+    if key not in _SHARED or _SHARED[key].spark is not spark:
         root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetbook-tables-{uuid.uuid4().hex}"
-        _SHARED[key] = materialize(spark, sf_dir, root)
+        _SHARED[key] = DerivedTables(spark, sf_dir, root)
     return _SHARED[key]
 
 
 def materialize(spark: SparkSession, sf_dir: str, out_dir: str) -> Tables:
     """Derive the tables once and store them as Parquet (what a deployment keeps on disk)."""
-    from fleetbook.sources.tables import load_tables, write_snapshot
-
     write_snapshot(build_tables(spark, sf_dir), out_dir)
     return load_tables(spark, out_dir)

@@ -32,10 +32,8 @@ class Tables:
         return {stored: getattr(self, attr) for attr, stored in ATTR_TO_TABLE.items()}
 
     def spec(self, asset_type: str) -> DataFrame | None:
-        return {
-            "laptop": self.laptop, "pen drive": self.pen_drive, "hard disk": self.hard_disk,
-            "mobile": self.mobile, "sim": self.sim,
-        }.get(asset_type)
+        attr = SPEC_ATTR.get(asset_type)
+        return None if attr is None else getattr(self, attr)
 
 
 ATTR_TO_TABLE = {
@@ -94,6 +92,20 @@ def stored_columns(spark: SparkSession, path: str) -> set[str] | None:
         return None
 
 
+def load_table(spark: SparkSession, path: str, name: str, id_type: T.DataType = T.LongType()) -> DataFrame:
+    """Read the table ``name`` from its folder, as ``load_tables`` does."""
+    schema = table_schema(name, id_type)
+    held = stored_columns(spark, path)
+    if held is None and name in ADDED_TABLES:
+        return spark.createDataFrame([], schema)
+    df = spark.read.schema(schema).parquet(path)
+    changes = {c: F.lit(v) for c, v in ADDED_COLUMNS.get(name, {}).items() if held is not None and c not in held}
+    for (table, column), (old, new) in RENAMED_VALUES.items():
+        if table == name and column not in changes:
+            changes[column] = F.when(F.col(column) == old, F.lit(new)).otherwise(F.col(column))
+    return df.withColumns(changes) if changes else df
+
+
 def load_tables(spark: SparkSession, base_dir: str, id_type: T.DataType = T.LongType()) -> Tables:
     """Read ``base_dir/<table>`` Parquet directories with explicit schemas (no inference).
 
@@ -101,20 +113,7 @@ def load_tables(spark: SparkSession, base_dir: str, id_type: T.DataType = T.Long
     they were added with (NULL without one), renamed enum values their new name, and
     specification tables of later families are empty.  Stored NULLs stay NULL.
     """
-    frames = {}
-    for name in TABLE_NAMES:
-        schema, path = table_schema(name, id_type), f"{base_dir}/{name}"
-        held = stored_columns(spark, path)
-        if held is None and name in ADDED_TABLES:
-            frames[TABLE_TO_ATTR[name]] = spark.createDataFrame([], schema)
-            continue
-        df = spark.read.schema(schema).parquet(path)
-        changes = {c: F.lit(v) for c, v in ADDED_COLUMNS.get(name, {}).items() if held is not None and c not in held}
-        for (table, column), (old, new) in RENAMED_VALUES.items():
-            if table == name and column not in changes:
-                changes[column] = F.when(F.col(column) == old, F.lit(new)).otherwise(F.col(column))
-        frames[TABLE_TO_ATTR[name]] = df.withColumns(changes) if changes else df
-    return Tables(**frames)
+    return Tables(**{TABLE_TO_ATTR[n]: load_table(spark, f"{base_dir}/{n}", n, id_type) for n in TABLE_NAMES})
 
 
 def write_snapshot(tables: Tables | dict[str, DataFrame], out_dir: str) -> str:
