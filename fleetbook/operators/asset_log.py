@@ -48,7 +48,7 @@ def checked_log(t: Tables, log: DataFrame) -> tuple[DataFrame, DataFrame]:
               .when(op == "delete_assets", _validation_reason(delete_errors())))
     ok, bad = split_by_reason(ready, reason)
     joined, fk = _fk_reason(ok.withColumnRenamed("__date", "parsed_date"), t, "employee_id", "asset_id")
-    ok, unknown = split_by_reason(joined, F.when(op.isin("assign_assets", "reassign_assets"), fk))
+    ok, unknown = split_by_reason(cut_lineage(joined), F.when(op.isin("assign_assets", "reassign_assets"), fk))
     return _drop_helpers(ok), bad.unionByName(unknown)
 
 

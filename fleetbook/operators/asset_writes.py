@@ -214,11 +214,12 @@ def reassign_assets(t: Tables, requests: DataFrame) -> Changes:
     ok = _drop_helpers(ok.withColumnRenamed("__ad", "parsed_assigned_date"))
     first = winners(ok.select("seq", "asset_id", "retrieved_date", "retrieval_reason", "req_ts"),
                     ["asset_id"], last=False)
+    # archived relations stay as they are: they need not be dealt out for the join
+    live = t.relation.filter(F.col("archived_at").isNull())
     closed = matched_update(
-        t.relation, first, [("asset_id", "asset_id")],
+        live, first, [("asset_id", "asset_id")],
         {"retrieved_date": F.col("r_retrieved_date"), "retrieval_reason": F.col("r_retrieval_reason"),
-         "archived_at": F.col("r_req_ts")},
-        guard=t.relation["archived_at"].isNull())
+         "archived_at": F.col("r_req_ts")}).unionByName(t.relation.filter(F.col("archived_at").isNotNull()))
     # Requests of one asset are applied in seq order: each closes its predecessor's relation.
     chained = chain_next(ok, "asset_id", "seq", ["retrieved_date", "retrieval_reason", "req_ts"])
     new_rows = _new_relations(chained, "reassign", _id_type(t), F.col("parsed_assigned_date"), {

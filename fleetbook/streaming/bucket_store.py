@@ -1,7 +1,8 @@
 """The inventory tables of a stream: bucketed folders and a commit log.
 
 A table that no commit has changed is read from the base snapshot.  Before its first change it is copied
-into ``buckets`` buckets of its key (``catalog_tables.BUCKET_KEYS``), each a folder of its own.  A commit replaces the buckets it touched, or adds rows to them, and becomes visible
+into ``buckets`` buckets of its key (``catalog_tables.BUCKET_KEYS``), each a folder of its own, unless
+that change replaces every bucket.  A commit replaces the buckets it touched, or adds rows to them, and becomes visible
 all at once when its rows are appended to the ``_versions`` log.  A bucket is the folder that replaced
 it last and the folders added since.  A commit is known by (stream, epoch): ``stream`` is the id
 that Spark keeps with a stream's checkpoint, so a retried epoch commits once and a stream with

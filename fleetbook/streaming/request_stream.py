@@ -30,6 +30,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetbook.plans.batch import Changes, new_id
 from fleetbook.plans.joins import mentioned
+from fleetbook.plans.session import scratch_table
 from fleetbook.sources.catalog_tables import BUCKET_KEYS
 from fleetbook.sources.requests import from_json_names, json_schema
 from fleetbook.sources.schemas import SPEC_TABLE
@@ -150,7 +151,14 @@ def apply_micro_batch(batch: DataFrame, epoch_id: int, operator: Callable[[Table
     stream, epoch = stream or operation, int(epoch_id)
     if committed(spark, out_root, stream, epoch):
         return False
-    tables = BucketStore(spark, base_dir, out_root, buckets)
+    with scratch_table(batch, "batch") as stored:       # its lines are parsed once, however often operators read them
+        _apply(stored, epoch, operator, BucketStore(spark, base_dir, out_root, buckets), operation, stream)
+    return True
+
+
+def _apply(batch: DataFrame, epoch: int, operator: Callable[[Tables, DataFrame], Changes], tables: BucketStore,
+           operation: str, stream: str) -> None:
+    spark, out_root = tables.spark, tables.out_root
     version = 1 + store.last_version(store.read_log(spark, out_root))
     bad = None
     if "_corrupt_record" in batch.columns:
@@ -167,8 +175,11 @@ def apply_micro_batch(batch: DataFrame, epoch_id: int, operator: Callable[[Table
     else:
         touched = tables.buckets_of(footprint.keys(tables.tables(), batch))
         unnamed = _unnamed_specs(batch)
-        for name in operator(tables.tables(), batch).tables:         # a plan; nothing is computed here
-            if name in BUCKET_KEYS and name not in unnamed:
+        whole = len(touched) == tables.buckets
+        plan = operator(tables.tables(), batch)                      # a plan; nothing is computed here
+        for name in plan.tables:
+            # a table of which every bucket is replaced now needs no copy before
+            if name in BUCKET_KEYS and name not in unnamed and not (whole and name not in plan.appended):
                 tables.bucketed(name)
         changes = operator(tables.tables(dict.fromkeys(footprint.local, touched)), batch)
     root = f"{out_root}/stream={stream}/epoch={epoch}"
@@ -194,7 +205,6 @@ def apply_micro_batch(batch: DataFrame, epoch_id: int, operator: Callable[[Table
     refused.select(F.lit(operation).alias("operation"), F.lit(epoch).cast("long").alias("epoch"), "seq", "reason", "line") \
         .write.mode("overwrite").parquet(f"{root}/_rejects")
     store.append_log(spark, out_root, rows)
-    return True
 
 
 def stream_id(spark: SparkSession, checkpoint_dir: str) -> str:

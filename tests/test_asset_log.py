@@ -102,3 +102,10 @@ def test_mixed_log_equals_one_by_one(spark, width=3):
     same(got.tables["laptop_specifications"], ["asset_id", "archived_at"], want_specs)
     assert rows(got.rejects, "seq", "reason") == sorted(want_rejects, key=repr)
     assert {r for _, r in want_rejects} >= {"asset is assigned", "unknown operation", "unknown asset", "unknown employee"}
+
+
+def test_checked_requests_are_stored_before_the_scans(spark):
+    """Each scan reads its input twice: it meets the checked log, not the joins that check it."""
+    from fleetbook.operators.asset_log import checked_log
+    ok, _ = checked_log(tables(spark), spark.createDataFrame([], LOG))
+    assert "Join" not in ok._jdf.queryExecution().optimizedPlan().toString()

@@ -268,3 +268,20 @@ def test_apply_in_order_chains_operations(spark):
                                         (asset_writes.delete_assets, delete)], cut_every=0)
     assert rows(rejects2, "seq", "reason", "step") == [(3, "asset is assigned", 2)]
     assert rows(out2.assets, "status") == [("assigned",)]
+
+
+def test_archived_relations_are_not_dealt_out_when_assets_move(spark):
+    from fleetbook.operators.asset_writes import reassign_assets
+    t = tables(spark, assets=[dict(id=1, brand="B", model="M", serial_no="S", asset_type="laptop", purchased_date=D(1995, 1, 1),
+                                   warranty_start_date=D(1995, 1, 1), warranty_expiry_date=D(1999, 1, 1), status="assigned", is_available=False)],
+               employee=[dict(id=1, name="n", email="e@x.io", phone_no="1", status="active")],
+               relation=[dict(id=5, employee_id=1, asset_id=1, assigned_date=D(1995, 2, 1), archived_at=TS(1996, 1, 1)),
+                         dict(id=6, employee_id=1, asset_id=1, assigned_date=D(1996, 2, 1))])
+    req = spark.createDataFrame([(1, TS(1997, 1, 1), 9, 1, 1, D(1997, 1, 1), "a", "1997-01-02")],
+                                "seq long, req_ts timestamp, actor_id long, asset_id long, employee_id long, "
+                                "retrieved_date date, retrieval_reason string, assigned_date string")
+    out = reassign_assets(t, req).tables["employee_asset_relation"]
+    assert rows(out, "archived_at", "retrieved_date") == [
+        (None, None), (TS(1996, 1, 1), None), (TS(1997, 1, 1), D(1997, 1, 1))]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter isnotnull(archived_at" in plan       # the archived ones are a branch without a join

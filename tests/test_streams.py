@@ -174,3 +174,37 @@ def test_footprints_cover_what_operators_change(spark):
     got = current_tables(spark, f"{root}/base", f"{root}/out")
     for attr in ("assets", "relation", "employee"):
         assert rows(getattr(got, attr)) == rows(getattr(now, attr))
+
+
+def _reassigned(spark, tmp_path, buckets):
+    t = tables(spark, assets=[dict(id=a, brand="B", model="M", serial_no="S", asset_type="laptop", purchased_date=D(1995, 1, 1),
+                                   warranty_start_date=D(1995, 1, 1), warranty_expiry_date=D(1999, 1, 1), status="assigned", is_available=False)
+                              for a in (1, 2)],
+               employee=[dict(id=e, name="n", email=f"e{e}@x.io", phone_no="1", status="active") for e in (1, 2)],
+               relation=[dict(id=a * 10, employee_id=1, asset_id=a, assigned_date=D(1996, 1, 1)) for a in (1, 2)])
+    write_snapshot(t, f"{tmp_path}/base")
+    schema = ("seq long, req_ts timestamp, actor_id long, asset_id long, employee_id long, "
+              "retrieved_date date, retrieval_reason string, assigned_date string")
+    spark.createDataFrame([(1, TS(1997, 1, 1), 9, 1, 2, D(1997, 1, 1), "a", "1997-01-02")], schema).write.json(f"{tmp_path}/requests")
+    batch, read = spark.read.schema(schema).json(f"{tmp_path}/requests"), []
+
+    def operator(now, requests):
+        read.extend(requests.inputFiles())
+        return asset_writes.reassign_assets(now, requests)
+
+    args = (f"{tmp_path}/base", f"{tmp_path}/out")
+    assert apply_micro_batch(batch, 0, operator, *args, "reassign_assets", buckets=buckets)
+    assert rows(current_tables(spark, *args).relation, "employee_id", "asset_id", "retrieved_date") == [
+        (1, 1, D(1997, 1, 1)), (1, 2, None), (2, 1, None)]
+    return read
+
+
+def test_request_lines_are_parsed_once(spark, tmp_path):
+    read = _reassigned(spark, tmp_path, 2)
+    assert read and not [f for f in read if "/requests/" in f]
+    assert (tmp_path / "out" / "base" / "employee_asset_relation").exists()      # one of two buckets is replaced
+
+
+def test_a_table_replaced_as_a_whole_is_not_copied_before(spark, tmp_path):
+    _reassigned(spark, tmp_path, 1)
+    assert not (tmp_path / "out" / "base").exists()
