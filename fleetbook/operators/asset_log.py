@@ -28,7 +28,8 @@ from fleetbook.operators.validate import delete_errors, reassign_errors
 from fleetbook.plans.batch import ZERO_DATE, Changes, matched_update, split_by_reason, winners
 from fleetbook.plans.joins import mentioned
 from fleetbook.plans.session import cut_lineage
-from fleetbook.plans.scan import first_after, last_before, running_sum
+from fleetbook.plans.claims import STORED
+from fleetbook.plans.scan import WHOLE, WIDTH, first_after, last_before, running_sum
 from fleetbook.sources.tables import SPEC_ATTR, Tables, conform
 
 OPERATIONS = ("assign_assets", "reassign_assets", "retrieve_assets", "delete_assets", "update_warranty")
@@ -52,29 +53,43 @@ def checked_log(t: Tables, log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _drop_helpers(ok), bad.unionByName(unknown)
 
 
-def with_holders(t: Tables, log: DataFrame, width: int | None = None) -> DataFrame:
-    """``log`` plus ``holders``: how many employees hold the asset when the request arrives."""
+def scan_width(log: DataFrame, held: DataFrame) -> int | None:
+    """How to scan: assets whole if the largest one, counted with its stored holders, gives no more than WIDTH rows."""
+    rows = log.select("asset_id").unionByName(held.select("asset_id"))
+    largest = rows.groupBy("asset_id").count().agg(F.max("count")).first()[0] or 0
+    return WHOLE if largest <= WIDTH else None
+
+
+def stored_holders(t: Tables, log: DataFrame) -> DataFrame:
+    """(asset_id, employee_id) of the stored open relations of the log's assets, each once."""
+    return mentioned(open_relations(t), "asset_id", log, "asset_id").select("asset_id", "employee_id").distinct()
+
+
+def with_holders(log: DataFrame, held: DataFrame, width: int | None = None) -> DataFrame:
+    """``log`` plus ``holders``: how many employees hold the asset when the request arrives.
+
+    What is stored enters as rows before the log that each open a relation, ``WIDTH`` places apart for an
+    asset with many of them.  The scans by asset come first: where assets are scanned whole, the rows that are dealt by
+    asset then serve the scans by (asset, employee), too.
+    """
+    place = (F.lit(STORED) + F.pmod(F.xxhash64("employee_id"), F.lit(1 << 20)) * F.lit(WIDTH)).cast("long")
+    e = log.withColumns({"__at": F.col("seq").cast("long"), "__held": F.lit(False)})
+    e = e.unionByName(held.withColumns({"__at": place, "__held": F.lit(True)}), allowMissingColumns=True)
     op = F.col("operation")
-    opens, closes, resets = op.isin("assign_assets", "reassign_assets"), op == "retrieve_assets", op == "reassign_assets"
-    held = (mentioned(open_relations(t), "asset_id", log, "asset_id")
-            .select(F.col("asset_id").alias("__ha"), F.col("employee_id").alias("__he")).distinct())
-    first = held.groupBy(F.col("__ha").alias("__fa")).agg(F.count(F.lit(1)).alias("__stored"))
-    e = log.join(held, (F.col("asset_id") == F.col("__ha")) & (F.col("employee_id") == F.col("__he")), "left")
-    e = e.join(first, F.col("asset_id") == F.col("__fa"), "left")
-    e = last_before(e, ["asset_id", "employee_id"], "seq", opens | closes,
-                    F.struct(F.col("seq").alias("at"), opens.alias("opened")), "__own", width)
-    e = last_before(e, ["asset_id"], "seq", resets, F.struct(F.col("seq").alias("at")), "__reset", width)
+    opens = F.col("__held") | F.coalesce(op.isin("assign_assets", "reassign_assets"), F.lit(False))
+    closes, resets = F.coalesce(op == "retrieve_assets", F.lit(False)), F.coalesce(op == "reassign_assets", F.lit(False))
+    e = last_before(e, ["asset_id"], "__at", resets, F.struct(F.col("__at").alias("at")), "__reset", width)
+    e = last_before(e, ["asset_id", "employee_id"], "__at", opens | closes, F.struct(F.col("__at").alias("at"), opens.alias("opened")), "__own", width)
     later = F.col("__reset").isNull() | (F.col("__own.at") >= F.col("__reset.at"))
-    is_open = (F.when(F.col("__own").isNotNull() & later, F.col("__own.opened"))
-               .when(F.col("__reset").isNotNull(), F.lit(False)).otherwise(F.col("__ha").isNotNull()))
-    change = (F.when(op == "assign_assets", F.when(is_open, 0).otherwise(1))
-              .when(closes, F.when(is_open, -1).otherwise(0)).otherwise(0))
+    # no request names the holder of a relation without employee
+    is_open = F.when(F.col("employee_id").isNotNull() & F.col("__own").isNotNull() & later, F.col("__own.opened")).otherwise(F.lit(False))
+    change = F.when(F.col("__held"), 1).when(op == "assign_assets", F.when(is_open, 0).otherwise(1)).when(closes & is_open, -1).otherwise(0)
     e = e.withColumn("__change", change)
-    e = running_sum(e, ["asset_id"], "seq", F.col("__change"), "__sum", width)
-    e = last_before(e, ["asset_id"], "seq", resets, F.struct(F.col("__sum").alias("sum")), "__since", width)
+    e = running_sum(e, ["asset_id"], "__at", F.col("__change"), "__sum", width)
+    e = last_before(e, ["asset_id"], "__at", resets, F.struct(F.col("__sum").alias("sum")), "__since", width)
     before = F.col("__sum") - F.col("__change")
-    holders = F.when(F.col("__since").isNotNull(), before - F.col("__since.sum") + 1).otherwise(before + F.coalesce("__stored", F.lit(0)))
-    return _drop_helpers(e.withColumn("holders", holders))
+    holders = F.when(F.col("__since").isNotNull(), before - F.col("__since.sum") + 1).otherwise(before)
+    return _drop_helpers(e.withColumn("holders", holders).filter(~F.col("__held")))
 
 
 def _relations(t: Tables, ok: DataFrame, width: int | None) -> DataFrame:
@@ -141,8 +156,12 @@ def apply_asset_log(t: Tables, log: DataFrame, width: int | None = None) -> Chan
     retrieved_date, retrieval_reason, asset_type, delete_reason, warranty_start_date, warranty_expiry_date.
     """
     ok, bad = checked_log(t, log)
+    held = stored_holders(t, ok)
+    if width is None:
+        held = cut_lineage(held)
+        width = scan_width(ok, held)
     # the log is read for every table it changes: what each request meets is found once and written
-    ok = cut_lineage(with_holders(t, ok, width))
+    ok = cut_lineage(with_holders(ok, held, width))
     busy = (F.col("operation") == "delete_assets") & (F.col("holders") > 0)
     ok, refused = split_by_reason(ok, F.when(busy, F.lit("asset is assigned")))
     deleted = ok.filter(F.col("operation") == "delete_assets")

@@ -50,14 +50,14 @@ def _fk_reason(req: DataFrame, t: Tables, emp_col: str | None, asset_col: str |
     """Requests left-joined to the employee/asset key sets; reason when a key is unknown."""
     out = req
     reason = F.lit(None).cast("string")
-    if asset_col:
-        keys = _known(t.assets, req, asset_col, "__fk_a")
-        out = out.join(keys, out[asset_col] == keys["__fk_a"], "left")
-        reason = F.when(F.col("__fk_a").isNull(), F.lit("unknown asset"))
     if emp_col:
         keys = _known(t.employee, req, emp_col, "__fk_e")
         out = out.join(keys, out[emp_col] == keys["__fk_e"], "left")
-        reason = F.coalesce(reason, F.when(F.col("__fk_e").isNull(), F.lit("unknown employee")))
+        reason = F.when(F.col("__fk_e").isNull(), F.lit("unknown employee"))
+    if asset_col:               # last, so that the rows stay dealt by asset for what follows
+        keys = _known(t.assets, req, asset_col, "__fk_a")
+        out = out.join(keys, out[asset_col] == keys["__fk_a"], "left")
+        reason = F.when(F.col("__fk_a").isNull(), F.lit("unknown asset")).otherwise(reason)
     return out, reason
 
 

@@ -17,10 +17,16 @@ WIDTH = 1 << 16
 WHOLE = 0
 
 
+def _run(keys: list[str], width: int | None):
+    """The rows that a window inside runs over.  Keys that are scanned whole are dealt by key alone, so that scans over
+    more columns after it find their rows together."""
+    return Window.partitionBy(*keys) if width == WHOLE else Window.partitionBy(*keys, "__bucket")
+
+
 def _with_carry(df: DataFrame, keys: list[str], order: str, inner: Column, summary: Column, carry: Column, combine,
                 name: str, width: int | None) -> DataFrame:
     if width == WHOLE:
-        return df.withColumn("__bucket", F.lit(0)).withColumn(name, combine(inner, F.lit(None))).drop("__bucket")
+        return df.withColumn(name, combine(inner, F.lit(None)))
     width = width or WIDTH
     placed = df.withColumn("__bucket", F.floor(F.col(order) / F.lit(width)).cast("long"))
     heads = placed.groupBy(*keys, "__bucket").agg(summary.alias("__summary"))
@@ -37,7 +43,7 @@ def last_before(df: DataFrame, keys: list[str], order: str, when: Column, payloa
                 width: int | None = None) -> DataFrame:
     """``df`` plus ``name``: ``payload`` of the last earlier row of the key where ``when`` holds."""
     hit = F.when(when, payload)
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = _run(keys, width).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     return _with_carry(df, keys, order, F.last(hit, ignorenulls=True).over(inside), F.max_by(hit, F.when(when, F.col(order))),
                        F.last("__summary", ignorenulls=True).over(across), lambda own, carry: F.coalesce(own, carry), name, width)
@@ -47,7 +53,7 @@ def first_after(df: DataFrame, keys: list[str], order: str, when: Column, payloa
                 width: int | None = None) -> DataFrame:
     """``df`` plus ``name``: ``payload`` of the first later row of the key where ``when`` holds."""
     hit = F.when(when, payload)
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    inside = _run(keys, width).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
     across = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(1, Window.unboundedFollowing)
     return _with_carry(df, keys, order, F.first(hit, ignorenulls=True).over(inside), F.min_by(hit, F.when(when, F.col(order))),
                        F.first("__summary", ignorenulls=True).over(across), lambda own, carry: F.coalesce(own, carry), name, width)
@@ -55,7 +61,7 @@ def first_after(df: DataFrame, keys: list[str], order: str, when: Column, payloa
 
 def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int | None = None) -> DataFrame:
     """``df`` plus ``name``: the sum of ``value`` over the key's rows up to and including this one."""
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = _run(keys, width).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     across = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     return _with_carry(df, keys, order, F.sum(value).over(inside), F.sum(value), F.sum("__summary").over(across),
                        lambda own, carry: own + F.coalesce(carry, F.lit(0)), name, width)

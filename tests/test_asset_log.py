@@ -1,6 +1,8 @@
 """A mixed log equals its requests applied one by one."""
 import random
 
+from pyspark.sql import functions as F
+
 from fleetbook.operators.asset_log import apply_asset_log
 from helpers import D, TS, rows, tables
 
@@ -109,3 +111,45 @@ def test_checked_requests_are_stored_before_the_scans(spark):
     from fleetbook.operators.asset_log import checked_log
     ok, _ = checked_log(tables(spark), spark.createDataFrame([], LOG))
     assert "Join" not in ok._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mixed_log_in_assets_scanned_whole(spark, monkeypatch):
+    """Assets are counted: whole where none is large, else in buckets; both equal the requests one by one."""
+    from fleetbook.operators import asset_log
+    from fleetbook.plans.scan import WHOLE
+    counted, count = [], asset_log.scan_width
+    monkeypatch.setattr(asset_log, "scan_width", lambda *a: counted.append(count(*a)) or counted[-1])
+    test_mixed_log_equals_one_by_one(spark, None)
+    monkeypatch.setattr(asset_log, "WIDTH", 3)
+    test_mixed_log_equals_one_by_one(spark, None)
+    assert counted == [WHOLE, None]
+
+
+def test_whole_assets_are_shuffled_once(spark):
+    """All scans of the holders read rows that were dealt by asset once."""
+    from fleetbook.operators.asset_log import with_holders
+    from fleetbook.plans.scan import WHOLE
+    held = spark.createDataFrame([], "asset_id long, employee_id long")
+    plan = with_holders(spark.createDataFrame([], LOG), held, WHOLE)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window ") == 4 and "Join" not in plan
+    executed = with_holders(spark.createDataFrame([], LOG).filter("seq > 0"), held, WHOLE)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange hashpartitioning(") == 1
+
+
+def test_relation_without_employee_is_held_until_reassigned(spark):
+    """A retrieval without employee names nobody, so it does not close a relation without employee."""
+    from fleetbook.plans.scan import WHOLE
+    day = D(1995, 1, 1)
+    t = tables(spark, assets=[dict(id=1, brand="B", model="M", serial_no="S", asset_type="laptop", purchased_date=day, warranty_start_date=day,
+                                   warranty_expiry_date=day, status="assigned", is_available=False)],
+               employee=[dict(id=5, name="n", email="e@x.io", phone_no="1", status="active")],
+               relation=[dict(id=1, asset_id=1, employee_id=4, assigned_date=day), dict(id=2, asset_id=1, employee_id=5, assigned_date=day)])
+    t = t.with_(relation=t.relation.withColumn("employee_id", F.expr("case when employee_id = 5 then employee_id end")))
+    ask = dict.fromkeys([f.split()[0] for f in LOG.split(", ")]) | dict(asset_id=1, actor_id=9, asset_type="laptop", req_ts=TS(1997, 1, 1))
+    log = [dict(ask, seq=1, operation="retrieve_assets"), dict(ask, seq=2, operation="retrieve_assets", employee_id=5), dict(ask, seq=3, operation="delete_assets"),
+           dict(ask, seq=4, operation="reassign_assets", employee_id=5, assigned_date="1997-02-01", retrieved_date=D(1997, 2, 1), retrieval_reason="x"),
+           dict(ask, seq=5, operation="retrieve_assets", employee_id=5), dict(ask, seq=6, operation="delete_assets")]
+    for width in (WHOLE, 3):
+        got = apply_asset_log(t, spark.createDataFrame([tuple(q.values()) for q in log], LOG), width)
+        assert rows(got.rejects, "seq", "reason") == [(3, "asset is assigned")]
+        assert rows(got.tables["assets"], "status") == [("deleted",)]
