@@ -17,7 +17,7 @@ change hands a few times, but as many as requests where every one takes what the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetbook.plans.scan import WHOLE, WIDTH, first_after, last_before, running_sum
@@ -68,6 +68,11 @@ def _width(lines: DataFrame) -> int | None:
     return WHOLE if 4 * largest <= WIDTH else None
 
 
+def _dealt(df: DataFrame, keys: list[str], width: int | None) -> DataFrame:
+    """``df`` dealt by ``keys`` if they are scanned whole: grouping and scans by more columns then move no row again."""
+    return df.repartition(*keys) if width == WHOLE else df
+
+
 def _met(lines: DataFrame, asked: DataFrame, width: int | None) -> DataFrame:
     """``asked`` claims plus ``n``: the other owners that hold the value then, as two counts."""
     def settled(df):            # a scan in buckets reads its input twice: cut, so that scans do not multiply
@@ -81,12 +86,13 @@ def _met(lines: DataFrame, asked: DataFrame, width: int | None) -> DataFrame:
     changes = F.array(F.struct(F.col("seq").alias("at"), (F.lit(PERHAPS) + sure).alias("delta")),
                       F.struct(F.col("sure_end").alias("at"), F.lit(-PERHAPS).alias("delta")),
                       F.struct(F.col("next").alias("at"), (-sure).alias("delta")))
-    moments = rows.select(*NAME, "owner", F.explode(changes).alias("c")).select(*NAME, "owner", "c.*").filter("at is not null")
-    moments = moments.unionByName(asked.select(*NAME, "owner", F.col("seq").alias("at"), F.lit(0).cast("long").alias("delta")))
-    moments = settled(moments.groupBy(*NAME, "owner", "at").agg(F.sum("delta").alias("delta")))
+    moments = rows.select(*NAME, "owner", F.explode(changes).alias("c")).select(*NAME, "owner", "c.*", F.lit(False).alias("asked")).filter("at is not null")
+    moments = _dealt(moments.unionByName(asked.select(*NAME, "owner", F.col("seq").alias("at"), F.lit(0).cast("long").alias("delta"),
+                                                      F.lit(True).alias("asked"))), NAME, width)
+    moments = settled(moments.groupBy(*NAME, "owner", "at").agg(F.sum("delta").alias("delta"), F.max("asked").alias("asked")))
     moments = settled(running_sum(moments, NAME, "at", F.col("delta"), "everybody", width))
     moments = running_sum(moments, [*NAME, "owner"], "at", F.col("delta"), "own", width)
-    return asked.join(moments.selectExpr(*NAME, "at as seq", "everybody - own as n"), [*NAME, "seq"])
+    return moments.filter("asked").selectExpr(*NAME, "at as seq", "owner", "everybody - own as n")
 
 
 def refusals(claims: DataFrame, held: DataFrame, width: int | None = None) -> DataFrame:
@@ -102,9 +108,11 @@ def refusals(claims: DataFrame, held: DataFrame, width: int | None = None) -> Da
     contested = lines.filter(F.col("fought") & (F.col("seq") != STORED)).select("seq", "owner", *NAME)
     while not lines.filter("not sure").isEmpty():
         met = _met(lines, lines.filter("fought and not sure").select("seq", "owner", *NAME), width)
-        decided = met.groupBy("seq").agg(F.max(F.col("n") % PERHAPS > 0).alias("refused"), F.max(F.col("n") >= PERHAPS).alias("perhaps")) \
-            .filter("refused or not perhaps").select("seq", "refused")
-        lines = lines.join(decided, "seq", "left").filter("refused is null or not refused")
+        decided = met.groupBy("owner", "seq").agg(F.max(F.col("n") % PERHAPS > 0).alias("refused"), F.max(F.col("n") >= PERHAPS).alias("perhaps")) \
+            .filter("refused or not perhaps").select("owner", "seq", "refused")
+        # verdicts meet the lines of their request by owner, as which the next round's first scans want them
+        told = _dealt(lines.unionByName(decided, allowMissingColumns=True), ["owner"], width)
+        lines = told.withColumn("refused", F.max("refused").over(Window.partitionBy("owner", "seq"))).filter("kind is not null and (refused is null or not refused)")
         lines = cut_lineage(lines.select("seq", "owner", *NAME, "fought", (F.col("sure") | F.col("refused").isNotNull()).alias("sure")))
     refused = contested.join(lines.select("seq").distinct(), "seq", "left_anti")
     return cut_lineage(_met(lines, refused, width).filter("n > 0").select("seq", "kind"))

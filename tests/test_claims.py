@@ -150,3 +150,12 @@ def test_chain_of_values_that_are_passed_on(spark):
 def test_empty_batch(spark):
     got = refusals(spark.createDataFrame([], CLAIM), spark.createDataFrame([], HELD))
     assert rows(got) == []
+
+
+def test_whole_values_are_shuffled_once_per_round(spark):
+    """Owners' scans move the lines once, values' scans the moments once; asked claims are found among them without a join."""
+    lines = spark.range(9).selectExpr("id as seq", "cast(id % 3 as string) as owner", "'email' as kind", "cast(id % 2 as string) as value",
+                                      "true as fought", "id < 4 as sure")
+    met = _met(lines, lines.filter("not sure").select("seq", "owner", "kind", "value"), WHOLE)
+    plan = met._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning(") == 2 and "Join" not in plan
