@@ -103,16 +103,21 @@ def _relations(t: Tables, ok: DataFrame, width: int | None) -> DataFrame:
     fetched = ok.filter(op == "retrieve_assets").groupBy(F.col("asset_id").alias("__ta"), F.col("employee_id").alias("__te")).agg(
         F.min_by(back, F.col("seq")).alias("__t"))
     rel = t.relation
-    j = rel.join(reset, rel["asset_id"] == F.col("__ra"), "left").join(
-        fetched, (rel["asset_id"] == F.col("__ta")) & (rel["employee_id"] == F.col("__te")), "left")
-    by = (F.when(rel["archived_at"].isNull() & F.col("__r").isNotNull(), F.col("__r"))
-          .when(rel["retrieved_date"].isNull() & F.col("__t").isNotNull(), F.col("__t")))
     sets = {"retrieved_date": "day", "retrieval_reason": "why", "archived_at": "archived"}
-    j = j.withColumn("__by", by)
-    # a retrieval leaves archived_at as it was
-    stored = j.select(*[F.when(F.col("__by").isNull(), rel[c]).otherwise(
-        F.coalesce(F.col("__by.archived"), rel[c]) if c == "archived_at" else F.col(f"__by.{sets[c]}")).alias(c) if c in sets else rel[c]
-        for c in rel.columns])
+
+    def closed(rows, by):       # a retrieval leaves archived_at as it was
+        return rows.withColumn("__by", by).select(*[F.when(F.col("__by").isNull(), F.col(c)).otherwise(
+            F.coalesce(F.col("__by.archived"), F.col(c)) if c == "archived_at" else F.col(f"__by.{sets[c]}")).alias(c) if c in sets
+            else F.col(c) for c in rel.columns])
+
+    # a relation that is retrieved is not retrieved again, one that is archived not reassigned: each meets only the join that can change it
+    back_then, archived = F.col("retrieved_date").isNotNull(), F.col("archived_at").isNotNull()
+    stored = rel.filter(back_then & archived)
+    j = rel.filter(back_then & ~archived).join(reset, F.col("asset_id") == F.col("__ra"), "left")
+    stored = stored.unionByName(closed(j, F.col("__r")))
+    j = rel.filter(~back_then).join(reset, F.col("asset_id") == F.col("__ra"), "left").join(
+        fetched, (F.col("asset_id") == F.col("__ta")) & (F.col("employee_id") == F.col("__te")), "left")
+    stored = stored.unionByName(closed(j, F.coalesce(F.when(~archived, F.col("__r")), F.col("__t"))))
     # inserted relations: the asset's next reassignment, else the pair's next retrieval
     e = first_after(ok.filter(op != "delete_assets"), ["asset_id"], "seq", op == "reassign_assets", moved, "__r", width)
     e = first_after(e, ["asset_id", "employee_id"], "seq", op == "retrieve_assets", back, "__t", width)
