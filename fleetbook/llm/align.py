@@ -18,17 +18,23 @@ A pair that every document holds is a row per container, never a row per documen
 pair are spread over tasks by container; a group's pairs are taken from its distinct ids.
 
 Defined cases: a text that is null or empty, or whose A or B tokens do not spell the space and the
-text, has no tokens; every row is a document of its own, whatever its id; long texts are tokenized in
-chunks of ``CHUNK`` characters, cut before a single space that a letter follows, which no token of
-either vocabulary crosses (A splits words there, ``Vocabularies`` checks B); any other columns are
+text, has no tokens; every row is a document of its own, whatever its id; any other columns are
 carried along in the struct ``doc``.
+
+Texts are cut before every single space that a letter, a digit or a visible ASCII character follows,
+which no token of either vocabulary crosses (A splits words there, ``Vocabularies`` checks B).  What lies
+between two cuts is a word here, and no group goes past it, so that documents of about ``UNIT_BYTES``
+have their distinct words tokenized and grouped once; a word's pairs are dealt to the documents that
+hold it.  Words that are all different are tokenized as one running text, as they stand in a document.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -51,14 +57,22 @@ CONTAINER_BITS = 13
 CONTAINER = 1 << CONTAINER_BITS
 DENSE = CONTAINER // 16
 CHUNK = 1 << 15
+#: Characters of distinct words that are tokenized as one text.
+PIECE = 1 << 12
 #: Bytes of text aligned at once, pairs made at once, and pairs held before postings are written.
-UNIT_BYTES = 1 << 20
+UNIT_BYTES = 2 << 20
 PAIRS = 1 << 20
 HELD = 3 << 20
 
 #: Characters for which both A encoders are known to split alike, and runs that one of them gives up on.
-_OTHER = re.compile("[؀-\U0010ffff]|\\s{500}")
-_CUT = re.compile(r"(?<=\S) (?=[A-Za-z])")
+_HIGH, _BLANK = re.compile("[\u0600-\U0010ffff]"), re.compile(r"\s\s{499}")
+#: The space first, so that the pattern is searched for by its one literal character.
+_CUT = re.compile(r" (?=[!-~\w])(?<=\S )")
+_PLAIN = re.compile(r"[!-~\w]")
+
+
+def _other(text: str) -> bool:
+    return bool(_HIGH.search(text) or _BLANK.search(text))
 
 
 # -------------------------------------------------------------------------------- vocabularies
@@ -89,12 +103,12 @@ class Vocabularies:
         self.bytes_b = [bytes([int(t[3:5], 16)]) if self.model.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(names)]
         self.cuts = not any("▁" in t.lstrip("▁") for t in names)
         self.size_a, self.size_b = (np.array([len(t) for t in x]) for x in (self.bytes_a, self.bytes_b))
-        kinds = ((";", self.bytes_a), (",", self.bytes_a), ("", self.bytes_a), ("|", self.bytes_b), (",", self.bytes_b))
+        kinds = ((";", self.bytes_a), (",", self.bytes_a), ("\n", self.bytes_a), ("|", self.bytes_b), (",", self.bytes_b))
         self.written = np.array([sep + str(i) for sep, x in kinds for i in range(len(x))], dtype=object)
         self.kind = np.cumsum([0, *[len(x) for _, x in kinds]])
 
     def encode_a(self, text: str) -> list[int]:
-        if _OTHER.search(text):
+        if _other(text):
             return self.library.encode(text, add_special_tokens=False).ids
         return self.ranks.encode_ordinary(text)
 
@@ -109,21 +123,68 @@ class Vocabularies:
             at = cut.start()
         return [*out, text[at:]]
 
+    def spelled(self, said: list[str]):
+        """(A ids, B ids) of each text, all of which begin with a space; None if they do not spell it."""
+        out = []
+        for s, pieces in zip(said, self.model.encode([s[1:] for s in said], num_threads=1)):
+            ids, raw = self.encode_a(s), s.encode()
+            same = b"".join([self.bytes_b[i] for i in pieces]) == raw and b"".join([self.bytes_a[i] for i in ids]) == raw
+            out.append((np.array(ids, np.int64), np.array(pieces, np.int64)) if same else None)
+        return out
+
     def encode(self, text: str):
         """[(A ids, B ids)] per chunk of the text; None if the text has no tokens."""
         if not text:
             return None
         parts = self.chunks(text)
-        said = [" " + parts[0], *parts[1:]]
-        b = self.model.encode([s[1:] for s in said], num_threads=1)
-        out = []
-        for s, pieces in zip(said, b):
-            ids, raw = self.encode_a(s), s.encode()
-            if b"".join([self.bytes_b[i] for i in pieces]) != raw or b"".join([self.bytes_a[i] for i in ids]) != raw:
-                return None
-            out.append((np.array(ids, np.int64), np.array(pieces, np.int64)))
+        out = self.spelled([" " + parts[0], *parts[1:]])
+        return None if any(u is None for u in out) else out
+
+    def words(self, text: str):
+        """The words of each chunk of the text, without the spaces that they begin with."""
+        for k, part in enumerate(self.chunks(text) if text else []):
+            part = part[1:] if k else part
+            yield _CUT.split(part) if self.cuts else [part]
+
+    def pieces(self, words: list[str], odd: set[str]) -> list[list[int]]:
+        """Positions of the words that are tokenized together: all but the ``odd`` ones, between any two of
+        which a text is cut."""
+        if not self.cuts:
+            return [[k] for k in range(len(words))]
+        out = [[k] for k, w in enumerate(words) if w in odd]
+        joint = [k for k, w in enumerate(words) if w not in odd]
+        kinds = [joint]
+        if _other(" ".join(words)):     # A has its own encoder for these
+            high = [_other(words[k]) for k in joint]
+            kinds = [[k for k, h in zip(joint, high) if h == kind] for kind in (False, True)]
+        for at in filter(None, kinds):
+            for s, e in _cut_at(np.cumsum([len(words[k]) + 1 for k in at]), PIECE):
+                out.append(at[s:e])
         return out
 
+    def encode_words(self, words: list[str], odd: set[str]):
+        """Tokens (A ids, B ids) of texts, and of each word in them its position and the byte that it ends at, counted
+        from the first text on.  Words that their tokens do not spell are left out."""
+        units, order, size, pieces = [], [], [], self.pieces(words, odd)
+        while pieces:
+            alone = []
+            for at, found in zip(pieces, self.spelled([" " + " ".join([words[k] for k in at]) for at in pieces])):
+                own = [len(words[k].encode()) + 1 for k in at]
+                if found and all(_ends(n[ids], own) for ids, n in zip(found, (self.size_a, self.size_b))):
+                    units.append(found)
+                    order += at
+                    size += own
+                elif len(at) > 1:
+                    alone += [[k] for k in at]
+            pieces = alone
+        return units, np.array(order, np.int64), np.cumsum(np.array(size, np.int64))
+
+
+def _ends(tokens: np.ndarray, words: list[int]) -> bool:
+    """Does a token end wherever a word does?  Both are given by their bytes."""
+    end, word_end = np.cumsum(tokens), np.cumsum(words)
+    return np.array_equal(end[np.searchsorted(end, word_end)], word_end)
+
 
 @lru_cache(maxsize=2)
 def vocabularies(a: bytes, b: bytes) -> Vocabularies:
@@ -133,35 +194,35 @@ def vocabularies(a: bytes, b: bytes) -> Vocabularies:
 # -------------------------------------------------------------------------------------- groups
 
 class Groups:
-    """The groups of several units (texts or chunks), whose tokens follow each other."""
+    """The groups of several units (texts, chunks or words), whose tokens follow each other."""
 
-    def __init__(self, v: Vocabularies, units):
+    def __init__(self, v: Vocabularies, units, last=None):
+        """Units are the given ones, or the words in them that end at the bytes ``last``."""
         self.a, self.b = (np.concatenate([u[k] for u in units]) for k in (0, 1))
         end_a, end_b = np.cumsum(v.size_a[self.a]), np.cumsum(v.size_b[self.b])
         cuts = end_a[end_b[np.searchsorted(end_b, end_a)] == end_a]
         self.of_a, self.of_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
         self.n_a, self.n_b = np.bincount(self.of_a, minlength=len(cuts)), np.bincount(self.of_b, minlength=len(cuts))
-        last = end_a[np.cumsum([len(u[0]) for u in units]) - 1]
+        if last is None:
+            last = end_a[np.cumsum([len(u[0]) for u in units]) - 1]
         self.unit = np.searchsorted(last, cuts)
-        self.units = len(units)
+        self.units = len(last)
 
     def per_unit(self, values: np.ndarray) -> np.ndarray:
         """Sums per unit of a value per group (units have one group at least)."""
         return np.add.reduceat(values, np.searchsorted(self.unit, np.arange(self.units)))
 
-    def written(self, v: Vocabularies, first: np.ndarray) -> list[str]:
-        """``a1,a2|b1;a3|b2`` per unit; units that do not begin a text (``first``) begin with ``;``."""
+    def written(self, v: Vocabularies) -> list[str]:
+        """``a1,a2|b1;a3|b2`` per unit."""
         n = len(self.a)
         side = np.argsort(np.concatenate([2 * self.of_a, 2 * self.of_b + 1]), kind="stable")
         new_a, new_b = np.ones(n, bool), np.ones(len(self.b), bool)
         new_a[1:] = self.of_a[1:] != self.of_a[:-1]
         new_b[1:] = self.of_b[1:] != self.of_b[:-1]
         kind_a = np.where(new_a, 0, 1)
-        begin = np.searchsorted(self.unit, np.arange(self.units))
-        kind_a[(np.cumsum(self.n_a) - self.n_a)[begin[first]]] = 2
+        kind_a[(np.cumsum(self.n_a) - self.n_a)[np.searchsorted(self.unit, np.arange(self.units))]] = 2
         parts = v.written[np.concatenate([v.kind[kind_a] + self.a, v.kind[np.where(new_b, 3, 4)] + self.b])[side]]
-        edge = np.concatenate([[0], np.cumsum(self.per_unit(self.n_a + self.n_b))])
-        return ["".join(parts[s:e].tolist()) for s, e in zip(edge[:-1], edge[1:])]
+        return "".join(parts.tolist()).split("\n")[1:]
 
     def pairs(self):
         """Chunks (pair key, unit, links) of the groups' id pairs, each pair of a group once."""
@@ -180,6 +241,73 @@ class Groups:
             yield _key(a[which] & 0xFFFFF, b[other] & 0xFFFFF), self.unit[a[which] >> 20], count_a[which] * count_b[other]
 
 
+class Words:
+    """The distinct words of several documents, numbered as met."""
+
+    def __init__(self, v: Vocabularies):
+        self.v, self.number, self.odd, self.said = v, defaultdict(count().__next__), set(), []
+
+    def add(self, text: str) -> None:
+        """Take in a document, kept as the numbers of its words, chunk by chunk."""
+        said = []
+        for words in self.v.words(text):
+            said.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
+            # Only the ends of a document can be such that other words cannot stand beside them.
+            if not _PLAIN.match(words[0]):
+                self.odd.add(words[0])
+            if words[-1][-1:].isspace():
+                self.odd.add(words[-1])
+        self.said.append(said)
+
+
+class Held:
+    """The groups of the documents of ``words``; those with a word that its tokens do not spell have none."""
+
+    def __init__(self, words: Words):
+        units, order, last = words.v.encode_words(list(words.number), words.odd)
+        at = np.full(len(words.number), -1)
+        at[order] = np.arange(len(order))
+        self.v, self.docs = words.v, len(words.said)
+        size = np.array([sum(map(len, parts)) for parts in words.said], np.int64)
+        word = at[np.concatenate([np.zeros(0, np.int32), *[w for parts in words.said for w in parts]])]
+        doc = np.repeat(np.arange(self.docs), size)
+        lost = np.zeros(self.docs, bool)
+        lost[doc[word < 0]] = True
+        size[lost] = 0
+        self.word = word[~lost[doc]]
+        self.edge = np.concatenate([[0], np.cumsum(size)])
+        self.groups = Groups(self.v, units, last) if units else None
+
+    def numbers(self) -> np.ndarray:
+        """``NUMBERS`` of each document."""
+        out, g = np.zeros((self.docs, 4), np.int64), self.groups
+        if g:
+            for k, values in enumerate((g.n_a, g.n_b, np.ones_like(g.n_a), g.n_a * g.n_b)):
+                total = np.concatenate([[0], np.cumsum(g.per_unit(values)[self.word])])
+                out[:, k] = total[self.edge[1:]] - total[self.edge[:-1]]
+        return out
+
+    def written(self) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each document."""
+        written = self.groups.written(self.v) if self.groups else []
+        return [";".join([written[w] for w in self.word[s:e].tolist()]) for s, e in zip(self.edge[:-1], self.edge[1:])]
+
+    def pairs(self):
+        """Chunks (pair key, document, links): those of a word go to every document that holds it, as often as it does."""
+        if not self.groups:
+            return
+        doc = np.repeat(np.arange(self.docs), np.diff(self.edge))
+        at, times = np.unique(self.word * self.docs + doc, return_counts=True)
+        doc, first = at % self.docs, np.searchsorted(at, np.arange(self.groups.units + 1) * self.docs)
+        for key, word, links in self.groups.pairs():
+            size = first[word + 1] - first[word]
+            for s, e in _cut_at(np.cumsum(size), PAIRS):
+                n = size[s:e]
+                which = np.repeat(np.arange(s, e), n)
+                holder = first[word[which]] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                yield key[which], doc[holder], links[which] * times[holder]
+
+
 def _key(a, b):
     return a.astype(np.int64) << 32 | b.astype(np.int64)
 
@@ -195,6 +323,13 @@ def _cut_at(total: np.ndarray, limit: int):
 
 def summed(key, pos, m):
     """Distinct (key, pos) in order, with their sums."""
+    if len(key) and int(key.max()) < 1 << 62 - CONTAINER_BITS and int(pos.max()) < CONTAINER:
+        both = key << CONTAINER_BITS | pos
+        order = np.argsort(both)
+        both, m = both[order], m[order]
+        at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        both = both[at]
+        return both >> CONTAINER_BITS, both & CONTAINER - 1, np.add.reduceat(m, at)
     order = np.lexsort((pos, key))
     key, pos, m = key[order], pos[order], m[order]
     new = np.ones(len(key), dtype=bool)
@@ -309,35 +444,22 @@ def align(docs: DataFrame, columns: list[str], vocabulary: str = VOCABULARY_A, m
             doc_type, at = batch.column("doc").type, 0
             while at < batch.num_rows:
                 # Documents of one container and about UNIT_BYTES are aligned together.
-                units, begin, size, n = [], [], 0, 0
+                words, size, n = Words(v), 0, 0
                 container = rec >> CONTAINER_BITS
                 if container != postings.container:
                     yield from flush()
                     postings.container = container
                 while at + n < batch.num_rows and size < UNIT_BYTES and (rec + n) >> CONTAINER_BITS == container:
                     text = batch.column("text")[at + n].as_py()
-                    found = v.encode(text) or []
-                    begin.append(len(units))
-                    units += found
+                    words.add(text)
                     size += len(text or "")
                     n += 1
-                numbers, texts = np.zeros((n, 4), np.int64), [""] * n
-                if units:
-                    g = Groups(v, units)
-                    begin = np.array([*begin, len(units)])
-                    owner = np.repeat(np.arange(n), np.diff(begin))
-                    first = np.ones(len(units), bool)
-                    first[1:] = owner[1:] != owner[:-1]
-                    for k, values in enumerate((g.n_a, g.n_b, np.ones_like(g.n_a), g.n_a * g.n_b)):
-                        np.add.at(numbers[:, k], owner, g.per_unit(values))
-                    written = g.written(v, first)
-                    for d in np.unique(owner).tolist():
-                        texts[d] = "".join(written[begin[d]:begin[d + 1]])
-                    pos = (rec + owner) % CONTAINER
-                    for key, unit, m in g.pairs():
-                        postings.add(key, pos[unit], m)
-                        if postings.size >= HELD:
-                            yield from flush()
+                held = Held(words)
+                numbers, texts = held.numbers(), held.written()
+                for key, doc, m in held.pairs():
+                    postings.add(key, (rec + doc) % CONTAINER, m)
+                    if postings.size >= HELD:
+                        yield from flush()
                 yield document_rows(batch.column("doc").slice(at, n), np.arange(rec, rec + n), numbers, texts)
                 at, rec = at + n, rec + n
         yield from flush()

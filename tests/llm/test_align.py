@@ -164,3 +164,52 @@ def test_long_words(spark):
     text = prose(rng, 30000)
     r = queries.aligned_documents(documents(spark, [text])).first()
     assert r["n_links"] == r["count_sum"] == r["n_best"] and r["n_a"] > 30000
+
+
+def held(v, given):
+    words = align.Words(v)
+    for text in given:
+        words.add(text)
+    return align.Held(words)
+
+
+def test_words_as_in_their_text(vocabularies, monkeypatch):
+    """Words that are tokenized by themselves or beside others have the tokens, groups and links of the whole text."""
+    rng = random.Random(8)
+    marks = "a b1 '.|\u2581\u0301\x1c\x85\xa0\u180e\u2003\u200b\u2019\u0661\u4e2d\u1100\u044f\U0001f642\n\t"
+    given = [*texts(), *["".join(rng.choice(marks) + rng.choice(["", " ", "x "]) for _ in range(rng.randint(1, 40))) for _ in range(200)]]
+    want = []
+    for t in given:
+        a, b = tokens_by_hand(vocabularies, t)
+        want.append((len(a), len(b), by_hand_links(vocabularies, t) if a else Counter()))
+    for piece in (align.PIECE, 30, 1):
+        monkeypatch.setattr(align, "PIECE", piece)
+        got = held(vocabularies, given)
+        numbers, written, links = got.numbers(), got.written(), [Counter() for _ in given]
+        for key, doc, m in got.pairs():
+            for x, d, n in zip(key.tolist(), doc.tolist(), m.tolist()):
+                links[d][x >> 32, x & 0xFFFFFFFF] += n
+        for t, w, n, s, found in zip(given, want, numbers.tolist(), written, links):
+            assert (n[0], n[1], found) == w and n[3] == sum(found.values()), t
+            assert n[2] == (len(s.split(";")) if s else 0)
+            sides = [[int(x) for g in s.split(";") for x in g.split("|")[k].split(",")] if s else [] for k in (0, 1)]
+            assert sides == [list(x) for x in tokens_by_hand(vocabularies, t)]
+    assert sum(w[0] == 0 for w in want) > 5
+
+
+def test_distinct_words_are_tokenized_once(vocabularies, monkeypatch):
+    """Both tokenizers read the distinct words of a unit, not every text (they took most of the CPU time)."""
+    rng = random.Random(9)
+    given, read = [prose(rng, 300) for _ in range(50)], []
+    monkeypatch.setattr(align.Vocabularies, "encode_a", lambda v, s: read.append(s) or v.ranks.encode_ordinary(s))
+    assert held(vocabularies, given).numbers()[:, 0].tolist() == [len(tokens_by_hand(vocabularies, t)[0]) for t in given]
+    assert sum(map(len, read)) < 5000 < sum(map(len, given)) / 10
+
+
+def test_words_without_cuts(vocabularies, monkeypatch):
+    """A vocabulary whose tokens go past spaces has whole texts for words."""
+    given = ["one two three", "two three", None]
+    want = held(vocabularies, given)
+    monkeypatch.setattr(vocabularies, "cuts", False)
+    got = held(vocabularies, given)
+    assert (got.numbers() == want.numbers()).all() and got.written() == want.written() and len(got.word) == 2 < len(want.word)
